@@ -1,13 +1,13 @@
 """Quality rules: base rules, then distribution divergence from references of the document's language.
 
 A document's character classes and its counts of common words are set against the mean distributions of all
-long enough documents of its language. The Jensen-Shannon distance (base 2, square root, so 0 to 1) of either
-histogram beyond its threshold rejects the document. All of it is column arithmetic: one aggregation with one
+long enough documents of its language. A document goes if the Jensen-Shannon distance (base 2, square root, so 0 to 1)
+of its characters is far, or if those of its characters and its words both are. All of it is column arithmetic: one aggregation with one
 row for each language, and a join with that table.
 
 Defined cases: a null or empty text has no words and fails the base rules. A language that is null, not in
 COMMON_WORDS, or seen in fewer than `min_reference` documents has no reference: such a document is judged by
-the base rules alone. Histograms of fewer than `min_chars` characters or `min_tokens` letter runs aren't
+the base rules alone. Histograms of fewer than `min_chars` characters or `min_tokens` words aren't
 compared (too short to tell). Repeated rows are judged alike, each for itself. Columns of the input whose names
 clash with results give way to the results in `score`; `keep` returns the input's columns alone.
 """
@@ -26,47 +26,39 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "sur"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"],
 }
-#: Character classes, counted in this order, each in what the earlier ones left; what remains is "symbol".
-CLASSES = {"lower": r"\p{Ll}+", "space": SPACE, "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "point": r"[.,;:'\"!?()-]+"}
+#: Character classes after ASCII lower case and space, counted in this order, each in what the earlier ones left; what remains is "symbol".
+CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "point": r"[.,;:'\"?!()-]+"}
+PLAIN = r"[a-z\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_CHARS, MIN_TOKENS, MIN_REFERENCE = 200, 50, 20
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.5
+MIN_CHARS, MIN_TOKENS, MIN_REFERENCE = 200, 80, 20
+#: Beyond the first the characters alone reject; beyond both of the others characters and words together do.
+MAX_CHAR_DISTANCE, JOINT_CHAR_DISTANCE, JOINT_WORD_DISTANCE = 0.25, 0.14, 0.22
 
 
 def char_counts(df: DataFrame) -> DataFrame:
-    """Adds q_chars (counts by class), q_word_chars and q_symbols from q_text. Each class is cut out of what is left."""
-    left, counts = "q_text", []
+    """Adds q_chars (counts by class), q_n_chars, q_word_chars and q_symbols from q_text and q_words."""
+    df = df.withColumns({"q_n_chars": F.length("q_text"), "q_word_chars": F.length(F.array_join("q_words", "")), "q_rest": F.regexp_replace("q_text", PLAIN, "")})
+    left, counts = "q_rest", []
     for k, pattern in CLASSES.items():
         df = df.withColumn(f"q_no_{k}", F.regexp_replace(left, pattern, ""))
         counts.append((F.length(left) - F.length(f"q_no_{k}")).cast("double"))
         left = f"q_no_{k}"
-    counts.append(F.length(left).cast("double"))
-    return df.withColumns(
-        {
-            "q_chars": F.array(*counts),
-            "q_word_chars": (F.length("q_text") - F.length("q_no_lower") + F.length("q_no_space")).cast("long"),
-            "q_symbols": (F.length("q_no_upper") - F.length(F.regexp_replace("q_no_upper", SYMBOLS, ""))).cast("long"),
-        }
-    ).drop(*(f"q_no_{k}" for k in CLASSES))
+    space = F.col("q_n_chars") - F.col("q_word_chars")
+    plain = F.col("q_n_chars") - F.length("q_rest") - space
+    counts = [plain + counts[0], space.cast("double"), *counts[1:], F.length(left).cast("double")]
+    df = df.withColumns({"q_chars": F.array(*counts), "q_symbols": F.length("q_no_lower") - F.length(F.regexp_replace("q_no_lower", SYMBOLS, ""))})
+    return df.drop("q_rest", *(f"q_no_{k}" for k in CLASSES))
 
 
 def common_counts(df: DataFrame) -> DataFrame:
-    """Adds q_tokens (letter runs) and q_common (counts of the language's common words, then the rest), null without a list."""
+    """Adds q_common from q_words: counts of the language's common words as they stand, then the other words; null without a list."""
     lists = F.create_map(*(x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     df = df.withColumn("q_list", F.when(F.col("lang").isin(*COMMON_WORDS), F.element_at(lists, F.col("lang"))))
-    df = df.withColumn("q_runs", F.array_remove(F.split(F.lower("q_text"), r"[^\p{L}]+"), ""))
-    df = df.withColumn("q_tokens", F.size("q_runs"))
-    df = df.withColumn("q_hits", F.filter("q_runs", lambda t: (F.length(t) <= 6) & F.array_contains("q_list", t)))
-    counts = F.transform("q_list", lambda w: F.size(F.filter("q_hits", lambda t: t == w)).cast("double"))
-    rest = F.array((F.col("q_tokens") - F.size("q_hits")).cast("double"))
-    return df.withColumn("q_common", F.concat(counts, rest)).drop("q_list", "q_runs", "q_hits")
-
-
-def shares(counts: str) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(counts, lambda x: x / total)
+    df = df.withColumn("q_hits", F.filter("q_words", lambda t: F.array_contains("q_list", t)))
+    counts = F.transform("q_list", lambda w: (F.size("q_hits") - F.size(F.array_remove("q_hits", w))).cast("double"))
+    return df.withColumn("q_common", F.concat(counts, F.array((F.size("q_words") - F.size("q_hits")).cast("double")))).drop("q_list", "q_hits")
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -79,77 +71,68 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def histograms(docs: DataFrame) -> DataFrame:
-    return common_counts(char_counts(docs.withColumn("q_text", whole())))
-
-
-def comparable(min_chars: int, min_tokens: int) -> tuple[Column, Column]:
-    chars = F.aggregate("q_chars", F.lit(0.0), lambda a, x: a + x)
-    return (chars > 0) & (chars >= min_chars), (F.col("q_tokens") > 0) & (F.col("q_tokens") >= min_tokens)
+def histograms(docs: DataFrame, min_chars: int, min_tokens: int) -> DataFrame:
+    """docs with words, counts, and the shares of both histograms; shares are null where the text is too short."""
+    df = docs.withColumn("q_text", whole())
+    df = common_counts(char_counts(df.withColumn("q_words", words_of(F.col("q_text"))))).withColumn("q_n", F.size("q_words"))
+    chars = F.transform("q_chars", lambda x: x / F.col("q_n_chars"))
+    words = F.transform("q_common", lambda x: x / F.col("q_n"))
+    return df.withColumns({"q_char_shares": F.when(F.col("q_n_chars") >= max(min_chars, 1), chars), "q_word_shares": F.when(F.col("q_n") >= max(min_tokens, 1), words)})
 
 
 def references(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOKENS, min_reference: int = MIN_REFERENCE) -> DataFrame:
     """One row for each listed language: the mean shares over all its documents of sufficient length."""
-    long_chars, long_tokens = comparable(min_chars, min_tokens)
-    h = histograms(docs.select("text", "lang").filter(F.col("lang").isin(*COMMON_WORDS))).filter(long_chars & long_tokens)
-    h = h.select("lang", shares("q_chars").alias("c"), shares("q_common").alias("w"))
-    n_char, n_word = len(CLASSES) + 1, len(next(iter(COMMON_WORDS.values()))) + 1
-    means = [F.avg(F.col("c")[i]) for i in range(n_char)], [F.avg(F.col("w")[i]) for i in range(n_word)]
-    r = h.groupBy(F.col("lang").alias("q_lang")).agg(F.count("*").alias("q_n"), *(m.alias(f"c{i}") for i, m in enumerate(means[0])), *(m.alias(f"w{i}") for i, m in enumerate(means[1])))
-    return r.filter(F.col("q_n") >= min_reference).select("q_lang", F.array(*(f"c{i}" for i in range(n_char))).alias("q_ref_chars"), F.array(*(f"w{i}" for i in range(n_word))).alias("q_ref_words"))
+    h = histograms(docs.select("text", "lang").filter(F.col("lang").isin(*COMMON_WORDS)), min_chars, min_tokens)
+    n_char, n_word = len(CLASSES) + 2, len(next(iter(COMMON_WORDS.values()))) + 1
+    both = F.when(F.col("q_char_shares").isNotNull() & F.col("q_word_shares").isNotNull(), F.concat("q_char_shares", "q_word_shares"))
+    h = h.select(F.col("lang").alias("q_lang"), both.alias("b"))
+    r = h.groupBy("q_lang").agg(F.count("b").alias("q_seen"), *(F.avg(F.col("b")[i]).alias(f"m{i}") for i in range(n_char + n_word)))
+    ref = [F.array(*(f"m{i}" for i in range(*at))) for at in ((0, n_char), (n_char, n_char + n_word))]
+    return r.filter(F.col("q_seen") >= min_reference).select("q_lang", ref[0].alias("q_ref_chars"), ref[1].alias("q_ref_words"))
 
 
-def repeated_words(words: str) -> Column:
-    """Words that lie in a window of three that the text has twice or more, exactly.
+def with_repeats(df: DataFrame) -> DataFrame:
+    """Adds q_repeat_words from q_words: words that lie in a window of three that the text has twice or more, exactly.
 
-    Windows are first sorted by 32 bits of a hash with the position beside it; only windows with an equal
+    Windows are first sorted by 31 bits of a hash with the position beside it; only windows with an equal
     neighbour, few in most texts, are then sorted and compared as strings.
     """
-    n = F.size(words)
-    at = lambda i: F.get(words, i)
-    packed = F.transform(F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")), lambda i: F.shiftleft(F.xxhash64(at(i), at(i + 1), at(i + 2)).bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(i.cast("long")))
-    return F.sort_array(packed)
-
-
-def with_repeats(df: DataFrame) -> DataFrame:
-    """Adds q_repeat_words from q_words."""
-    df = df.withColumn("q_sorted", repeated_words("q_words"))
-    key = lambda x: F.shiftright(x, 31)
-    near = lambda a, x, i, f: f(x) == f(F.get(a, i))
-    df = df.withColumn("q_likely", F.filter("q_sorted", lambda x, i: F.coalesce(near("q_sorted", x, i - 1, key) & (i > 0), F.lit(False)) | F.coalesce(near("q_sorted", x, i + 1, key), F.lit(False))))
-
-    def window(x: Column) -> Column:
-        p = x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-        return F.struct(F.concat_ws(" ", F.get("q_words", p), F.get("q_words", p + 1), F.get("q_words", p + 2)).alias("g"), p.alias("p"))
-
+    df = df.withColumn("q_hashes", F.transform("q_words", lambda w: F.xxhash64(w)))
+    at = lambda i: F.get("q_hashes", i)
+    packed = lambda x, i: x.bitwiseXOR(F.shiftleft(at(i + 1), 1)).bitwiseXOR(F.shiftleft(at(i + 2), 2)).bitwiseAND(F.lit(0x7FFFFFFF00000000)).bitwiseOR(i.cast("long"))
+    df = df.withColumn("q_sorted", F.sort_array(F.transform("q_hashes", packed)))
+    df = df.withColumn("q_pairs", F.filter(F.transform("q_sorted", lambda x, i: F.when(x.bitwiseXOR(F.get("q_sorted", i + 1)) < 0x100000000, i)), lambda i: i.isNotNull()))
+    place = lambda i: F.get("q_sorted", i).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    df = df.withColumn("q_likely", F.array_distinct(F.flatten(F.transform("q_pairs", lambda i: F.array(place(i), place(i + 1))))))
+    window = lambda p: F.struct(F.concat_ws(" ", F.get("q_words", p), F.get("q_words", p + 1), F.get("q_words", p + 2)).alias("g"), p.alias("p"))
     df = df.withColumn("q_windows", F.sort_array(F.transform("q_likely", window)))
-    gram = lambda x: x.getField("g")
-    df = df.withColumn("q_at", F.sort_array(F.transform(F.filter("q_windows", lambda x, i: F.coalesce(near("q_windows", x, i - 1, gram) & (i > 0), F.lit(False)) | F.coalesce(near("q_windows", x, i + 1, gram), F.lit(False))), lambda x: x.getField("p"))))
+    gram = lambda i: F.get("q_windows", i).getField("g")
+    place = lambda i: F.get("q_windows", i).getField("p")
+    same = F.filter(F.transform("q_windows", lambda x, i: F.when(x.getField("g") == gram(i + 1), F.array(x.getField("p"), place(i + 1)))), lambda x: x.isNotNull())
+    df = df.withColumn("q_at", F.sort_array(F.array_distinct(F.flatten(same))))
     covered = F.transform("q_at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("q_at", i + 1) - p, F.lit(3))))
     df = df.withColumn("q_repeat_words", F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("long"))
-    return df.drop("q_sorted", "q_likely", "q_windows", "q_at")
+    return df.drop("q_hashes", "q_sorted", "q_pairs", "q_likely", "q_windows", "q_at")
 
 
-def score(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOKENS, min_reference: int = MIN_REFERENCE, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+def score(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOKENS, min_reference: int = MIN_REFERENCE, max_char_distance: float = MAX_CHAR_DISTANCE, joint_char_distance: float = JOINT_CHAR_DISTANCE, joint_word_distance: float = JOINT_WORD_DISTANCE) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance and kept."""
     refs = references(docs, min_chars, min_tokens, min_reference)
-    df = histograms(docs).withColumn("q_words", words_of(F.col("q_text")))
+    df = histograms(docs, min_chars, min_tokens)
     df = with_repeats(df.withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
-    long_chars, long_tokens = comparable(min_chars, min_tokens)
     # refs has one row for each language of COMMON_WORDS at most
     df = df.join(F.broadcast(refs), F.col("lang") == F.col("q_lang"), "left")
     df = df.withColumns(
         {
-            "q_n": F.size("q_words").cast("long"),
             "q_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-            "q_char_distance": F.when(long_chars & F.col("q_lang").isNotNull(), js_distance(shares("q_chars"), F.col("q_ref_chars"))),
-            "q_word_distance": F.when(long_tokens & F.col("q_lang").isNotNull(), js_distance(shares("q_common"), F.col("q_ref_words"))),
+            "q_char_distance": js_distance(F.col("q_char_shares"), F.col("q_ref_chars")),
+            "q_word_distance": js_distance(F.col("q_word_shares"), F.col("q_ref_words")),
         }
     )
     df = df.withColumn("q_failed", (F.col("q_n") < MIN_WORDS) | (100 * F.col("q_repeat_words") > MAX_REPEAT_PERCENT * F.col("q_n")))
-    far = F.coalesce(F.col("q_char_distance") > max_char_distance, F.lit(False)) | F.coalesce(F.col("q_word_distance") > max_word_distance, F.lit(False))
+    far = F.coalesce(F.col("q_char_distance") > max_char_distance, F.lit(False)) | F.coalesce((F.col("q_char_distance") > joint_char_distance) & (F.col("q_word_distance") > joint_word_distance), F.lit(False))
     out = put(
-        df, n_words=F.col("q_n"), word_chars=F.col("q_word_chars"), n_symbols=F.col("q_symbols"), n_dup_lines=F.col("q_dup_lines"), n_repeat_words=F.col("q_repeat_words"),
+        df, n_words=F.col("q_n").cast("long"), word_chars=F.col("q_word_chars").cast("long"), n_symbols=F.col("q_symbols").cast("long"), n_dup_lines=F.col("q_dup_lines"), n_repeat_words=F.col("q_repeat_words"),
         base_failed=F.col("q_failed"), char_distance=F.col("q_char_distance"), word_distance=F.col("q_word_distance"), kept=~F.col("q_failed") & ~far,
     )
     return out.drop(*(c for c in out.columns if c.startswith("q_") and c not in docs.columns))
