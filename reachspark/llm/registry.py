@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachspark.llm import line_dedup, quality_rules, source_mix, warc
+from reachspark.llm import decontaminate, line_dedup, quality_rules, source_mix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality_rules.query,
     "op2_source_mix": source_mix.query,
     "op3_line_dedup": line_dedup.query,
+    "op6_prefix_decontamination": decontaminate.query,
     "op7_warc_chain": warc.query,
 }
 SQL: dict[str, str] = {"op2_source_mix": source_mix.SQL, "op3_line_dedup": line_dedup.SQL}
