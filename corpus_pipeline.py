@@ -1 +1,46 @@
-STAGES = []
+"""A training corpus from documents: quality rules, line dedup, near-dedup, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is written as Parquet and read again
+as the docs of the next. All but the last return the columns of documents; the last adds to them size (words), source_size,
+target, taken (words the mix takes, repeats counted), epochs (whole repeats) and part (words of a last, shorter repeat), and
+leaves out documents that the mix does not take.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from reachspark.llm import decontaminate, line_dedup, near_dedup, quality_rules, source_mix
+from reachspark.llm.common import read, stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.stage(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return source_mix.mix(docs).filter("taken > 0")
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near-dedup", near_duplicates), ("decontamination", decontamination), ("source mix", mixing)]
+#: Near-duplicate classes can't be had in SQL; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

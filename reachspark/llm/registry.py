@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachspark.llm import decontaminate, language_id, line_dedup, main_text, quality_rules, source_mix, token_counts, warc
+from reachspark.llm import decontaminate, language_id, line_dedup, main_text, near_dedup, quality_rules, source_mix, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality_rules.query,
     "op2_source_mix": source_mix.query,
     "op3_line_dedup": line_dedup.query,
     "op4_main_text_cut": main_text.query,
+    "op5_probminhash_near_dedup": near_dedup.query,
     "op6_prefix_decontamination": decontaminate.query,
     "op7_warc_chain": warc.query,
     "op8_trie_token_counts": token_counts.query,
