@@ -160,7 +160,8 @@ def dirac_fit(histograms: DataFrame) -> DataFrame:
 def dirac_predict(fits: DataFrame, scale: Column, most: int) -> DataFrame:
     """(key, pmf) of (key, components, weights) when impressions are `scale` times those seen."""
     parts = fits.withColumn("scale", scale).select("key", "scale", F.explode(F.arrays_zip("components", "weights")).alias("c"))
-    pmf = parts.select("key", F.col("c.weights").alias("w"), F.posexplode(truncated_poisson(F.col("c.components") * F.col("scale"), most)).alias("f", "p"))
+    parts = parts.select("key", F.col("c.weights").alias("w"), (F.col("c.components") * F.col("scale")).alias("mean"))
+    pmf = parts.withColumn("pmf", truncated_poisson(F.col("mean"), most)).select("key", "w", F.posexplode("pmf").alias("f", "p"))
     sums = pmf.groupBy("key", "f").agg(F.sum(F.col("w") * F.col("p")).alias("p"))
     return sums.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "p"))), lambda x: x["p"]).alias("pmf"))
 

@@ -210,8 +210,8 @@ def check_vector(spark, sf_dir):
     return found.select("publisher", "spend_limit")
 
 
-CURVE = """, n AS (SELECT publisher, vid, spend, row_number() OVER (PARTITION BY publisher, vid ORDER BY spend, seq) AS k FROM log), at AS (SELECT publisher, max_spend * (j.range / 20.0::DOUBLE) AS s FROM top, range(1, 21) j)
-SELECT at.publisher, s AS spend, ks.k, (SELECT count(*) FROM n WHERE n.publisher = at.publisher AND n.k = ks.k AND n.spend <= s) AS reach FROM at, ks"""
+CURVE = """, n AS (SELECT publisher, vid, spend, row_number() OVER (PARTITION BY publisher, vid ORDER BY spend, seq) AS k FROM log), pts AS (SELECT publisher, max_spend * (j.range / 20.0::DOUBLE) AS s FROM top, range(1, 21) j)
+SELECT pts.publisher, s AS spend, ks.k, (SELECT count(*) FROM n WHERE n.publisher = pts.publisher AND n.k = ks.k AND n.spend <= s) AS reach FROM pts, ks"""
 
 
 @query("reach_curve", CURVE)
@@ -680,8 +680,8 @@ def scored(spark, sf_dir) -> DataFrame:
     return truth.join(model, ["publisher", "spend"]).select(F.col("publisher").alias("trial"), "point_id", "x", "y")
 
 
-SCORED = """, n AS (SELECT publisher, vid, spend, row_number() OVER (PARTITION BY publisher, vid ORDER BY spend, seq) AS k FROM log), at AS (SELECT publisher, j.range AS id, max_spend * (j.range / 20.0::DOUBLE) AS s FROM top, range(1, 21) j),
-tr AS (SELECT at.publisher, id, s, ks.k, (SELECT count(*) FROM n WHERE n.publisher = at.publisher AND n.k = ks.k AND n.spend <= s)::DOUBLE AS x FROM at, ks),
+SCORED = """, n AS (SELECT publisher, vid, spend, row_number() OVER (PARTITION BY publisher, vid ORDER BY spend, seq) AS k FROM log), pts AS (SELECT publisher, j.range AS id, max_spend * (j.range / 20.0::DOUBLE) AS s FROM top, range(1, 21) j),
+tr AS (SELECT pts.publisher, id, s, ks.k, (SELECT count(*) FROM n WHERE n.publisher = pts.publisher AND n.k = ks.k AND n.spend <= s)::DOUBLE AS x FROM pts, ks),
 z AS (SELECT tr.publisher AS trial, id AS point_id, k, x, rho * pow((s / (g.spend / g.impressions)) / (s / (g.spend / g.impressions) + rho), k) AS y FROM tr JOIN g USING (publisher)), z1 AS (SELECT *, x - y AS e, CASE WHEN x <> 0 THEN (x - y) / x END AS r FROM z)"""
 
 
@@ -739,7 +739,7 @@ def evaluate_trials(spark, sf_dir):
 
 
 def customers(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") - 1).cast("long").alias("vid"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("vid"))
 
 
 @query("gen_homogeneous")

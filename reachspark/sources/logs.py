@@ -58,8 +58,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_bad_rows(spark: SparkSession, path: str) -> DataFrame:
     """The malformed lines under path: file, bad (the line)."""
-    df = spark.read.schema(SCHEMA + ", bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").csv(path)
-    return df.select(F.col("_metadata.file_path").alias("file"), "bad").filter("bad is not null")
+    parsed = F.from_csv("value", SCHEMA + ", broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("bad"), parsed.alias("row"))
+    return df.filter("row.broken is not null").drop("row")
 
 
 def read_dataset(spark: SparkSession, path: str, dataset: str) -> DataFrame:
