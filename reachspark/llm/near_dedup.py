@@ -7,9 +7,10 @@ probability Jaccard similarity of the bags, which for bags without repeats is th
 Bands of slots give candidates; they are verified with the exact similarity of whole texts; verified pairs join classes.
 
 Groups may be of any size. Equal texts are one node. In a bucket of equal bands every node is compared with one of them, its
-leader, so a group of m texts gives m pairs a band. Where verified pairs leave a bucket in several classes, nodes of
-different classes are compared with each other too, those whose signatures, one bit a slot, agree in few enough bits
-(six deviations) to rule a similarity of the threshold out excepted. So no link between different classes is lost.
+leader, so a group of m texts gives m pairs a band. Where verified pairs leave a bucket in several classes, its nodes are
+compared across classes too, all pairs but those that can't be similar enough: whose signatures, one bit a slot, differ in
+too many bits (by six deviations), or that share none of the rarest shingles, of which similar bags share one.
+So no link between different classes is lost.
 
 Defined cases: a text of one to four words is one shingle. Null and empty texts have none and are like nothing, not
 even each other: their class is their own doc_id. Rows of one doc_id are one document, whatever their texts. A row without doc_id gets the
@@ -32,9 +33,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 7, 48
 #: Document ids up to which a list of them is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Shingles that a task handles at a time, about.
-STRETCH = 200_000
-SKETCH_WORDS = (ROWS * BANDS + 62) // 63  # 63 bits a word keep it positive
+#: Words, about, and documents that a task handles at a time.
+STRETCH, STRETCH_ROWS = 200_000, 1000
+#: Slots of the longer signatures that nodes compared across classes get.
+LONG_SLOTS = 1008
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,10 +88,15 @@ def summaries(found: np.ndarray, rows: int, bands: int) -> tuple[np.ndarray, np.
     band = np.tile(np.arange(bands, dtype=np.uint64), (len(found), 1))
     for i in range(rows):
         band = mix(band * np.uint64(0x9E3779B97F4A7C15) + found[:, i::rows][:, :bands])
-    bits = (mix(found) & np.uint64(1)).astype(np.uint64)
+    return band.view(np.int64), bit_words(found)
+
+
+def bit_words(found: np.ndarray) -> np.ndarray:
+    """One bit of each slot of signatures, 63 in a word."""
+    bits = mix(found) & np.uint64(1)
     words = -(-found.shape[1] // 63)
     bits = np.pad(bits, ((0, 0), (0, words * 63 - found.shape[1]))).reshape(len(found), words, 63)
-    return band.view(np.int64), (bits << np.arange(63, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+    return (bits << np.arange(63, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -112,6 +119,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / (from_here / x[both] + before / y[both])).sum())
 
 
+def parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch with word hashes w, in parts of bounded size."""
+    size = b["w"].map(len).cumsum() // STRETCH + np.arange(len(b)) // STRETCH_ROWS
+    for _, part in b.groupby(size, sort=False):
+        yield part
+
+
 def word_hashes(text: Column) -> Column:
     return F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
 
@@ -124,8 +138,7 @@ def signed(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            size = b["w"].map(len).cumsum()
-            for _, part in b.groupby(size // STRETCH, sort=False):
+            for part in parts(b):
                 band, bits = summaries(signatures([bag(w) for w in part["w"]], rows * bands), rows, bands)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n_key": part["n_key"], "n_bands": list(band), "n_bits": list(bits)})
 
@@ -172,6 +185,69 @@ def components(links: DataFrame) -> DataFrame:
         e = stored(small.distinct(), "links")
 
 
+def bits_apart(slots: int, least: float) -> int:
+    """Bits in which the signatures of a pair of the threshold differ at most, but for six deviations."""
+    return int(slots * (1 - least) / 2 + 6 * (slots * (1 - least) / 2 * (1 + least) / 2) ** 0.5)
+
+
+def apart(p: Column, q: Column, slots: int) -> Column:
+    return sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(-(-slots // 63))), F.lit(0))
+
+
+def prefixes(own: DataFrame, least: float) -> DataFrame:
+    """(node, prefix, before): the shingles, rarest first, before which no more than 1 - least of a bag's weight lies, and that share.
+
+    Similarity is at most the share of a bag's weight that is common to both, so of two bags that are similar enough the
+    first shingle that both have is in both prefixes. Rarity is counted among the nodes given (node, w: word hashes); shingles of
+    one node are left out."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [bag(w) for w in b["w"]]
+            if found:
+                yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), [len(s) for s, _ in found]), "s": np.concatenate([s for s, _ in found]).view(np.int64), "w": np.concatenate([n for _, n in found])})
+
+    bags = stored(own.mapInPandas(rows, "node long, s long, w long"), "bags")
+    often = bags.groupBy("s").agg(F.count("*").alias("n"))
+    order = bags.join(often, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "s", "w"))).alias("x"))
+    order = order.select("node", "x.n", "x.s", "x.w")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for n, s, w in zip(b["n"], b["s"], b["w"], strict=True):
+                before = np.cumsum(w) - w
+                keep = (before <= (1 - least) * w.sum() + 1e-9) & (n > 1)
+                out.append((s[keep], before[keep] / w.sum()))
+            yield pd.DataFrame({"node": b["node"], "prefix": [x for x, _ in out], "before": [y for _, y in out]})
+
+    return order.mapInPandas(cut, "node long, prefix array<long>, before array<double>")
+
+
+def across(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, class) of different classes that may be similar enough: they share a prefix, and
+    longer signatures agree in enough bits. Each pair comes once, from the first shingle that both prefixes have.
+
+    What lies before that shingle isn't common. If shares x and y of two bags aren't common, their similarity is at most
+    (1 - x)(1 - y) / (1 - xy): with x_i, y_i the shares of common shingle i, its term is at most 1 / (1/x_i + y/y_i), which is
+    concave in (x_i, y_i), so the sum is at most that term of the sums."""
+    own = stored(texts.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", word_hashes(F.col("text")).alias("w")).repartition("node"), "likely-words")
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in parts(b):
+                yield pd.DataFrame({"node": part["node"], "n_bits": list(bit_words(signatures([bag(w) for w in part["w"]], LONG_SLOTS)))})
+
+    signed_ = own.mapInPandas(sign, "node long, n_bits array<long>")
+    rows = stored(nodes.select("node", "class").join(signed_, "node").join(prefixes(own, least), "node"), "prefixes")
+    rows = rows.select("node", "class", "n_bits", "prefix", F.explode(F.arrays_zip("prefix", "before")).alias("z")).select("node", "class", "n_bits", "prefix", F.col("z.prefix").alias("s"), F.col("z.before").alias("out"))
+    side = lambda k: rows.select("s", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "class", "n_bits", "prefix", "out")))
+    x, y = F.col("p_out"), F.col("q_out")
+    ok = (F.col("p_node") < F.col("q_node")) & (F.col("p_class") != F.col("q_class")) & ((1 - x) * (1 - y) >= (least - 1e-9) * (1 - x * y)) & (apart(F.col("p_n_bits"), F.col("q_n_bits"), LONG_SLOTS) <= bits_apart(LONG_SLOTS, least))
+    first = F.get(F.array_intersect("p_prefix", "q_prefix"), F.lit(0)) == F.col("s")
+    return side("p").join(side("q"), "s").filter(ok & first).select(F.col("p_node").alias("a"), F.col("q_node").alias("b"))
+
+
 def small_list(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """ids, broadcast if there are few enough of them."""
     return ids.hint("broadcast" if ids.count() <= most else "merge")
@@ -193,14 +269,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY, rows: int = ROWS, bands:
     member = member.join(label, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
     torn = member.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("h")).filter("l < h").select("key")
     member = stored(member.join(torn, "key").join(nodes.select("node", "n_bits"), "node"), "torn")
-    slots = rows * bands
-    allowed = int(slots * (1 - least) / 2 + 6 * (slots * (1 - least) / 2 * (1 + least) / 2) ** 0.5)
-    words = range(-(-slots // 63))
-    side = lambda s: member.select("key", F.col("node").alias(f"{s}_node"), F.col("class").alias(f"{s}_class"), *(F.col("n_bits")[i].alias(f"{s}{i}") for i in words))
-    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in words), F.lit(0))
-    cross = side("p").join(side("q"), "key").filter((F.col("p_class") < F.col("q_class")) & (differ <= allowed))
-    cross = cross.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
-    cross = stored(cross.join(stars, ["a", "b"], "left_anti"), "across")
+    allowed = bits_apart(rows * bands, least)
+    other = member.select("key", F.col("class").alias("q_class"), F.col("n_bits").alias("q_bits"))
+    near = F.col("class") != F.col("q_class")
+    near = (member["key"] == other["key"]) & near & (apart(F.col("n_bits"), F.col("q_bits"), rows * bands) <= allowed)
+    likely = stored(member.join(other, near, "left_semi").select("node", "class").distinct(), "likely")
+    cross = across(likely, texts, least).join(stars, ["a", "b"], "left_anti")
+    cross = stored(cross, "across")
     more = stored(verified(cross, texts, least), "verified")
     if not more.isEmpty():
         label = components(links.union(more))
