@@ -147,3 +147,28 @@ def keep(docs: DataFrame, **parameters) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+DISTANCE = "sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: CASE WHEN {p}[i] > 0 THEN {p}[i] * log2({p}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END + CASE WHEN {q}[i] > 0 THEN {q}[i] * log2({q}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END)) / 2, 0))"
+SQL = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+a AS (SELECT *, len(w) AS n, length(array_to_string(w, '')) AS word_chars, regexp_replace(t, '{PLAIN}', '', 'g') AS r0 FROM d),
+b AS (SELECT *, regexp_replace(r0, '\\p{{Ll}}+', '', 'g') AS r1 FROM a), c AS (SELECT *, regexp_replace(r1, '\\p{{Lu}}+', '', 'g') AS r2 FROM b),
+e AS (SELECT *, regexp_replace(r2, '\\p{{Nd}}+', '', 'g') AS r3 FROM c), f AS (SELECT *, regexp_replace(r3, '[.,;:''"?!()-]+', '', 'g') AS r4 FROM e),
+g AS (SELECT *, CASE lang {" ".join(f"WHEN '{k}' THEN {sql_list(v)}" for k, v in COMMON_WORDS.items())} END AS l,
+  CASE WHEN length(t) >= {MIN_CHARS} THEN list_transform([length(t) - length(r0) - (length(t) - word_chars) + length(r0) - length(r1), length(t) - word_chars, length(r1) - length(r2), length(r2) - length(r3), length(r3) - length(r4), length(r4)], lambda x: x / length(t)::DOUBLE) END AS cs FROM f),
+h AS (SELECT *, list_transform(l, lambda x: len(list_filter(w, lambda y: y = x))) AS hits FROM g),
+s AS (SELECT *, CASE WHEN n >= {MIN_TOKENS} THEN list_transform(list_append(hits, n - list_sum(hits)), lambda x: x / n::DOUBLE) END AS ws FROM h),
+u AS (SELECT lang, i.range AS i, avg(list_concat(cs, ws)[i.range]) AS m, count(*) AS k FROM s, range(1, {len(CLASSES) + 2 + len(COMMON_WORDS["en"]) + 1 + 1}) i WHERE cs IS NOT NULL AND ws IS NOT NULL AND l IS NOT NULL GROUP BY ALL),
+r AS (SELECT lang, list(m ORDER BY i) AS m FROM u GROUP BY lang HAVING min(k) >= {MIN_REFERENCE}),
+x AS (SELECT doc_id, w, unnest(range(0, n - 2)) AS i FROM a WHERE n >= 3), y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS k FROM x),
+z AS (SELECT doc_id, count(DISTINCT i + j.range) AS k FROM y, range(0, 3) j WHERE k > 1 GROUP BY doc_id),
+o AS (SELECT s.*, coalesce(z.k, 0) AS n_repeat, list_filter(string_split(t, chr(10)), lambda v: regexp_matches(v, '[^\\x20\\x09-\\x0D]')) AS lines, m[:{len(CLASSES) + 2}] AS mc, m[{len(CLASSES) + 3}:] AS mw FROM s LEFT JOIN r USING (lang) LEFT JOIN z USING (doc_id)),
+q AS (SELECT *, n < {MIN_WORDS} OR 100 * n_repeat > {MAX_REPEAT_PERCENT} * n AS failed, {DISTANCE.format(p="cs", q="mc")} AS cd, {DISTANCE.format(p="ws", q="mw")} AS wd FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(length(r1) - length(regexp_replace(r1, '{SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat AS BIGINT) AS n_repeat_words, failed AS base_failed, NOT failed AND NOT coalesce(cd > {MAX_CHAR_DISTANCE}, false) AND NOT coalesce(cd > {JOINT_CHAR_DISTANCE} AND wd > {JOINT_WORD_DISTANCE}, false) AS kept FROM q
+"""

@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rank_order_language": language_id.query,
     "op10_induced_substring_dedup": substring_dedup.query,
 }
-SQL: dict[str, str] = {"op2_source_mix": source_mix.SQL, "op3_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op1_quality_divergence": quality_rules.SQL, "op2_source_mix": source_mix.SQL, "op3_line_dedup": line_dedup.SQL}
