@@ -65,6 +65,29 @@ def gamma_poisson_kplus(impressions: Column, alpha: Column, beta: Column, n: Col
     return suffix_sums(gamma_poisson_histogram(impressions, alpha, beta, n, most))
 
 
+def binomial(k: Column, n: Column, share: Column) -> Column:
+    """P(k of n impressions are shown), 0 for k > n."""
+    ways = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(1.0), lambda a, j: a * (n - k + j) / j)
+    return F.when(k > n, 0.0).otherwise(ways * F.pow(share, k.cast("double")) * F.pow(1 - share, (n - k).cast("double")))
+
+
+def kinflated_kreach(k: Column, share: Column, alpha: Column, beta: Column, prefix: Column) -> Column:
+    """P(a person sees k impressions) where the probabilities of having 1, 2, .. impressions are those of `prefix` first and
+    then the gamma-Poisson ones, scaled to sum to 1. A prefix that sums to more than 1 is scaled down to 1; the share stays at 1 at most.
+
+    The scaled gamma-Poisson answer holds but for the inventories in the prefix, so those few terms are put right."""
+    q = F.least(share, F.lit(1.0))
+    size = F.size(prefix)
+    total = F.aggregate(prefix, F.lit(0.0), lambda a, x: a + x)
+    own = F.transform(prefix, lambda x: x / F.greatest(total, F.lit(1.0)))
+    numbers = F.when(size > 0, F.sequence(F.lit(1), F.greatest(size, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    usual = F.transform(numbers, lambda n: gamma_poisson_pmf(n, alpha, beta))
+    covered = F.aggregate(usual, F.lit(0.0), lambda a, x: a + x)
+    scale = F.when(covered >= 1, 0.0).otherwise((1 - F.least(total, F.lit(1.0))) / (1 - covered))
+    right = F.aggregate(F.zip_with(own, numbers, lambda x, n: (x - scale * gamma_poisson_pmf(n, alpha, beta)) * binomial(k, n, q)), F.lit(0.0), lambda a, x: a + x)
+    return right + scale * gamma_poisson_kreach(k, q, alpha, beta)
+
+
 def chi2(actual: Column, expected: Column, top: Column, extrapolation: Column) -> Column:
     """Sum of (expected - actual)^2 / expected, plus the squared error of 1+ reach, plus the square of what `top` lacks."""
     parts = F.zip_with(expected, actual, lambda e, a: (e - a) * (e - a) / (e + F.lit(1e-6)))

@@ -77,6 +77,14 @@ def spend_fraction_errors(both: DataFrame) -> DataFrame:
     return wide.select("trial", *(F.col(f"`{n}`").alias(f"relative_error_at_{n}") for n in names))
 
 
+def privacy_columns(trials: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """Trials (trial, epsilon_budget, delta_budget) with what their events (trial, epsilon, delta, mechanism) spent; events of a
+    trial are all over the same people."""
+    spent = ledgers.groupBy("trial").agg(F.sum("epsilon").alias("epsilon_used"), F.sum("delta").alias("delta_used"), F.array_join(F.sort_array(F.collect_set("mechanism")), "/").alias("mechanisms"))
+    none = {"epsilon_used": 0.0, "delta_used": 0.0, "mechanisms": ""}
+    return trials.join(spent, "trial", "left").fillna(none)
+
+
 def trial_columns(trials: DataFrame, stats: DataFrame) -> DataFrame:
     """Trials with the size of their data set and the mean of their spend fractions."""
     average = F.aggregate("fractions", F.lit(0.0), lambda a, x: a + x) / F.size("fractions")

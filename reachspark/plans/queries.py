@@ -543,6 +543,19 @@ def gamma_poisson_predict(spark, sf_dir):
     return started(spark, sf_dir).select("publisher", F.posexplode(k).alias("p", "reach")).select("publisher", (F.col("p") + 1).cast("long").alias("k"), F.round("reach", 5).alias("reach"))
 
 
+GP = NB.format(k="(n.range - 1)", r="1.5", p="(1 / (1 + beta))")
+INFLATED = f""", a AS (SELECT publisher, beta, n.range AS n, CASE n.range WHEN 1 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS own, {GP} AS usual FROM s, range(1, 3) n),
+sc AS (SELECT publisher, any_value(beta) AS beta, 0.6::DOUBLE / (1 - sum(usual)) AS scale FROM a GROUP BY publisher),
+fx AS (SELECT a.publisher, k.range AS k, sum((own - scale * usual) * CASE WHEN k.range > n THEN 0 ELSE CASE WHEN n = 2 AND k.range = 1 THEN 2 ELSE 1 END * pow(0.4::DOUBLE, k.range) * pow(0.6::DOUBLE, n - k.range) END) AS x FROM a JOIN sc USING (publisher), range(0, 6) k GROUP BY ALL)
+SELECT publisher, k, round(x + scale * {KREACH}, 9) AS p FROM (SELECT publisher, k, x, scale, beta, 0.4::DOUBLE AS q FROM fx JOIN sc USING (publisher))"""
+
+
+@query("kinflated_predict", START + INFLATED)
+def kinflated_predict(spark, sf_dir):
+    p = curves.kinflated_kreach(F.col("k"), F.lit(0.4), F.lit(1.5), F.col("beta"), F.array(F.lit(0.3), F.lit(0.1)))
+    return started(spark, sf_dir).crossJoin(spark.range(0, 6).withColumnRenamed("id", "k")).select("publisher", "k", F.round(p, 9).alias("p"))
+
+
 def histograms(spark, sf_dir) -> DataFrame:
     """publisher, impressions, histogram (array) of the campaign."""
     h = reach.histogram(reach.user_counts(campaign(spark, sf_dir), ("publisher",)), ("publisher",))
@@ -724,6 +737,15 @@ def trial_columns(spark, sf_dir):
     return evaluate.trial_columns(t, stats).select("dataset", "trial", "reach", "universe", F.round("average_spend_fraction", 9).alias("average_spend_fraction"))
 
 
+@query("privacy_columns", LEDGER + " SELECT publisher AS trial, 1.0::DOUBLE AS epsilon_budget, 0.01::DOUBLE AS delta_budget, CASE WHEN pub_idx % 2 = 0 THEN 0.1::DOUBLE * (pub_idx + 1) ELSE 0 END AS epsilon_used, CASE WHEN pub_idx % 2 = 0 THEN 0.001::DOUBLE * (pub_idx + 1) ELSE 0 END AS delta_used, CASE WHEN pub_idx % 2 = 0 THEN 'Gaussian' ELSE '' END AS mechanisms FROM top")
+def privacy_columns(spark, sf_dir):
+    stats = publisher_stats(spark, sf_dir)
+    every = stats.select(F.col("publisher").alias("trial"), F.lit(1.0).alias("epsilon_budget"), F.lit(0.01).alias("delta_budget"))
+    n = F.col("pub_idx") + 1
+    events = stats.filter("pub_idx % 2 = 0").select(F.col("publisher").alias("trial"), (0.1 * n).alias("epsilon"), (0.001 * n).alias("delta"), F.lit("Gaussian").alias("mechanism"))
+    return evaluate.privacy_columns(every, events)
+
+
 @query("spend_fraction_errors")
 def spend_fraction_errors(spark, sf_dir):
     return evaluate.spend_fraction_errors(scored(spark, sf_dir).withColumn("fraction", (F.col("point_id") * 10).cast("int")))

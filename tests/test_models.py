@@ -133,3 +133,21 @@ def test_synthetic(spark):
     assert synthetic.relabel(log, new).exceptAll(new).count() == 0
     q = synthetic.overlap_sequential([100, 60], people, 0.5, "s").groupBy("vid").count().filter("count = 2").count()
     assert q == 30
+
+
+def test_inflated_model_matches_its_sum(spark):
+    from math import comb
+
+    alpha, beta, q, a = 1.5, 0.8, 0.35, [0.3, 0.2, 0.05]
+    gp = [0.0]
+    x = (1 / (1 + beta)) ** alpha
+    for n in range(1, 400):
+        gp.append(x)
+        x *= (alpha + n - 1) / n * beta / (1 + beta)
+    scale = (1 - sum(a)) / (1 - sum(gp[1:4]))
+    pmf = [0.0, *a, *(scale * p for p in gp[4:])]
+    want = [sum(p * comb(n, k) * q**k * (1 - q) ** (n - k) for n, p in enumerate(pmf) if n >= k) for k in range(5)]
+    cols = {f"k{k}": curves.kinflated_kreach(F.lit(k), F.lit(q), F.lit(alpha), F.lit(beta), F.array(*map(F.lit, a))) for k in range(5)}
+    assert list(one(spark, **cols)) == pytest.approx(want)
+    plain = curves.kinflated_kreach(F.lit(1), F.lit(q), F.lit(alpha), F.lit(beta), F.array().cast("array<double>"))
+    assert one(spark, x=plain).x == pytest.approx(one(spark, x=curves.gamma_poisson_kreach(F.lit(1), F.lit(q), F.lit(alpha), F.lit(beta))).x)
