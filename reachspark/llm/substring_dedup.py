@@ -148,7 +148,7 @@ def sorted_shards(strips: DataFrame, width: int, shard_bytes: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(id, h, ranges): the byte ranges (start, stop) of each text that repeated strings cover; they may overlap."""
+    """(id, h, ranges): the maximal byte ranges (start, stop) of each text that repeated strings cover."""
     rows = keyed(docs)
     every = stored(anchored(rows, width, inner), "stretches")
     often = every.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("content") < F.max("content")).alias("mixed")).filter("c > 1").select("anchor", "mixed")
@@ -170,7 +170,12 @@ def repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, shard_bytes
     found = sorted_shards(stored(strips, "strips"), width, shard_bytes)
     edges = mixed.join(stored(found, "sorted"), ["anchor", "content", "n"]).select("id", "h", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + width - 1).alias("stop"))
     both = plain.unionByName(edges).groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return stored(both, "repeats")
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(ranges=[[{"start": x, "stop": y} for x, y in spans(r)] for r in b["ranges"]])
+
+    return stored(both.mapInPandas(merge, both.schema), "repeats")
 
 
 def spans(ranges) -> list[list[int]]:
