@@ -141,7 +141,9 @@ def score(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOK
 def keep(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that pass, with the input's own columns."""
     columns = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)]
-    marked = score(docs.select("text", "lang", *columns), **parameters).filter("kept")
+    marked = score(docs.select("text", "lang", *columns), **parameters)
+    # The row number keeps the verdict's columns from being copied into a filter below them, again and again
+    marked = marked.withColumn("q_row", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("q_row") >= 0))
     return marked.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
