@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reachspark.functions.ranking import ranked
+from reachspark.operators import privacy, sketch
+
 #: Publishers with spend above which regions aren't made out.
 MOST_PUBLISHERS = 20
 
@@ -68,7 +71,8 @@ def sample_users(users: DataFrame, n: int, seed: str) -> DataFrame:
     have = users.count()
     if n > have:
         raise ValueError(f"{n} people to sample, {have} reached")
-    return users.orderBy(F.xxhash64("vid", F.lit(seed)), "vid").limit(n)
+    drawn = users.withColumn("s_hash", F.xxhash64("vid", F.lit(seed)))
+    return ranked(drawn, [], F.shiftright("s_hash", 48), ["s_hash", "vid"], "s_rank").filter(F.col("s_rank") <= n).drop("s_hash", "s_rank")
 
 
 def scale_regions(regions: DataFrame, cardinality: float) -> DataFrame:
@@ -78,6 +82,26 @@ def scale_regions(regions: DataFrame, cardinality: float) -> DataFrame:
     return regions.join(F.broadcast(total)).select("region", share.alias("reach"))
 
 
+def regions_dp(prefix: DataFrame, limits: DataFrame, epsilon: float, seed: str, noise: bool = True) -> DataFrame:
+    """region, reach of one data set's campaign as a sketch would show them; nothing if no publisher spends.
+
+    As many people are drawn as the campaign's sketch has registers with one person. Every region's count, zeros too, gets noise of
+    epsilon, and so does the sketch's cardinality that they are scaled to."""
+    active = active_publishers(limits)
+    regions = powerset(prefix.sparkSession, active)
+    if not active:
+        return regions.select("region", F.lit(0.0).alias("reach"))
+    registers = sketch.build(prefix, seed, ("dataset",))
+    size = F.col("reach") + (privacy.geometric_noise("dataset", epsilon=epsilon, seed=f"{seed}-size") if noise else F.lit(0))
+    seen = sketch.estimate(registers, 1).join(sketch.active_registers(registers), "dataset").select("active", size.alias("size")).first()
+    if seen is None:
+        raise ValueError("no register holds one person")
+    drawn = venn_regions(sample_users(user_region(prefix), seen.active, seed), regions, 1)
+    if noise:
+        drawn = drawn.withColumn("reach", F.greatest(F.col("reach") + privacy.geometric_noise("region", epsilon=epsilon, seed=seed), F.lit(0)))
+    return scale_regions(drawn, seen.size)
+
+
 def overlap_features(publishers: DataFrame) -> DataFrame:
     """i, j, d for pairs of publishers (dataset, pub_idx, reach, max_reach): d = r_i r_j / (2 max(m_i, m_j))."""
     a = publishers.select("dataset", F.col("pub_idx").alias("i"), F.col("reach").alias("ri"), F.col("max_reach").alias("mi"))

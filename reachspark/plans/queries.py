@@ -304,12 +304,10 @@ def noise_regions(spark, sf_dir):
 
 @query("venn_reach_dp")
 def venn_reach_dp(spark, sf_dir):
-    users = user_region(spark, sf_dir)
-    drawn = overlap.sample_users(users, 200, "dp").groupBy("region").agg(F.count("*").alias("reach"))
-    noisy = drawn.withColumn("reach", F.greatest(F.col("reach") + privacy.geometric_noise("region", epsilon=1.0, seed="dp"), F.lit(0)))
-    size = sketch.estimate(sketch.build(campaign(spark, sf_dir), "dp", ("dataset",)), 1).first().reach
-    scaled = overlap.scale_regions(noisy, size)
-    return overlap.all_subset_reach(scaled, measured(campaign(spark, sf_dir)))
+    log = logs.log_from_orders(spark, sf_dir)
+    spent = limits(log)
+    prefix = reach.within(log, spent)
+    return overlap.all_subset_reach(overlap.regions_dp(prefix, spent, 1.0, "dp"), measured(prefix))
 
 
 @query("pairwise_overlap_features", "SELECT a.pub_idx AS i, b.pub_idx AS j, round(a.reach * b.reach / (2.0::DOUBLE * greatest(ta.reach, tb.reach)), 6) AS d FROM pr a JOIN top ta USING (publisher), pr b JOIN top tb USING (publisher)")

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reachspark.operators import overlap, reach
+from reachspark.operators import overlap, reach, sketch
+from reachspark.plans import queries
 from reachspark.sources import logs
 
 PDF = [("pdf1", 0, [(1, 0.01), (2, 0.02), (1, 0.04), (3, 0.05)]), ("pdf2", 1, [(2, 0.03), (4, 0.06)])]
@@ -92,6 +93,24 @@ def test_regions(spark):
         overlap.powerset(spark, (1 << 21) - 1)
 
 
+def test_private_regions_draw_as_many_as_the_sketch_shows(spark, sf):
+    def campaign(people):
+        row = [F.lit("d").alias("dataset"), F.concat(F.lit("pdf"), F.col("i") + 1).alias("publisher"), F.col("i").cast("int").alias("pub_idx"), "vid"]
+        return spark.range(people).select(F.col("id").alias("vid"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).filter("i = 0 or vid % 10 = 0").select(*row)
+
+    spent = limits_of(spark, (1, 1))
+    for people in (50, 20000):
+        active = sketch.active_registers(sketch.build(campaign(people), "dp", ("dataset",))).first().active
+        assert overlap.sample_users(overlap.user_region(campaign(people)), active, "dp").count() == active
+        got = {r.region: r.reach for r in overlap.regions_dp(campaign(people), spent, 1.0, "dp", noise=False).collect()}
+        # noise off, counts of the sample are what scaling left in proportion: whole numbers that sum to the registers in use by one
+        parts = [r * active / sum(got.values()) for r in got.values()]
+        assert sorted(got) == [1, 2, 3] and got[2] == 0 and all(abs(x - round(x)) < 1e-6 for x in parts)
+        assert sum(got.values()) == pytest.approx(people, rel=0.03) and (people < 100 or got[3] == pytest.approx(people / 10, rel=0.1))
+    assert overlap.regions_dp(campaign(50), limits_of(spark, (0, 0)), 1.0, "dp").count() == 0
+    assert queries.venn_reach_dp(spark, sf).count() == 31  # fewer than 200 people are reached there
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("2,0.02\n1,0.01\n")
     (tmp_path / "b.csv").write_text("5,0.5\n")
