@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reachspark.operators.reach import K
+
 QUANTILES = [k / 10 for k in range(1, 10)]
 #: Exact frequencies that the shuffle distance looks at.
 BUCKETS = 5
@@ -70,11 +72,14 @@ def with_failures(trials: DataFrame, scored: DataFrame, errors: DataFrame | None
     return out.withColumn("succeeded", F.coalesce("succeeded", F.lit(0)))
 
 
-def spend_fraction_errors(both: DataFrame) -> DataFrame:
-    """trial, and a column for each fraction of spend with the relative error of 1+ reach; both: trial, fraction (whole percent), x, y."""
+def spend_fraction_errors(both: DataFrame, most: int = K) -> DataFrame:
+    """trial, and a column for each fraction of spend with the relative error of 1+ reach, then for each k < most those of k+ reach;
+    both: trial, fraction (whole percent of the campaign's spend), x, y."""
     names = [round(100 * f) for f in SPEND_FRACTIONS]
-    wide = both.groupBy("trial").pivot("fraction", names).agg(F.first(relative()))
-    return wide.select("trial", *(F.col(f"`{n}`").alias(f"relative_error_at_{n}") for n in names))
+    wide = both.groupBy("trial").pivot("fraction", names).agg(*(F.first(relative(k)).alias(f"e{k}") for k in range(1, max(2, most))))
+    first = [F.col(f"`{n}_e1`" if most > 2 else f"`{n}`").alias(f"relative_error_at_{n}") for n in names]
+    rest = [F.col(f"`{n}_e{k}`" if most > 2 else f"`{n}`").alias(f"freq_{k}_relative_error_at_{n}") for k in range(1, most) for n in names]
+    return wide.select("trial", *first, *rest)
 
 
 def privacy_columns(trials: DataFrame, ledgers: DataFrame) -> DataFrame:

@@ -680,10 +680,13 @@ def restricted_fit(spark, sf_dir):
 # Evaluation
 
 
-def scored(spark, sf_dir) -> DataFrame:
-    """Truth and Goerg curves fitted to the campaign, at 20 spends of each publisher: trial (publisher), point_id, x, y."""
+def scored(spark, sf_dir, share: float = 1.0, at: list[float] | None = None) -> DataFrame:
+    """Truth and Goerg curves fitted to the campaign, at spends of each publisher: trial (publisher), point_id (from 1 on), x, y.
+
+    The spends are the multiples `at` (twentieths up to 1) of a share of the publisher's greatest spend."""
     log = logs.log_from_orders(spark, sf_dir)
-    at = limits(log, 1.0).crossJoin(spark.range(1, 21)).select("dataset", "publisher", "id", (F.col("spend_limit") * (F.col("id") / 20.0)).alias("spend"))
+    at = at or [i / 20.0 for i in range(1, 21)]
+    at = limits(log, share).crossJoin(values(spark, "id long, at double", *enumerate(at, 1))).select("dataset", "publisher", "id", (F.col("spend_limit") * F.col("at")).alias("spend"))
     curve = reach.reach_curve(log, at.select("dataset", "publisher", "spend"))
     truth = curve.groupBy("publisher", "spend").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "reach"))), lambda x: x["reach"].cast("double")).alias("x"))
     fit = fitted(spark, sf_dir).select("publisher", "rho", "cpi")
@@ -746,7 +749,8 @@ def privacy_columns(spark, sf_dir):
 
 @query("spend_fraction_errors")
 def spend_fraction_errors(spark, sf_dir):
-    return evaluate.spend_fraction_errors(scored(spark, sf_dir).withColumn("fraction", (F.col("point_id") * 10).cast("int")))
+    both = scored(spark, sf_dir, 0.3, evaluate.SPEND_FRACTIONS)
+    return evaluate.spend_fraction_errors(both.withColumn("fraction", (F.col("point_id") * 10).cast("int")))
 
 
 @query("evaluate_trials")

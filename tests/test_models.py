@@ -1,8 +1,12 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reachspark.operators import curves, evaluate, points, privacy, sketch, surfaces, synthetic
+from reachspark.plans import queries
+from reachspark.sources import logs
 
 
 def one(spark, **columns):
@@ -74,6 +78,26 @@ def test_metrics(spark):
     assert d((6, 5, 4, 3, 2, 1), (7, 6, 6, 6, 6, 6)) == pytest.approx(0.8) and d((6, 5, 4, 3, 2, 1), (5, 5, 5, 5, 5, 5)) == 0.5 and d((5, 4, 3, 2, 2, 2), (5, 5, 4, 3, 2, 2)) == pytest.approx(1 / 3)
 
 
+def test_spend_fractions_match_a_recount(spark, sf):
+    log = {}
+    for r in logs.log_from_orders(spark, sf).collect():
+        log.setdefault(r.publisher, []).append((r.spend, r.vid))
+    got = {r.trial: r.asDict() for r in queries.spend_fraction_errors(spark, sf).collect()}
+    assert set(got) == set(log)
+    for publisher, rows in log.items():
+        spent = 0.3 * max(s for s, _ in rows)
+        seen = lambda limit: Counter(v for s, v in rows if s <= limit)  # noqa: B023, E731
+        shown, reached, last = sum(seen(spent).values()), len(seen(spent)), max(s for s, _ in rows if s <= spent)
+        rho = shown * reached / (shown - reached)
+        for f in (i / 10 for i in range(1, 31)):
+            n = f * spent / (last / shown)
+            for k in range(1, 10):
+                true = sum(c >= k for c in seen(f * spent).values())
+                want = abs(true - rho * (n / (n + rho)) ** k) / true if true else None
+                found = got[publisher][f"freq_{k}_relative_error_at_{round(100 * f)}"]
+                assert found == (None if want is None else pytest.approx(want)) and (k > 1 or got[publisher][f"relative_error_at_{round(100 * f)}"] == found)
+
+
 def test_ledger(spark):
     e = lambda eps, delta, start=0.0, rate=1.0: privacy.event(spark, eps, delta, "Gaussian", {}, start, rate)
     both = privacy.append(e(0.1, 0.01), e(0.2, 0.015))
