@@ -7,9 +7,11 @@ place in the window and the ends of the document bound where the window must sta
 
 The windows are held in broadcast blocks of at most `block_words` item words; each block is set against all documents, and
 hits of blocks are united for each document. So the join deals out no document words, whatever its hot passages are.
+Items are cut in tasks into pieces of at most a block that share width - 1 words, so every window lies in one piece; the driver
+holds one block at a time.
 
 Defined cases: null and empty texts have no words: such documents are clean, such items have no window. Repeated
-document rows are told apart by a row number; repeated items, also under one id, count once for each id. A null
+document rows are told apart by a row number, which is stored before a second block meets them; repeated items, also under one id, count once for each id. A null
 item_id is left out of items_sha256 but its windows hit and it counts as one item.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -107,16 +110,32 @@ class Windows:
         return out
 
 
-def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most block_words words (a longer item is a block of its own), streamed to the driver one at a time."""
+def pieces(benchmark: DataFrame, width: int, most: int) -> DataFrame:
+    """(item_id, text, n): the items' words in pieces of n <= most words, each window of an item in one of them. most is over width."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for item, text in zip(b["item_id"], b["text"], strict=True):
+                words = tokens(text)
+                for i in range(0, max(1, len(words) - width + 1) if words else 0, most - width + 1):
+                    part = words[i : i + most]
+                    yield pd.DataFrame({"item_id": [item], "text": [b" ".join(part).decode("utf-8", "surrogatepass")], "n": [len(part)]})
+
+    # a null item_id has a number of its own: pandas would make the others fractions
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-(2**63))).alias("item_id"), "text").dropDuplicates()
+    return items.mapInPandas(cut, "item_id long, text string, n long")
+
+
+def blocks_of(benchmark: DataFrame, block_words: int, width: int = WIDTH) -> Iterator[list[tuple[int, str]]]:
+    """Pieces of items in blocks of at most block_words words (and at least two windows), streamed to the driver one at a time."""
+    most = max(block_words, 2 * width)
     block, size = [], 0
-    for row in benchmark.select("item_id", "text").dropDuplicates().toLocalIterator():
-        n = len(tokens(row.text))
-        if block and size + n > block_words:
+    for row in pieces(benchmark, width, most).toLocalIterator():
+        if block and size + row.n > block_words:
             yield block
             block, size = [], 0
-        block.append((-(2**63) if row.item_id is None else row.item_id, row.text))
-        size += n
+        block.append((row.item_id, row.text))
+        size += row.n
     if block:
         yield block
 
@@ -148,33 +167,47 @@ def spans(w: Windows, prefixes: dict[int, list[tuple[int, int]]], ids: np.ndarra
                 out.append((start, n))
     return out
 
+FOUND = "n_words long, starts array<long>, ends array<long>, items array<long>"
+
+
+def find(docs: DataFrame, key: str, held, prefixes, every: bool) -> DataFrame:
+    """docs' key and what one block hits in the text, for every row or for those with a hit."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = held.value
+        for b in batches:
+            rows = []
+            for row, text in zip(b[key], b["text"], strict=True):
+                ids = w.ids(text)
+                found = spans(w, prefixes.value, ids)
+                if not (every or found):
+                    continue
+                edges = np.zeros(len(ids) + 1, dtype=np.int64)
+                for start, n in found:
+                    edges[start] += 1
+                    edges[start + len(w.windows[n])] -= 1
+                hit = np.diff(np.concatenate([[0], (np.cumsum(edges) > 0).astype(np.int8)]))
+                rows.append((row, len(ids), np.flatnonzero(hit > 0), np.flatnonzero(hit < 0), sorted({i for _, n in found for i in w.items[n]})))
+            yield pd.DataFrame(rows, columns=[key, "n_words", "starts", "ends", "items"])
+
+    return docs.select(key, "text").mapInPandas(search, f"{key} {docs.schema[key].dataType.simpleString()}, {FOUND}")
+
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each row of docs (d_row, text): d_row, n_words, the hit word ranges (starts, ends), and the items that occur (items)."""
-    spark, parts = docs.sparkSession, []
-    for block in blocks_of(benchmark, block_words):
+    """For each row of docs (d_row, text): d_row, n_words, the hit word ranges (starts, ends), and the items that occur (items).
+
+    Rows may share a d_row or have none."""
+    spark = docs.sparkSession
+
+    def ready(block: list[tuple[int, str]]):
         w = Windows(block, width)
         held = spark.sparkContext.broadcast(w)
         counts = {r.shingle: r.n for r in frequencies(docs.select("text"), held).toLocalIterator()}  # no more than the block's shingles
-        prefixes = spark.sparkContext.broadcast(w.prefixes(counts))
+        return held, spark.sparkContext.broadcast(w.prefixes(counts))
 
-        def find(batches: Iterator[pd.DataFrame], held=held, prefixes=prefixes) -> Iterator[pd.DataFrame]:
-            w = held.value
-            for b in batches:
-                rows = []
-                for row, text in zip(b["d_row"], b["text"], strict=True):
-                    ids = w.ids(text)
-                    found = spans(w, prefixes.value, ids)
-                    edges = np.zeros(len(ids) + 1, dtype=np.int64)
-                    for start, n in found:
-                        edges[start] += 1
-                        edges[start + len(w.windows[n])] -= 1
-                    hit = np.diff(np.concatenate([[0], (np.cumsum(edges) > 0).astype(np.int8)]))
-                    rows.append((row, len(ids), np.flatnonzero(hit > 0), np.flatnonzero(hit < 0), sorted({i for _, n in found for i in w.items[n]})))
-                yield pd.DataFrame(rows, columns=["d_row", "n_words", "starts", "ends", "items"])
-
-        parts.append(docs.select("d_row", "text").mapInPandas(find, "d_row string, n_words long, starts array<long>, ends array<long>, items array<long>"))
-    if not parts:
+    blocks = blocks_of(benchmark, block_words, width)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -182,14 +215,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words:
 
         none = F.array().cast("array<long>")
         return docs.select("d_row", "text").mapInPandas(count, "d_row string, n_words long").withColumns({"starts": none, "ends": none, "items": none})
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    # several blocks: a document's ranges may overlap and are merged
-    one = both.groupBy("d_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("r"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return one.mapInPandas(merged, "d_row string, n_words long, starts array<long>, ends array<long>, items array<long>")
+    if second is None:
+        return find(docs, "d_row", *ready(first), every=True)
+    # several blocks: a row has a number of its own, by which its ranges of all blocks are merged
+    docs = stored(docs.select("d_row", "text", F.monotonically_increasing_id().alias("d_number")), "numbered")
+    both = find(docs, "d_number", *ready(first), every=True)
+    for block in chain([second], blocks):
+        both = both.unionByName(find(docs, "d_number", *ready(block), every=False))
+    one = both.groupBy("d_number").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("r"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    named = one.join(docs.select("d_number", "d_row"), "d_number")
+    return named.mapInPandas(merged, f"d_row string, {FOUND}")
 
 
 def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -39,6 +39,28 @@ def test_blocks_give_the_same(spark):
     assert rows(spark, DOCS, ITEMS, block_words=3) == brute(DOCS, ITEMS)
 
 
+def test_blocks_keep_rows_apart(spark):
+    """Rows that share a doc_id, or have none, stay rows of their own however many blocks there are."""
+    docs = [(1, "x a b c d e f g h i j"), (1, "hello world and more"), (1, "hello world and more"), (None, "c d e " * 9), (None, None), (None, "q hello world")]
+    d = spark.createDataFrame([(None if i is None else str(i), t) for i, t in docs], "d_row string, text string")
+    b = spark.createDataFrame([*ITEMS, (None, "and more")], "item_id long, text string")
+    got = {}
+    for words in (10**6, 3):
+        got[words] = sorted(((r.d_row, r.n_words, tuple(r.starts), tuple(r.ends), tuple(r["items"])) for r in D.hits(d, b, block_words=words).collect()), key=str)
+    assert got[3] == got[10**6] and len(got[3]) == len(docs)
+    assert (None, 3, (1,), (3,), (2,)) in got[3] and got[3].count(("1", 4, (0,), (4,), (-(2**63), 2))) == 2
+
+
+def test_long_items_are_cut(spark):
+    long = " ".join(f"w{i % 37}x{i % 11}" for i in range(300))
+    items = spark.createDataFrame([(1, long), (2, long[:200])], "item_id long, text string")
+    blocks = list(D.blocks_of(items, 40))
+    assert max(sum(len(D.tokens(t)) for _, t in b) for b in blocks) <= 40
+    words = long.split()
+    cut = {tuple(D.tokens(t)[k : k + 10]) for b in blocks for i, t in b if i == 1 for k in range(len(D.tokens(t)) - 9)}
+    assert cut == {tuple(w.encode() for w in words[k : k + 10]) for k in range(291)}
+
+
 def test_no_items(spark):
     assert rows(spark, DOCS, []) == brute(DOCS, [])
 
