@@ -4,10 +4,11 @@ A page is cut into blocks: the text between tags that end a line. A linear class
 names of the elements around a block gives two costs, of calling it content and of calling it boilerplate. They are
 the capacities to the two terminals of a graph; edges between blocks that follow each other, stronger where they
 share their parent element, make a change of label cost something. The minimum cut of that graph is the labelling.
-Elements that never hold main text (scripts, styles, navigation, forms and the like) have capacities no cut would pay.
+Elements that never hold main text (scripts, styles, navigation, headers, footers, asides, forms, and what is named as advert, notice
+or comments) have capacities no cut would pay. Other names only make a block dearer to keep.
 
 Defined cases: null and empty html give an empty text. A page without content blocks gives an empty text. Tags that
-are never closed end with their parent. Repeated rows are extracted alike; result columns replace others of their name.
+are never closed end with their parent; formulas and drawings also with the next element that can't be inside. Their text is part of the line. Repeated rows are extracted alike; result columns replace others of their name.
 """
 
 from __future__ import annotations
@@ -25,15 +26,19 @@ from pyspark.sql import functions as F
 from reachspark.llm.common import put, read
 
 # HTML element names by what they do to text.
-RAW = frozenset({"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "object", "canvas", "xmp", "noframes"})
+RAW = frozenset({"script", "style", "noscript", "template", "textarea", "iframe", "title", "xmp", "noframes"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br img wbr".split())
-NEVER = frozenset({"nav", "header", "footer", "aside", "form", "menu", "button", "select", "option", "dialog", "head", "fieldset", "input", "figcaption"})
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br img wbr svg math object canvas".split())
+NEVER = frozenset({"nav", "header", "footer", "aside", "form", "button", "select", "option", "head", "fieldset", "input"})
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 # Words in class, id and role that tell what an element is for.
-BAD_NAMES = re.compile(r"(?<![a-z])(ads?|advert\w*|adbox|adsense|adslot|banner|breadcrumbs?|byline|captcha|comments?|commentlist|consent|cookies?|copyright|disqus|disclaimer|footer|foot|form|header|legal|links|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|popup|promo\w*|rail|recommend\w*|related|replies|reply|respond|search|share|sharing|shoutbox|sidebar|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|topbar|widgets?|alert|complementary|contentinfo|dialog)(?![a-z])")
+BAD_NAMES = re.compile(r"(?<![a-z])(ads?|advert\w*|adbox|adsense|adslot|comments?|commentlist|complementary|consent|contentinfo|cookies?|disqus|footer|form|header|masthead|nav|navbar|navigation|notice|notices|notification|sidebar|sponsor\w*)(?![a-z])")
+#: What goes on around a text; a sentence or two of such a name may still be text.
+AROUND_NAMES = re.compile(r"(?<![a-z])(banner|breadcrumbs?|captcha|dialog|foot|login|menu|menubar|modal|newsletter|overlay|pager|pagination|popup|promo\w*|rail|recommend\w*|replies|reply|respond|search|share|sharing|shoutbox|signup|skip|social|subscribe|toolbar|topbar|widgets?)(?![a-z])")
+#: What stands beside a text as often as in it.
+BESIDE_NAMES = re.compile(r"(?<![a-z])(alert|byline|copyright|disclaimer|legal|links|related|tags?)(?![a-z])")
 GOOD_NAMES = re.compile(r"(?<![a-z])(article|articlebody|body|content|entry|main|post|story|text)(?![a-z])")
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -42,6 +47,9 @@ HIDDEN = re.compile(r"(?:^|[\s\"'/])(?:hidden(?=[\s/>=]|$)|aria-hidden\s*=\s*[\"
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BLANKS = re.compile(r"\s+")
 SURE = 1e6
+#: Cost of keeping a block of such a name: for an empty one, falling to 0 at LONG characters; and for any.
+AROUND, LONG, BESIDE = 10.5, 160, 2.0
+FOREIGN = frozenset({"svg", "math"})
 #: Cost of a change of label between neighbours, and what is added if they share their parent.
 NEXT_TO, SAME_PARENT = 0.6, 1.2
 
@@ -56,6 +64,9 @@ class Element:
     good: bool = False
     number: int = 0
     link: bool = False
+    around: bool = False
+    beside: bool = False
+    foreign: bool = False
 
 
 @dataclass
@@ -68,13 +79,18 @@ class Block:
     article: bool
     good: bool
     path: list[int] = field(default_factory=list)
+    around: bool = False
+    beside: bool = False
 
 
 def element(tag: str, attributes: str, around: Element, number: int) -> Element:
     names = " ".join(CAMEL.sub(" ", next(filter(None, m[1:]), "")) for m in NAMES.findall(attributes)).lower().replace("_", " ")
     whole = tag in ("body", "html", "article", "main")
-    bad = bool(names and BAD_NAMES.search(names)) and not whole
-    return Element(tag, around.never or tag in NEVER or bad or bool(attributes and HIDDEN.search(attributes)), around.article or tag in ("article", "main"), around.good or bool(names and GOOD_NAMES.search(names)), number, around.link or tag == "a")
+    named = lambda pattern: bool(names and not whole and pattern.search(names))
+    return Element(
+        tag, around.never or tag in NEVER or named(BAD_NAMES) or bool(attributes and HIDDEN.search(attributes)), around.article or tag in ("article", "main"), around.good or bool(names and GOOD_NAMES.search(names)), number, around.link or tag == "a",
+        around.around or tag in ("menu", "dialog") or named(AROUND_NAMES), around.beside or named(BESIDE_NAMES), tag in FOREIGN or (around.foreign and tag != "foreignobject"),
+    )
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -89,10 +105,10 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = BLANKS.sub(" ", "".join(parts)).strip()
             if text:
-                holder = next((e for e in reversed(stack) if e.tag not in INLINE), stack[0])
+                holder = next((e for e in reversed(stack) if e.tag not in INLINE and not e.foreign), stack[0])
                 top = stack[-1] if stack[-1].never else holder
                 above = stack[stack.index(holder) - 1] if holder is not stack[0] else holder
-                out.append(Block(text, min(linked, len(text)), above.number, holder.tag, top.never, holder.article, holder.good))
+                out.append(Block(text, min(linked, len(text)), above.number, holder.tag, top.never, holder.article, holder.good, around=top.around or holder.around, beside=top.beside or holder.beside))
             parts.clear()
         linked = 0
 
@@ -126,6 +142,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if stack[-1].foreign:  # ends a part of a formula or drawing, or all of it
+                i = len(stack) - 1
+                while stack[i].foreign and stack[i].tag != tag:
+                    i -= 1
+                if stack[i].foreign:
+                    del stack[i:]
+                    continue
             if tag not in INLINE:
                 flush()
             elif tag == "br":
@@ -143,9 +166,18 @@ def blocks_of(page: str) -> list[Block]:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
             if not m[3].rstrip().endswith("/"):
                 pos = at = stop.end() if stop else end
-            if tag not in ("svg", "math", "object", "canvas", "iframe"):
+            if tag != "iframe" and not stack[-1].foreign:
                 flush()
             continue
+        if stack[-1].foreign:
+            if tag in CLOSES_P or tag in OWN_KIND or tag in ("body", "head"):
+                while stack[-1].foreign:
+                    stack.pop()
+            else:
+                if tag != "br" and not m[3].rstrip().endswith("/"):
+                    number += 1
+                    stack.append(element(tag, m[3], stack[-1], number))
+                continue
         if tag in INLINE:
             if tag in VOID:
                 parts.append(" " if tag == "br" else "")
@@ -180,6 +212,7 @@ def costs(b: Block, articles: bool) -> tuple[float, float]:
     share = b.linked / len(b.text)
     score = -0.6 + min(len(b.text) / 80, 2.0) - 3.0 * share
     score += 0.4 * (b.text[-1] in ".!?…。\"'»”") + 0.8 * (b.tag in ("p", "pre", "blockquote", "h1", "h2", "h3")) + 0.6 * b.good
+    score -= AROUND * b.around * (1 - min(len(b.text) / LONG, 1.0)) + BESIDE * b.beside
     if articles:
         score += 4.0 if b.article else -4.0
     return (0.0, score) if score > 0 else (-score, 0.0)

@@ -53,6 +53,21 @@ def test_unclosed_and_broken():
     assert M.main_text("<div>" * 3000 + LONG + "<") in (LONG + "<", LONG)
 
 
+def test_only_listed_kinds_go_for_sure():
+    body = f"""<article><h1>Head</h1><p class="byline">By Jane Doe</p><p>{LONG} So <math><mi>x</mi><mo>=</mo><mrow><mspace/><mn>1</mn></mrow></math> holds.</p><figure><img src=x><figcaption>What the figure shows.</figcaption></figure>
+    <div class="legal"><p>{LONG}</p></div><div class="related"><p>{LONG}</p></div><div class="alert"><p>{LONG}</p></div><p class="copyright">{LONG}</p><div class="tags"><a href=1>one</a> <a href=2>two</a></div><div class="widget"><p>{LONG} {LONG}</p></div>
+    <p>Drawn <svg><style>p{{}}</style><g><path d="M0"/><text>label</text></g></svg> here.</p><canvas>No canvas here, sorry.</canvas><div class="ad">{LONG}</div><div class="comments">{LONG}</div></article>"""
+    want = ["Head", "By Jane Doe", LONG + " So x=1 holds.", "What the figure shows.", LONG, LONG, LONG, LONG, "one two", f"{LONG} {LONG}", "Drawn label here.", "No canvas here, sorry."]
+    assert M.main_text(page(body)) == "\n\n".join(want)
+
+
+def test_unclosed_drawings_end_with_their_parent():
+    for tag in ("svg", "math", "canvas", "object"):
+        body = f"<article><p>{LONG} <{tag}><g>a</p><p>{LONG}</p></article><footer>{LONG}</footer>"
+        assert [b.text for b in M.blocks_of(page(body))][-2:] == [LONG, LONG] and M.main_text(page(body)).endswith("\n\n" + LONG)
+        assert M.main_text(page(f"<article><div>{LONG} <{tag}><p>{LONG}</p></div></article>")) == f"{LONG}\n\n{LONG}"
+
+
 def test_long_page():
     body = "".join(f"<p>{LONG} {i}</p>" if i % 3 else f"<div><a>link {i}</a></div>" for i in range(6000))
     assert M.main_text(page(f"<article>{body}</article>")).count(LONG) == 4000
