@@ -6,7 +6,9 @@ Two equal strings of `width` bytes hold the same anchor at the same place: of th
 the least hash. A text is cut into stretches of strings with a common anchor. Stretches whose anchor is found once
 are unique. Where all stretches of a repeated anchor are equal, their strings are all repeated. The other stretches,
 where a repeated passage begins or ends, are read and dealt into shards by their anchor, equal ones once; each shard is sorted
-by suffix (see induced_sort), which shows the strings that occur twice.
+by suffix (see induced_sort), which shows the strings that occur twice. An anchor with more than a shard of stretches is split: equal
+strings hold the anchor at the same offset, so stretches are cut into runs of a few offsets and dealt by what all strings of those
+offsets share; what is too much even so is cut into single strings, and equal ones are counted.
 
 Defined cases: null and empty texts, and those shorter than `width`, keep all they have. Matches never cross
 texts. Repeated rows are each other's copies, so long ones lose all. A row without doc_id is told from others
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +34,8 @@ WIDTH, INNER = 200, 80
 SHARD_BYTES, STRETCH = 4_000_000, 1 << 19
 #: Rows of a list (a text's key and ranges in it) up to which it is broadcast, and ranges in all of them.
 BROADCAST_ROWS, BROADCAST_RANGES = 300_000, 2_000_000
+#: Offsets of the anchor in one run of a split stretch.
+OFFSETS = 11
 LOW = np.uint64((1 << 20) - 1)
 
 
@@ -128,23 +133,73 @@ def beside(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.join(right, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left").drop("r_id", "r_h")
 
 
-def sorted_shards(strips: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+def split(strips: DataFrame, width: int, inner: int, most: int) -> DataFrame:
+    """Strips cut into runs of at most `most` offsets of the anchor, with the bytes that all strings of these offsets share as part."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not _hasher:
+            _hasher.append(Hasher())
+        h = _hasher[0]
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                bare = np.frombuffer(r.data, dtype=np.uint8)
+                place = np.arange(len(bare) - inner + 1)
+                p = int(np.argmax(h.of(h.sums(bare, 0), place, place + inner).view(np.int64) == r.anchor))
+                for run in range((p - r.m + 1) // most, p // most + 1):
+                    low, high = run * most, min(run * most + most - 1, width - inner)
+                    a, z = max(0, p - high), min(r.m - 1, p - low)
+                    core = b"%d %d %d " % (r.anchor, most, run) + r.data[p - low : p - high + width]
+                    part = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
+                    out.append((r.anchor, r.content, r.n, r.copies, r.data[a : z + width], r.at + a, z - a + 1, part))
+            yield pd.DataFrame(out, columns=list(b.columns))
+
+    return strips.mapInPandas(cut, strips.schema)
+
+
+def dealt(strips: DataFrame, width: int, inner: int, shard_bytes: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Strips (anchor, content, n, copies, data) with the shard that each is sorted in, and single strings of parts that fit no shard.
+
+    data holds m strings from the strip's string `at` on; equal strings have the same part, and a part is in one shard."""
+    rest = strips.select("anchor", "content", "n", "copies", "data", F.lit(0).cast("long").alias("at"), F.col("n").alias("m"), F.col("anchor").alias("part"))
+    out = []
+
+    def deal(some: DataFrame) -> None:
+        total = some.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+        out.append(some.withColumn("shard", F.pmod(F.col("part"), F.lit(max(1, -(-total // shard_bytes))))))
+
+    for most in (OFFSETS, 1):
+        hot = rest.groupBy("part").agg(F.sum(F.octet_length("data")).alias("bytes")).filter(F.col("bytes") > shard_bytes).select("part")
+        hot = stored(hot, "hot-parts")  # no more than there are shards
+        if hot.isEmpty():
+            deal(rest)
+            return out, None
+        deal(rest.join(F.broadcast(hot), "part", "left_anti"))
+        rest = stored(split(rest.join(F.broadcast(hot), "part", "left_semi").select(*rest.columns), width, inner, most), "split")
+        again = rest.groupBy("part").agg(F.sum("copies").alias("c")).filter("c > 1").select("part")  # others can't be repeated
+        rest = stored(rest.join(again, "part", "left_semi").select(*rest.columns), "split-again")
+    return out, rest
+
+
+def sorted_shards(strips: DataFrame, width: int, inner: int, shard_bytes: int) -> DataFrame:
     """(anchor, content, n, first, last) for every range of repeated strings in the strips (anchor, content, n, copies, data)."""
-    total = strips.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_bytes))
 
     def find(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.drop_duplicates(["anchor", "content", "n"]).reset_index(drop=True)
+        shard = shard.drop_duplicates(["anchor", "content", "n", "at"]).reset_index(drop=True)
         out = []
         for k, flag in enumerate(repeated(list(shard["data"]), width)):
             if shard["copies"][k] > 1:
                 flag = np.ones(len(flag), dtype=bool)
-            edge = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))
-            out += [(shard["anchor"][k], shard["content"][k], shard["n"][k], a, b) for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)]
+            edge, at = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]])), shard["at"][k]
+            out += [(shard["anchor"][k], shard["content"][k], shard["n"][k], at + a, at + b) for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)]
         return pd.DataFrame(out, columns=["anchor", "content", "n", "first", "last"])
 
-    dealt = strips.withColumn("shard", F.pmod(F.col("anchor"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(find, "anchor long, content long, n long, first long, last long")
+    shards, single = dealt(strips, width, inner, shard_bytes)
+    found = [x.groupBy("shard").applyInPandas(find, "anchor long, content long, n long, first long, last long") for x in shards]
+    if single is not None:
+        twice = single.groupBy("part", "data").agg(F.sum("copies").alias("c")).filter("c > 1").select("part", "data")
+        found.append(single.join(twice, ["part", "data"], "left_semi").select("anchor", "content", "n", F.col("at").alias("first"), (F.col("at") + 1).alias("last")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -167,7 +222,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, shard_bytes
                 yield pd.DataFrame(out, columns=["anchor", "content", "n", "copies", "data"])
 
     strips = beside(rows, wanted).filter("ranges is not null").mapInPandas(strip, "anchor long, content long, n long, copies long, data binary")
-    found = sorted_shards(stored(strips, "strips"), width, shard_bytes)
+    found = sorted_shards(stored(strips, "strips"), width, inner, shard_bytes)
     edges = mixed.join(stored(found, "sorted"), ["anchor", "content", "n"]).select("id", "h", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + width - 1).alias("stop"))
     both = plain.unionByName(edges).groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from reachspark.llm import induced_sort as I
 from reachspark.llm import substring_dedup as D
@@ -67,6 +68,20 @@ def test_small_cases(spark):
     assert D.dedup(df.limit(0), 40, 12).count() == 0
 
 
+def test_hot_anchors_are_split(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, near = word(70), word(12)
+    docs = [(i, word(30) + (near[i % 9 :] if i % 2 else "") + passage + word(30)) for i in range(150)]
+    strips = [(int(a), int(c), int(n), 1, t.encode()[s : s + n + 39]) for _, t in docs for s, n, a, c in zip(*D.stretches(t.encode(), 40, 12), strict=True)]
+    df = spark.createDataFrame(list({x[:3]: x for x in strips}.values()), "anchor long, content long, n long, copies long, data binary")
+    assert df.groupBy("anchor").agg(F.sum(F.octet_length("data")).alias("b")).agg(F.max("b")).first()[0] > 5000
+    shards, single = D.dealt(df, 40, 12, 2000)
+    assert single is not None and max(max(r.b for r in x.groupBy("part").agg(F.sum(F.octet_length("data")).alias("b")).collect()) for x in shards) <= 2000
+    rows_df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(D.dedup(rows_df, 40, 12, shard_bytes=2000)) == brute(docs, 40)
+
+
 def test_query_matches_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = rows(D.query(spark, sf))
