@@ -2,17 +2,17 @@
 
 An item's windows are its runs of `width` words (the whole item if it is shorter). A window lies in a document only if
 all its shingles (three words, or fewer in a shorter window) do, so one of them suffices to find candidates: the one
-that is rarest over all documents, the window's prefix. Documents meet the windows at that shingle; the shingle's
-place in the window and the ends of the document bound where the window must start; there the words are compared.
+that is rarest over all documents, the window's prefix. Both tables meet at that shingle's hash; the shingle's place in the window
+and the ends of the document bound where the window must start; there the words themselves are compared.
 
-The windows are held in broadcast blocks of at most `block_words` item words; each block is set against all documents, and
-hits of blocks are united for each document. So the join deals out no document words, whatever its hot passages are.
-Items are cut in tasks into pieces of at most a block that share width - 1 words, so every window lies in one piece; the driver
-holds one block at a time.
+Documents are read twice. The first pass counts the benchmark's shingles, the second hands out the places of prefixes with the
+words around them. What isn't in the benchmark stays where it is: both passes look shingles up in a broadcast bit filter, whose size
+is fixed (`filter_bits`) and whose false positives the join drops. The windows meet the places in a broadcast join while
+they are few, and beyond that in a shuffled one in which places are dealt into `SALTS` parts, so a hot passage is no one task's work.
 
-Defined cases: null and empty texts have no words: such documents are clean, such items have no window. Repeated
-document rows are told apart by a row number, which is stored before a second block meets them; repeated items, also under one id, count once for each id. A null
-item_id is left out of items_sha256 but its windows hit and it counts as one item.
+Defined cases: null and empty texts have no words: such documents are clean, such items have no window. Every row of docs
+gives a row, whatever its d_row: rows are told apart by a number that is stored. Repeated items, also under one id, count once for
+each id. A null item_id is left out of items_sha256 but its windows hit and it counts as one item.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,10 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachspark.llm.common import put, read, stored
+from reachspark.llm.word_hashes import Words, filter_of, parts
 
 WIDTH, SHINGLE = 10, 3
-#: Item words in a broadcast block, about 100 bytes each in a task.
-BLOCK_WORDS = 500_000
+#: Bits of a filter as a power of two: 2^25 are 4 MB.
+FILTER_BITS = 25
+#: Bytes of windows up to which they are broadcast, and parts of a shuffled join's keys beyond.
+BROADCAST_BYTES, SALTS = 16_000_000, 16
+#: Stands for a null item_id in a task.
+NO_ID = -(2**63)
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -40,225 +44,132 @@ def tokens(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-class Windows:
-    """A block of items: the numbers of their words, and every distinct window with the items that have it."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, shingle: int = SHINGLE):
-        self.width, self.numbers = width, {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in tokens(text))
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(ids[i : i + width], set()).add(item)
-        self.windows = list(found)
-        self.items = [sorted(x) for x in found.values()]
-        #: (words of the shingle) -> number, for each width of shingle that windows have
-        self.shingle = shingle
-        self.shingles: dict[tuple[int, ...], int] = {}
-        for w in self.windows:
-            s = min(shingle, len(w))
-            for i in range(len(w) - s + 1):
-                self.shingles.setdefault(w[i : i + s], len(self.shingles))
-        self.by_size = {}
-        base = len(self.numbers) + 1
-        for s in range(1, shingle + 1):
-            codes = [(self.code(np.array(k), base)[0], v) for k, v in self.shingles.items() if len(k) == s]
-            if codes:
-                codes.sort()
-                self.by_size[s] = np.array([c for c, _ in codes], dtype=np.uint64), np.array([v for _, v in codes], dtype=np.int64)
-
-    def code(self, ids: np.ndarray, base: int | None = None, size: int | None = None) -> np.ndarray:
-        """A number for each run of `size` word numbers; word numbers are below 2^21, so runs of three fit 64 bits."""
-        size = size or len(ids)
-        ids = ids.astype(np.uint64)
-        out = np.zeros(len(ids) - size + 1, dtype=np.uint64)
-        for j in range(size):
-            out = (out << np.uint64(21)) | ids[j : len(ids) - size + 1 + j]
-        return out
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """The numbers of a document's words; 0 for words that no item has."""
-        get = self.numbers.get
-        return np.fromiter((get(w, 0) for w in tokens(text)), dtype=np.int64)
-
-    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where a document has shingles of the block, and their numbers."""
-        at, which = [], []
-        for size, (codes, numbers) in self.by_size.items():
-            if len(ids) >= size:
-                runs = ids > 0
-                for j in range(1, size):
-                    runs = runs[:-1] & (ids[j:] > 0)
-                start = np.flatnonzero(runs)
-                if len(start):
-                    code = np.zeros(len(start), dtype=np.uint64)
-                    for j in range(size):
-                        code = (code << np.uint64(21)) | ids[start + j].astype(np.uint64)
-                    i = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                    ok = codes[i] == code
-                    at.append(start[ok])
-                    which.append(numbers[i[ok]])
-        return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def prefixes(self, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """For the rarest shingle of each window: (its place in the window, the window)."""
-        out: dict[int, list[tuple[int, int]]] = {}
-        for n, w in enumerate(self.windows):
-            s = min(self.shingle, len(w))
-            offset = min(range(len(w) - s + 1), key=lambda i: (counts.get(self.shingles[w[i : i + s]], 0), i))
-            out.setdefault(self.shingles[w[offset : offset + s]], []).append((offset, n))
-        return out
-
-
-def pieces(benchmark: DataFrame, width: int, most: int) -> DataFrame:
-    """(item_id, text, n): the items' words in pieces of n <= most words, each window of an item in one of them. most is over width."""
+def windows(benchmark: DataFrame, width: int, shingle: int) -> DataFrame:
+    """(item_id, words, size, shingles) of every window of every item; shingles are hashes, in the window's order."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for item, text in zip(b["item_id"], b["text"], strict=True):
-                words = tokens(text)
-                for i in range(0, max(1, len(words) - width + 1) if words else 0, most - width + 1):
-                    part = words[i : i + most]
-                    yield pd.DataFrame({"item_id": [item], "text": [b" ".join(part).decode("utf-8", "surrogatepass")], "n": [len(part)]})
-
-    # a null item_id has a number of its own: pandas would make the others fractions
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-(2**63))).alias("item_id"), "text").dropDuplicates()
-    return items.mapInPandas(cut, "item_id long, text string, n long")
-
+                w = Words([text])
+                n = len(w.hash)
+                if not n:
+                    continue
+                size, runs = min(width, n), w.runs(min(shingle, width, n))[1].view(np.int64)
+                many = size - min(shingle, size) + 1
+                for a in range(0, n - size + 1, 5000):
+                    at = range(a, min(a + 5000, n - size + 1))
+                    yield pd.DataFrame({"item_id": item, "words": [w.joined(i, i + size) for i in at], "size": size, "shingles": [runs[i : i + many] for i in at]})
 
-def blocks_of(benchmark: DataFrame, block_words: int, width: int = WIDTH) -> Iterator[list[tuple[int, str]]]:
-    """Pieces of items in blocks of at most block_words words (and at least two windows), streamed to the driver one at a time."""
-    most = max(block_words, 2 * width)
-    block, size = [], 0
-    for row in pieces(benchmark, width, most).toLocalIterator():
-        if block and size + row.n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, row.text))
-        size += row.n
-    if block:
-        yield block
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), "text").dropDuplicates()
+    return items.mapInPandas(cut, "item_id long, words string, size int, shingles array<long>")
 
 
-def frequencies(texts: DataFrame, windows) -> DataFrame:
-    """(shingle, n): how often each shingle of the block is in the documents. Each task adds up before it hands on."""
+def frequencies(docs: DataFrame, wanted, sizes: list[int]) -> DataFrame:
+    """(s, n): how often the shingles that the filter lets through are in the documents. Batches add up before they hand on."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = windows.value
-        total = np.zeros(len(w.shingles) + 1, dtype=np.int64)
         for b in batches:
-            for t in b["text"]:
-                total += np.bincount(w.places(w.ids(t))[1], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"shingle": seen, "n": total[seen]})
-
-    return texts.mapInPandas(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+            for part in parts(b):
+                w = Words(part["text"].tolist())
+                found = [code[wanted.value.has(code)] for _, code in map(w.runs, sizes)]
+                s, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pd.DataFrame({"s": s.view(np.int64), "n": n})
 
+    return docs.select("text").mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
 
-def spans(w: Windows, prefixes: dict[int, list[tuple[int, int]]], ids: np.ndarray) -> list[tuple[int, int]]:
-    """(start, window) of every window that a document has."""
-    at, which = w.places(ids)
-    keep = np.isin(which, np.fromiter(prefixes, dtype=np.int64)) if len(which) else np.zeros(0, bool)
-    out = []
-    for p, s in zip(at[keep].tolist(), which[keep].tolist(), strict=True):
-        for offset, n in prefixes[s]:
-            words, start = w.windows[n], p - offset
-            if start >= 0 and start + len(words) <= len(ids) and tuple(ids[start : start + len(words)].tolist()) == words:
-                out.append((start, n))
-    return out
 
-FOUND = "n_words long, starts array<long>, ends array<long>, items array<long>"
+def places(docs: DataFrame, wanted, sizes: list[int], reach: int) -> DataFrame:
+    """docs' d_row with n_words and d_places: the shingles that the filter lets through, where they are, and the words around."""
 
-
-def find(docs: DataFrame, key: str, held, prefixes, every: bool) -> DataFrame:
-    """docs' key and what one block hits in the text, for every row or for those with a hit."""
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = held.value
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for row, text in zip(b[key], b["text"], strict=True):
-                ids = w.ids(text)
-                found = spans(w, prefixes.value, ids)
-                if not (every or found):
-                    continue
-                edges = np.zeros(len(ids) + 1, dtype=np.int64)
-                for start, n in found:
-                    edges[start] += 1
-                    edges[start + len(w.windows[n])] -= 1
-                hit = np.diff(np.concatenate([[0], (np.cumsum(edges) > 0).astype(np.int8)]))
-                rows.append((row, len(ids), np.flatnonzero(hit > 0), np.flatnonzero(hit < 0), sorted({i for _, n in found for i in w.items[n]})))
-            yield pd.DataFrame(rows, columns=[key, "n_words", "starts", "ends", "items"])
-
-    return docs.select(key, "text").mapInPandas(search, f"{key} {docs.schema[key].dataType.simpleString()}, {FOUND}")
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each row of docs (d_row, text): d_row, n_words, the hit word ranges (starts, ends), and the items that occur (items).
-
-    Rows may share a d_row or have none."""
-    spark = docs.sparkSession
-
-    def ready(block: list[tuple[int, str]]):
-        w = Windows(block, width)
-        held = spark.sparkContext.broadcast(w)
-        counts = {r.shingle: r.n for r in frequencies(docs.select("text"), held).toLocalIterator()}  # no more than the block's shingles
-        return held, spark.sparkContext.broadcast(w.prefixes(counts))
-
-    blocks = blocks_of(benchmark, block_words, width)
-    first, second = next(blocks, None), next(blocks, None)
-    if first is None:
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"d_row": b["d_row"], "n_words": [len(tokens(t)) for t in b["text"]]})
-
-        none = F.array().cast("array<long>")
-        return docs.select("d_row", "text").mapInPandas(count, "d_row string, n_words long").withColumns({"starts": none, "ends": none, "items": none})
-    if second is None:
-        return find(docs, "d_row", *ready(first), every=True)
-    # several blocks: a row has a number of its own, by which its ranges of all blocks are merged
-    docs = stored(docs.select("d_row", "text", F.monotonically_increasing_id().alias("d_number")), "numbered")
-    both = find(docs, "d_number", *ready(first), every=True)
-    for block in chain([second], blocks):
-        both = both.unionByName(find(docs, "d_number", *ready(block), every=False))
-    one = both.groupBy("d_number").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("r"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    named = one.join(docs.select("d_number", "d_row"), "d_number")
-    return named.mapInPandas(merged, f"d_row string, {FOUND}")
+            for part in parts(b):
+                w = Words(part["text"].tolist())
+                found: list[list[dict]] = [[] for _ in range(len(part))]
+                for size in sizes:
+                    place, code = w.runs(size)
+                    hit = np.flatnonzero(wanted.value.has(code))
+                    for p, s in zip(place[hit].tolist(), code[hit].view(np.int64).tolist(), strict=True):
+                        t = int(w.text[p])
+                        first, last = max(int(w.first[t]), p - reach + size), min(int(w.first[t + 1]), p + reach)
+                        found[t].append({"s": s, "at": p - int(w.first[t]), "lead": p - first, "around": w.joined(first, last)})
+                yield pd.DataFrame({"d_row": part["d_row"], "n_words": np.diff(w.first), "d_places": found})
+
+    found = docs.select(F.col("d_row").cast("string").alias("d_row"), "text").mapInPandas(find, "d_row string, n_words long, d_places array<struct<s: long, at: long, lead: int, around: string>>")
+    return stored(found.withColumn("d_number", F.monotonically_increasing_id()), "places")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, filter_bits: int = FILTER_BITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """For each row of docs (d_row, text): d_row, n_words, the hit word ranges (starts, ends), and the items that occur (items)."""
+    context = docs.sparkSession.sparkContext
+    every = stored(windows(benchmark, width, shingle), "windows")
+    sizes = sorted(r.n for r in every.select(F.least("size", F.lit(shingle)).alias("n")).distinct().collect())  # shingle values at most
+    one = every.groupBy("words").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+    of = one.select("words", "size", F.posexplode("shingles").alias("offset", "s"))
+    if sizes:
+        often = frequencies(docs, context.broadcast(filter_of(of, "s", filter_bits)), sizes)
+        often = stored(often.join(of.select("s").distinct(), "s", "left_semi"), "shingle-counts")
+        least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "s"))
+        one = of.join(often, "s", "left").groupBy("words", "size").agg(least.alias("p")).select("words", "size", "p.offset", "p.s", "p.n")
+    else:
+        one = of.withColumn("n", F.lit(0).cast("long"))
+    one = stored(one.filter("n > 0").drop("n"), "prefixes")  # a window whose rarest shingle is in no document hits none
+    base = places(docs, context.broadcast(filter_of(one, "s", filter_bits)), sizes, width)
+    bytes_ = F.coalesce(F.sum(F.octet_length("words") + 60), F.lit(0))
+    small = every.agg(bytes_).first()[0] <= broadcast_bytes  # one also has no more than this
+    at = base.select("d_number", F.explode("d_places").alias("x")).select("d_number", "x.*")
+    if small:
+        both = at.join(F.broadcast(one), "s")
+    else:
+        dealt = one.withColumn("d_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        both = at.withColumn("d_salt", F.pmod(F.xxhash64("d_number"), F.lit(SALTS)).cast("int")).join(dealt.hint("merge"), ["s", "d_salt"])
+    begin = F.col("lead") - F.col("offset")
+    same = F.array_join(F.slice(F.split("around", " "), F.greatest(begin, F.lit(0)) + 1, F.col("size")), " ") == F.col("words")
+    start = F.col("at") - F.col("offset")
+    found = stored(both.filter((begin >= 0) & same).select("d_number", start.alias("start"), (start + F.col("size")).alias("stop"), "words"), "hits")
+    items = every.select("words", "item_id").distinct()
+    which = found.select("d_number", "words").distinct()
+    which = which.join(F.broadcast(items), "words") if small else which.join(items.hint("merge"), "words")
+    which = which.select("d_number", "item_id").distinct().groupBy("d_number").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    ranges = found.groupBy("d_number").agg(F.collect_set(F.struct("start", "stop")).alias("r")).mapInPandas(merged, "d_number long, starts array<long>, ends array<long>")
+    out = base.select("d_row", "n_words", "d_number").join(ranges, "d_number", "left").join(which, "d_number", "left")
+    none = F.array().cast("array<long>")
+    return out.select("d_row", "n_words", *(F.coalesce(c, none).alias(c) for c in ("starts", "ends", "items")))
 
 
 def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ranges r (start, stop) of each row as the maximal ranges that they cover."""
     for b in batches:
         rows = []
-        for row, n, ranges, items in zip(b["d_row"], b["n_words"], b["r"], b["items"], strict=True):
+        for row, ranges in zip(b["d_number"], b["r"], strict=True):
             out: list[list[int]] = []
-            for x in sorted((x["starts"], x["ends"]) for x in ranges):
-                if out and x[0] <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], x[1])
+            for a, z in sorted((x["start"], x["stop"]) for x in ranges):
+                if out and a <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], z)
                 else:
-                    out.append(list(x))
-            rows.append((row, n, [x[0] for x in out], [x[1] for x in out], sorted(items)))
-        yield pd.DataFrame(rows, columns=["d_row", "n_words", "starts", "ends", "items"])
+                    out.append([a, z])
+            rows.append((row, [x[0] for x in out], [x[1] for x in out]))
+        yield pd.DataFrame(rows, columns=["d_number", "starts", "ends"])
 
 
 def digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(str(i) for i in items if i != -(2**63))).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(str(i) for i in items if i != NO_ID)).encode()).hexdigest()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents without a hit word, with the input's own columns.
+def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+    """The documents without a hit word, with the input's own columns, whatever their names.
 
-    Rows are matched by a hash of the text: texts that are equal have equal hits, so repeated rows go or stay together."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).cast("string")
-    found = hits(docs.select(key.alias("d_row"), "text"), benchmark, width, block_words).filter(F.size("starts") > 0).select("d_row", "n_words").dropDuplicates(["d_row"])
+    Rows are matched by the digest of the text: texts that are equal have equal hits, so repeated rows go or stay together."""
+    key = F.md5(F.coalesce("text", F.lit("")))
+    found = hits(docs.select(key.alias("d_row"), "text"), benchmark, **parameters).filter(F.size("starts") > 0).select("d_row").distinct()
     found = stored(found, "leaks")
-    out = docs.withColumn("d_key", key).join(found.select(F.col("d_row").alias("d_key")), "d_key", "left_anti")
-    return out.select(*docs.columns)
+    rows = docs.select(key.alias("d_row"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("d_all"))
+    return rows.join(found, "d_row", "left_anti").select(*(F.col(f"d_all.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("d_row"), "text")
     found = hits(docs, read(spark, sf_dir, "benchmark"))
-    sha = F.sha2(F.array_join(F.array_sort(F.transform(F.filter("items", lambda x: x != -(2**63)), lambda x: x.cast("string"))), ","), 256)
+    sha = F.sha2(F.array_join(F.array_sort(F.transform(F.filter("items", lambda x: x != NO_ID), lambda x: x.cast("string"))), ","), 256)
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
     return put(found, doc_id=F.col("d_row").cast("long"), n_hit=n_hit, n_items=F.size("items").cast("long"), items_sha256=sha, contaminated=F.size("starts") > 0).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

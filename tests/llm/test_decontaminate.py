@@ -1,6 +1,10 @@
 import hashlib
+import random
+
+import numpy as np
 
 from reachspark.llm import decontaminate as D
+from reachspark.llm import word_hashes as W
 
 
 def brute(docs, items, width=10):
@@ -35,30 +39,34 @@ def test_small_cases_match_brute_force(spark):
     assert rows(spark, DOCS, ITEMS) == brute(DOCS, ITEMS)
 
 
-def test_blocks_give_the_same(spark):
-    assert rows(spark, DOCS, ITEMS, block_words=3) == brute(DOCS, ITEMS)
+def test_other_paths_give_the_same(spark):
+    """Windows too many to broadcast, and a filter that lets nearly all through."""
+    assert rows(spark, DOCS, ITEMS, broadcast_bytes=-1) == brute(DOCS, ITEMS)
+    assert rows(spark, DOCS, ITEMS, broadcast_bytes=-1, filter_bits=7) == brute(DOCS, ITEMS)
 
 
-def test_blocks_keep_rows_apart(spark):
-    """Rows that share a doc_id, or have none, stay rows of their own however many blocks there are."""
+def test_rows_are_kept_apart(spark):
+    """Rows that share a doc_id, or have none, stay rows of their own on both paths."""
     docs = [(1, "x a b c d e f g h i j"), (1, "hello world and more"), (1, "hello world and more"), (None, "c d e " * 9), (None, None), (None, "q hello world")]
     d = spark.createDataFrame([(None if i is None else str(i), t) for i, t in docs], "d_row string, text string")
     b = spark.createDataFrame([*ITEMS, (None, "and more")], "item_id long, text string")
     got = {}
-    for words in (10**6, 3):
-        got[words] = sorted(((r.d_row, r.n_words, tuple(r.starts), tuple(r.ends), tuple(r["items"])) for r in D.hits(d, b, block_words=words).collect()), key=str)
-    assert got[3] == got[10**6] and len(got[3]) == len(docs)
-    assert (None, 3, (1,), (3,), (2,)) in got[3] and got[3].count(("1", 4, (0,), (4,), (-(2**63), 2))) == 2
+    for most in (10**6, -1):
+        got[most] = sorted(((r.d_row, r.n_words, tuple(r.starts), tuple(r.ends), tuple(r["items"])) for r in D.hits(d, b, broadcast_bytes=most).collect()), key=str)
+    assert got[-1] == got[10**6] and len(got[-1]) == len(docs)
+    assert (None, 3, (1,), (3,), (2,)) in got[-1] and got[-1].count(("1", 4, (0,), (4,), (-(2**63), 2))) == 2
 
 
-def test_long_items_are_cut(spark):
-    long = " ".join(f"w{i % 37}x{i % 11}" for i in range(300))
-    items = spark.createDataFrame([(1, long), (2, long[:200])], "item_id long, text string")
-    blocks = list(D.blocks_of(items, 40))
-    assert max(sum(len(D.tokens(t)) for _, t in b) for b in blocks) <= 40
-    words = long.split()
-    cut = {tuple(D.tokens(t)[k : k + 10]) for b in blocks for i, t in b if i == 1 for k in range(len(D.tokens(t)) - 9)}
-    assert cut == {tuple(w.encode() for w in words[k : k + 10]) for k in range(291)}
+def test_long_words_and_texts(spark, monkeypatch):
+    """Sums and parts are cut at words; a word longer than either is hashed whole."""
+    monkeypatch.setattr(W, "SUM_BYTES", 50)
+    rng = random.Random(2)
+    texts = [" ".join("ab"[rng.randint(0, 1)] * rng.choice([1, 2, 3, 200]) for _ in range(rng.randint(0, 60))) for _ in range(20)]
+    w = W.Words([*texts, None])
+    words = [t for x in texts for t in D.tokens(x)]
+    assert np.diff(w.first).tolist() == [len(D.tokens(t)) for t in [*texts, None]]
+    assert len({(t, h) for t, h in zip(words, w.hash.tolist(), strict=True)}) == len(set(words)) == len(set(w.hash.tolist()))
+    assert [len(w.runs(3)[0])] == [sum(max(0, len(D.tokens(t)) - 2) for t in texts)]
 
 
 def test_no_items(spark):
@@ -74,7 +82,7 @@ def test_query_matches_brute_force(spark, sf):
 
 
 def test_clean_keeps_columns_and_other_rows(spark):
-    df = spark.createDataFrame([(i, t, 7) for i, t in [*DOCS, DOCS[3]]], "doc_id long, text string, d_row int")
+    df = spark.createDataFrame([(i, t, 7, 8, 9) for i, t in [*DOCS, DOCS[3]]], "doc_id long, text string, d_row int, D_KEY int, d_all int")
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
     out = D.clean(df, b)
     assert out.columns == df.columns
