@@ -4,9 +4,10 @@ A byte goes if some string of `width` bytes over it starts at another place as w
 
 Two equal strings of `width` bytes hold the same anchor at the same place: of their substrings of `inner` bytes the one with
 the least hash. A text is cut into stretches of strings with a common anchor. Stretches whose anchor is found once
-are unique. Where all stretches of a repeated anchor are equal, their strings are all repeated. The other stretches,
-where a repeated passage begins or ends, are read and dealt into shards by their anchor, equal ones once; each shard is sorted
-by suffix (see induced_sort), which shows the strings that occur twice. An anchor with more than a shard of stretches is split: equal
+are unique. Stretches of equal bytes (equal 128-bit digests) are one stretch with a count, so where all of a repeated anchor
+are equal, nothing is left to sort: all of its strings are repeated. The distinct stretches of other anchors,
+where a repeated passage begins or ends, are read and dealt into shards by their anchor; each shard is sorted
+by suffix (see induced_sort), and the common prefixes that the sort carries show the strings that occur twice. An anchor with more than a shard of stretches is split: equal
 strings hold the anchor at the same offset, so stretches are cut into runs of a few offsets and dealt by what all strings of those
 offsets share; what is too much even so is cut into single strings, and equal ones are counted.
 
@@ -32,8 +33,6 @@ from reachspark.llm.induced_sort import repeated
 WIDTH, INNER = 200, 80
 #: Bytes of stretches in a shard, about, and starts of a text that a task handles at a time.
 SHARD_BYTES, STRETCH = 4_000_000, 1 << 19
-#: Rows of a list (a text's key and ranges in it) up to which it is broadcast, and ranges in all of them.
-BROADCAST_ROWS, BROADCAST_RANGES = 300_000, 2_000_000
 #: Offsets of the anchor in one run of a split stretch.
 OFFSETS = 11
 LOW = np.uint64((1 << 20) - 1)
@@ -46,12 +45,12 @@ class Hasher:
         rng = np.random.default_rng(20240229)
         odd = np.uint64(0x9E3779B97F4A7C15)
         inverse = np.uint64(pow(int(odd), -1, 1 << 64))
-        self.value = [rng.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1) for _ in range(2)]
+        self.value = rng.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
         self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, odd, np.uint64))])
         self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, inverse, np.uint64))])
 
-    def sums(self, data: np.ndarray, which: int) -> np.ndarray:
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[which][data] * self.up[: len(data)])])
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[data] * self.up[: len(data)])])
 
     def of(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         x = (sums[stop] - sums[start]) * self.down[start]
@@ -73,23 +72,24 @@ def least_in_windows(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(data: bytes, width: int = WIDTH, inner: int = INNER) -> tuple[np.ndarray, ...]:
-    """(start, n, anchor, content): n successive strings from start share an anchor; content is the hash of all their bytes."""
+    """(start, n, anchor, content, check): n successive strings from start share an anchor; the digest of all their bytes is in two halves."""
     if not _hasher:
         _hasher.append(Hasher())
     h, every, out = _hasher[0], np.frombuffer(data, dtype=np.uint8), []
     for begin in range(0, len(every) - width + 1, STRETCH):
         part = every[begin : begin + STRETCH + width - 1]
         n = len(part) - inner + 1
-        sums = h.sums(part, 0)
+        sums = h.sums(part)
         place = np.arange(n)
         hashed = h.of(sums, place, place + inner)
         least = least_in_windows((hashed & ~LOW) | place.astype(np.uint64), width - inner + 1)
         start = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
         many = np.diff(np.concatenate([start, [len(least)]]))
         anchor = hashed[(least[start] & LOW).astype(np.int64)]
-        content = h.of(h.sums(part, 1), start, start + many + width - 1)
-        out.append((start + begin, many, anchor.view(np.int64), content.view(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+        digests = b"".join([hashlib.blake2b(data[a:z], digest_size=16).digest() for a, z in zip((start + begin).tolist(), (start + begin + many + width - 1).tolist(), strict=True)])
+        content = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+        out.append((start + begin, many, anchor.view(np.int64), content[:, 0], content[:, 1]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
 
 
 def as_bytes(text: str | None) -> bytes:
@@ -102,7 +102,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchored(rows: DataFrame, width: int, inner: int) -> DataFrame:
-    """(id, h, start, n, anchor, content) of all stretches of all texts."""
+    """(id, h, start, n, anchor, content, check) of all stretches of all texts."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -120,16 +120,14 @@ def anchored(rows: DataFrame, width: int, inner: int) -> DataFrame:
     def frame(found: list) -> pd.DataFrame:
         n = [len(s[0]) for _, _, s in found]
         columns = {"id": pd.array(np.repeat(np.array([i for i, _, _ in found], dtype=object), n), dtype="Int64"), "h": np.repeat([h for _, h, _ in found], n)}
-        return pd.DataFrame(columns | {c: np.concatenate([s[k] for _, _, s in found]) for k, c in enumerate(("start", "n", "anchor", "content"))})
+        return pd.DataFrame(columns | {c: np.concatenate([s[k] for _, _, s in found]) for k, c in enumerate(("start", "n", "anchor", "content", "check"))})
 
-    return rows.filter(F.octet_length("text") >= width).mapInPandas(cut, "id long, h long, start long, n long, anchor long, content long")
+    return rows.filter(F.octet_length("text") >= width).mapInPandas(cut, "id long, h long, start long, n long, anchor long, content long, check long")
 
 
 def beside(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """rows (id, h, text) with the `ranges` that a list has for them, null where it has none."""
-    some = ranges.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
-    small = some[0] <= BROADCAST_ROWS and some[1] <= BROADCAST_RANGES
-    right = ranges.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), "ranges").hint("broadcast" if small else "merge")
+    """rows (id, h, text) with the `ranges` that a list has for them, null where it has none. Lists grow with the texts, so none is broadcast."""
+    right = ranges.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), "ranges").hint("merge")
     return rows.join(right, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left").drop("r_id", "r_h")
 
 
@@ -145,23 +143,23 @@ def split(strips: DataFrame, width: int, inner: int, most: int) -> DataFrame:
             for r in b.itertuples(index=False):
                 bare = np.frombuffer(r.data, dtype=np.uint8)
                 place = np.arange(len(bare) - inner + 1)
-                p = int(np.argmax(h.of(h.sums(bare, 0), place, place + inner).view(np.int64) == r.anchor))
+                p = int(np.argmax(h.of(h.sums(bare), place, place + inner).view(np.int64) == r.anchor))
                 for run in range((p - r.m + 1) // most, p // most + 1):
                     low, high = run * most, min(run * most + most - 1, width - inner)
                     a, z = max(0, p - high), min(r.m - 1, p - low)
                     core = b"%d %d %d " % (r.anchor, most, run) + r.data[p - low : p - high + width]
                     part = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
-                    out.append((r.anchor, r.content, r.n, r.copies, r.data[a : z + width], r.at + a, z - a + 1, part))
+                    out.append((r.anchor, r.content, r.check, r.n, r.copies, r.data[a : z + width], r.at + a, z - a + 1, part))
             yield pd.DataFrame(out, columns=list(b.columns))
 
     return strips.mapInPandas(cut, strips.schema)
 
 
 def dealt(strips: DataFrame, width: int, inner: int, shard_bytes: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Strips (anchor, content, n, copies, data) with the shard that each is sorted in, and single strings of parts that fit no shard.
+    """Strips (anchor, content, check, n, copies, data) with the shard that each is sorted in, and single strings of parts that fit no shard.
 
     data holds m strings from the strip's string `at` on; equal strings have the same part, and a part is in one shard."""
-    rest = strips.select("anchor", "content", "n", "copies", "data", F.lit(0).cast("long").alias("at"), F.col("n").alias("m"), F.col("anchor").alias("part"))
+    rest = strips.select("anchor", "content", "check", "n", "copies", "data", F.lit(0).cast("long").alias("at"), F.col("n").alias("m"), F.col("anchor").alias("part"))
     out = []
 
     def deal(some: DataFrame) -> None:
@@ -182,23 +180,23 @@ def dealt(strips: DataFrame, width: int, inner: int, shard_bytes: int) -> tuple[
 
 
 def sorted_shards(strips: DataFrame, width: int, inner: int, shard_bytes: int) -> DataFrame:
-    """(anchor, content, n, first, last) for every range of repeated strings in the strips (anchor, content, n, copies, data)."""
+    """(anchor, content, check, n, first, last) for every range of repeated strings in the strips (anchor, content, check, n, copies, data)."""
 
     def find(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.drop_duplicates(["anchor", "content", "n", "at"]).reset_index(drop=True)
+        shard = shard.drop_duplicates(["anchor", "content", "check", "n", "at"]).reset_index(drop=True)
         out = []
         for k, flag in enumerate(repeated(list(shard["data"]), width)):
             if shard["copies"][k] > 1:
                 flag = np.ones(len(flag), dtype=bool)
             edge, at = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]])), shard["at"][k]
-            out += [(shard["anchor"][k], shard["content"][k], shard["n"][k], at + a, at + b) for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)]
-        return pd.DataFrame(out, columns=["anchor", "content", "n", "first", "last"])
+            out += [(shard["anchor"][k], shard["content"][k], shard["check"][k], shard["n"][k], at + a, at + b) for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)]
+        return pd.DataFrame(out, columns=["anchor", "content", "check", "n", "first", "last"])
 
     shards, single = dealt(strips, width, inner, shard_bytes)
-    found = [x.groupBy("shard").applyInPandas(find, "anchor long, content long, n long, first long, last long") for x in shards]
+    found = [x.groupBy("shard").applyInPandas(find, "anchor long, content long, check long, n long, first long, last long") for x in shards]
     if single is not None:
         twice = single.groupBy("part", "data").agg(F.sum("copies").alias("c")).filter("c > 1").select("part", "data")
-        found.append(single.join(twice, ["part", "data"], "left_semi").select("anchor", "content", "n", F.col("at").alias("first"), (F.col("at") + 1).alias("last")))
+        found.append(single.join(twice, ["part", "data"], "left_semi").select("anchor", "content", "check", "n", F.col("at").alias("first"), (F.col("at") + 1).alias("last")))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -206,24 +204,26 @@ def repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, shard_bytes
     """(id, h, ranges): the maximal byte ranges (start, stop) of each text that repeated strings cover."""
     rows = keyed(docs)
     every = stored(anchored(rows, width, inner), "stretches")
-    often = every.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("content") < F.max("content")).alias("mixed")).filter("c > 1").select("anchor", "mixed")
-    here = stored(every.join(often, "anchor"), "anchored")
+    differ = (F.min("content") < F.max("content")) | (F.min("check") < F.max("check")) | (F.min("n") < F.max("n"))
+    # Written first: the join below it has no aggregation in its stage, so adaptive execution can split a hot anchor's rows
+    often = stored(every.groupBy("anchor").agg(F.count("*").alias("c"), differ.alias("mixed")).filter("c > 1").select("anchor", "mixed"), "repeated-anchors")
+    here = stored(every.join(often.hint("merge"), "anchor"), "anchored")
     plain = here.filter("not mixed").select("id", "h", "start", (F.col("start") + F.col("n") + width - 1).alias("stop"))
     mixed = here.filter("mixed")
-    distinct = mixed.groupBy("anchor", "content", "n").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h", "start")).alias("at"))
-    wanted = distinct.groupBy("at.id", "at.h").agg(F.collect_list(F.struct("at.start", "n", "anchor", "content", "copies")).alias("ranges"))
+    distinct = mixed.groupBy("anchor", "content", "check", "n").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h", "start")).alias("at"))
+    wanted = distinct.groupBy("at.id", "at.h").agg(F.collect_list(F.struct("at.start", "n", "anchor", "content", "check", "copies")).alias("ranges"))
     wanted = stored(wanted, "strips-wanted")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for text, ranges in zip(b["text"], b["ranges"], strict=True):
                 data = as_bytes(text)
-                out = [(r["anchor"], r["content"], r["n"], r["copies"], data[r["start"] : r["start"] + r["n"] + width - 1]) for r in ranges]
-                yield pd.DataFrame(out, columns=["anchor", "content", "n", "copies", "data"])
+                out = [(r["anchor"], r["content"], r["check"], r["n"], r["copies"], data[r["start"] : r["start"] + r["n"] + width - 1]) for r in ranges]
+                yield pd.DataFrame(out, columns=["anchor", "content", "check", "n", "copies", "data"])
 
-    strips = beside(rows, wanted).filter("ranges is not null").mapInPandas(strip, "anchor long, content long, n long, copies long, data binary")
+    strips = beside(rows, wanted).filter("ranges is not null").mapInPandas(strip, "anchor long, content long, check long, n long, copies long, data binary")
     found = sorted_shards(stored(strips, "strips"), width, inner, shard_bytes)
-    edges = mixed.join(stored(found, "sorted"), ["anchor", "content", "n"]).select("id", "h", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + width - 1).alias("stop"))
+    edges = mixed.join(stored(found, "sorted").hint("merge"), ["anchor", "content", "check", "n"]).select("id", "h", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + width - 1).alias("stop"))
     both = plain.unionByName(edges).groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
