@@ -1,14 +1,18 @@
 """Main text of web pages by minimum cut.
 
-A page is cut into blocks: the text between tags that end a line. A linear classifier on length, links, punctuation, and the
-names of the elements around a block gives two costs, of calling it content and of calling it boilerplate. They are
-the capacities to the two terminals of a graph; edges between blocks that follow each other, stronger where they
-share their parent element, make a change of label cost something. The minimum cut of that graph is the labelling.
-Elements that never hold main text (scripts, styles, navigation, headers, footers, asides, forms, and what is named as advert, notice
-or comments) have capacities no cut would pay. Other names only make a block dearer to keep.
+A page is cut into blocks: the text between tags that end a line. A linear classifier gives each two costs, of calling it content and
+of calling it boilerplate, from its length, links, punctuation and tag, from the share of the page's prose that lies in articles, and from
+marks: elements around it whose tag or names stand for menus, headers, footers, sidebars, notices, adverts, forms and comments. The costs
+are the capacities to the two terminals of a graph. Edges between blocks that follow each other, weaker the farther apart they are
+in the tree, and between those of one parent make a change of label cost something. The minimum cut of that graph is the labelling.
+
+All costs are finite, and a mark is a feature, not a verdict: one that holds articles, headings or other marks and nearly all prose that
+has no mark is what a page is wrapped in, and counts the less the more it holds.
 
 Defined cases: null and empty html give an empty text. A page without content blocks gives an empty text. Tags that
-are never closed end with their parent; formulas and drawings also with the next element that can't be inside. Their text is part of the line. Repeated rows are extracted alike; result columns replace others of their name.
+are never closed end with their parent; formulas and drawings also with the next element that can't be inside. Their text is part of the line.
+A quote that no "=" precedes is a plain character of its tag. Repeated rows are extracted alike; result columns replace others of their name.
+Parsing takes time in proportion to the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +36,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset({"nav", "header", "footer", "aside", "form", "button", "select", "option", "head", "fieldset", "input"})
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
+IN_P = CLOSES_P | {"table", "button", "td", "th", "li", "body"}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 # Words in class, id and role that tell what an element is for.
 BAD_NAMES = re.compile(r"(?<![a-z])(ads?|advert\w*|adbox|adsense|adslot|comments?|commentlist|complementary|consent|contentinfo|cookies?|disqus|footer|form|header|masthead|nav|navbar|navigation|notice|notices|notification|sidebar|sponsor\w*)(?![a-z])")
@@ -41,32 +46,50 @@ AROUND_NAMES = re.compile(r"(?<![a-z])(banner|breadcrumbs?|captcha|dialog|foot|l
 BESIDE_NAMES = re.compile(r"(?<![a-z])(alert|byline|copyright|disclaimer|legal|links|related|tags?)(?![a-z])")
 GOOD_NAMES = re.compile(r"(?<![a-z])(article|articlebody|body|content|entry|main|post|story|text)(?![a-z])")
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
+NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|[\s\"'/])(?:hidden(?=[\s/>=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BLANKS = re.compile(r"\s+")
-SURE = 1e6
-#: Cost of keeping a block of such a name: for an empty one, falling to 0 at LONG characters; and for any.
-AROUND, LONG, BESIDE = 10.5, 160, 2.0
+#: A name of these words says what an element has beside it, not what it is.
+BESIDES = re.compile(r"(?:has|with|without|no|not|is|hide|show)[-_]|[-_](?:left|right|enabled|disabled|open|closed|on|off)$")
 FOREIGN = frozenset({"svg", "math"})
-#: Cost of a change of label between neighbours, and what is added if they share their parent.
-NEXT_TO, SAME_PARENT = 0.6, 1.2
+#: Cost of keeping a block under a mark: of the contract's kinds; of what goes on around a text, falling to 0 at LONG characters; of what is beside it.
+KIND, AROUND, LONG, BESIDE = 12.0, 10.5, 160, 2.0
+#: A mark that holds this many times the prose that has no mark counts half.
+WRAPS = 10.0
+#: Gain of a block in an article, and loss of one outside where articles hold all prose.
+ARTICLE = 4.0
+#: Cost of a change of label between neighbours of one element, and between blocks of one parent.
+NEXT_TO, SAME_PARENT = 0.9, 1.2
+
+
+@dataclass
+class Mark:
+    """An element that stands for boilerplate: the mark around it, its cost by kind, and what it holds."""
+
+    outer: int
+    kind: float
+    around: float
+    beside: float
+    may_wrap: bool
+    holds: bool = False
+    prose: int = 0
 
 
 @dataclass
 class Element:
-    """An open element: what it and all around it say about its text."""
+    """An open element and what all around it say. holder and root are places in the stack: of the innermost element that isn't
+    inline, and of the outermost of a formula or drawing."""
 
     tag: str
-    never: bool = False
+    number: int = 0
+    mark: int = -1
     article: bool = False
     good: bool = False
-    number: int = 0
     link: bool = False
-    around: bool = False
-    beside: bool = False
-    foreign: bool = False
+    holder: int = 0
+    root: int = 0
 
 
 @dataclass
@@ -75,147 +98,179 @@ class Block:
     linked: int
     parent: int
     tag: str
-    never: bool
+    mark: int
     article: bool
     good: bool
-    path: list[int] = field(default_factory=list)
-    around: bool = False
-    beside: bool = False
-
+    steps: int = 0  # in the tree from the block before
+
+
+class Page:
+    """The open elements, the marks and the blocks so far. The places of open tags are known, so nothing looks through the stack."""
+
+    def __init__(self) -> None:
+        self.stack, self.places, self.marks, self.blocks = [Element("")], {}, [], []
+        self.parts: list[str] = []
+        self.linked = self.number = self.lowest = self.last_depth = 0
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        """Closes all elements from a place in the stack on."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+        self.lowest = min(self.lowest, len(self.stack) - 1)
+
+    def close(self, tags: Iterable[str], scope: Iterable[str]) -> bool:
+        """Closes the innermost element of those tags if no element of the scope is inside it."""
+        place = self.last(tags)
+        if place and place > self.last(scope):
+            self.cut(place)
+            return True
+        return False
+
+    def open(self, tag: str, attributes: str) -> None:
+        around, self.number = self.stack[-1], self.number + 1
+        foreign = around.root if around.root and tag != "foreignobject" else len(self.stack) if tag in FOREIGN else 0
+        names = [w for m in NAMES.findall(attributes) for w in CAMEL.sub("-", next(filter(None, m[1:]), "")).split() if not BESIDES.search(w.lower())]
+        names = " ".join(names).lower().replace("_", "-") if names and tag not in ("body", "html", "article", "main") else ""
+        e = Element(tag, self.number, around.mark, around.article or tag in ("article", "main"), around.good or bool(GOOD_NAMES.search(names)), around.link or tag == "a", around.holder if tag in INLINE or foreign else len(self.stack), foreign)
+        if tag in NEVER or tag in ("menu", "dialog") or names or "hidden" in attributes.lower() or "none" in attributes:
+            sure = tag in NEVER or bool(BAD_NAMES.search(names)) or bool(HIDDEN.search(attributes))
+            goes_on, beside = tag in ("menu", "dialog") or bool(AROUND_NAMES.search(names)), bool(BESIDE_NAMES.search(names))
+            if sure or goes_on or beside:
+                if e.mark >= 0:
+                    self.marks[e.mark].holds = True
+                self.marks.append(Mark(e.mark, KIND * sure, AROUND * goes_on, BESIDE * beside, tag not in NEVER or tag in ("form", "fieldset"), bool(GOOD_NAMES.search(names))))
+                e.mark = len(self.marks) - 1
+        if tag in ("article", "main", "h1") and around.mark >= 0:
+            self.marks[around.mark].holds = True
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def add(self, text: str) -> None:
+        if text:
+            text = entities.unescape(text) if "&" in text else text
+            self.parts.append(text)
+            if self.stack[-1].link:
+                self.linked += len(text.strip())
 
-def element(tag: str, attributes: str, around: Element, number: int) -> Element:
-    names = " ".join(CAMEL.sub(" ", next(filter(None, m[1:]), "")) for m in NAMES.findall(attributes)).lower().replace("_", " ")
-    whole = tag in ("body", "html", "article", "main")
-    named = lambda pattern: bool(names and not whole and pattern.search(names))
-    return Element(
-        tag, around.never or tag in NEVER or named(BAD_NAMES) or bool(attributes and HIDDEN.search(attributes)), around.article or tag in ("article", "main"), around.good or bool(names and GOOD_NAMES.search(names)), number, around.link or tag == "a",
-        around.around or tag in ("menu", "dialog") or named(AROUND_NAMES), around.beside or named(BESIDE_NAMES), tag in FOREIGN or (around.foreign and tag != "foreignobject"),
-    )
+    def flush(self) -> None:
+        """Ends a block."""
+        text = BLANKS.sub(" ", "".join(self.parts)).strip() if self.parts else ""
+        if text:
+            at = self.stack[-1].holder
+            holder, above = self.stack[at], self.stack[max(0, at - 1)]
+            low = min(self.lowest, at)
+            self.blocks.append(Block(text, min(self.linked, len(text)), above.number, holder.tag, self.stack[-1].mark, holder.article, holder.good, self.last_depth + at - 2 * low))
+            self.last_depth = self.lowest = at
+        self.parts.clear()
+        self.linked = 0
 
 
-def blocks_of(page: str) -> list[Block]:
+def parsed(html: str) -> Page:
     """The blocks of a page, in order, with their white space put right and character references decoded."""
-    out: list[Block] = []
-    stack = [Element("", number=0)]
-    parts: list[str] = []
-    linked, number, at = 0, 0, 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = BLANKS.sub(" ", "".join(parts)).strip()
-            if text:
-                holder = next((e for e in reversed(stack) if e.tag not in INLINE and not e.foreign), stack[0])
-                top = stack[-1] if stack[-1].never else holder
-                above = stack[stack.index(holder) - 1] if holder is not stack[0] else holder
-                out.append(Block(text, min(linked, len(text)), above.number, holder.tag, top.never, holder.article, holder.good, around=top.around or holder.around, beside=top.beside or holder.beside))
-            parts.clear()
-        linked = 0
-
-    def close(tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
-        """Pops up to the innermost element of those tags, if no element of the scope is met before."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in scope:
-                return
-
-    def add(text: str) -> None:
-        nonlocal linked
-        if text:
-            text = entities.unescape(text) if "&" in text else text
-            parts.append(text)
-            if stack[-1].link:
-                linked += len(text.strip())
-
-    pos, end = 0, len(page)
-    while pos < end:
-        m = TAG.search(page, pos)
+    page, at, end = Page(), 0, len(html)
+    stack = page.stack
+    while at < end:
+        m = TAG.search(html, at)
         if not m:
             break
-        add(page[at : m.start()])
-        pos = at = m.end()
+        page.add(html[at : m.start()])
+        at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+                page.add(m[0][9:-3])
             continue
-        tag = m[2].lower()
+        tag, root = m[2].lower(), stack[-1].root
         if m[1]:
-            if stack[-1].foreign:  # ends a part of a formula or drawing, or all of it
-                i = len(stack) - 1
-                while stack[i].foreign and stack[i].tag != tag:
-                    i -= 1
-                if stack[i].foreign:
-                    del stack[i:]
-                    continue
+            place = page.last((tag,))
+            if root and place >= root:  # ends a part of a formula or drawing, or all of it
+                page.cut(place)
+                continue
             if tag not in INLINE:
-                flush()
+                page.flush()
             elif tag == "br":
-                parts.append(" ")
-            if tag == "p" and all(e.tag != "p" for e in stack):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+                page.parts.append(" ")
+            if place and (tag not in INLINE or place > stack[-1].holder):
+                page.cut(place)
             continue
+        whole = m[3].rstrip().endswith("/")
         if tag in RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            if not m[3].rstrip().endswith("/"):
-                pos = at = stop.end() if stop else end
-            if tag != "iframe" and not stack[-1].foreign:
-                flush()
+            if not whole:
+                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                at = stop.end() if stop else end
+            if tag != "iframe" and not root:
+                page.flush()
             continue
-        if stack[-1].foreign:
-            if tag in CLOSES_P or tag in OWN_KIND or tag in ("body", "head"):
-                while stack[-1].foreign:
-                    stack.pop()
-            else:
-                if tag != "br" and not m[3].rstrip().endswith("/"):
-                    number += 1
-                    stack.append(element(tag, m[3], stack[-1], number))
+        if root:
+            if tag not in CLOSES_P and tag not in OWN_KIND and tag not in ("body", "head"):
+                if tag != "br" and not whole:
+                    page.open(tag, m[3])
                 continue
+            page.cut(root)
         if tag in INLINE:
             if tag in VOID:
-                parts.append(" " if tag == "br" else "")
+                page.parts.append(" " if tag == "br" else "")
                 continue
             if tag == "a":
-                close(("a",), tuple(CLOSES_P))
+                page.close(("a",), CLOSES_P)
         else:
-            flush()
-            if tag in CLOSES_P and any(e.tag == "p" for e in stack):
-                close(("p",), ("table", "button", "td", "th", "div", "article", "section", "li", "body"))
+            page.flush()
+            if tag in CLOSES_P:
+                page.close(("p",), IN_P)
             if tag in OWN_KIND:
-                while any(e.tag in OWN_KIND[tag] for e in stack):
-                    n = len(stack)
-                    close(OWN_KIND[tag], SCOPE[tag])
-                    if len(stack) == n:
-                        break
+                while page.close(OWN_KIND[tag], SCOPE[tag]):
+                    pass
             if tag == "body":  # whatever the head left open is done
-                del stack[1:]
+                page.cut(1)
             if tag in VOID:
                 continue
-        number += 1
-        stack.append(element(tag, m[3], stack[-1], number))
-    add(page[at:])
-    flush()
+        page.open(tag, m[3])
+    page.add(html[at:])
+    page.flush()
+    return page
+
+
+def mark_costs(page: Page) -> list[tuple[float, float, float]]:
+    """Cost by kind of each mark and those around it, less what it loses as a wrapper of the page."""
+    bare = 0
+    for b in page.blocks:
+        if b.mark >= 0:
+            page.marks[b.mark].prose += len(b.text) - b.linked
+        else:
+            bare += len(b.text) - b.linked
+    out: list[tuple[float, float, float]] = []
+    for m in page.marks:  # outer ones come first
+        counts = 1.0
+        if m.may_wrap and m.holds and m.prose:
+            counts = WRAPS * bare / (WRAPS * bare + m.prose)
+        outer = out[m.outer] if m.outer >= 0 else (0.0, 0.0, 0.0)
+        out.append(tuple(max(x, counts * y) for x, y in zip(outer, (m.kind, m.around, m.beside), strict=True)))
+    return out
+
+
+def costs(page: Page) -> list[tuple[float, float]]:
+    """(cost of calling a block content, cost of calling it boilerplate) for each block; one of the two is zero."""
+    marks, inside, outside, out = mark_costs(page), 0, 0, []
+    for b in page.blocks:
+        if b.mark < 0 or marks[b.mark][0] < KIND / 2:
+            inside, outside = (inside + len(b.text), outside) if b.article else (inside, outside + len(b.text) - b.linked)
+    share = inside / (inside + outside) if inside else 0.0
+    little = min(1.0, (inside + outside) / 400)  # a short page has short blocks
+    for b in page.blocks:
+        kind, around, beside = marks[b.mark] if b.mark >= 0 else (0.0, 0.0, 0.0)
+        score = -0.6 * little + min(len(b.text) / 80, 2.0) - 3.0 * b.linked / len(b.text)
+        score += 0.4 * (b.text[-1] in ".!?…。\"'»”") + 0.8 * (b.tag in ("p", "pre", "blockquote", "h1", "h2", "h3")) + 0.6 * b.good
+        score -= kind + around * (1 - min(len(b.text) / LONG, 1.0)) + beside
+        score += ARTICLE * min(1.0, 2 * share) if b.article else -2 * ARTICLE * max(0.0, share - 0.5)
+        out.append((0.0, score) if score > 0 else (-score, 0.0))
     return out
 
 
-def costs(b: Block, articles: bool) -> tuple[float, float]:
-    """(cost of calling the block content, cost of calling it boilerplate); one of the two is zero."""
-    if b.never:
-        return SURE, 0.0
-    share = b.linked / len(b.text)
-    score = -0.6 + min(len(b.text) / 80, 2.0) - 3.0 * share
-    score += 0.4 * (b.text[-1] in ".!?…。\"'»”") + 0.8 * (b.tag in ("p", "pre", "blockquote", "h1", "h2", "h3")) + 0.6 * b.good
-    score -= AROUND * b.around * (1 - min(len(b.text) / LONG, 1.0)) + BESIDE * b.beside
-    if articles:
-        score += 4.0 if b.article else -4.0
-    return (0.0, score) if score > 0 else (-score, 0.0)
+def next_to(b: Block) -> float:
+    """Cost of a change of label between a block and the one before: less with each step between them in the tree."""
+    return NEXT_TO / (1 + b.steps / 4)
 
 
 class Flow:
@@ -272,11 +327,10 @@ class Flow:
         return [v >= 0 for v in level]
 
 
-def content(blocks: list[Block]) -> list[bool]:
+def content(page: Page) -> list[bool]:
     """The cheapest labelling. Stretches whose blocks all lean the same way, with the same parent, are one node: no cut
     would part them."""
-    articles = any(b.article and not b.never for b in blocks)
-    both = [costs(b, articles) for b in blocks]
+    blocks, both = page.blocks, costs(page)
     groups: list[list[int]] = []
     for i, (c, b) in enumerate(both):
         last = groups[-1][-1] if groups else -1
@@ -290,12 +344,12 @@ def content(blocks: list[Block]) -> list[bool]:
         as_content, as_rest = (sum(both[i][k] for i in members) for k in (0, 1))
         flow.join(source, g, as_rest, 0.0)
         flow.join(g, sink, as_content, 0.0)
-        parent = blocks[members[0]].parent
+        first = blocks[members[0]]
         if g:
-            flow.join(g - 1, g, NEXT_TO, NEXT_TO)
-        if (near := latest.get(parent)) is not None:
+            flow.join(g - 1, g, next_to(first), next_to(first))
+        if (near := latest.get(first.parent)) is not None:
             flow.join(near, g, SAME_PARENT, SAME_PARENT)
-        latest[parent] = g
+        latest[first.parent] = g
     side = flow.cut(source, sink)
     label = [False] * len(blocks)
     for g, members in enumerate(groups):
@@ -304,9 +358,9 @@ def content(blocks: list[Block]) -> list[bool]:
     return label
 
 
-def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    return "\n\n".join(b.text for b, keep in zip(blocks, content(blocks), strict=True) if keep) if blocks else ""
+def main_text(html: str | None) -> str:
+    page = parsed(html or "")
+    return "\n\n".join(b.text for b, keep in zip(page.blocks, content(page), strict=True) if keep) if page.blocks else ""
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
