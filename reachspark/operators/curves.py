@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -165,19 +167,24 @@ def mixture_weights(histogram: np.ndarray, means: np.ndarray, rounds: int = 2000
 
 
 def dirac_fit(histograms: DataFrame) -> DataFrame:
-    """(key, histogram, components) with weights; a row that can't be fitted has an error instead."""
+    """key, components and weights of (key, histogram, components). Where no finite weights come out, every second component goes, down to
+    one; a row that can't be fitted has an error instead."""
 
     def fit(batches):
         for b in batches:
             out = []
             for key, h, c in zip(b["key"], b["histogram"], b["components"], strict=True):
                 try:
-                    out.append((key, mixture_weights(h, c).tolist(), None))
+                    c, w = np.asarray(c, dtype=float), mixture_weights(h, c)
+                    while not np.isfinite(w).all() and len(c) > 1:
+                        c = c[::2]
+                        w = mixture_weights(h, c)
+                    out.append((key, c.tolist(), w.tolist(), None))
                 except ValueError as e:
-                    out.append((key, None, str(e)))
-            yield pd.DataFrame(out, columns=["key", "weights", "error"])
+                    out.append((key, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["key", "components", "weights", "error"])
 
-    return histograms.mapInPandas(fit, "key string, weights array<double>, error string")
+    return histograms.mapInPandas(fit, "key string, components array<double>, weights array<double>, error string")
 
 
 def dirac_predict(fits: DataFrame, scale: Column, most: int) -> DataFrame:
@@ -189,27 +196,164 @@ def dirac_predict(fits: DataFrame, scale: Column, most: int) -> DataFrame:
     return sums.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "p"))), lambda x: x["p"]).alias("pmf"))
 
 
-def gamma_poisson_fit(points: DataFrame, cells: int = 16, rounds: int = 4, most_alpha: float = 100.0) -> DataFrame:
-    """key, alpha, beta, n, objective for points (key, impressions, histogram): audience n and alpha on a grid that shrinks,
-    spread over the cluster cell by cell; in each cell beta is the one at which 1+ reach is met, found by halving."""
-    h = F.col("histogram")
-    reach = F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
-    i = F.col("impressions").cast("double")
-    ends = points.select("key", "impressions", "histogram").withColumns({"a0": F.lit(np.log(1e-3)), "a1": F.lit(np.log(most_alpha)), "n0": F.log(reach * 1.0001), "n1": F.log(reach * 100)})
-    grid = points.sparkSession.range(cells * cells).select((F.col("id") % cells).alias("x"), F.floor(F.col("id") / cells).alias("y"))
+def expected_histogram(impressions: float, alpha: np.ndarray, beta: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """gamma_poisson_histogram for arrays of parameters: a row of `most` values for each."""
+    top = n * (1 + alpha * beta)
+    share = np.minimum(impressions, top - 1) / top
+    p = 1 / (1 + beta * share)
+    nb, out, last = np.power(p, alpha), [], np.zeros_like(p)
+    for k in range(most):
+        out.append(n * ((1 - share) * nb + share * last))
+        last, nb = nb, nb * (alpha + k) / (k + 1) * (1 - p)
+    exact = np.stack(out, axis=-1)
+    return np.concatenate([exact[..., 1:], (n - exact.sum(axis=-1))[..., None]], axis=-1)
+
+
+def chi2_of(h: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """chi2 of one histogram and rows of expected ones."""
+    gap = (expected - h).sum(axis=-1)
+    return ((expected - h) ** 2 / (np.abs(expected) + 1e-6)).sum(axis=-1) + gap * gap
+
+
+def gamma_poisson_grid(h: np.ndarray, impressions: float, cells: int, rounds: int, most_alpha: float) -> tuple[float, float, float, float]:
+    """alpha, beta, n, objective: audience and alpha on a grid that shrinks; in each cell beta meets 1+ reach, found by halving."""
+    reach = h.sum()
+    a0, a1, n0, n1 = np.log(1e-3), np.log(most_alpha), np.log(reach * 1.0001), np.log(reach * 100)
+    best = (np.nan, np.nan, np.nan, np.inf)
     for _ in range(rounds):
-        c = ends.crossJoin(F.broadcast(grid))
-        c = c.withColumns({"alpha": F.exp(F.col("a0") + (F.col("a1") - F.col("a0")) * F.col("x") / (cells - 1)), "n": F.exp(F.col("n0") + (F.col("n1") - F.col("n0")) * F.col("y") / (cells - 1))})
-        # P(0) = (1 - s)(1 + beta s)^-alpha with share s = I / (n (1 + alpha beta)) falls short of the truth on one side of the root
-        unreached = lambda b: (1 - i / (F.col("n") * (1 + F.col("alpha") * b))) * F.pow(1 + b * i / (F.col("n") * (1 + F.col("alpha") * b)), -F.col("alpha"))
-        least = F.greatest((i + 1) / F.col("n") - 1, F.lit(0.0)) / F.col("alpha") + 1e-9
-        halve = lambda s, _: F.struct(F.when(F.col("n") * (1 - unreached(F.exp((s["lo"] + s["hi"]) / 2))) > reach, (s["lo"] + s["hi"]) / 2).otherwise(s["lo"]).alias("lo"), F.when(F.col("n") * (1 - unreached(F.exp((s["lo"] + s["hi"]) / 2))) > reach, s["hi"]).otherwise((s["lo"] + s["hi"]) / 2).alias("hi"))  # noqa: E731, B023
-        c = c.withColumn("beta", F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.log(least).alias("lo"), F.lit(np.log(1e6)).alias("hi")), halve)["hi"]))
-        expected = gamma_poisson_histogram(F.col("impressions"), F.col("alpha"), F.col("beta"), F.col("n"), 10)
-        c = c.withColumn("expected", expected).withColumn("objective", chi2(h, F.col("expected"), F.lit(0.0), F.lit(0.0)))
-        best = c.groupBy("key").agg(F.min_by(F.struct("alpha", "beta", "n", "objective", "impressions", "histogram", "a0", "a1", "n0", "n1"), "objective").alias("b")).select("key", "b.*")
-        span = lambda lo, hi: (F.col(hi) - F.col(lo)) * 2 / (cells - 1)
-        ends = best.select("key", "impressions", "histogram", "alpha", "beta", "n", "objective", (F.log("alpha") - span("a0", "a1")).alias("a0"), (F.log("alpha") + span("a0", "a1")).alias("a1"), F.greatest(F.log("n") - span("n0", "n1"), F.log(reach * 1.0001)).alias("n0"), (F.log("n") + span("n0", "n1")).alias("n1"))
-        best = ends
-        ends = ends.drop("alpha", "beta", "n", "objective")
-    return best.select("key", "alpha", "beta", "n", "objective")
+        alpha, n = (x.ravel() for x in np.meshgrid(np.exp(np.linspace(a0, a1, cells)), np.exp(np.linspace(n0, n1, cells))))
+        low = np.log(np.maximum((impressions + 1) / n - 1, 0.0) / alpha + 1e-9)
+        high = np.full_like(low, np.log(1e6))
+        for _ in range(40):
+            middle = (low + high) / 2
+            top = n * (1 + alpha * np.exp(middle))
+            unreached = (1 - impressions / top) * np.power(1 + np.exp(middle) * impressions / top, -alpha)
+            over = n * (1 - unreached) > reach
+            low, high = np.where(over, middle, low), np.where(over, high, middle)
+        beta = np.exp(high)
+        score = chi2_of(h, expected_histogram(impressions, alpha, beta, n, len(h)))
+        i = int(np.nanargmin(score))
+        if score[i] <= best[3]:
+            best = (float(alpha[i]), float(beta[i]), float(n[i]), float(score[i]))
+        wide_a, wide_n = 2 * (a1 - a0) / (cells - 1), 2 * (n1 - n0) / (cells - 1)
+        a0, a1 = np.log(best[0]) - wide_a, np.log(best[0]) + wide_a
+        n0, n1 = max(np.log(best[2]) - wide_n, np.log(reach * 1.0001)), np.log(best[2]) + wide_n
+    return best
+
+
+def gamma_poisson_fit(points: DataFrame, cells: int = 16, rounds: int = 4, most_alpha: float = 100.0) -> DataFrame:
+    """key, alpha, beta, n, objective for points (key, impressions, histogram): one small grid search for each row."""
+
+    def fit(batches):
+        for b in batches:
+            out = [(key, *gamma_poisson_grid(np.asarray(h, dtype=float), float(i), cells, rounds, most_alpha)) for key, i, h in zip(b["key"], b["impressions"], b["histogram"], strict=True)]
+            yield pd.DataFrame(out, columns=["key", "alpha", "beta", "n", "objective"])
+
+    return points.select("key", "impressions", "histogram").mapInPandas(fit, "key string, alpha double, beta double, n double, objective double")
+
+
+def least_point(f, start: np.ndarray, size: float = 0.3, steps: int = 400) -> tuple[np.ndarray, float]:
+    """A point where f is least nearby, by a simplex that is reflected, stretched, drawn in and shrunk."""
+    points = [np.asarray(start, dtype=float)] + [start + size * e for e in np.eye(len(start))]
+    values = [f(p) for p in points]
+    for _ in range(steps):
+        order = np.argsort(values)
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if abs(values[-1] - values[0]) <= 1e-10 * (1 + abs(values[0])):
+            break
+        middle = np.mean(points[:-1], axis=0)
+        away = middle - points[-1]
+        tries = {t: f(middle + t * away) for t in (1.0,)}
+        if tries[1.0] < values[0]:
+            tries[2.0] = f(middle + 2 * away)
+        elif tries[1.0] >= values[-2]:
+            tries[0.5 if tries[1.0] < values[-1] else -0.5] = f(middle + (0.5 if tries[1.0] < values[-1] else -0.5) * away)
+        t = min(tries, key=tries.get)
+        if tries[t] < values[-1] and (t != 1.0 or tries[t] < values[-2] or len(tries) == 1):
+            points[-1], values[-1] = middle + t * away, tries[t]
+        else:
+            points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
+            values = [values[0]] + [f(p) for p in points[1:]]
+    i = int(np.argmin(values))
+    return points[i], float(values[i])
+
+
+def chi2_share(x: float, freedom: int) -> float:
+    """The share of a chi-squared law below x, by the series of the incomplete gamma function."""
+    a, y = freedom / 2, x / 2
+    if y > a + 400:
+        return 1.0
+    term = total = 1 / a
+    for k in range(1, 2000):
+        term *= y / (a + k)
+        total += term
+        if term < total * 1e-15:
+            break
+    return min(1.0, total * math.exp(a * math.log(max(y, 1e-300)) - y - math.lgamma(a)))
+
+
+def inflated_histogram(impressions: float, alpha: float, beta: float, n: float, prefix: np.ndarray, most: int) -> np.ndarray:
+    """Expected people by frequency of an inflated model, as kinflated_kreach has them; the last value is for `most` or more."""
+    numbers = np.arange(1, len(prefix) + 1)
+    usual = np.power(1 / (1 + beta), alpha) * np.concatenate([[1.0], np.cumprod((alpha + numbers[:-1] - 1) / numbers[:-1] * (beta / (1 + beta)))]) if len(prefix) else np.zeros(0)
+    scale = (1 - prefix.sum()) / max(1 - usual.sum(), 1e-300)
+    mean = (prefix * numbers).sum() + scale * (1 + alpha * beta - (usual * numbers).sum())
+    share = min(1.0, impressions / max(n * mean, 1e-300))
+    p = 1 / (1 + beta * share)
+    nb, last, out = p**alpha, 0.0, []
+    for k in range(most):
+        ways = np.array([math.comb(int(i), k) * share**k * (1 - share) ** (int(i) - k) if k <= i else 0.0 for i in numbers])
+        out.append(n * (((prefix - scale * usual) * ways).sum() + scale * ((1 - share) * nb + share * last)))
+        last, nb = nb, nb * (alpha + k) / (k + 1) * (1 - p)
+    return np.array([*out[1:], n - sum(out)])
+
+
+def inflated_parameters(h: np.ndarray, impressions: float, most_inflated: int) -> tuple[float, float, float, list[float], float]:
+    """alpha, beta, n, prefix, objective: probabilities of 1, 2, .. impressions are set free one by one until the histogram is likely enough."""
+    reach, prefix = h.sum(), np.zeros(0)
+
+    def fitted(start: np.ndarray, free: int) -> tuple[np.ndarray, float]:
+        def f(v: np.ndarray) -> float:
+            alpha, beta, n = np.exp(v[:3])
+            own = v[3:]
+            if not (1e-4 <= alpha <= 1000 and 1e-4 <= beta <= 1e4 and reach <= n <= 100 * reach) or (own < 0).any() or own.sum() > 1:
+                return float((h * h).sum() + impressions**2)
+            lack = max(0.0, impressions - n * (1 + alpha * beta)) if not free else 0.0
+            return float(chi2_of(h, inflated_histogram(impressions, alpha, beta, n, own, len(h)))) + lack * lack
+
+        return least_point(f, start, 0.1)
+
+    alpha, beta, n, _ = gamma_poisson_grid(h, impressions, 16, 3, 100.0)
+    v, score = fitted(np.log([alpha, beta, n]), 0)
+    while len(h) > 1 and chi2_share(score, len(h)) > 0.95 and len(prefix) < most_inflated:
+        alpha, beta = np.exp(v[:2])
+        k = len(prefix) + 1
+        pmf = (1 + beta) ** -alpha * np.prod([(alpha + j - 1) / j * (beta / (1 + beta)) for j in range(1, k)])
+        left = max(0.0, 1 - v[3:].sum())
+        v, score = fitted(np.concatenate([v, [min(pmf, left)]]), k)
+        prefix = v[3:]
+    alpha, beta, n = np.exp(v[:3])
+    return float(alpha), float(beta), float(n), prefix.tolist(), score
+
+
+def kinflated_fit(points: DataFrame, most_inflated: int = 4) -> DataFrame:
+    """key, alpha, beta, n, prefix, objective for points (key, impressions, histogram): one small search for each row."""
+
+    def fit(batches):
+        for b in batches:
+            out = [(key, *inflated_parameters(np.asarray(h, dtype=float), float(i), most_inflated)) for key, i, h in zip(b["key"], b["impressions"], b["histogram"], strict=True)]
+            yield pd.DataFrame(out, columns=["key", "alpha", "beta", "n", "prefix", "objective"])
+
+    return points.select("key", "impressions", "histogram").mapInPandas(fit, "key string, alpha double, beta double, n double, prefix array<double>, objective double")
+
+
+def kinflated_kplus(impressions: Column, alpha: Column, beta: Column, n: Column, prefix: Column, most: int) -> Column:
+    """k+ reach of an inflated model for k = 1..most."""
+    sum_ = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    numbers = F.when(F.size(prefix) > 0, F.sequence(F.lit(1), F.greatest(F.size(prefix), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    usual = F.transform(numbers, lambda i: gamma_poisson_pmf(i, alpha, beta))
+    scale = (1 - sum_(prefix)) / F.greatest(1 - sum_(usual), F.lit(1e-300))
+    mean = sum_(F.zip_with(prefix, numbers, lambda x, i: x * i)) + scale * (1 + alpha * beta - sum_(F.zip_with(usual, numbers, lambda x, i: x * i)))
+    share = F.least(impressions / (n * mean), F.lit(1.0))
+    seen = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: kinflated_kreach(k, share, alpha, beta, prefix))
+    return F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: n * (1 - sum_(F.slice(seen, 1, k))))

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from reachspark.functions.ranking import ranked
 from reachspark.operators import privacy, sketch
+from reachspark.sources.scratch import kept
 
 #: Publishers with spend above which regions aren't made out.
 MOST_PUBLISHERS = 20
+#: Masks that are set against all regions one by one; more are answered by sums over subsets.
+FEW_MASKS = 64
 
 
 def bit() -> Column:
@@ -42,10 +45,39 @@ def venn_regions(users: DataFrame, regions: DataFrame, most: int) -> DataFrame:
 
 def subset_union_reach(regions: DataFrame, masks: DataFrame) -> DataFrame:
     """mask, reach: people reached by any publisher of each mask, from (region, reach) rows."""
-    pairs = masks.join(F.broadcast(regions.select("region", "reach")), F.col("region").bitwiseAND(F.col("mask")) != 0, "left")  # 2^20 regions at most
+    few = F.broadcast(masks.select("mask")) if masks.count() <= FEW_MASKS else None
+    if few is None:  # union = total less the sum over the subsets of the complement, which one transform gives for all masks
+        kind = regions.schema["reach"].dataType
+        width = max(2, (regions.agg(F.max("region")).first()[0] or 0).bit_length())
+        full = regions.agg(F.sum("reach").cast(kind).alias("total"), F.coalesce(F.bit_or("region"), F.lit(0)).cast("long").alias("active"))
+        asked = masks.select("mask").join(F.broadcast(full)).withColumn("rest", F.col("active").bitwiseAND(F.bitwise_not(F.col("mask"))))
+        inside = subset_sums(regions, width)
+        return asked.join(inside, F.col("rest") == F.col("subset"), "left").select("mask", F.coalesce((F.col("total") - F.coalesce("within", F.lit(0))).cast(kind), F.lit(0).cast(kind)).alias("reach"))
+    pairs = few.join(regions.select("region", "reach"), F.col("region").bitwiseAND(F.col("mask")) != 0, "left")
     return pairs.groupBy("mask").agg(F.coalesce(F.sum("reach"), F.lit(0)).alias("reach"))
 
 
+def subset_sums(regions: DataFrame, bits: int) -> DataFrame:
+    """subset, within: for every set of publishers below 2^bits that some region's half bits name, the reach of the regions inside it.
+
+    Sums run along the low half of the bits, in an array for each high half, and then along the high half, in an array for each
+    low one: two shuffles of 2^bits numbers at most, whatever the number of pairs."""
+    low = bits // 2
+    n_low, n_high = 1 << low, 1 << (bits - low)
+    split = regions.select(F.shiftright("region", low).cast("int").alias("a"), F.col("region").bitwiseAND(F.lit(n_low - 1)).cast("int").alias("b"), F.col("reach").alias("v"))
+
+    def along(df: DataFrame, key: str, place: str, size: int, steps: int) -> DataFrame:
+        filled = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(place, "v"))).alias("m"))
+        sums = filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast(df.schema["v"].dataType))).alias("x"))
+        for s in range(steps):
+            half = F.lit(1 << s)
+            sums = sums.withColumn("x", F.transform("x", lambda v, i: F.when(i.bitwiseAND(half) != 0, v + F.get("x", i - half)).otherwise(v)))  # noqa: B023
+        return sums.select(key, F.posexplode("x").alias(place, "v"))
+
+    sums = along(along(split, "a", "b", n_low, low), "b", "a", n_high, bits - low)
+    return sums.select((F.shiftleft(F.col("a").cast("long"), low) + F.col("b")).alias("subset"), F.col("v").alias("within"))
+
+
 def all_subset_reach(regions: DataFrame, publishers: DataFrame) -> DataFrame:
     """mask, reach, impressions[], spends[] for every region's mask; publishers outside the mask show and spend nothing."""
     union = subset_union_reach(regions, regions.select(F.col("region").alias("mask")).distinct())
@@ -71,8 +103,8 @@ def sample_users(users: DataFrame, n: int, seed: str) -> DataFrame:
     have = users.count()
     if n > have:
         raise ValueError(f"{n} people to sample, {have} reached")
-    drawn = users.withColumn("s_hash", F.xxhash64("vid", F.lit(seed)))
-    return ranked(drawn, [], F.shiftright("s_hash", 48), ["s_hash", "vid"], "s_rank").filter(F.col("s_rank") <= n).drop("s_hash", "s_rank")
+    drawn = users.withColumn("s_hash", privacy.digest("vid", seed=seed))
+    return ranked(drawn, [], F.substring("s_hash", 1, 4), ["s_hash", "vid"], "s_rank").filter(F.col("s_rank") <= n).drop("s_hash", "s_rank")
 
 
 def scale_regions(regions: DataFrame, cardinality: float) -> DataFrame:
@@ -82,24 +114,33 @@ def scale_regions(regions: DataFrame, cardinality: float) -> DataFrame:
     return regions.join(F.broadcast(total)).select("region", share.alias("reach"))
 
 
-def regions_dp(prefix: DataFrame, limits: DataFrame, epsilon: float, seed: str, noise: bool = True) -> DataFrame:
-    """region, reach of one data set's campaign as a sketch would show them; nothing if no publisher spends.
+def noise_regions(regions: DataFrame, epsilon: float, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Regions with geometric noise on every count, 0 at least, and the ledger of it."""
+    noisy = regions.withColumn("reach", F.greatest(F.col("reach") + privacy.geometric_noise("region", epsilon=epsilon, seed=seed), F.lit(0)))
+    return noisy.select("region", "reach"), privacy.event(regions.sparkSession, epsilon, 0.0, "Discrete Laplace", {"epsilon": epsilon})
+
+
+def regions_dp(prefix: DataFrame, limits: DataFrame, epsilon: float, seed: str, noise: bool = True, most: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(region, reach) of one data set's campaign as a sketch would show them, nothing if no publisher spends, and the ledger of it.
 
     As many people are drawn as the campaign's sketch has registers with one person. Every region's count, zeros too, gets noise of
-    epsilon, and so does the sketch's cardinality that they are scaled to."""
-    active = active_publishers(limits)
-    regions = powerset(prefix.sparkSession, active)
+    epsilon, and so does the sketch's cardinality that they are scaled to. Only 1+ reach can be told: another `most` is an error."""
+    if most != 1:
+        raise ValueError("regions tell 1+ reach only")
+    spark, active = prefix.sparkSession, active_publishers(limits)
+    regions, ledger = powerset(spark, active), spark.createDataFrame([], privacy.LEDGER)
     if not active:
-        return regions.select("region", F.lit(0.0).alias("reach"))
-    registers = sketch.build(prefix, seed, ("dataset",))
+        return regions.select("region", F.lit(0.0).alias("reach")), ledger
+    registers = kept(sketch.build(prefix, seed, ("dataset",)), "registers")
     size = F.col("reach") + (privacy.geometric_noise("dataset", epsilon=epsilon, seed=f"{seed}-size") if noise else F.lit(0))
-    seen = sketch.estimate(registers, 1).join(sketch.active_registers(registers), "dataset").select("active", size.alias("size")).first()
+    seen = sketch.estimate(registers, 1).join(sketch.active_registers(registers), "dataset").select("active", size.alias("size")).first()  # one row for the data set
     if seen is None:
         raise ValueError("no register holds one person")
-    drawn = venn_regions(sample_users(user_region(prefix), seen.active, seed), regions, 1)
+    drawn = venn_regions(sample_users(user_region(prefix), seen.active, f"{seed}-draw"), regions, 1)
     if noise:
-        drawn = drawn.withColumn("reach", F.greatest(F.col("reach") + privacy.geometric_noise("region", epsilon=epsilon, seed=seed), F.lit(0)))
-    return scale_regions(drawn, seen.size)
+        drawn, ledger = noise_regions(drawn, epsilon, seed)
+        ledger = privacy.append(ledger, privacy.event(spark, epsilon, 0.0, "Discrete Laplace", {"epsilon": epsilon}))
+    return scale_regions(drawn, seen.size), ledger
 
 
 def overlap_features(publishers: DataFrame) -> DataFrame:

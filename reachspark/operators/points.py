@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reachspark.operators.privacy import uniform
+from reachspark.operators.privacy import digest, uniform
 
 MOST_LATIN = 2000
 
@@ -35,7 +35,7 @@ def latin_unit(spark: SparkSession, dimensions: DataFrame, n: int, seed: str, tr
     dimensions has a column dim. At most 2000 points, so a candidate's distances are four million rows for each dimension."""
     n = min(n, MOST_LATIN)
     cells = dimensions.select("dim").crossJoin(spark.range(tries).select(F.col("id").alias("try"))).crossJoin(spark.range(n).select(F.col("id").alias("point_id")))
-    stratum = F.row_number().over(Window.partitionBy("dim", "try").orderBy(F.xxhash64("dim", "try", "point_id", F.lit(seed)), "point_id")) - 1
+    stratum = F.row_number().over(Window.partitionBy("dim", "try").orderBy(digest("dim", "try", "point_id", seed=seed), "point_id")) - 1
     cells = cells.withColumn("u", (stratum + uniform("dim", "try", "point_id", seed=f"{seed}-in")) / n)
     if tries > 1:
         a, b = cells, cells.select("dim", "try", F.col("point_id").alias("q"), F.col("u").alias("v"))

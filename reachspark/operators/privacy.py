@@ -12,9 +12,14 @@ LEDGER = "epsilon DOUBLE, delta DOUBLE, mechanism STRING, params MAP<STRING, DOU
 
 
 def uniform(*key: Column | str, seed: str) -> Column:
-    """A number between 0 and 1, both excluded, that depends on the key and the seed alone."""
-    h = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11)
-    return (h.cast("double") + 0.5) / F.lit(float(1 << 53))
+    """A number between 0 and 1, both excluded, that depends on the key and the seed alone: 52 bits of an MD5, which any engine has."""
+    h = F.conv(F.substring(digest(*key, seed=seed), 1, 13), 16, 10).cast("long")
+    return (h.cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def digest(*key: Column | str, seed: str) -> Column:
+    """The MD5 of key and seed as hexadecimal digits: what random orders go by."""
+    return F.md5(F.concat_ws("/", *(k if isinstance(k, Column) else F.col(k) for k in key), F.lit(seed)))
 
 
 def normal(*key: Column | str, seed: str) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reachspark.functions.joins import beside
+from reachspark.sources.scratch import kept
+
 K = 10
 
 
@@ -40,12 +43,12 @@ def campaign_spend(log: DataFrame, fractions: list[float]) -> DataFrame:
 
 def within(log: DataFrame, limits: DataFrame) -> DataFrame:
     """The impressions that a spend_limit for each publisher buys."""
-    return log.join(limits.select("dataset", "publisher", "spend_limit"), ["dataset", "publisher"]).filter("spend <= spend_limit").drop("spend_limit")
+    return beside(log, limits.select("dataset", "publisher", "spend_limit"), ["dataset", "publisher"]).filter("spend <= spend_limit").drop("spend_limit")
 
 
 def within_impressions(log: DataFrame, limits: DataFrame) -> DataFrame:
     """The first impressions of each publisher, as many as its impression_limit."""
-    return log.join(limits.select("dataset", "publisher", "impression_limit"), ["dataset", "publisher"]).filter("seq <= impression_limit").drop("impression_limit")
+    return beside(log, limits.select("dataset", "publisher", "impression_limit"), ["dataset", "publisher"]).filter("seq <= impression_limit").drop("impression_limit")
 
 
 def spend_by_impressions(log: DataFrame, points: DataFrame) -> DataFrame:
@@ -57,9 +60,9 @@ def spend_by_impressions(log: DataFrame, points: DataFrame) -> DataFrame:
 
 def impressions_by_spend(log: DataFrame, points: DataFrame) -> DataFrame:
     """points (dataset, publisher, spend) with the impressions bought; all points of a publisher in one pass over it."""
-    lists = points.groupBy("dataset", "publisher").agg(F.sort_array(F.collect_set("spend")).alias("at"))
+    lists = kept(points.groupBy("dataset", "publisher").agg(F.sort_array(F.collect_set("spend")).alias("at")), "spends")
     place = F.size(F.filter("at", lambda p: p < F.col("spend")))
-    step = log.join(lists, ["dataset", "publisher"]).groupBy("dataset", "publisher", place.alias("i")).agg(F.count("*").alias("n"))
+    step = beside(log, lists, ["dataset", "publisher"]).groupBy("dataset", "publisher", place.alias("i")).agg(F.count("*").alias("n"))
     each = lists.select("dataset", "publisher", F.posexplode("at").alias("j", "spend"))
     sums = each.join(step, ["dataset", "publisher"], "left").groupBy("dataset", "publisher", "spend").agg(F.coalesce(F.sum(F.when(F.col("i") <= F.col("j"), F.col("n"))), F.lit(0)).alias("impressions"))
     return points.join(sums, ["dataset", "publisher", "spend"])
@@ -129,9 +132,9 @@ def reach_curve(log: DataFrame, points: DataFrame, most: int = K) -> DataFrame:
 
     A person counts for k from the spend of their k-th impression on. So those are found once, counted between points, and
     summed up along the points: no point costs another pass."""
-    lists = points.groupBy("dataset", "publisher").agg(F.sort_array(F.collect_set("spend")).alias("at"))
+    lists = kept(points.groupBy("dataset", "publisher").agg(F.sort_array(F.collect_set("spend")).alias("at")), "spends")
     nth = F.row_number().over(Window.partitionBy("dataset", "publisher", "vid").orderBy("spend", "seq"))
-    steps = log.withColumn("k", nth.cast("long")).filter(F.col("k") <= most).join(lists, ["dataset", "publisher"])
+    steps = beside(log.withColumn("k", nth.cast("long")).filter(F.col("k") <= most), lists, ["dataset", "publisher"])
     steps = steps.groupBy("dataset", "publisher", "k", F.size(F.filter("at", lambda p: p < F.col("spend"))).alias("i")).agg(F.count("*").alias("n"))
     each = lists.select("dataset", "publisher", F.posexplode("at").alias("j", "spend"), F.sequence(F.lit(1).cast("long"), F.lit(most).cast("long")).alias("ks"))
     each = each.select("dataset", "publisher", "j", "spend", F.explode("ks").alias("k"))
@@ -143,11 +146,11 @@ def reach_at_points(log: DataFrame, points: DataFrame, most: int = K) -> DataFra
     """dataset, point_id, k, reach of all publishers together at many spend vectors (dataset, point_id, publisher, spend).
 
     Impressions are counted for each person, publisher and interval between points first."""
-    lists = points.groupBy("dataset", "publisher").agg(F.sort_array(F.collect_set("spend")).alias("at"))
+    lists = kept(points.groupBy("dataset", "publisher").agg(F.sort_array(F.collect_set("spend")).alias("at")), "spends")
     place = F.size(F.filter("at", lambda p: p < F.col("spend")))
-    held = log.join(lists, ["dataset", "publisher"]).groupBy("dataset", "publisher", "vid", place.alias("i")).agg(F.count("*").alias("n"))
-    at = points.join(lists, ["dataset", "publisher"]).select("dataset", "publisher", "point_id", F.size(F.filter("at", lambda p: p < F.col("spend"))).alias("j"))
-    seen = held.join(at, ["dataset", "publisher"]).filter("i <= j").groupBy("dataset", "point_id", "vid").agg(F.sum("n").alias("f"))
+    held = beside(log, lists, ["dataset", "publisher"]).groupBy("dataset", "publisher", "vid", place.alias("i")).agg(F.count("*").alias("n"))
+    at = kept(points.join(lists, ["dataset", "publisher"]).select("dataset", "publisher", "point_id", F.size(F.filter("at", lambda p: p < F.col("spend"))).alias("j")), "points")
+    seen = beside(held, at, ["dataset", "publisher"], F.xxhash64("vid")).filter("i <= j").groupBy("dataset", "point_id", "vid").agg(F.sum("n").alias("f"))
     rows = kplus(seen, ("dataset", "point_id"), most)
     every = at.select("dataset", "point_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(most).cast("long"))))
     return every.join(rows, ["dataset", "point_id", "k"], "left").select("dataset", "point_id", "k", F.coalesce("reach", F.lit(0)).alias("reach"))

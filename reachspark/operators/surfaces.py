@@ -133,3 +133,57 @@ def restricted_fit(points: DataFrame, union: DataFrame, starts: int = 8, sweeps:
     all_ = sums.crossJoin(F.broadcast(tries)).groupBy("dataset", "try").applyInPandas(solve, "dataset string, try long, pub_idx int, l double, loss double")
     best = all_.groupBy("dataset").agg(F.min_by("try", F.struct("loss", "try")).alias("try"))
     return all_.join(best, ["dataset", "try"]).select("dataset", "pub_idx", "l")
+
+
+def onto_simplex(a: np.ndarray) -> np.ndarray:
+    """Rows moved to the nearest points that are not negative and sum to 1."""
+    down = -np.sort(-a, axis=1)
+    over = np.cumsum(down, axis=1) - 1
+    many = np.arange(1, a.shape[1] + 1)
+    last = (down - over / many > 0).sum(axis=1)
+    return np.maximum(a - (over[np.arange(len(a)), last - 1] / last)[:, None], 0)
+
+
+def mixture_start(r: np.ndarray, y: np.ndarray, size: float, clusters: int, seed: int, rounds: int, steps: int = 300) -> tuple[np.ndarray, float]:
+    """a (publishers x clusters) and its loss, from one random start: shares of clusters that a sum covers, and least squares, by turns."""
+    rng, x = np.random.default_rng(seed), r / size
+    a = rng.dirichlet(np.ones(clusters) / 5 + 1e-3, size=x.shape[1])
+
+    def loss(a: np.ndarray) -> float:
+        hit = 1 - np.prod(1 - x[:, :, None] * a[None], axis=1)
+        return float(((hit.sum(axis=1) - y / size) ** 2).sum())
+
+    best = (a, loss(a))
+    for _ in range(rounds):
+        part = x[:, :, None] * a[None]
+        total = part.sum(axis=1)
+        theta = np.where(total > 0, (1 - np.prod(1 - part, axis=1)) / np.maximum(total, 1e-300), 1.0)
+        z = (x[:, :, None] * theta[:, None, :]).reshape(len(x), -1)
+        g, b = z.T @ z, z.T @ (y / size)
+        top = np.linalg.eigvalsh(g)[-1] or 1.0
+        for _ in range(steps):
+            a = onto_simplex(a - ((g @ a.ravel() - b) / top).reshape(a.shape))
+        now = loss(a)
+        if now < best[1] - 1e-15:
+            best = (a, now)
+        else:
+            break
+    return best
+
+
+def mixture_fit(points: DataFrame, union: DataFrame, clusters: int = 2, starts: int = 10, rounds: int = 100) -> DataFrame:
+    """dataset, pub_idx, j, a for mixture_predict: the best of several starts, each a task of its own. A data set's points are
+    p + 1 or a few hundred rows."""
+    size = points.groupBy("dataset").agg((2 * F.max("max_reach")).alias("n"))
+    rows = points.join(union.select("dataset", "point_id", F.col("reach").alias("y")), ["dataset", "point_id"]).join(size, "dataset").select("dataset", "point_id", "pub_idx", "reach", "y", "n")
+    tries = points.sparkSession.range(starts).select(F.col("id").alias("try"))
+
+    def solve(s: pd.DataFrame) -> pd.DataFrame:
+        r = s.pivot(index="point_id", columns="pub_idx", values="reach").fillna(0.0)
+        y = s.groupby("point_id")["y"].first().loc[r.index].to_numpy()
+        a, loss = mixture_start(r.to_numpy(), y, float(s["n"].iloc[0]), clusters, int(s["try"].iloc[0]), rounds)
+        return pd.DataFrame({"dataset": s["dataset"].iloc[0], "try": s["try"].iloc[0], "pub_idx": np.repeat(r.columns.to_numpy(), clusters), "j": np.tile(np.arange(clusters), a.shape[0]), "a": a.ravel(), "loss": loss})
+
+    every = rows.crossJoin(F.broadcast(tries)).groupBy("dataset", "try").applyInPandas(solve, "dataset string, try long, pub_idx int, j long, a double, loss double")
+    best = every.groupBy("dataset").agg(F.min_by("try", F.struct("loss", "try")).alias("try"))
+    return every.join(best, ["dataset", "try"]).select("dataset", "pub_idx", "j", "a")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachspark.functions.ranking import ranked
-from reachspark.operators.privacy import normal, uniform
+from reachspark.operators.privacy import digest, normal, uniform
 
 #: The greatest frequency that a heavy-tailed person gets.
 MOST = 10_000
@@ -46,7 +47,12 @@ def homogeneous(people: DataFrame, rate: float, seed: str) -> DataFrame:
 
 
 def heterogeneous(people: DataFrame, shape: float, scale: float, seed: str) -> DataFrame:
-    return repeated(people.withColumn("rate", F.least(gamma(shape, scale, "vid", seed=seed), F.lit(100.0))), 1 + poisson(F.col("rate"), "vid", seed=f"{seed}-p")).drop("rate")
+    """Frequencies 1 + Poisson with gamma rates. A rate of over 100 is drawn as a sum of that many equal parts below it, so none is cut."""
+    rates = people.withColumn("rate", gamma(shape, scale, "vid", seed=seed))
+    parts = rates.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("rate") / 100).cast("int"))))
+    share = F.col("rate") / (F.floor(F.col("rate") / 100) + 1)
+    drawn = parts.withColumn("n", poisson(share, "vid", "part", seed=f"{seed}-p")).groupBy("vid").agg(F.sum("n").alias("n"))
+    return repeated(drawn, 1 + F.col("n")).drop("n")
 
 
 def heavy_tailed(people: DataFrame, exponent: float, seed: str, most: int = MOST) -> DataFrame:
@@ -64,8 +70,8 @@ def heavy_tailed(people: DataFrame, exponent: float, seed: str, most: int = MOST
 
 def shuffled(impressions: DataFrame, keys: list[str], seed: str) -> DataFrame:
     """A random order of impressions (keys, vid, i): rank from 1 on. Ranges of the hash are counted first, then ranked inside."""
-    df = impressions.withColumn("h", F.xxhash64("vid", "i", F.lit(seed)))
-    return ranked(df, keys, F.shiftright("h", 50), ["h", "vid", "i"], "rank").drop("h")
+    df = impressions.withColumn("h", digest("vid", "i", seed=seed))
+    return ranked(df, keys, F.substring("h", 1, 4), ["h", "vid", "i"], "rank").drop("h")
 
 
 def price_fixed(ranked_log: DataFrame, cost: float) -> DataFrame:
@@ -95,15 +101,29 @@ def overlap_disjoint(log: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def overlap_independent(sizes: DataFrame, universe: DataFrame, seed: str) -> DataFrame:
-    """dataset, publisher, vid: each publisher's people are drawn from the universe (vid) at random, those of the least hashes."""
-    drawn = sizes.crossJoin(universe.select("vid")).withColumn("h", F.xxhash64("dataset", "publisher", "vid", F.lit(seed)))
-    return ranked(drawn, ["dataset", "publisher"], F.shiftright("h", 50), ["h", "vid"], "r").filter(F.col("r") <= F.col("size")).select("dataset", "publisher", "vid")
+    """dataset, publisher, vid: each publisher's people are drawn from the universe (vid) at random, those of the least hashes.
 
+    Only people whose hash lies below a publisher's share of the universe, and a margin of six deviations, are ranked; should a
+    publisher have too few of them, all are."""
+    n = universe.count()
+    drawn = sizes.crossJoin(universe.select("vid")).withColumn("h", digest("dataset", "publisher", "vid", seed=seed))
+    share = (F.col("size") + 6 * F.sqrt("size") + 20) / F.lit(float(max(n, 1)))
+    likely = drawn.filter(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") < share * F.lit(float(1 << 32)))
+    short = sizes.join(likely.groupBy("dataset", "publisher").agg(F.count("*").alias("n")), ["dataset", "publisher"], "left").filter(F.coalesce("n", F.lit(0)) < F.least(F.col("size"), F.lit(n)))
+    rows = likely if short.isEmpty() else drawn
+    return ranked(rows, ["dataset", "publisher"], F.substring("h", 1, 5), ["h", "vid"], "r").filter(F.col("r") <= F.col("size")).select("dataset", "publisher", "vid")
 
-def overlap_sequential(sizes: list[int], people: DataFrame, share: float, seed: str, with_all: bool = False) -> DataFrame:
+
+def overlap_sequential(sizes: list[int], people: DataFrame, share: float, seed: str, with_all: bool = False, order: str = "original") -> DataFrame:
     """publisher, vid: each publisher shares `share` of its people with the one before (or with all before), the rest are new.
 
-    people (vid, from 0 on without gaps) are given out in order; publishers are few, and each step adds to the plan only."""
+    people (vid, from 0 on without gaps) are given out in order; publishers are few, and each step adds to the plan only.
+    Publishers come in the order of their sizes as given ("original"), the other way round ("reversed") or by hash ("random")."""
+    if order not in ("original", "reversed", "random"):
+        raise ValueError(f"no order {order}")
+    place = list(range(len(sizes)))
+    place = place[::-1] if order == "reversed" else sorted(place, key=lambda p: hashlib.md5(f"{p}/{seed}".encode()).hexdigest()) if order == "random" else place
+    sizes = [sizes[p] for p in place]
     parts, fresh = [], 0
     for p, size in enumerate(sizes):
         earlier = None if not p else (reduce(DataFrame.union, parts).select("vid").distinct() if with_all else parts[-1].select("vid"))
@@ -111,8 +131,9 @@ def overlap_sequential(sizes: list[int], people: DataFrame, share: float, seed:
         new = people.filter((F.col("vid") >= fresh) & (F.col("vid") < fresh + size - common)).select("vid")
         fresh += size - common
         if common:
-            new = new.union(earlier.orderBy(F.xxhash64("vid", F.lit(f"{seed}-{p}")), "vid").limit(common))
-        parts.append(new.select(F.lit(p).alias("publisher"), "vid"))
+            drawn = ranked(earlier.withColumn("h", digest("vid", seed=f"{seed}-{p}")), [], F.substring("h", 1, 4), ["h", "vid"], "r")
+            new = new.union(drawn.filter(F.col("r") <= common).select("vid"))
+        parts.append(new.select(F.lit(place[p]).alias("publisher"), "vid"))
     return reduce(DataFrame.union, parts)
 
 

@@ -5,19 +5,21 @@ each publisher's greatest spend unless a query says otherwise."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachspark.functions.histograms import differences, suffix_sums
-from reachspark.operators import curves, evaluate, overlap, points, privacy, reach, sketch, surfaces, synthetic
+from reachspark.operators import curves, evaluate, overlap, points, privacy, reach, sketch, strategies, surfaces, synthetic
 from reachspark.sources import logs
+from reachspark.sources.scratch import kept, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-LOG = """WITH ranked AS (SELECT 'orders' AS dataset, o_orderpriority AS publisher, CAST(o_custkey AS BIGINT) AS vid, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS seq FROM orders),
+LOG = """WITH RECURSIVE ranked AS (SELECT 'orders' AS dataset, o_orderpriority AS publisher, CAST(o_custkey AS BIGINT) AS vid, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS seq FROM orders),
 log AS (SELECT dataset, publisher, CAST(dense_rank() OVER (ORDER BY publisher) - 1 AS INTEGER) AS pub_idx, seq, vid, seq * 0.1::DOUBLE AS spend FROM ranked),
 top AS (SELECT dataset, publisher, pub_idx, max(spend) AS max_spend, count(*) AS impressions, count(DISTINCT vid) AS reach FROM log GROUP BY ALL),
 lim AS (SELECT *, 0.3::DOUBLE * max_spend AS spend_limit FROM top),
@@ -34,6 +36,21 @@ grid AS (SELECT dataset, i.range AS point_id, publisher, pub_idx, spend_limit *
 """
 
 
+def uniform_sql(key: str, seed: str) -> str:
+    """privacy.uniform in SQL; key and seed are SQL expressions."""
+    return f"((CAST('0x' || substr(md5(concat_ws('/', {key}, {seed})), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496)"
+
+
+def geometric_sql(key: str, epsilon: float, seed: str) -> str:
+    up, down = (f"floor(ln({uniform_sql(key, repr(f'{seed}-{s}'))}) / -{float(epsilon)!r}::DOUBLE)" for s in ("up", "down"))
+    return f"CAST({up} - {down} AS BIGINT)"
+
+
+def normal_sql(key: str, seed: str) -> str:
+    """seed is an SQL expression."""
+    return f"sqrt(-2 * ln({uniform_sql(key, f"{seed} || '-r'")})) * cos(2 * pi() * {uniform_sql(key, f"{seed} || '-a'")})"
+
+
 def query(name: str, sql: str | None = None, log: bool = True):
     def keep(f):
         QUERIES[name] = f
@@ -48,8 +65,13 @@ def limits(log: DataFrame, share: float = 0.3) -> DataFrame:
     return reach.campaign_spend(log, [share])
 
 
+def kept_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log, written once in the order of publishers and spends: it isn't ranked again, and a limit skips what lies beyond it."""
+    return kept(logs.log_from_orders(spark, sf_dir), "log")
+
+
 def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = logs.log_from_orders(spark, sf_dir)
+    log = kept_log(spark, sf_dir)
     return reach.within(log, limits(log))
 
 
@@ -67,21 +89,60 @@ def values(spark: SparkSession, schema: str, *rows) -> DataFrame:
 
 @query("read_log", "SELECT vid, spend FROM log")
 def read_log(spark, sf_dir):
-    path = logs.scratch(spark, "log")
+    path = scratch(spark, "log")
     logs.log_from_orders(spark, sf_dir).select("vid", "spend").write.csv(path)
     return logs.read_log(spark, path)
 
 
-@query("read_dataset", "SELECT publisher, pub_idx, seq, vid, spend FROM log")
+NAMED = "SELECT regexp_replace(publisher, '[^A-Z0-9]+', '_', 'g') AS publisher, pub_idx, row_number() OVER (PARTITION BY publisher ORDER BY spend, vid) AS seq, vid, spend FROM log"
+
+
+def publisher_files(spark, sf_dir) -> str:
+    """A directory with a headerless file of vid,spend for each publisher, as read_dataset takes it."""
+    path = scratch(spark, "files")
+    named = logs.log_from_orders(spark, sf_dir).select(F.regexp_replace("publisher", "[^A-Z0-9]+", "_").alias("publisher"), "vid", "spend")
+    logs.write_files(named, path)
+    return path
+
+
+@query("read_dataset", NAMED)
 def read_dataset(spark, sf_dir):
-    path = logs.scratch(spark, "design")
+    return logs.read_dataset(spark, publisher_files(spark, sf_dir), "orders").select("publisher", "pub_idx", "seq", "vid", "spend")
+
+
+@query("write_dataset", "SELECT publisher, pub_idx, seq, vid, spend FROM log")
+def write_dataset(spark, sf_dir):
+    path = scratch(spark, "design")
     logs.write_dataset(logs.log_from_orders(spark, sf_dir), path)
     return logs.read_design(spark, path, ["orders"]).select("publisher", "pub_idx", "seq", "vid", "spend")
 
 
+@query("add_dataset", "SELECT dataset, count(*) AS impressions, count(DISTINCT publisher) AS publishers FROM log GROUP BY ALL UNION ALL SELECT 'events', count(*), count(DISTINCT event_type) FROM events")
+def add_dataset(spark, sf_dir):
+    path = scratch(spark, "design")
+    logs.write_dataset(logs.log_from_orders(spark, sf_dir), path)
+    logs.add_dataset(spark, logs.log_from_events(spark, sf_dir), path)
+    return logs.read_design(spark, path).groupBy("dataset").agg(F.count("*").alias("impressions"), F.countDistinct("publisher").alias("publishers"))
+
+
+@query("read_bad_rows", "SELECT o_orderpriority AS bad, count(*) AS lines FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL", log=False)
+def read_bad_rows(spark, sf_dir):
+    path, bad = scratch(spark, "lines"), F.col("o_orderkey") % 3 == 0
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.when(bad, F.col("o_orderpriority")).otherwise(F.concat_ws(",", F.col("o_custkey"), F.lit("0.5")))).write.text(path)
+    return logs.read_bad_rows(spark, path).groupBy("bad").agg(F.count("line").alias("lines"))
+
+
+@query("write_results", "SELECT publisher, CASE WHEN pub_idx % 2 = 0 THEN CAST(reach AS VARCHAR) ELSE 'NaN' END AS reach FROM top")
+def write_results(spark, sf_dir):
+    path = scratch(spark, "results")
+    found = publisher_stats(spark, sf_dir).select("publisher", F.when(F.col("pub_idx") % 2 == 0, F.col("reach")).alias("reach"))
+    logs.write_results(found, path)
+    return spark.read.option("header", True).csv(path)
+
+
 @query("read_design", "SELECT CAST(year(o_orderdate) AS INTEGER) AS dataset, count(*) AS impressions FROM orders GROUP BY ALL", log=False)
 def read_design(spark, sf_dir):
-    path = logs.scratch(spark, "design")
+    path = scratch(spark, "design")
     logs.write_dataset(logs.log_from_orders(spark, sf_dir, by_year=True), path)
     return logs.read_design(spark, path).groupBy("dataset").agg(F.count("*").alias("impressions"))
 
@@ -133,22 +194,22 @@ def rank_impressions(spark, sf_dir):
 
 @query("spend_by_impressions", "SELECT t.publisher, n.impressions, coalesce(log.spend, 0) AS spend FROM top t CROSS JOIN (VALUES (0::BIGINT), (10), (1000000000)) n(impressions) LEFT JOIN log ON log.publisher = t.publisher AND log.seq = least(n.impressions, t.impressions)")
 def spend_by_impressions(spark, sf_dir):
-    log = logs.log_from_orders(spark, sf_dir)
+    log = kept_log(spark, sf_dir)
     at = log.select("dataset", "publisher").distinct().crossJoin(values(spark, "impressions long", (0,), (10,), (10**9,)))
     return reach.spend_by_impressions(log, at).drop("dataset")
 
 
 @query("impressions_by_spend", "SELECT t.publisher, t.max_spend * s.share AS spend, count(*) FILTER (log.spend <= t.max_spend * s.share) AS impressions FROM top t CROSS JOIN (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.7::DOUBLE), (2.0::DOUBLE)) s(share) JOIN log USING (publisher) GROUP BY ALL")
 def impressions_by_spend(spark, sf_dir):
-    log = logs.log_from_orders(spark, sf_dir)
+    log = kept_log(spark, sf_dir)
     at = limits(log, 1.0).crossJoin(values(spark, "share double", (0.0,), (0.25,), (0.7,), (2.0,))).select("dataset", "publisher", (F.col("spend_limit") * F.col("share")).alias("spend"))
     return reach.impressions_by_spend(log, at).select("publisher", "spend", "impressions")
 
 
-@query("user_counts_by_impressions", "SELECT publisher, vid, count(*) AS f FROM log WHERE seq <= 1000 GROUP BY ALL")
+@query("user_counts_by_impressions", "SELECT log.publisher, vid, count(*) AS f FROM log JOIN top USING (publisher) WHERE seq <= impressions // 3 GROUP BY ALL")
 def user_counts_by_impressions(spark, sf_dir):
-    log = logs.log_from_orders(spark, sf_dir)
-    first = log.select("dataset", "publisher").distinct().withColumn("impression_limit", F.lit(1000))
+    log = kept_log(spark, sf_dir)
+    first = reach.publisher_stats(log).withColumn("impression_limit", F.floor(F.col("impressions") / 3))
     return reach.user_counts(reach.within_impressions(log, first), ("publisher",))
 
 
@@ -165,10 +226,10 @@ def reach_by_spend(spark, sf_dir):
     return reach.kplus(reach.user_counts(campaign(spark, sf_dir)))
 
 
-@query("reach_by_impressions", ", u AS (SELECT dataset, vid, count(*) AS f FROM log WHERE seq <= 500 + 100 * pub_idx GROUP BY ALL) SELECT dataset, k, count(*) FILTER (f >= k) AS reach FROM u, ks GROUP BY ALL")
+@query("reach_by_impressions", ", u AS (SELECT dataset, vid, count(*) AS f FROM log JOIN top USING (dataset, publisher) WHERE seq <= impressions // (top.pub_idx + 2) GROUP BY ALL) SELECT dataset, k, count(*) FILTER (f >= k) AS reach FROM u, ks GROUP BY ALL")
 def reach_by_impressions(spark, sf_dir):
-    log = logs.log_from_orders(spark, sf_dir)
-    first = log.select("dataset", "publisher", "pub_idx").distinct().withColumn("impression_limit", 500 + 100 * F.col("pub_idx"))
+    log = kept_log(spark, sf_dir)
+    first = reach.publisher_stats(log).withColumn("impression_limit", F.floor(F.col("impressions") / (F.col("pub_idx") + 2)))
     return reach.kplus(reach.user_counts(reach.within_impressions(log, first)))
 
 
@@ -216,7 +277,7 @@ SELECT pts.publisher, s AS spend, ks.k, (SELECT count(*) FROM n WHERE n.publishe
 
 @query("reach_curve", CURVE)
 def reach_curve(spark, sf_dir):
-    log = logs.log_from_orders(spark, sf_dir)
+    log = kept_log(spark, sf_dir)
     at = limits(log, 1.0).crossJoin(spark.range(1, 21)).select("dataset", "publisher", (F.col("spend_limit") * (F.col("id") / 20.0)).alias("spend"))
     return reach.reach_curve(log, at).drop("dataset")
 
@@ -226,7 +287,7 @@ AT_POINTS = ", u AS (SELECT point_id, vid, count(*) AS f FROM log JOIN grid USIN
 
 @query("reach_at_points", AT_POINTS + " SELECT point_id, k, count(*) FILTER (f >= k) AS reach FROM u, ks GROUP BY ALL")
 def reach_at_points(spark, sf_dir):
-    log = logs.log_from_orders(spark, sf_dir)
+    log = kept_log(spark, sf_dir)
     return reach.reach_at_points(log, points.grid_points(limits(log), 2)).drop("dataset")
 
 
@@ -249,7 +310,7 @@ def impressions_from_histogram(spark, sf_dir):
 
 
 def region_reach(spark, sf_dir, most: int = 1) -> DataFrame:
-    log = logs.log_from_orders(spark, sf_dir)
+    log = kept_log(spark, sf_dir)
     spent = limits(log)
     return overlap.venn_regions(overlap.user_region(reach.within(log, spent)), overlap.powerset(spark, overlap.active_publishers(spent)), most)
 
@@ -292,22 +353,40 @@ def scale_regions(spark, sf_dir):
     return overlap.scale_regions(region_reach(spark, sf_dir), 5000).withColumn("reach", F.round("reach", 6))
 
 
-@query("sample_regions")
+SAMPLED = ", drawn AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('/', vid, '{seed}')), vid) AS r FROM reg) WHERE r <= {n})"
+
+
+@query("sample_regions", SAMPLED.format(seed="sample", n="(SELECT count(*) // 10 FROM reg)") + " SELECT region, count(*) AS reach FROM drawn GROUP BY ALL")
 def sample_regions(spark, sf_dir):
-    return overlap.sample_users(user_region(spark, sf_dir), 100, "sample").groupBy("region").agg(F.count("*").alias("reach"))
+    users = user_region(spark, sf_dir)
+    return overlap.sample_users(users, users.count() // 10, "sample").groupBy("region").agg(F.count("*").alias("reach"))
 
 
-@query("noise_regions")
+@query("noise_regions", f"SELECT region, greatest(reach + {geometric_sql('region', 0.5, 'regions')}, 0) AS reach FROM vr")
 def noise_regions(spark, sf_dir):
-    return region_reach(spark, sf_dir).select("region", F.greatest(F.col("reach") + privacy.geometric_noise("region", epsilon=0.5, seed="regions"), F.lit(0)).alias("reach"))
+    return overlap.noise_regions(region_reach(spark, sf_dir), 0.5, "regions")[0]
+
 
+REGISTER = f"least(floor(-ln(1 - {uniform_sql('vid', '{seed}')} * {1 - math.exp(-sketch.DECAY)!r}::DOUBLE) * {sketch.SIZE / sketch.DECAY!r}::DOUBLE), {sketch.SIZE - 1})"
+CELL = f"{sketch.DECAY / (sketch.SIZE * (1 - math.exp(-sketch.DECAY)))!r}::DOUBLE * exp(-{sketch.DECAY!r}::DOUBLE * (j + 0.5::DOUBLE) / 2000)"
+OCCUPIED = f"list_sum(list_transform(range(2000), lambda j: 1 - exp((lo + hi) / 2 * ln(1 - {CELL})))) * {sketch.SIZE / 2000!r}::DOUBLE"
+SKETCH = f""", sk AS (SELECT dataset, CAST({REGISTER} AS BIGINT) AS register, min(vid) AS low, max(vid) AS high, count(*) AS freq FROM pre GROUP BY ALL),
+used AS (SELECT dataset, count(*)::DOUBLE AS used, count(*) FILTER (low = high) AS alone FROM sk GROUP BY ALL),
+bis AS (SELECT dataset, used, 0.0::DOUBLE AS lo, 68719476736.0::DOUBLE AS hi, 0 AS i FROM used UNION ALL SELECT dataset, used, CASE WHEN occ < used THEN (lo + hi) / 2 ELSE lo END, CASE WHEN occ < used THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM (SELECT *, {OCCUPIED} AS occ FROM bis WHERE i < 40)),
+size AS (SELECT dataset, (lo + hi) / 2 AS size FROM bis WHERE i = 40),
+est AS (SELECT dataset, k, any_value(size) * count(*) FILTER (low = high AND freq >= k) / any_value(alone) AS reach FROM sk JOIN used USING (dataset) JOIN size USING (dataset), ks GROUP BY ALL)"""
 
-@query("venn_reach_dp")
+VENN_DP = SKETCH.replace("{seed}", "'dp'") + SAMPLED.format(seed="dp-draw", n="(SELECT alone FROM used)") + f""", noisy AS (SELECT region, greatest(n + {geometric_sql("region", 1.0, "dp")}, 0) AS reach FROM (SELECT r.range AS region, count(vid) AS n FROM range(1, 32) r LEFT JOIN drawn ON drawn.region = r.range GROUP BY r.range)),
+scaled AS (SELECT region, reach * (SELECT size + {geometric_sql("dataset", 1.0, "dp-size")} FROM size) / (SELECT sum(reach) FROM noisy) AS reach FROM noisy), p AS (SELECT list(struct_pack(i := pub_idx, n := impressions, s := spend) ORDER BY pub_idx) AS p FROM pr)
+SELECT m.range AS mask, round(coalesce(sum(reach), 0), 4) AS reach, list_transform(any_value(p), lambda x: CASE WHEN m.range & (1::BIGINT << x.i) <> 0 THEN x.n ELSE 0 END) AS impressions, list_transform(any_value(p), lambda x: CASE WHEN m.range & (1::BIGINT << x.i) <> 0 THEN x.s ELSE 0 END) AS spends FROM range(1, 32) m LEFT JOIN scaled ON scaled.region & m.range <> 0 CROSS JOIN p GROUP BY m.range"""
+
+
+@query("venn_reach_dp", VENN_DP)
 def venn_reach_dp(spark, sf_dir):
-    log = logs.log_from_orders(spark, sf_dir)
+    log = kept_log(spark, sf_dir)
     spent = limits(log)
-    prefix = reach.within(log, spent)
-    return overlap.all_subset_reach(overlap.regions_dp(prefix, spent, 1.0, "dp"), measured(prefix))
+    prefix = kept(reach.within(log, spent), "prefix")
+    return overlap.all_subset_reach(overlap.regions_dp(prefix, spent, 1.0, "dp")[0], measured(prefix)).withColumn("reach", F.round("reach", 4))
 
 
 @query("pairwise_overlap_features", "SELECT a.pub_idx AS i, b.pub_idx AS j, round(a.reach * b.reach / (2.0::DOUBLE * greatest(ta.reach, tb.reach)), 6) AS d FROM pr a JOIN top ta USING (publisher), pr b JOIN top tb USING (publisher)")
@@ -324,29 +403,34 @@ def with_max(spark, sf_dir) -> DataFrame:
 # Sketches and privacy
 
 
-@query("sketch_build")
+@query("sketch_build", f"SELECT dataset, publisher, CAST({REGISTER} AS BIGINT) AS register, min(vid) AS low, max(vid) AS high, count(*) AS freq FROM pre GROUP BY ALL".replace("{seed}", "'s'"))
 def sketch_build(spark, sf_dir):
     return sketch.build(campaign(spark, sf_dir), "s", ("dataset", "publisher"))
 
 
-@query("sketch_merge")
+@query("sketch_merge", SKETCH.replace("{seed}", "'s'") + " SELECT * FROM sk")
 def sketch_merge(spark, sf_dir):
     return sketch.merge(sketch_build(spark, sf_dir), ("dataset",))
 
 
-@query("sketch_estimate")
+@query("sketch_estimate", SKETCH.replace("{seed}", "'s'") + " SELECT dataset, k, round(reach, 4) AS reach FROM est")
 def sketch_estimate(spark, sf_dir):
-    return sketch.estimate(sketch_merge(spark, sf_dir), 10)
+    return sketch.estimate(sketch_merge(spark, sf_dir), 10).withColumn("reach", F.round("reach", 4))
 
 
-@query("active_registers")
+@query("active_registers", SKETCH.replace("{seed}", "'s'") + " SELECT dataset, alone AS active FROM used")
 def active_registers(spark, sf_dir):
     return sketch.active_registers(sketch_merge(spark, sf_dir))
 
 
-@query("sketch_variance")
+VARIANCE = f"""SELECT publisher, round((i1 - i2) * {sketch.DECAY / sketch.SIZE!r}::DOUBLE * pow(reach / (exp(-c * {math.exp(-sketch.DECAY)!r}::DOUBLE) - exp(-c)), 2) - reach, 4) AS variance FROM (SELECT *,
+list_sum(list_transform(range(4000), lambda j: exp(-c * exp(-{sketch.DECAY!r}::DOUBLE * (j + 0.5::DOUBLE) / 4000)))) * {sketch.DECAY / 4000!r}::DOUBLE AS i1, list_sum(list_transform(range(4000), lambda j: exp(-2 * c * exp(-{sketch.DECAY!r}::DOUBLE * (j + 0.5::DOUBLE) / 4000)))) * {sketch.DECAY / 4000!r}::DOUBLE AS i2
+FROM (SELECT publisher, reach::DOUBLE AS reach, reach::DOUBLE * {sketch.DECAY / (sketch.SIZE * (1 - math.exp(-sketch.DECAY)))!r}::DOUBLE AS c FROM top))"""
+
+
+@query("sketch_variance", VARIANCE)
 def sketch_variance(spark, sf_dir):
-    return publisher_stats(spark, sf_dir).select("publisher", sketch.variance(F.col("reach").cast("double")).alias("variance"))
+    return publisher_stats(spark, sf_dir).select("publisher", F.round(sketch.variance(F.col("reach").cast("double")), 4).alias("variance"))
 
 
 @query("approx_reach")
@@ -354,9 +438,10 @@ def approx_reach(spark, sf_dir):
     return sketch.approximate_reach(campaign(spark, sf_dir))
 
 
-@query("reach_by_spend_dp")
+@query("reach_by_spend_dp", SKETCH.replace("{seed}", "'dp'") + f""", noisy AS (SELECT dataset, k, reach + {geometric_sql("dataset, k", 1.0, "dp")} AS reach FROM est), mono AS (SELECT dataset, k, min(greatest(reach, 0)) OVER (PARTITION BY dataset ORDER BY k) AS reach FROM noisy),
+shown AS (SELECT dataset, count(*) AS n FROM pre GROUP BY ALL) SELECT dataset, k, round(CASE WHEN max(reach) OVER (PARTITION BY dataset) >= n THEN CASE WHEN k = 1 THEN greatest(n - 1, 1) ELSE 0 END ELSE reach END::DOUBLE, 4) AS reach FROM mono JOIN shown USING (dataset)""")
 def reach_by_spend_dp(spark, sf_dir):
-    return sketch.reach_with_noise(campaign(spark, sf_dir), 10, 1.0, "dp")[0]
+    return sketch.reach_with_noise(kept(campaign(spark, sf_dir), "prefix"), 10, 1.0, "dp")[0].withColumn("reach", F.round("reach", 4))
 
 
 UNEVEN = "SELECT dataset, k, reach - 100 * (k % 3) AS reach FROM kp"
@@ -413,15 +498,19 @@ def split_budget(spark, sf_dir):
     return privacy.split_budget(publisher_stats(spark, sf_dir), 1.0, 0.01)
 
 
-@query("geometric_noise")
+@query("geometric_noise", f"SELECT c_custkey, {geometric_sql('c_custkey', 0.5, 'n')} AS noise FROM customer", log=False)
 def geometric_noise(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", privacy.geometric_noise("c_custkey", epsilon=0.5, seed="n").alias("noise"))
 
 
-@query("mechanism_noise")
+MECHANISMS = f"""SELECT c_custkey, round(-2.0::DOUBLE * sign(u - 0.5) * ln(1 - 2 * abs(u - 0.5)), 6) AS laplace, {geometric_sql("c_custkey", 0.5, "n")}::DOUBLE AS discrete_laplace, round(2.0::DOUBLE * g, 6) AS gaussian, round(2.0::DOUBLE * g)::DOUBLE AS discrete_gaussian
+FROM (SELECT c_custkey, {uniform_sql("c_custkey", "'n'")} AS u, {normal_sql("c_custkey", "'n'")} AS g FROM customer)"""
+
+
+@query("mechanism_noise", MECHANISMS, log=False)
 def mechanism_noise(spark, sf_dir):
     names = ("Laplace", "Discrete Laplace", "Gaussian", "Discrete Gaussian")
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", *(privacy.mechanism_noise(n, "c_custkey", scale=2.0, seed="n").alias(n.lower().replace(" ", "_")) for n in names))
+    return rounded(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", *(privacy.mechanism_noise(n, "c_custkey", scale=2.0, seed="n").alias(n.lower().replace(" ", "_")) for n in names)))
 
 
 # Test points and designs
@@ -432,14 +521,34 @@ def grid_points(spark, sf_dir):
     return points.grid_points(limits(logs.log_from_orders(spark, sf_dir)), 2).drop("dataset").withColumn("spend", F.round("spend", 6))
 
 
-@query("uniform_points")
+UNIFORM = f"SELECT dataset, i.range AS point_id, publisher, pub_idx, round(max_spend * {uniform_sql('i.range, publisher', repr('u'))}, 6) AS spend FROM top, range(0, greatest(50, 20 * (SELECT count(*) FROM top))) i"
+
+
+@query("uniform_points", UNIFORM)
 def uniform_points(spark, sf_dir):
-    return points.points_for("uniform", limits(logs.log_from_orders(spark, sf_dir), 1.0), n=50, seed="u", per_publisher=20)
+    return rounded(points.uniform_points(limits(logs.log_from_orders(spark, sf_dir), 1.0), 50, "u", per_publisher=20))
+
 
+def latin_sql(dims: str, n: int, seed: str) -> str:
+    """Tables cells (dim, try, point_id, u) and best (try) for dims, a query that gives dim."""
+    key = "dim, t.range, i.range"
+    return f"""cells AS (SELECT *, (row_number() OVER (PARTITION BY dim, try ORDER BY h, point_id) - 1 + v) / {n} AS u FROM (SELECT dim, t.range AS try, i.range AS point_id, md5(concat_ws('/', {key}, '{seed}')) AS h, {uniform_sql(key, repr(seed + "-in"))} AS v FROM ({dims}), range(0, 4) t, range(0, {n}) i)),
+apart AS (SELECT a.try, a.point_id AS p, b.point_id AS q, sum(pow(a.u - b.u, 2)) AS d FROM cells a JOIN cells b ON a.dim = b.dim AND a.try = b.try AND a.point_id < b.point_id GROUP BY ALL), best AS (SELECT arg_max(try, d) AS try FROM (SELECT try, min(d) AS d FROM apart GROUP BY try))"""
 
-@query("lhs_points")
+
+LATIN = ", " + latin_sql("SELECT dataset || '/' || publisher AS dim FROM top", 60, "l") + " SELECT dataset, point_id, publisher, pub_idx, round(max_spend * u, 6) AS spend FROM top JOIN cells ON dim = dataset || '/' || publisher JOIN best USING (try)"
+
+
+@query("lhs_points", LATIN)
 def lhs_points(spark, sf_dir):
-    return points.points_for("latin", limits(logs.log_from_orders(spark, sf_dir), 1.0), n=60, seed="l")
+    return rounded(points.latin_points(limits(logs.log_from_orders(spark, sf_dir), 1.0), 60, "l"))
+
+
+@query("points_for", UNIFORM.replace("SELECT dataset", "SELECT 'uniform' AS strategy, dataset", 1) + " UNION ALL SELECT 'grid', dataset, point_id, publisher, pub_idx, round(spend / 0.3, 6) FROM grid")
+def points_for(spark, sf_dir):
+    most = limits(logs.log_from_orders(spark, sf_dir), 1.0)
+    each = [rounded(points.points_for(n, most, **how)).select(F.lit(n).alias("strategy"), "*") for n, how in (("uniform", {"n": 50, "seed": "u", "per_publisher": 20}), ("grid", {"g": 2}))]
+    return each[0].unionByName(each[1])
 
 
 DESCRIPTORS = ", d AS (SELECT * FROM (VALUES ('goerg'), ('gamma_poisson')) m(model) CROSS JOIN (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE)) f(share)), y AS (SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS dataset FROM orders), t AS (SELECT dataset, model, share, concat_ws(',', 'model=' || model, 'share=' || CAST(share AS VARCHAR)) AS trial FROM y CROSS JOIN d)"
@@ -471,7 +580,11 @@ def factorial_design(spark, sf_dir):
     return trials(spark, sf_dir).groupBy("dataset").agg(F.count("*").alias("trials"))
 
 
-@query("lhs_design")
+LATIN_DESIGN = f"""WITH {latin_sql("SELECT unnest(['dataset', 'model', 'share']) AS dim", 20, "d")}, y AS (SELECT list(DISTINCT CAST(year(o_orderdate) AS VARCHAR) ORDER BY CAST(year(o_orderdate) AS VARCHAR)) AS y FROM orders), w AS (SELECT point_id, max(u) FILTER (dim = 'dataset') AS d, max(u) FILTER (dim = 'model') AS m, max(u) FILTER (dim = 'share') AS s FROM cells JOIN best USING (try) GROUP BY ALL)
+SELECT point_id, y[CAST(floor(d * len(y)) AS BIGINT) + 1] AS dataset, (['goerg', 'dirac'])[CAST(floor(m * 2) AS BIGINT) + 1] AS model, ([0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE])[CAST(floor(s * 3) AS BIGINT) + 1] AS share FROM w, y"""
+
+
+@query("lhs_design", LATIN_DESIGN, log=False)
 def lhs_design(spark, sf_dir):
     years = [r.dataset for r in logs.dataset_names(logs.log_from_orders(spark, sf_dir, by_year=True)).collect()]  # a few names
     return points.latin_design(spark, {"dataset": years, "model": ["goerg", "dirac"], "share": [0.1, 0.2, 0.3]}, 20, "d")
@@ -605,7 +718,7 @@ def mixtures(spark, sf_dir) -> DataFrame:
     s = histograms(spark, sf_dir).withColumn("h", F.concat(F.array(F.col("n") - F.col("reach")), "histogram"))
     total = F.aggregate("h", F.lit(0.0), lambda a, x: a + x)
     s = s.select(F.col("publisher").alias("key"), F.col("h").alias("histogram"), curves.poisson_grid(F.transform("h", lambda x: x / total), 30).alias("components"))
-    return s.join(curves.dirac_fit(s), "key")
+    return curves.dirac_fit(s)
 
 
 @query("dirac_fit")
@@ -630,7 +743,7 @@ def reach_vector(spark, sf_dir):
 
 def surface_points(spark, sf_dir) -> DataFrame:
     """dataset, point_id, pub_idx, reach, max_reach at the grid's points."""
-    log = logs.log_from_orders(spark, sf_dir)
+    log = kept_log(spark, sf_dir)
     at = points.grid_points(limits(log), 2)
     alone = reach.reach_curve(log, at.select("dataset", "publisher", "spend").distinct(), 1).select("dataset", "publisher", "spend", "reach")
     most = reach.publisher_stats(log).select("dataset", "publisher", F.col("reach").alias("max_reach"))
@@ -663,7 +776,7 @@ def mixture_predict(spark, sf_dir):
 
 
 def union_reach(spark, sf_dir) -> DataFrame:
-    log = logs.log_from_orders(spark, sf_dir)
+    log = kept_log(spark, sf_dir)
     return reach.reach_at_points(log, points.grid_points(limits(log), 2), 1).select("dataset", "point_id", F.col("reach").cast("double").alias("reach"))
 
 
@@ -684,7 +797,7 @@ def scored(spark, sf_dir, share: float = 1.0, at: list[float] | None = None) ->
     """Truth and Goerg curves fitted to the campaign, at spends of each publisher: trial (publisher), point_id (from 1 on), x, y.
 
     The spends are the multiples `at` (twentieths up to 1) of a share of the publisher's greatest spend."""
-    log = logs.log_from_orders(spark, sf_dir)
+    log = kept_log(spark, sf_dir)
     at = at or [i / 20.0 for i in range(1, 21)]
     at = limits(log, share).crossJoin(values(spark, "id long, at double", *enumerate(at, 1))).select("dataset", "publisher", "id", (F.col("spend_limit") * F.col("at")).alias("spend"))
     curve = reach.reach_curve(log, at.select("dataset", "publisher", "spend"))
@@ -747,16 +860,97 @@ def privacy_columns(spark, sf_dir):
     return evaluate.privacy_columns(every, events)
 
 
-@query("spend_fraction_errors")
+FRACTIONS = SCORED.replace("max_spend * (j.range / 20.0::DOUBLE) AS s FROM top, range(1, 21) j", "spend_limit * (j.range / 10.0::DOUBLE) AS s FROM lim, range(1, 31) j")
+FRACTIONS += " SELECT trial, " + ", ".join([f"round(max(abs(r)) FILTER (k = 1 AND point_id = {j}), 6) AS relative_error_at_{10 * j}" for j in range(1, 31)] + [f"round(max(abs(r)) FILTER (k = {k} AND point_id = {j}), 6) AS freq_{k}_relative_error_at_{10 * j}" for k in range(1, 10) for j in range(1, 31)]) + " FROM z1 GROUP BY trial"
+
+
+@query("spend_fraction_errors", FRACTIONS)
 def spend_fraction_errors(spark, sf_dir):
     both = scored(spark, sf_dir, 0.3, evaluate.SPEND_FRACTIONS)
-    return evaluate.spend_fraction_errors(both.withColumn("fraction", (F.col("point_id") * 10).cast("int")))
+    return rounded(evaluate.spend_fraction_errors(both.withColumn("fraction", (F.col("point_id") * 10).cast("int"))))
+
+
+def alone_and_together(spark, sf_dir) -> DataFrame:
+    """Each publisher of the orders as a data set of its own, and all of them as one."""
+    log = kept_log(spark, sf_dir)
+    return log.withColumns({"dataset": F.col("publisher"), "pub_idx": F.lit(0)}).unionByName(log)
+
+
+def strategy_trials(spark, sf_dir, strategies=("single_publisher",), curve_names=("goerg",), surface_names=("none",)) -> DataFrame:
+    names = publisher_stats(spark, sf_dir).select(F.col("publisher").alias("dataset")).union(values(spark, "dataset string", ("orders",)))
+    levels = {"strategy": list(strategies), "curve": list(curve_names), "surface": list(surface_names), "share": [0.3, 0.6]}
+    return points.with_trial_name(points.trial_matrix(names, points.factorial_design(spark, levels)), ["dataset", *levels])
+
 
+def test_points(log: DataFrame) -> DataFrame:
+    """Three spends of the only publisher, or 2^p combinations of two."""
+    one = log.groupBy("dataset").agg(F.countDistinct("publisher").alias("p")).filter("p = 1").select("dataset")
+    most = kept(limits(log, 1.0), "most")
+    return points.grid_points(most.join(one, "dataset", "left_semi"), 3).unionByName(points.grid_points(most.join(one, "dataset", "left_anti"), 2))
 
-@query("evaluate_trials")
+
+TRIALS = """, ds AS (SELECT publisher AS dataset, publisher, max_spend FROM top), tr AS (SELECT dataset, publisher, max_spend, share, concat_ws(',', 'dataset=' || dataset, 'strategy=single_publisher', 'curve=goerg', 'surface=none', 'share=' || CAST(share AS VARCHAR)) AS trial FROM ds, (VALUES (0.3::DOUBLE), (0.6::DOUBLE)) v(share)),
+cm AS (SELECT trial, tr.publisher, count(*)::DOUBLE AS i, count(DISTINCT vid)::DOUBLE AS r, max(log.spend) AS sp FROM tr JOIN log ON log.publisher = tr.publisher AND log.spend <= share * max_spend GROUP BY ALL),
+gf AS (SELECT *, i * r / (i - r) AS rho, sp / i AS cpi FROM cm), n AS (SELECT publisher, vid, spend, row_number() OVER (PARTITION BY publisher, vid ORDER BY spend, seq) AS nth FROM log),
+pt AS (SELECT publisher, j.range AS point_id, max_spend * (j.range + 1) / 4 AS s FROM top, range(0, 3) j), xy AS (SELECT trial, point_id, k, (SELECT count(*) FROM n WHERE n.publisher = gf.publisher AND nth = k AND n.spend <= s)::DOUBLE AS x, rho * pow((s / cpi) / (s / cpi + rho), k) AS y FROM gf JOIN pt USING (publisher), ks),
+e AS (SELECT *, CASE WHEN x <> 0 THEN (x - y) / x END AS rel FROM xy), fr AS (SELECT trial, point_id, k, x - lead(x) OVER w AS fx, y - lead(y) OVER w AS fy FROM xy WINDOW w AS (PARTITION BY trial, point_id ORDER BY k)),
+sd AS (SELECT trial, point_id, sum(abs(sx - sy)) / 2 AS d FROM (SELECT trial, point_id, fx / sum(fx) OVER w AS sx, fy / sum(fy) OVER w AS sy FROM fr WHERE k <= 5 WINDOW w AS (PARTITION BY trial, point_id)) GROUP BY ALL),
+m AS (SELECT trial, count(*) FILTER (k = 1) AS npoints, round(avg(x - y) FILTER (k = 1), 6) AS mean_error, round(avg(abs(rel)) FILTER (k = 1), 6) AS mean_abs_relative_error, round(avg(abs(rel)) FILTER (k = 4), 6) AS mare_freq_at_least_4, round(quantile_cont(abs(rel), 0.9) FILTER (k = 1), 6) AS relative_error_q90 FROM e GROUP BY trial)
+SELECT trial, npoints, mean_error, mean_abs_relative_error, mare_freq_at_least_4, relative_error_q90, round(a, 6) AS mean_shuffle_distance, 0.0::DOUBLE AS epsilon_used, 1 AS succeeded, NULL AS error FROM m JOIN (SELECT trial, avg(d) AS a FROM sd GROUP BY trial) USING (trial)
+UNION ALL SELECT concat_ws(',', 'dataset=orders', 'strategy=single_publisher', 'curve=goerg', 'surface=none', 'share=' || CAST(share AS VARCHAR)), NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 'one publisher only, not 5' FROM (VALUES (0.3::DOUBLE)) v(share)"""
+COLUMNS = ["trial", "npoints", "mean_error", "mean_abs_relative_error", "mare_freq_at_least_4", "relative_error_q90", "mean_shuffle_distance", "epsilon_used", "succeeded", "error"]
+
+
+def trial_rows(log: DataFrame, trials: DataFrame, done: DataFrame | None = None, epsilon: float | None = None) -> DataFrame:
+    both, errors = strategies.evaluated(log, trials, kept(test_points(log), "points"), done, epsilon)
+    left = trials if done is None else logs.resume_trials(trials, done, ["trial"])
+    spent = both.sparkSession.createDataFrame([], "trial string, epsilon double, delta double, mechanism string")
+    every = left.withColumns({"epsilon_budget": F.lit(epsilon or 0.0), "delta_budget": F.lit(0.0)})
+    return evaluate.privacy_columns(evaluate.with_failures(every, evaluate.metrics(both), errors), spent)
+
+
+@query("evaluate_trials", TRIALS)
 def evaluate_trials(spark, sf_dir):
-    every = publisher_stats(spark, sf_dir).select(F.col("publisher").alias("trial"), "reach")
-    return evaluate.with_failures(every, evaluate.metrics(scored(spark, sf_dir)))
+    """All trials but one that has a result: those of single publishers succeed, that of all of them can't."""
+    log, every = kept(alone_and_together(spark, sf_dir), "log"), kept(strategy_trials(spark, sf_dir), "trials")
+    done = every.filter("dataset = 'orders' and share = 0.6")
+    return rounded(trial_rows(log, every, done).select(*COLUMNS))
+
+
+@query("fit_single_publisher", TRIALS[: TRIALS.index(", n AS (")] + " SELECT trial, round(rho, 6) AS rho, round(cpi, 9) AS cpi FROM gf")
+def fit_single_publisher(spark, sf_dir):
+    log = kept(alone_and_together(spark, sf_dir), "log").filter("dataset <> 'orders'")
+    trials = strategy_trials(spark, sf_dir).filter("dataset <> 'orders'").withColumn("campaign", F.concat_ws("/", "dataset", "share"))
+    spent = limits(log, 1.0).join(trials.select("dataset", "share", "campaign"), "dataset").select("dataset", "publisher", "campaign", (F.col("share") * F.col("spend_limit")).alias("spend_limit"))
+    prefix = reach.beside(log, spent, ["dataset", "publisher"]).filter("spend <= spend_limit").withColumn("dataset", F.col("campaign")).drop("campaign", "spend_limit")
+    fits = strategies.fit_single_publisher(prefix, trials.withColumn("dataset", F.col("campaign")))
+    return fits.select("trial", F.round("rho", 6).alias("rho"), F.round("cpi", 9).alias("cpi"))
+
+
+@query("fit_m3")
+def fit_m3(spark, sf_dir):
+    """Reach of all publishers at the grid's points by surfaces fitted to the campaign, beside the truth."""
+    log = kept_log(spark, sf_dir)
+    every = strategy_trials(spark, sf_dir, ("m3",), ("goerg", "gamma_poisson"), ("pairwise_union", "restricted_pairwise_union", "generalized_mixture")).filter("dataset = 'orders'")
+    return strategies.evaluated(log, every, kept(test_points(log), "points"))[0].select("trial", "point_id", F.col("x")[0].alias("reach"), F.col("y")[0].alias("predicted"))
+
+
+@query("model_registry")
+def model_registry(spark, sf_dir):
+    """One row of metrics for each data set, curve and surface by name, from noisy measurements."""
+    log = kept(alone_and_together(spark, sf_dir), "log")
+    every = strategy_trials(spark, sf_dir, ("m3",), tuple(strategies.CURVES), ("restricted_pairwise_union",))
+    return trial_rows(log, kept(every, "trials"), epsilon=10.0)
+
+
+@query("kinflated_fit")
+def kinflated_fit(spark, sf_dir):
+    return curves.kinflated_fit(histograms(spark, sf_dir).select(F.col("publisher").alias("key"), "impressions", "histogram"))
+
+
+@query("mixture_fit")
+def mixture_fit(spark, sf_dir):
+    return surfaces.mixture_fit(surface_points(spark, sf_dir), union_reach(spark, sf_dir))
 
 
 # Synthetic logs
@@ -766,22 +960,43 @@ def customers(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("vid"))
 
 
-@query("gen_homogeneous")
+def poisson_sql(name: str, mean: float) -> str:
+    """A table of a Poisson law's cumulative probabilities, summed as the inversion does."""
+    return f"{name}(j, p, c) AS (SELECT 0, exp(-{mean!r}::DOUBLE), exp(-{mean!r}::DOUBLE) UNION ALL SELECT j + 1, p * {mean!r}::DOUBLE / (j + 1), c + p * {mean!r}::DOUBLE / (j + 1) FROM {name} WHERE j < 200)"
+
+
+PEOPLE = "people AS (SELECT CAST(c_custkey AS BIGINT) AS vid FROM customer)"
+HOMOGENEOUS = f"WITH RECURSIVE {PEOPLE}, {poisson_sql('law', 1.5)}, n AS (SELECT vid, 1 + coalesce((SELECT min(j) FROM law WHERE u <= c), 200) AS f FROM (SELECT vid, {uniform_sql('vid', repr('h'))} AS u FROM people)), g AS (SELECT vid, i.range AS i FROM n, range(1, 202) i WHERE i.range <= f)"
+
+
+@query("gen_homogeneous", HOMOGENEOUS + " SELECT vid, CAST(i AS INTEGER) AS i FROM g", log=False)
 def gen_homogeneous(spark, sf_dir):
     return synthetic.homogeneous(customers(spark, sf_dir), 1.5, "h")
 
 
-@query("gen_heterogeneous")
+D = 0.8 + 1 - 1 / 3
+HETEROGENEOUS = f"""WITH RECURSIVE {PEOPLE}, x AS (SELECT vid, i.range AS i, {normal_sql("vid", "'h-' || i.range")} AS x, {uniform_sql("vid", "'h-u' || i.range")} AS u FROM people, range(0, 8) i),
+v AS (SELECT *, pow(1 + {1 / (9 * D) ** 0.5!r}::DOUBLE * x, 3) AS v FROM x), ok AS (SELECT vid, arg_min({D!r}::DOUBLE * v, i) AS g FROM v WHERE v > 0 AND ln(u) < 0.5 * x * x + {D!r}::DOUBLE - {D!r}::DOUBLE * v + {D!r}::DOUBLE * ln(greatest(v, 1e-300)) GROUP BY vid),
+r AS (SELECT vid, coalesce(g, {D!r}::DOUBLE) * pow({uniform_sql("vid", "'h-b'")}, {1 / 0.8!r}::DOUBLE) * 2.0 AS rate FROM people LEFT JOIN ok USING (vid)), pt AS (SELECT vid, q.range AS part, rate / (floor(rate / 100) + 1) AS m FROM r, range(0, 50) q WHERE q.range <= floor(rate / 100)),
+walk(vid, part, m, u, j, p, c) AS (SELECT vid, part, m, {uniform_sql("vid, part", "'h-p'")}, 0, exp(-m), exp(-m) FROM pt UNION ALL SELECT vid, part, m, u, j + 1, p * m / (j + 1), c + p * m / (j + 1) FROM walk WHERE u > c AND j < 200),
+n AS (SELECT vid, 1 + sum(k) AS f FROM (SELECT vid, part, max(j) AS k FROM walk GROUP BY ALL) GROUP BY vid) SELECT vid, CAST(i.range AS INTEGER) AS i FROM n, range(1, 2000) i WHERE i.range <= f"""
+
+
+@query("gen_heterogeneous", HETEROGENEOUS, log=False)
 def gen_heterogeneous(spark, sf_dir):
     return synthetic.heterogeneous(customers(spark, sf_dir), 0.8, 2.0, "h")
 
 
-@query("gen_heavy_tailed")
+HEAVY = f"""WITH {PEOPLE}, x AS (SELECT vid, i.range AS i, floor(pow({uniform_sql("vid", "'z-' || i.range")}, {-1 / 1.5!r}::DOUBLE)) AS x, {uniform_sql("vid", "'z-v' || i.range")} AS w FROM people, range(0, 32) i), ok AS (SELECT vid, arg_min(x, i) AS f FROM (SELECT *, pow(1 + 1 / x, 1.5) AS t FROM x) WHERE x <= 10000 AND w * x * (t - 1) / {2**1.5 - 1!r}::DOUBLE <= t / {2**1.5!r}::DOUBLE GROUP BY vid)
+SELECT vid, CAST(i.range AS INTEGER) AS i FROM people LEFT JOIN ok USING (vid), range(1, 10001) i WHERE i.range <= coalesce(f, 1)"""
+
+
+@query("gen_heavy_tailed", HEAVY, log=False)
 def gen_heavy_tailed(spark, sf_dir):
     return synthetic.heavy_tailed(customers(spark, sf_dir), 2.5, "z")
 
 
-@query("shuffle_log")
+@query("shuffle_log", HOMOGENEOUS + " SELECT vid, CAST(i AS INTEGER) AS i, 'a' AS publisher, row_number() OVER (ORDER BY md5(concat_ws('/', vid, i, 's')), vid, i) AS rank FROM g", log=False)
 def shuffle_log(spark, sf_dir):
     return synthetic.shuffled(gen_homogeneous(spark, sf_dir).withColumn("publisher", F.lit("a")), ["publisher"], "s")
 
@@ -819,14 +1034,22 @@ def overlap_disjoint(spark, sf_dir):
     return synthetic.overlap_disjoint(segment_log(spark, sf_dir), segment_sizes(spark, sf_dir))
 
 
-@query("overlap_independent")
+@query("overlap_independent", SIZES + f" SELECT dataset, publisher, vid FROM (SELECT dataset, publisher, size, vid, row_number() OVER (PARTITION BY dataset, publisher ORDER BY md5(concat_ws('/', dataset, publisher, vid, 'i')), vid) AS r FROM s, (SELECT CAST(c_custkey AS BIGINT) AS vid FROM customer)) WHERE r <= size", log=False)
 def overlap_independent(spark, sf_dir):
     return synthetic.overlap_independent(segment_sizes(spark, sf_dir), customers(spark, sf_dir), "i")
 
 
-@query("overlap_sequential")
+SEQUENTIAL = """WITH n AS (SELECT count(*) // 15 AS s0, count(*) // 25 AS s1, count(*) // 50 AS s2 FROM customer), c AS (SELECT *, least(CAST(round_even(0.4::DOUBLE * s1, 0) AS BIGINT), s0) AS c1, least(CAST(round_even(0.4::DOUBLE * s2, 0) AS BIGINT), s1) AS c2 FROM n), people AS (SELECT CAST(c_custkey AS BIGINT) AS vid FROM customer),
+p0 AS (SELECT vid FROM people, c WHERE vid < s0), p1 AS (SELECT vid FROM people, c WHERE vid >= s0 AND vid < s0 + s1 - c1 UNION ALL SELECT vid FROM (SELECT vid, row_number() OVER (ORDER BY md5(concat_ws('/', vid, 'q-1')), vid) AS r FROM p0), c WHERE r <= c1),
+p2 AS (SELECT vid FROM people, c WHERE vid >= s0 + s1 - c1 AND vid < s0 + s1 - c1 + s2 - c2 UNION ALL SELECT vid FROM (SELECT vid, row_number() OVER (ORDER BY md5(concat_ws('/', vid, 'q-2')), vid) AS r FROM p1), c WHERE r <= c2)
+SELECT CAST(0 AS INTEGER) AS publisher, vid FROM p0 UNION ALL SELECT 1, vid FROM p1 UNION ALL SELECT 2, vid FROM p2"""
+
+
+@query("overlap_sequential", SEQUENTIAL, log=False)
 def overlap_sequential(spark, sf_dir):
-    return synthetic.overlap_sequential([100, 60, 30], customers(spark, sf_dir), 0.4, "q")
+    people = customers(spark, sf_dir)  # numbered from 0 on
+    n = people.count()
+    return synthetic.overlap_sequential([n // 15, n // 25, n // 50], people, 0.4, "q")
 
 
 @query("relabel_ids", SIZES + " SELECT dataset, publisher, 3 * r.range + 7 AS vid FROM s, range(0, 100000) r WHERE r.range < size", log=False)
@@ -835,10 +1058,15 @@ def relabel_ids(spark, sf_dir):
     return synthetic.relabel(log, log.withColumn("vid", 3 * F.col("vid") + 7))
 
 
-@query("gen_design")
+DESIGN = f"""WITH RECURSIVE cs AS (SELECT c_mktsegment AS dataset, count(*) AS n FROM customer GROUP BY ALL), s(dataset, publisher, size) AS (SELECT dataset, 1, n FROM cs UNION ALL SELECT dataset, publisher + 1, CAST(floor(size * pow(0.2::DOUBLE, 1.0 / 2)) AS BIGINT) FROM s WHERE publisher < 3), {poisson_sql("law", 1.0)},
+n AS (SELECT dataset, publisher, vid, 1 + coalesce((SELECT min(j) FROM law WHERE u <= c), 200) AS f FROM (SELECT dataset, publisher, r.range AS vid, {uniform_sql("dataset, publisher, r.range", "'g'")} AS u FROM s, range(0, 100000) r WHERE r.range < size)),
+g AS (SELECT dataset, publisher, vid, row_number() OVER (PARTITION BY dataset, publisher ORDER BY md5(concat_ws('/', vid, i.range, 'g')), vid, i.range) AS seq FROM n, range(1, 202) i WHERE i.range <= f) SELECT dataset, publisher, seq, vid, round(seq * 0.05::DOUBLE, 6) AS spend FROM g"""
+
+
+@query("gen_design", DESIGN, log=False)
 def gen_design(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_mktsegment").alias("dataset")).agg(F.count("*").alias("largest"))
-    return synthetic.generate_design(c.withColumns({"publishers": F.lit(3), "ratio": F.lit(0.2)}), customers(spark, sf_dir), 1.0, 0.05, "g")
+    return synthetic.generate_design(c.withColumns({"publishers": F.lit(3), "ratio": F.lit(0.2)}), customers(spark, sf_dir), 1.0, 0.05, "g").withColumn("spend", F.round("spend", 6))
 
 
 @query("histogram_arrays", "SELECT dataset, list(reach::DOUBLE ORDER BY k) AS kplus FROM kp GROUP BY ALL")

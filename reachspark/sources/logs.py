@@ -5,38 +5,31 @@ A log has the columns dataset, publisher, pub_idx (0-based, by name), seq (order
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reachspark.functions.joins import beside
 from reachspark.functions.ranking import ranked
+from reachspark.sources.scratch import kept, scratch
 
 SCHEMA = "vid BIGINT, spend DOUBLE"
 #: Cost of an impression where a table has none.
 COST = 0.1
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that driver and executors share, spark.checkpoint.dir, or in tests under one made here."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def with_publisher_index(df: DataFrame) -> DataFrame:
-    """Adds pub_idx, the place of a publisher's name among those of its data set. Only the names are sorted."""
-    names = df.select("dataset", "publisher").distinct()
+def with_publisher_index(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Adds pub_idx, the place of a publisher's name among those of its data set (names are looked up in `of`, or in df)."""
+    names = (df if of is None else of).select("dataset", "publisher").distinct()
     index = names.withColumn("pub_idx", (F.row_number().over(Window.partitionBy("dataset").orderBy("publisher")) - 1).cast("int"))
-    return df.join(index, ["dataset", "publisher"])
+    return beside(df, index, ["dataset", "publisher"])
 
 
 def log_from(df: DataFrame, dataset, publisher: str, vid: str, day, order: list[str]) -> DataFrame:
     """Takes the rows of a table for impressions at a fixed cost, ordered by day and then by `order`."""
     rows = df.select(F.lit(dataset).alias("dataset") if isinstance(dataset, str) else dataset.alias("dataset"), F.col(publisher).alias("publisher"), F.col(vid).cast("long").alias("vid"), day.alias("day"), *order)
-    rows = ranked(rows, ["dataset", "publisher"], F.col("day"), order, "seq").drop("day", *order)
-    rows = with_publisher_index(rows.withColumn("spend", F.col("seq") * F.lit(COST)))
-    return rows.select("dataset", "publisher", "pub_idx", "seq", "vid", "spend")
+    log = ranked(rows, ["dataset", "publisher"], F.col("day"), order, "seq").drop("day", *order)
+    log = with_publisher_index(log.withColumn("spend", F.col("seq") * F.lit(COST)), rows)  # the names need no ranks
+    return log.select("dataset", "publisher", "pub_idx", "seq", "vid", "spend")
 
 
 def log_from_orders(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
@@ -57,16 +50,31 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bad_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The malformed lines under path: file, bad (the line)."""
+    """The malformed lines under path: file, line (its number in the file), bad (the line).
+
+    A line's number is its place in its split and the lines of the splits before, which are counted."""
     parsed = F.from_csv("value", SCHEMA + ", broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("bad"), parsed.alias("row"))
-    return df.filter("row.broken is not null").drop("row")
+    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("bad"), parsed.alias("row"))
+    df = kept(df.select("file", "split", "at", F.when(F.col("row.broken").isNotNull(), F.col("bad")).alias("bad")), "lines")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = df.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first")).select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # rows of a split have successive numbers: a split is read by one task, in order
+    return df.filter("bad is not null").join(splits, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "bad")
+
+
+def publisher_of(path: Column) -> Column:
+    """The publisher that a file stands for: what its folder says (publisher=name), or its name without endings."""
+    folder = F.regexp_extract(path, r"/publisher=([^/]*)/", 1)
+    return F.when(folder != "", F.url_decode(folder)).otherwise(F.regexp_extract(F.url_decode(path), r"([^/]*?)(\.[a-z]+)*$", 1))
 
 
 def read_dataset(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """Every file of a directory as one publisher, named and indexed by file name. Ties in spend are ordered by vid."""
-    df = read_log(spark, path).select(F.lit(dataset).alias("dataset"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[a-z]+)*$", 1).alias("publisher"), "vid", "spend")
-    df = ranked(df, ["dataset", "publisher"], F.floor("spend"), ["spend", "vid"], "seq")
+    """Every file of a directory (or every folder publisher=name) as one publisher, named and indexed by that name. Ties in spend are ordered by vid."""
+    df = spark.read.schema(SCHEMA).option("mode", "FAILFAST").option("recursiveFileLookup", True).csv(path).select(F.lit(dataset).alias("dataset"), publisher_of(F.col("_metadata.file_path")).alias("publisher"), "vid", "spend")
+    top = df.groupBy("dataset", "publisher").agg(F.max("spend").alias("top"), F.count("*").alias("n"))
+    # Ranges of about a thousand impressions each if spend is even; any spend there is, below 1 too, is spread
+    share = F.when(F.col("top") > 0, F.floor(F.col("spend") / F.col("top") * F.ceil(F.col("n") / 1000))).otherwise(F.lit(0)).cast("long")
+    df = ranked(beside(df, top, ["dataset", "publisher"]), ["dataset", "publisher"], share, ["spend", "vid"], "seq").drop("top", "n")
     return with_publisher_index(df).select("dataset", "publisher", "pub_idx", "seq", "vid", "spend")
 
 
@@ -87,6 +95,11 @@ def write_dataset(log: DataFrame, path: str) -> None:
     log.repartitionByRange("dataset", "publisher", "spend", "seq").sortWithinPartitions("dataset", "publisher", "spend", "seq").write.mode("append").partitionBy("dataset", "publisher").parquet(path)
 
 
+def write_files(log: DataFrame, path: str) -> None:
+    """A headerless file of vid,spend for each publisher, named by it, as read_dataset takes them. One task writes each file."""
+    log.select("publisher", F.concat_ws(",", "vid", "spend").alias("line"), "spend").repartition("publisher").sortWithinPartitions("publisher", "spend").select("publisher", "line").write.partitionBy("publisher").text(path)
+
+
 def add_dataset(spark: SparkSession, log: DataFrame, path: str) -> None:
     """Appends data sets to a design; one that is there already is an error."""
     names = log.select("dataset").distinct()

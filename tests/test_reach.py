@@ -102,7 +102,7 @@ def test_private_regions_draw_as_many_as_the_sketch_shows(spark, sf):
     for people in (50, 20000):
         active = sketch.active_registers(sketch.build(campaign(people), "dp", ("dataset",))).first().active
         assert overlap.sample_users(overlap.user_region(campaign(people)), active, "dp").count() == active
-        got = {r.region: r.reach for r in overlap.regions_dp(campaign(people), spent, 1.0, "dp", noise=False).collect()}
+        got = {r.region: r.reach for r in overlap.regions_dp(campaign(people), spent, 1.0, "dp", noise=False)[0].collect()}
         # noise off, counts of the sample are what scaling left in proportion: whole numbers that sum to the registers in use by one
         parts = [r * active / sum(got.values()) for r in got.values()]
         assert sorted(got) == [1, 2, 3] and got[2] == 0 and all(abs(x - round(x)) < 1e-6 for x in parts)
