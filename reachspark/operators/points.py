@@ -60,8 +60,7 @@ def points_for(strategy: str, limits: DataFrame, **how) -> DataFrame:
 
 def factorial_design(spark: SparkSession, levels: dict[str, list]) -> DataFrame:
     """Every combination of the levels of each parameter."""
-    tables = [spark.createDataFrame([(x,) for x in v], [k]) for k, v in levels.items()]
-    return reduce(DataFrame.crossJoin, tables)
+    return reduce(lambda df, x: df.withColumn(x[0], F.explode(F.array(*map(F.lit, x[1])))), levels.items(), spark.range(1)).drop("id")
 
 
 def latin_design(spark: SparkSession, levels: dict[str, list], n: int, seed: str) -> DataFrame:

@@ -116,17 +116,20 @@ def private(prefix: DataFrame, most: int, epsilon: float, seed: str) -> tuple[Da
     return shown.drop("reach", "histogram").join(single, ["dataset", "pub_idx"]), unions, ledger
 
 
-def fit_single_publisher(prefix: DataFrame, trials: DataFrame, epsilon: float | None = None, seed: str = "single") -> DataFrame:
-    """Curves of campaigns of one publisher, by trial (trial, dataset, curve): fit_curves' columns, trial and dataset. A campaign with
-    several publishers gives an error."""
-    points = exact(prefix, MOST_SINGLE) if epsilon is None else private(prefix, MOST_SINGLE, 3 * epsilon, seed)[0]  # a third is the one request's
+def fit_single_publisher(prefix: DataFrame, trials: DataFrame, epsilon: float | None = None, seed: str = "single") -> tuple[DataFrame, DataFrame | None]:
+    """Curves of campaigns of one publisher, by trial (trial, dataset, curve): fit_curves' columns, trial and dataset; and the ledger of them
+    (trial, epsilon, delta, mechanism). A campaign with several publishers gives an error."""
+    points, ledger = exact(prefix, MOST_SINGLE), None
+    if epsilon is not None:  # one request has all of it; private() parts it among three
+        points, _, spent = private(prefix, MOST_SINGLE, 3 * epsilon, seed)
+        ledger = trials.select("trial", "dataset").join(spent.filter("request = 1"), "dataset").drop("dataset", "request")
     points = kept(points, "single")
     alone = points.groupBy("dataset").agg(F.count("*").alias("p"))
     rows = trials.select("trial", "dataset", "curve").join(alone, "dataset", "left")
     good = rows.filter("p = 1").join(points, "dataset").withColumn("key", F.col("trial"))
     fits = fit_curves(good.select("key", "trial", "dataset", "publisher", "pub_idx", "curve", "impressions", "reach", "spend", "histogram"))
     bad = rows.filter("p is null or p <> 1").select("trial", "dataset", "curve", F.concat(F.lit("one publisher only, not "), F.coalesce("p", F.lit(0))).alias("error"))
-    return fits.drop("key").unionByName(bad, allowMissingColumns=True)
+    return fits.drop("key").unionByName(bad, allowMissingColumns=True), ledger
 
 
 def training_points(fits: DataFrame, unions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,11 +161,13 @@ def mixture(points: DataFrame, union: DataFrame) -> Callable[[DataFrame], DataFr
 SURFACES: dict[str, Callable[[DataFrame, DataFrame], Callable[[DataFrame], DataFrame]] | None] = {"pairwise_union": pairwise, "restricted_pairwise_union": restricted, "generalized_mixture": mixture, "none": None}
 
 
-def fit_m3(prefix: DataFrame, trials: DataFrame, epsilon: float | None = None, seed: str = "m3") -> tuple[DataFrame, DataFrame]:
-    """Curves of all publishers of campaigns, by trial (trial, dataset, curve, surface): (fits, unions measured). See predict()."""
-    points, unions = (exact(prefix, MOST_EACH), exact_unions(prefix)) if epsilon is None else private(prefix, MOST_EACH, epsilon, seed)[:2]
+def fit_m3(prefix: DataFrame, trials: DataFrame, epsilon: float | None = None, seed: str = "m3") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Curves of all publishers of campaigns, by trial (trial, dataset, curve, surface): (fits, unions measured, ledger). See predict()."""
+    points, unions, ledger = (exact(prefix, MOST_EACH), exact_unions(prefix), None) if epsilon is None else private(prefix, MOST_EACH, epsilon, seed)
+    if ledger is not None:
+        ledger = trials.select("trial", "dataset").join(ledger, "dataset").drop("dataset", "request")
     rows = trials.select("trial", "dataset", "curve", "surface").join(kept(points, "each"), "dataset").withColumn("key", F.concat_ws("/", "trial", "pub_idx"))
-    return fit_curves(rows).drop("key"), kept(unions, "unions")
+    return fit_curves(rows).drop("key"), kept(unions, "unions"), ledger
 
 
 def predict(fits: DataFrame, unions: DataFrame | None, at: DataFrame, most: int = reach.K) -> DataFrame:
@@ -188,11 +193,11 @@ def predict(fits: DataFrame, unions: DataFrame | None, at: DataFrame, most: int
 
 
 #: Strategies by name: the curves of all trials, and what surfaces are fitted to.
-STRATEGIES: dict[str, Callable[..., tuple[DataFrame, DataFrame | None]]] = {"single_publisher": lambda *a, **k: (fit_single_publisher(*a, **k), None), "m3": fit_m3}
+STRATEGIES: dict[str, Callable[..., tuple[DataFrame, DataFrame | None, DataFrame | None]]] = {"single_publisher": lambda *a, **k: (x := fit_single_publisher(*a, **k), (x[0], None, x[1]))[1], "m3": fit_m3}
 
 
-def evaluated(log: DataFrame, trials: DataFrame, points: DataFrame, done: DataFrame | None = None, epsilon: float | None = None, most: int = reach.K) -> tuple[DataFrame, DataFrame]:
-    """(trial, point_id, x, y) of truth and prediction, and (trial, error) of failures, for trials (trial, dataset, strategy, curve, surface,
+def evaluated(log: DataFrame, trials: DataFrame, points: DataFrame, done: DataFrame | None = None, epsilon: float | None = None, most: int = reach.K) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(trial, point_id, x, y) of truth and prediction, (trial, error) of failures, and (trial, epsilon, delta, mechanism) spent, for trials (trial, dataset, strategy, curve, surface,
     share) that have no result in `done` yet. points: dataset, point_id, publisher, pub_idx, spend."""
     trials = kept(trials if done is None else trials.join(done.select("trial"), "trial", "left_anti"), "trials")
     names = [r.strategy for r in trials.select("strategy").distinct().collect()]  # names of strategies
@@ -206,13 +211,15 @@ def evaluated(log: DataFrame, trials: DataFrame, points: DataFrame, done: DataFr
     prefix = reach.beside(log, lists, ["dataset", "publisher"]).withColumn("campaign", F.explode(bought)).select(F.col("campaign.campaign").alias("dataset"), "publisher", "pub_idx", "seq", "vid", "spend")
     prefix = kept(prefix, "campaigns")
     at = named.select("trial", "dataset").join(points, "dataset").select("trial", "point_id", "pub_idx", "spend")
-    found, wrong = [], []
+    found, wrong, spent_by = [], [], [log.sparkSession.createDataFrame([], "trial string, epsilon double, delta double, mechanism string")]
     for n in sorted(names):
         rows = named.filter(F.col("strategy") == n).withColumn("dataset", F.col("campaign"))
-        fits, unions = STRATEGIES[n](prefix, rows, epsilon=epsilon)
+        fits, unions, ledger = STRATEGIES[n](prefix, rows, epsilon=epsilon)
         fits = kept(fits, "fits")
+        if ledger is not None:
+            spent_by.append(ledger)
         found.append(predict(fits, unions, at, most))
         wrong.append(fits.filter("error is not null").groupBy("trial").agg(F.min("error").alias("error")))
     truth = reach.reach_at_points(log, points, most).groupBy("dataset", "point_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "reach"))), lambda x: x["reach"].cast("double")).alias("x"))
     model = reduce(DataFrame.unionByName, found).join(named.select("trial", "dataset"), "trial")
-    return truth.join(model, ["dataset", "point_id"]).select("trial", "point_id", "x", "y"), reduce(DataFrame.unionByName, wrong)
+    return truth.join(model, ["dataset", "point_id"]).select("trial", "point_id", "x", "y"), reduce(DataFrame.unionByName, wrong), reduce(DataFrame.unionByName, spent_by)

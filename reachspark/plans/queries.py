@@ -81,7 +81,7 @@ def measured(prefix: DataFrame) -> DataFrame:
 
 
 def values(spark: SparkSession, schema: str, *rows) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema).coalesce(1)
 
 
 # Sources
@@ -902,9 +902,8 @@ COLUMNS = ["trial", "npoints", "mean_error", "mean_abs_relative_error", "mare_fr
 
 
 def trial_rows(log: DataFrame, trials: DataFrame, done: DataFrame | None = None, epsilon: float | None = None) -> DataFrame:
-    both, errors = strategies.evaluated(log, trials, kept(test_points(log), "points"), done, epsilon)
+    both, errors, spent = strategies.evaluated(log, trials, kept(test_points(log), "points"), done, epsilon)
     left = trials if done is None else logs.resume_trials(trials, done, ["trial"])
-    spent = both.sparkSession.createDataFrame([], "trial string, epsilon double, delta double, mechanism string")
     every = left.withColumns({"epsilon_budget": F.lit(epsilon or 0.0), "delta_budget": F.lit(0.0)})
     return evaluate.privacy_columns(evaluate.with_failures(every, evaluate.metrics(both), errors), spent)
 
@@ -923,7 +922,7 @@ def fit_single_publisher(spark, sf_dir):
     trials = strategy_trials(spark, sf_dir).filter("dataset <> 'orders'").withColumn("campaign", F.concat_ws("/", "dataset", "share"))
     spent = limits(log, 1.0).join(trials.select("dataset", "share", "campaign"), "dataset").select("dataset", "publisher", "campaign", (F.col("share") * F.col("spend_limit")).alias("spend_limit"))
     prefix = reach.beside(log, spent, ["dataset", "publisher"]).filter("spend <= spend_limit").withColumn("dataset", F.col("campaign")).drop("campaign", "spend_limit")
-    fits = strategies.fit_single_publisher(prefix, trials.withColumn("dataset", F.col("campaign")))
+    fits = strategies.fit_single_publisher(prefix, trials.withColumn("dataset", F.col("campaign")))[0]
     return fits.select("trial", F.round("rho", 6).alias("rho"), F.round("cpi", 9).alias("cpi"))
 
 
