@@ -3,8 +3,9 @@
 A text is cut into pre-tokens by the vocabulary's pattern. The distinct pre-tokens of a stretch of documents, in sorted
 order, are a trie walked depth first: the best score of each prefix is kept on a stack, so a prefix that many pre-tokens
 share is scored once. The score of a prefix is the best sum of piece scores over its segmentations; at the end of a
-pre-token the number of pieces of that segmentation is stored. Scores are log probabilities: the vocabulary file gives
-ranks alone, so piece r gets 1/(r+1), normalised (Zipf's law).
+pre-token the number of pieces of that segmentation is stored. Scores are log probabilities, fitted to the documents: Spark counts the
+distinct pre-tokens of all of them; each is cut by the scores so far (at first by Zipf's law over the vocabulary's ranks), pieces are counted
+over all cuts, and their shares are the next scores. A piece that no cut has keeps a small share.
 
 Defined cases: null and empty texts have no pre-tokens and no tokens. Strings of special tokens are ordinary text. All
 single bytes are pieces, so every text has a segmentation; of equal scores the one with the shorter last piece wins.
@@ -15,16 +16,19 @@ from __future__ import annotations
 
 import base64
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachspark.llm.common import put, read
+from reachspark.llm.common import put, read, stored
 
 #: Counts that a task remembers; it forgets all beyond that and goes on, so memory is bounded and results don't change.
 REMEMBERED = 400_000
+#: Rounds of cutting and counting when scores are fitted, and what is added to each piece's count.
+ROUNDS, LEAST_COUNT = 2, 0.1
 #: Documents whose pre-tokens are put in one trie.
 STRETCH = 1000
 
@@ -42,28 +46,26 @@ def read_vocabulary(spark: SparkSession, path: str) -> dict[bytes, int]:
 class Unigram:
     """Scores of pieces, and of every suffix of a piece whether it is one (its score) or only a suffix (None)."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        total = math.log(sum(1 / (r + 1) for r in ranks.values()))
+    def __init__(self, scores: dict[bytes, float]):
         self.suffixes: dict[bytes, float | None] = {}
-        for piece in ranks:
+        for piece in scores:
             for i in range(1, len(piece)):
                 self.suffixes.setdefault(piece[i:], None)
-        for piece, r in ranks.items():
-            self.suffixes[piece] = -math.log(r + 1) - total
+        self.suffixes.update(scores)
 
-    def counts(self, words: Iterable[bytes]) -> list[int]:
-        """For words in sorted order, the number of pieces in the best segmentation of each."""
-        get, out, last = self.suffixes.get, [], b""
-        best, pieces = [0.0], [0]
+    def counts(self, words: Iterable[bytes], used: dict[bytes, int] | None = None, weights: Iterable[int] = ()) -> list[int]:
+        """For words in sorted order, the number of pieces in the best segmentation of each; `used` gets the pieces, by the words' weights."""
+        get, out, last, weight = self.suffixes.get, [], b"", iter(weights)
+        best, pieces, begins = [0.0], [0], [0]
         for w in words:
             shared = 0
             for a, b in zip(last, w, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del best[shared + 1 :], pieces[shared + 1 :]
+            del best[shared + 1 :], pieces[shared + 1 :], begins[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
-                top, n = -math.inf, 0
+                top, n, begin = -math.inf, 0, end - 1
                 for start in range(end - 1, -1, -1):
                     score = get(w[start:end], 0.0)
                     if score is None:
@@ -71,17 +73,73 @@ class Unigram:
                     if score == 0.0:  # no piece ends like this, and no longer one does
                         break
                     if best[start] + score > top:
-                        top, n = best[start] + score, pieces[start] + 1
+                        top, n, begin = best[start] + score, pieces[start] + 1, start
                 best.append(top)
                 pieces.append(n)
+                begins.append(begin)
             out.append(pieces[-1])
             last = w
+            if used is not None:
+                many, end = next(weight), len(w)
+                while end:
+                    piece = w[begins[end] : end]
+                    used[piece] = used.get(piece, 0) + many
+                    end = begins[end]
         return out
 
 
-def count_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> DataFrame:
+def zipf(ranks: dict[bytes, int]) -> dict[bytes, float]:
+    """Log probabilities in proportion to 1 / (rank + 1)."""
+    total = math.log(sum(1 / (r + 1) for r in ranks.values()))
+    return {piece: -math.log(r + 1) - total for piece, r in ranks.items()}
+
+
+def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """(word, n): the distinct pre-tokens of all documents, as bytes. Tasks add up some hundred thousand at a time before they hand on."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import regex
+
+        cut, seen = regex.compile(pattern).findall, Counter()
+        for b in batches:
+            for t in b["text"]:
+                if t:
+                    seen.update(cut(t))
+                if len(seen) > REMEMBERED:
+                    yield frame(seen)
+                    seen.clear()
+        yield frame(seen)
+
+    def frame(seen: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"word": [w.encode("utf-8", "surrogatepass") for w in seen], "n": list(seen.values())})
+
+    return docs.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fitted(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rounds: int = ROUNDS) -> dict[bytes, float]:
+    """Scores of the vocabulary's pieces by their shares in the documents' best segmentations. No more than the vocabulary comes back."""
+    scores, context = zipf(ranks), docs.sparkSession.sparkContext
+    words = stored(word_counts(docs, pattern), "pre-tokens") if rounds else None
+    for _ in range(rounds):
+        held = context.broadcast(Unigram(scores))  # as large as the vocabulary
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                used: dict[bytes, int] = {}
+                b = b.sort_values("word")
+                held.value.counts(b["word"], used, b["n"].tolist())  # noqa: B023
+                yield pd.DataFrame({"piece": list(used), "n": list(used.values())})
+
+        counts = words.mapInPandas(cut, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+        seen = {bytes(r.piece): r.n for r in counts.toLocalIterator()}
+        total = math.log(sum(seen.values()) + LEAST_COUNT * len(ranks))
+        scores = {piece: math.log(seen.get(piece, 0) + LEAST_COUNT) - total for piece in ranks}
+    return scores
+
+
+def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """docs with n_pretokens and n_tokens."""
-    held = docs.sparkSession.sparkContext.broadcast(Unigram(ranks))
+    held = docs.sparkSession.sparkContext.broadcast(Unigram(scores))  # as large as the vocabulary
 
     @F.pandas_udf("n_pretokens long, n_tokens long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -107,4 +165,6 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: st
     import public_tokenizers
 
     ranks = read_vocabulary(spark, path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern or public_tokenizers.PATTERN)[["doc_id", "n_pretokens", "n_tokens"]]
+    pattern = pattern or public_tokenizers.PATTERN
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, fitted(docs, ranks, pattern), pattern)[["doc_id", "n_pretokens", "n_tokens"]]
