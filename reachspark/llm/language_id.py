@@ -8,7 +8,7 @@ drawn by a hash of doc_id; counts of their n-grams are summed by Spark.
 
 Defined cases: a null text, or one without a letter, gives `und` and score 0. A tie goes to the language first in code
 point order. With no labelled document every text gives `und`. Repeated rows are each predicted alike; extra columns
-stay. Score is 1 - distance / greatest possible distance.
+stay. A row without doc_id isn't held out. Score is 1 - distance / greatest possible distance.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, lists: dict[str, list[int]], size: int = PROFILE) -
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    lists = profiles(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    lists = profiles(docs.filter(~held_out))
     out = predict(docs.select("doc_id", "text", held_out.alias("held_out")), lists)
     return out.select("doc_id", "held_out", "lang_pred", "score")

@@ -5,7 +5,7 @@ Lines are compared without surrounding white space, inside one site only, by a 6
 each line. Counts are partly summed before the shuffle, so one line on every page costs each task one row.
 
 Defined cases: a null text stays null and has no lines; blank lines are never boilerplate and stay. A null site is a
-site of its own. Repeated rows are separate pages. A text all of whose lines go becomes empty; no row goes.
+site of its own. Repeated rows are separate pages, also under one doc_id. A text all of whose lines go becomes empty; no row goes.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachspark.llm.common import put, read, stored, whole
+from reachspark.llm.common import HELD, apart, read, stored, together, whole
 
 RATIO, MIN_PAGES = 0.05, 5
 #: Boilerplate lines up to which their list is broadcast (about 60 bytes each); beyond it the join shuffles.
@@ -44,23 +44,22 @@ def dedup_lines(docs: DataFrame, site: str = "source", ratio: float = RATIO, min
     table = stored(boilerplate(docs, site, ratio, min_pages), "site-lines")
     lists = table.groupBy(F.col("b_site").alias("l_site")).agg(F.collect_list("b_line").alias("l_lines"))  # bounded, see boilerplate()
     lists = lists.hint("broadcast" if table.count() <= broadcast_lines else "merge")
-    df = docs.join(lists, F.col(site).eqNullSafe(F.col("l_site")), "left").withColumn("l_all", lines_of(F.col("text")))
+    rows = apart(docs, *dict.fromkeys(("text", site)))
+    df = rows.join(lists, F.col(site).eqNullSafe(F.col("l_site")), "left").withColumn("l_all", lines_of(F.col("text")))
     stays = F.filter("l_all", lambda x: ~F.coalesce(F.array_contains("l_lines", key_of(x)), F.lit(False)))
     df = df.withColumn("l_kept", F.when(F.col("l_lines").isNull(), F.col("l_all")).otherwise(stays))
     n = F.coalesce(F.size("l_all"), F.lit(0))
     n = F.when(F.col("text").isNull(), 0).otherwise(n)
-    text = F.array_join("l_kept", "\n")
-    out = put(df, n_lines=n.cast("long"), n_dropped=F.when(F.col("text").isNull(), 0).otherwise(F.size("l_all") - F.size("l_kept")).cast("long"))
-    out = out.withColumn("text", text)
-    return out.drop("l_site", "l_lines", "l_all", "l_kept")
+    n_dropped = F.when(F.col("text").isNull(), 0).otherwise(F.size("l_all") - F.size("l_kept")).cast("long")
+    return together(df, docs.columns, text=F.array_join("l_kept", "\n"), n_lines=n.cast("long"), n_dropped=n_dropped)
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """docs with shorter texts and the same columns; n_chars, where there is one, follows the text."""
-    out = dedup_lines(docs.select(*docs.columns))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """docs with shorter texts and the same columns, whatever their names; n_chars, where there is one, follows the text."""
+    columns = {c: F.col(f"in_{i}_{HELD}") for i, c in enumerate(docs.columns)}
+    out = dedup_lines(apart(docs, "text", "source"))
+    text = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in columns else {})
+    return out.select(*(text.get(k, v).alias(k) for k, v in columns.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +67,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH l AS (SELECT doc_id, source, pos, line, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS body
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
+WITH d AS (SELECT doc_id, source, text, row_number() OVER () AS row FROM documents),
+l AS (SELECT row, source, pos, line, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS body
+  FROM (SELECT row, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL)),
 p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 b AS (SELECT l.source, body FROM l JOIN p ON l.source IS NOT DISTINCT FROM p.source WHERE body <> '' GROUP BY l.source, body, pages
-  HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.05::DOUBLE * pages),
+  HAVING count(DISTINCT row) >= 5 AND count(DISTINCT row) > 0.05::DOUBLE * pages),
 k AS (SELECT l.*, b.body IS NOT NULL AS goes FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.body = b.body),
-a AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '') AS text FROM k GROUP BY doc_id)
-SELECT d.doc_id, coalesce(a.n_lines, 0) AS n_lines, coalesce(a.n_dropped, 0) AS n_dropped, a.text FROM documents d LEFT JOIN a USING (doc_id)
+a AS (SELECT row, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '') AS text FROM k GROUP BY row)
+SELECT d.doc_id, coalesce(a.n_lines, 0) AS n_lines, coalesce(a.n_dropped, 0) AS n_dropped, a.text FROM d LEFT JOIN a USING (row)
 """

@@ -13,8 +13,9 @@ too many bits (by six deviations), or that share none of the rarest shingles, of
 So no link between different classes is lost.
 
 Defined cases: a text of one to four words is one shingle. Null and empty texts have none and are like nothing, not
-even each other: their class is their own doc_id. Rows of one doc_id are one document, whatever their texts. A row without doc_id gets the
-class of an equal text with one, else null. The class id is the smallest doc_id in the class.
+even each other: their class is their own doc_id. In classes() rows of one doc_id are one document, whatever their texts; a row without
+doc_id gets the class of an equal text with one, else null. In keep_one() every distinct row is a document. The class id is the
+smallest doc_id in the class.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reachspark.llm.common import read, stored, whole, words_of
+from reachspark.llm.common import HELD, apart, read, stored, together, whole, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Slots in a band and bands: a pair at the threshold shares no band once in 80,000.
@@ -190,7 +191,7 @@ def bits_apart(slots: int, least: float) -> int:
     return int(slots * (1 - least) / 2 + 6 * (slots * (1 - least) / 2 * (1 + least) / 2) ** 0.5)
 
 
-def apart(p: Column, q: Column, slots: int) -> Column:
+def bits_that_differ(p: Column, q: Column, slots: int) -> Column:
     return sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(-(-slots // 63))), F.lit(0))
 
 
@@ -243,7 +244,7 @@ def across(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     rows = rows.select("node", "class", "n_bits", "prefix", F.explode(F.arrays_zip("prefix", "before")).alias("z")).select("node", "class", "n_bits", "prefix", F.col("z.prefix").alias("s"), F.col("z.before").alias("out"))
     side = lambda k: rows.select("s", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "class", "n_bits", "prefix", "out")))
     x, y = F.col("p_out"), F.col("q_out")
-    ok = (F.col("p_node") < F.col("q_node")) & (F.col("p_class") != F.col("q_class")) & ((1 - x) * (1 - y) >= (least - 1e-9) * (1 - x * y)) & (apart(F.col("p_n_bits"), F.col("q_n_bits"), LONG_SLOTS) <= bits_apart(LONG_SLOTS, least))
+    ok = (F.col("p_node") < F.col("q_node")) & (F.col("p_class") != F.col("q_class")) & ((1 - x) * (1 - y) >= (least - 1e-9) * (1 - x * y)) & (bits_that_differ(F.col("p_n_bits"), F.col("q_n_bits"), LONG_SLOTS) <= bits_apart(LONG_SLOTS, least))
     first = F.get(F.array_intersect("p_prefix", "q_prefix"), F.lit(0)) == F.col("s")
     return side("p").join(side("q"), "s").filter(ok & first).select(F.col("p_node").alias("a"), F.col("q_node").alias("b"))
 
@@ -272,7 +273,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, rows: int = ROWS, bands:
     allowed = bits_apart(rows * bands, least)
     other = member.select("key", F.col("class").alias("q_class"), F.col("n_bits").alias("q_bits"))
     near = F.col("class") != F.col("q_class")
-    near = (member["key"] == other["key"]) & near & (apart(F.col("n_bits"), F.col("q_bits"), rows * bands) <= allowed)
+    near = (member["key"] == other["key"]) & near & (bits_that_differ(F.col("n_bits"), F.col("q_bits"), rows * bands) <= allowed)
     likely = stored(member.join(other, near, "left_semi").select("node", "class").distinct(), "likely")
     cross = across(likely, texts, least).join(stars, ["a", "b"], "left_anti")
     cross = stored(cross, "across")
@@ -291,13 +292,39 @@ def classes(docs: DataFrame, least: float = SIMILARITY, rows: int = ROWS, bands:
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without the rows whose class has a smaller doc_id; a doc_id stays once. Rows without doc_id stay."""
-    c = stored(classes(docs, **parameters), "document-classes")
-    gone = c.filter("doc_id <> class_id").select(F.col("doc_id").alias("g_id")).distinct()
-    out = docs.join(small_list(stored(gone, "gone")), F.col("doc_id") == F.col("g_id"), "left_anti")
-    if c.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(out.filter("doc_id is null"))
+    """docs without the rows that are near copies of one that stays, with the input's own columns, whatever their names.
+
+    Rows are told apart by a number of their own, smaller for smaller doc_ids, so texts that share a doc_id, or have none, are documents of
+    their own: of each class the row of the least doc_id stays, null last, and of equal ones that of the least text."""
+    columns = docs.columns
+    rows = apart(docs, "doc_id", "text").withColumn("g_key", F.md5(F.coalesce("text", F.lit(""))))
+    # equal rows are one document: (doc_id, text) gets a number by order of doc_id and text
+    distinct = rows.groupBy("doc_id", "g_key", F.col("text").isNull().alias("g_null")).agg(F.count("*").alias("g_n"))
+    distinct = stored(distinct, "distinct-rows")
+    if distinct.filter("doc_id is null").isEmpty() and distinct.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        numbered = rows.withColumn("g_id", F.col("doc_id"))
+    else:
+        ids = stored(ordered(distinct), "row-numbers")
+        numbered = rows.join(ids, rows["doc_id"].eqNullSafe(ids["i_id"]) & (rows["g_key"] == ids["i_key"]) & (F.col("text").isNull() == ids["i_null"]))
+        numbered = stored(numbered.select("text", "g_id", *(f"in_{i}_{HELD}" for i in range(len(columns)))), "numbered")
+    c = stored(classes(numbered.select(F.col("g_id").alias("doc_id"), "text"), **parameters), "document-classes")
+    gone = small_list(stored(c.filter("doc_id <> class_id").select(F.col("doc_id").alias("x_id")).distinct(), "gone"))
+    out = numbered.join(gone, F.col("g_id") == F.col("x_id"), "left_anti")
+    if not distinct.filter("g_n > 1").isEmpty():  # equal rows: one stays
+        out = out.dropDuplicates(["g_id"])
+    return together(out, columns)
+
+
+def ordered(distinct: DataFrame) -> DataFrame:
+    """(i_id, i_key, i_null, g_id): numbers of distinct rows in the order of doc_id (null last) and text, from counts of ranges and
+    places inside them, so no task sorts all."""
+    df = distinct.withColumn("r_range", F.coalesce(F.floor(F.col("doc_id") / 4096), F.lit((1 << 62))))
+    df = df.withColumn("r_sub", F.when(F.col("doc_id").isNull(), F.substring("g_key", 1, 3)).otherwise(""))
+    before = Window.orderBy("r_range", "r_sub").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    counts = df.groupBy("r_range", "r_sub").agg(F.count("*").alias("r_n")).select(F.col("r_range").alias("s_range"), F.col("r_sub").alias("s_sub"), F.coalesce(F.sum("r_n").over(before), F.lit(0)).alias("r_before"))
+    inside = Window.partitionBy("r_range", "r_sub").orderBy(F.col("doc_id").asc_nulls_last(), "g_key", "g_null")
+    df = df.withColumn("r_in", F.row_number().over(inside)).join(counts, (F.col("r_range") == F.col("s_range")) & (F.col("r_sub") == F.col("s_sub")))
+    return df.select(F.col("doc_id").alias("i_id"), F.col("g_key").alias("i_key"), F.col("g_null").alias("i_null"), (F.col("r_before") + F.col("r_in")).cast("long").alias("g_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

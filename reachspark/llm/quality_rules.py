@@ -5,9 +5,9 @@ long enough documents of its language. A document goes if the Jensen-Shannon dis
 of its characters is far, or if those of its characters and its words both are. All of it is column arithmetic: one aggregation with one
 row for each language, and a join with that table.
 
-Defined cases: a null or empty text has no words and fails the base rules. A language that is null, not in
-COMMON_WORDS, or seen in fewer than `min_reference` documents has no reference: such a document is judged by
-the base rules alone. Histograms of fewer than `min_chars` characters or `min_tokens` words aren't
+Defined cases: a null or empty text has no words and fails the base rules. Documents whose language is null or seen in fewer than
+`min_reference` long enough documents are compared with the characters of all documents; without as many of these the base
+rules alone judge. Words are compared where COMMON_WORDS lists the language. Histograms of fewer than `min_chars` characters or `min_tokens` words aren't
 compared (too short to tell). Repeated rows are judged alike, each for itself. Columns of the input whose names
 clash with results give way to the results in `score`; `keep` returns the input's columns alone.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachspark.llm.common import SPACE, put, read, whole, words_of
+from reachspark.llm.common import SPACE, apart, read, stored, together, whole, words_of
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -31,6 +31,8 @@ CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "point
 PLAIN = r"[a-z\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 
+#: Languages whose references are broadcast; with more the join shuffles.
+BROADCAST_LANGUAGES = 10_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_CHARS, MIN_TOKENS, MIN_REFERENCE = 200, 80, 20
 #: Beyond the first the characters alone reject; beyond both of the others characters and words together do.
@@ -80,15 +82,21 @@ def histograms(docs: DataFrame, min_chars: int, min_tokens: int) -> DataFrame:
     return df.withColumns({"q_char_shares": F.when(F.col("q_n_chars") >= max(min_chars, 1), chars), "q_word_shares": F.when(F.col("q_n") >= max(min_tokens, 1), words)})
 
 
-def references(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOKENS, min_reference: int = MIN_REFERENCE) -> DataFrame:
-    """One row for each listed language: the mean shares over all its documents of sufficient length."""
-    h = histograms(docs.select("text", "lang").filter(F.col("lang").isin(*COMMON_WORDS)), min_chars, min_tokens)
+def references(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOKENS, min_reference: int = MIN_REFERENCE) -> tuple[DataFrame, DataFrame]:
+    """A row for each language: the mean shares over all its documents of sufficient length; and one row, or none, of the mean
+    shares of characters over the documents of all languages, null too."""
+    h = histograms(docs.select("text", "lang"), min_chars, min_tokens)
     n_char, n_word = len(CLASSES) + 2, len(next(iter(COMMON_WORDS.values()))) + 1
-    both = F.when(F.col("q_char_shares").isNotNull() & F.col("q_word_shares").isNotNull(), F.concat("q_char_shares", "q_word_shares"))
-    h = h.select(F.col("lang").alias("q_lang"), both.alias("b"))
-    r = h.groupBy("q_lang").agg(F.count("b").alias("q_seen"), *(F.avg(F.col("b")[i]).alias(f"m{i}") for i in range(n_char + n_word)))
-    ref = [F.array(*(f"m{i}" for i in range(*at))) for at in ((0, n_char), (n_char, n_char + n_word))]
-    return r.filter(F.col("q_seen") >= min_reference).select("q_lang", ref[0].alias("q_ref_chars"), ref[1].alias("q_ref_words"))
+    long_enough = F.col("q_char_shares").isNotNull() & (F.col("q_n") >= max(min_tokens, 1))
+    h = h.select(F.col("lang").alias("q_lang"), F.when(long_enough, F.concat("q_char_shares", F.coalesce("q_word_shares", F.array().cast("array<double>")))).alias("b"))
+    mean = [F.avg(F.get("b", F.lit(i))).alias(f"m{i}") for i in range(n_char + n_word)]
+    r = h.groupBy("q_lang").agg(F.count("b").alias("q_seen"), *mean, *(F.sum(F.get("b", F.lit(i))).alias(f"s{i}") for i in range(n_char)))
+    r = stored(r, "language-references")
+    every = r.agg(*((F.sum(f"s{i}") / F.sum("q_seen")).alias(f"m{i}") for i in range(n_char)), F.sum("q_seen").alias("q_seen")).filter(F.col("q_seen") >= min_reference)
+    chars = lambda: F.array(*(f"m{i}" for i in range(n_char)))
+    words = F.when(F.col("q_lang").isin(*COMMON_WORDS), F.array(*(f"m{i}" for i in range(n_char, n_char + n_word))))
+    own = r.filter((F.col("q_seen") >= min_reference) & F.col("q_lang").isNotNull()).select("q_lang", chars().alias("q_ref_chars"), words.alias("q_ref_words"))
+    return own, every.select(chars().alias("q_all_chars"))
 
 
 def with_repeats(df: DataFrame) -> DataFrame:
@@ -117,11 +125,12 @@ def with_repeats(df: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOKENS, min_reference: int = MIN_REFERENCE, max_char_distance: float = MAX_CHAR_DISTANCE, joint_char_distance: float = JOINT_CHAR_DISTANCE, joint_word_distance: float = JOINT_WORD_DISTANCE) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance and kept."""
-    refs = references(docs, min_chars, min_tokens, min_reference)
-    df = histograms(docs, min_chars, min_tokens)
+    refs, all_ = references(docs, min_chars, min_tokens, min_reference)
+    refs = refs.hint("broadcast" if refs.count() <= BROADCAST_LANGUAGES else "merge")
+    df = histograms(apart(docs, *dict.fromkeys(("text", "lang"))), min_chars, min_tokens)
     df = with_repeats(df.withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
-    # refs has one row for each language of COMMON_WORDS at most
-    df = df.join(F.broadcast(refs), F.col("lang") == F.col("q_lang"), "left")
+    df = df.join(refs, F.col("lang") == F.col("q_lang"), "left").join(F.broadcast(all_), how="left")  # one row
+    df = df.withColumn("q_ref_chars", F.coalesce("q_ref_chars", "q_all_chars"))
     df = df.withColumns(
         {
             "q_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
@@ -131,20 +140,19 @@ def score(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOK
     )
     df = df.withColumn("q_failed", (F.col("q_n") < MIN_WORDS) | (100 * F.col("q_repeat_words") > MAX_REPEAT_PERCENT * F.col("q_n")))
     far = F.coalesce(F.col("q_char_distance") > max_char_distance, F.lit(False)) | F.coalesce((F.col("q_char_distance") > joint_char_distance) & (F.col("q_word_distance") > joint_word_distance), F.lit(False))
-    out = put(
-        df, n_words=F.col("q_n").cast("long"), word_chars=F.col("q_word_chars").cast("long"), n_symbols=F.col("q_symbols").cast("long"), n_dup_lines=F.col("q_dup_lines"), n_repeat_words=F.col("q_repeat_words"),
+    return together(
+        df, docs.columns, n_words=F.col("q_n").cast("long"), word_chars=F.col("q_word_chars").cast("long"), n_symbols=F.col("q_symbols").cast("long"), n_dup_lines=F.col("q_dup_lines"), n_repeat_words=F.col("q_repeat_words"),
         base_failed=F.col("q_failed"), char_distance=F.col("q_char_distance"), word_distance=F.col("q_word_distance"), kept=~F.col("q_failed") & ~far,
     )
-    return out.drop(*(c for c in out.columns if c.startswith("q_") and c not in docs.columns))
 
 
 def keep(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that pass, with the input's own columns."""
-    columns = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)]
+    columns = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(docs.columns)]
     marked = score(docs.select("text", "lang", *columns), **parameters)
     # The row number keeps the verdict's columns from being copied into a filter below them, again and again
     marked = marked.withColumn("q_row", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("q_row") >= 0))
-    return marked.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return marked.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,11 +173,12 @@ g AS (SELECT *, CASE lang {" ".join(f"WHEN '{k}' THEN {sql_list(v)}" for k, v in
   CASE WHEN length(t) >= {MIN_CHARS} THEN list_transform([length(t) - length(r0) - (length(t) - word_chars) + length(r0) - length(r1), length(t) - word_chars, length(r1) - length(r2), length(r2) - length(r3), length(r3) - length(r4), length(r4)], lambda x: x / length(t)::DOUBLE) END AS cs FROM f),
 h AS (SELECT *, list_transform(l, lambda x: len(list_filter(w, lambda y: y = x))) AS hits FROM g),
 s AS (SELECT *, CASE WHEN n >= {MIN_TOKENS} THEN list_transform(list_append(hits, n - list_sum(hits)), lambda x: x / n::DOUBLE) END AS ws FROM h),
-u AS (SELECT lang, i.range AS i, avg(list_concat(cs, ws)[i.range]) AS m, count(*) AS k FROM s, range(1, {len(CLASSES) + 2 + len(COMMON_WORDS["en"]) + 1 + 1}) i WHERE cs IS NOT NULL AND ws IS NOT NULL AND l IS NOT NULL GROUP BY ALL),
-r AS (SELECT lang, list(m ORDER BY i) AS m FROM u GROUP BY lang HAVING min(k) >= {MIN_REFERENCE}),
+u AS (SELECT lang, i.range AS i, avg(list_concat(cs, ws)[i.range]) AS m, count(*) AS k FROM s, range(1, {len(CLASSES) + 2 + len(COMMON_WORDS["en"]) + 1 + 1}) i WHERE cs IS NOT NULL AND n >= {MIN_TOKENS} GROUP BY ALL),
+r AS (SELECT lang, list(m ORDER BY i) AS m FROM u WHERE lang IS NOT NULL GROUP BY lang HAVING min(k) >= {MIN_REFERENCE}),
+al AS (SELECT list(m ORDER BY i) AS am FROM (SELECT i.range AS i, avg(cs[i.range]) AS m, count(*) AS k FROM s, range(1, {len(CLASSES) + 3}) i WHERE cs IS NOT NULL AND n >= {MIN_TOKENS} GROUP BY ALL) HAVING min(k) >= {MIN_REFERENCE}),
 x AS (SELECT doc_id, w, unnest(range(0, n - 2)) AS i FROM a WHERE n >= 3), y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS k FROM x),
 z AS (SELECT doc_id, count(DISTINCT i + j.range) AS k FROM y, range(0, 3) j WHERE k > 1 GROUP BY doc_id),
-o AS (SELECT s.*, coalesce(z.k, 0) AS n_repeat, list_filter(string_split(t, chr(10)), lambda v: regexp_matches(v, '[^\\x20\\x09-\\x0D]')) AS lines, m[:{len(CLASSES) + 2}] AS mc, m[{len(CLASSES) + 3}:] AS mw FROM s LEFT JOIN r USING (lang) LEFT JOIN z USING (doc_id)),
+o AS (SELECT s.*, coalesce(z.k, 0) AS n_repeat, list_filter(string_split(t, chr(10)), lambda v: regexp_matches(v, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(m[:{len(CLASSES) + 2}], am) AS mc, CASE WHEN l IS NOT NULL THEN m[{len(CLASSES) + 3}:] END AS mw FROM s LEFT JOIN r USING (lang) LEFT JOIN z USING (doc_id) LEFT JOIN al ON true),
 q AS (SELECT *, n < {MIN_WORDS} OR 100 * n_repeat > {MAX_REPEAT_PERCENT} * n AS failed, {DISTANCE.format(p="cs", q="mc")} AS cd, {DISTANCE.format(p="ws", q="mw")} AS wd FROM o)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(length(r1) - length(regexp_replace(r1, '{SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(n_repeat AS BIGINT) AS n_repeat_words, failed AS base_failed, NOT failed AND NOT coalesce(cd > {MAX_CHAR_DISTANCE}, false) AND NOT coalesce(cd > {JOINT_CHAR_DISTANCE} AND wd > {JOINT_WORD_DISTANCE}, false) AS kept FROM q

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reachspark.llm.common import put, read, stored, whole, words_of
+from reachspark.llm.common import apart, read, stored, together, whole, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -28,7 +28,7 @@ BROADCAST_SOURCES = 20_000
 
 def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """docs with m_size and m_key, the random order within a source."""
-    df = docs.withColumn("m_size", F.size(words_of(whole())).cast("long"))
+    df = docs.withColumn("m_size", F.size(words_of(whole())).cast("long"))  # docs has no columns m_ of its own
     return df.withColumn("m_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("m_size").cast("string"))))
 
 
@@ -80,10 +80,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
     """docs with size, source_size, target, taken (words the mix takes), epochs (whole repeats) and part (words of a last, shorter one)."""
     table = cuts(docs, weights, max_epochs, seed, range_rows)
     table = table.hint("broadcast" if table.count() <= BROADCAST_SOURCES else "shuffle_hash")
-    df = keyed(docs, seed).join(table, F.col("source").eqNullSafe(F.col("c_source")), "left")
+    df = keyed(apart(docs, "doc_id", "text", "source"), seed).join(table, F.col("source").eqNullSafe(F.col("c_source")), "left")
     last = F.when(F.col("m_cut").isNull(), 0).when(F.col("m_key") < F.col("m_cut"), F.col("m_size")).when(F.col("m_key") == F.col("m_cut"), F.least("m_part", "m_size")).otherwise(0).cast("long")
-    out = put(df, size=F.col("m_size"), source_size=F.col("m_source_size"), target=F.col("m_target"), taken=F.col("m_epochs") * F.col("m_size") + last, epochs=F.col("m_epochs"), part=last)
-    return out.drop("m_size", "m_key", "c_source", "m_source_size", "m_target", "m_epochs", "m_cut", "m_part")
+    taken = F.col("m_epochs") * F.col("m_size") + last
+    return together(df, docs.columns, size=F.col("m_size"), source_size=F.col("m_source_size"), target=F.col("m_target"), taken=taken, epochs=F.col("m_epochs"), part=last)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

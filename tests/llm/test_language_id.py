@@ -53,3 +53,21 @@ def test_edge_cases(spark):
     assert out.columns == ["doc_id", "text", "lang_pred", "score"]
     assert {r.doc_id: r.lang_pred for r in out.collect()} == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und"}
     assert {r.lang_pred for r in L.predict(df, {}).collect()} == {"und"}
+
+
+def test_query_matches_brute_force(spark, sf):
+    """Out-of-place distances by counting and sorting; all labelled documents are in the sample here."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    number = lambda g: sum((1 if c == " " else ord(c)) << L.BITS * (len(g) - 1 - i) for i, c in enumerate(g))
+    top = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))[: L.PROFILE]]
+    own = {d.doc_id: Counter(brute_grams(d.text)) for d in docs}
+    learned = {}
+    for d in docs:
+        if d.lang is not None and d.text is not None and zlib.crc32(str(d.doc_id).encode()) % 4 != 2:
+            learned.setdefault(d.lang, Counter()).update(own[d.doc_id])
+    lists = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in learned.items()}
+    for r in L.query(spark, sf).collect():
+        mine = top(own[r.doc_id])
+        far = {lang: sum(abs(ranks[g] - i) if g in ranks else L.PROFILE for i, g in enumerate(mine)) for lang, ranks in lists.items()}
+        best = min(sorted(far), key=far.get) if mine else "und"
+        assert (r.lang_pred, round(r.score, 9)) == (best, round(1 - far[best] / (L.PROFILE * len(mine)), 9) if mine else 0.0)

@@ -1,13 +1,15 @@
 """Quality rules, source mixing, line dedup: edge cases, and the SQL on a small table."""
 
+import os
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from reachspark.llm import line_dedup, quality_rules, registry, source_mix
+from reachspark.llm import common, decontaminate, line_dedup, near_dedup, quality_rules, registry, source_mix
 
 
 def tuples(df, *columns):
@@ -56,7 +58,7 @@ def test_far_documents_go(spark):
     plain = lambda: " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300))
     rows = [(i, plain(), "en") for i in range(60)] + [(100, plain().upper().replace(" ", "!! "), "en"), (101, "".join(c + "#" if c == " " else c for c in plain()), "en"), (102, plain().upper(), "xx"), (103, plain().upper(), None)]
     kept = {r.doc_id for r in quality_rules.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert kept >= set(range(60)) | {102, 103} and 100 not in kept
+    assert kept >= set(range(60)) and not kept & {100, 102, 103}  # the last two by the characters of all languages
 
 
 def test_distance_is_symmetric_and_bounded(spark):
@@ -95,3 +97,42 @@ def test_lines(spark):
         assert got[50].text == "head" and got[60].text == "" and got[60].n_dropped == 0
     assert line_dedup.stage(df).columns == df.columns and line_dedup.stage(df).count() == len(rows)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_names_never_clash(spark):
+    """Columns of any temporary name, in any case, come through an operator as they are."""
+    rng = random.Random(4)
+    names = ["m_size", "M_KEY", "m_cut", "c_source", "l_lines", "l_site", "L_all", "q_lang", "q_text", "q_row", "g_id", "g_key", "x_id", "d_key", "d_row", "d_all", "b_site", "s_site", "p_source", "in_0", "in_0_held", "kept_1", "size", "kept", "n_lines"]
+    texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(80)) + "\nfooter line" for _ in range(12)]
+    rows = [(i, texts[i % 12], "en", "s", 80, *[f"{n}{i}" for n in names]) for i in range(14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in names))
+    benchmark = spark.createDataFrame([(1, "not in any text")], "item_id long, text string")
+    for out in (quality_rules.keep(df), line_dedup.stage(df), near_dedup.keep_one(df), decontaminate.clean(df, benchmark), source_mix.mix(df), quality_rules.score(df), line_dedup.dedup_lines(df)):
+        found = out.collect()
+        lower = [c.lower() for c in out.columns]
+        assert len(set(lower)) == len(lower) and found
+        for r in found:
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names if n in out.columns and n not in ("size", "kept", "n_lines"))
+            assert {n.lower() for n in names} <= set(lower)
+
+
+def test_rows_that_share_an_id_stay_documents(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1] + " x"), (None, texts[2]), (None, texts[0]), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, None), (3, "")], key=str)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda *_: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://somewhere:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(session)
+
+
+def test_stored_tables_are_cleared(spark):
+    df = common.stored(spark.range(3), "x")
+    path = df.inputFiles()[0]
+    common.clear(spark)
+    assert not os.path.exists(path.removeprefix("file:").replace("///", "/"))
