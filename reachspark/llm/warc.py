@@ -6,8 +6,9 @@ byte ranges of any file; each piece is a candidate record, whose header gives th
 hold the magic or whole records, so pieces are kept only if the chain from the start of their file reaches them: by
 pointer jumping, in as many rounds as the binary logarithm of the records in a file.
 
-Defined cases: a null html is an empty payload. A null page_id is written as an empty id and read as null. Repeated
-page_ids with equal payloads are one response each. A record whose chain breaks ends its file; what follows isn't read.
+Defined cases: a null html is an empty payload. A null page_id is written without an id and read as null; it comes after all others
+where the least is asked for. Of rows with equal page_ids and payloads one is the response. A record whose chain breaks is
+an error, or ends its file if that is asked for. A payload that was read back wrong has payload_ok false.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from reachspark.llm.common import read, shared_dir, stored
 
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
+#: What comes before a page in a response, and what a revisit is.
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 0
 RECORDS_PER_FILE = 50_000
 #: Payloads held by several pages up to which their list is broadcast (about 60 bytes each).
@@ -33,27 +37,48 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def record_id(*of: Column) -> Column:
+    """A URN that tells a record from others."""
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("/", *of)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+
+
 def with_types(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, broadcast_payloads: int = BROADCAST_PAYLOADS) -> DataFrame:
-    """page_id, url, payload, w_digest, w_bytes and w_first: the page that has the payload, null for a response."""
-    df = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    """page_id, url, payload, w_row, w_digest, w_bytes, w_main (the one that revisits name), and of a revisit w_first (page_id of w_main).
+
+    Of equal payloads one record is the response: that of the least page_id, null last. Where several rows have that page_id, rows are
+    numbered and stored first, and the first of them is the response."""
+    df = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("w_row", F.monotonically_increasing_id())
     df = df.withColumns({"w_digest": base32_sha1(F.col("payload").cast("binary")), "w_bytes": F.octet_length("payload").cast("long")})
-    shared = stored(df.filter(F.col("w_bytes") >= min_bytes).groupBy(F.col("w_digest").alias("s_digest")).agg(F.min("page_id").alias("s_first"), F.count("*").alias("s_n")).filter("s_n > 1").drop("s_n"), "warc-shared")
-    df = df.join(shared.hint("broadcast" if shared.count() <= broadcast_payloads else "merge"), F.col("w_digest") == F.col("s_digest"), "left")
-    return df.withColumn("w_first", F.when(F.col("s_first") != F.col("page_id"), F.col("s_first"))).drop("s_digest", "s_first")
+
+    def shared(df: DataFrame) -> DataFrame:
+        by_page = df.filter(F.col("w_bytes") >= min_bytes).groupBy(F.col("w_digest").alias("s_digest"), "page_id").agg(F.count("*").alias("n"), F.min("w_row").alias("row"))
+        least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n", "row")).alias("s_first")
+        return stored(by_page.groupBy("s_digest").agg(least, F.sum("n").alias("s_n")).filter("s_n > 1").drop("s_n"), "warc-shared")
+
+    known = shared(df)
+    tied = not known.filter("s_first.n > 1").isEmpty()
+    if tied:
+        df = stored(df, "warc-rows")
+        known = shared(df)
+    df = df.join(known.hint("broadcast" if known.count() <= broadcast_payloads else "merge"), F.col("w_digest") == F.col("s_digest"), "left")
+    main = F.col("s_first.page_id").eqNullSafe(F.col("page_id"))
+    main = F.col("s_first").isNotNull() & (main & (F.col("s_first.row") == F.col("w_row")) if tied else main)
+    df = df.withColumn("w_main", main)
+    return df.withColumn("w_first", F.when(F.col("s_first").isNotNull() & ~main, F.struct(F.col("s_first.page_id").alias("page_id")))).drop("s_digest", "s_first")
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Archives of plain WARC 1.1 under path. The header of a revisit keeps length and digest of the full payload."""
     df = with_types(pages, min_bytes)
+    again, of = F.col("w_first").isNotNull(), F.col("w_first")
+    body = F.when(again, "").otherwise(F.concat(F.lit(HTTP), F.col("payload")))
     head = [
-        F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(F.col("w_first").isNull(), "response").otherwise("revisit")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")), F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
+        F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")), F.concat(F.lit("WARC-Record-ID: "), F.when(F.col("w_main"), record_id(F.col("w_digest"))).otherwise(record_id(F.col("w_digest"), F.col("page_id"), F.col("w_row")))),
+        F.concat(F.lit("X-Page-ID: "), F.col("page_id").cast("string")), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")), F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("w_digest")), F.concat(F.lit("X-Payload-Length: "), F.col("w_bytes").cast("string")),
-        F.when(F.col("w_first").isNotNull(), F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("w_first").cast("string"), F.lit(">"))),
-        F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.when(F.col("w_first").isNull(), F.col("w_bytes")).otherwise(0).cast("string")),
+        F.when(again, F.lit(f"WARC-Profile: {PROFILE}")), F.when(again, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("w_digest")))), F.when(again, F.concat(F.lit("X-Refers-To-Page-ID: "), of["page_id"].cast("string"))),
+        F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
-    body = F.when(F.col("w_first").isNull(), F.col("payload")).otherwise("")
     record = F.concat(F.concat_ws("\r\n", *head), F.lit(END), body)
     df.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -77,6 +102,11 @@ def placed(df: DataFrame) -> DataFrame:
     return df.join(splits, ["file", "split"]).withColumn("start", F.col("base") + F.col("inside") - len(MAGIC)).drop("base", "inside")
 
 
+def payload(block: Column) -> Column:
+    """What comes after the HTTP head of a response's block."""
+    return F.substring(block, F.instr(block, END) + len(END), F.length(block))
+
+
 def field(head: Column, name: str, pattern: str) -> Column:
     found = F.regexp_extract(head, rf"(?im)^{name}: *{pattern}", 1)
     return F.when(found != "", found)
@@ -89,12 +119,12 @@ def headers(df: DataFrame) -> DataFrame:
     length = field(F.col("head"), "Content-Length", r"(\d{1,18})\r?$").cast("long")
     df = df.withColumns({"length": length, "head_bytes": F.octet_length("head") + len(END)})
     df = df.withColumn("whole", F.octet_length("piece") == F.col("head_bytes") + F.col("length") + len(END))
-    body = F.substring(F.col("piece").cast("binary"), F.col("head_bytes") + 1, F.col("length").cast("int"))
+    block = F.expr(f"substring(piece, length(head) + {len(END) + 1}, length(piece) - length(head) - {2 * len(END)})")
     return df.withColumns(
         {
-            "page_id": field(F.col("head"), "WARC-Record-ID", r"<urn:page:(-?\d+)>").cast("long"), "record_type": F.lower(field(F.col("head"), "WARC-Type", r"(\w+)")), "url": field(F.col("head"), "WARC-Target-URI", r"([^\r]*)"),
-            "refers_to": field(F.col("head"), "WARC-Refers-To", r"<urn:page:(-?\d+)>").cast("long"), "told_digest": field(F.col("head"), "WARC-Payload-Digest", r"sha1:(\w+)"), "told_bytes": field(F.col("head"), "X-Payload-Length", r"(\d+)").cast("long"),
-            "found_digest": F.when(F.col("whole"), base32_sha1(body)), "jump": F.lit(len(MAGIC)) + F.col("head_bytes") + F.col("length") + len(END),
+            "page_id": field(F.col("head"), "X-Page-ID", r"(-?\d+)").cast("long"), "record_type": F.lower(field(F.col("head"), "WARC-Type", r"(\w+)")), "url": field(F.col("head"), "WARC-Target-URI", r"([^\r]*)"),
+            "refers_to": field(F.col("head"), "X-Refers-To-Page-ID", r"(-?\d+)").cast("long"), "told_digest": field(F.col("head"), "WARC-Payload-Digest", r"sha1:(\w+)"), "told_bytes": field(F.col("head"), "X-Payload-Length", r"(\d+)").cast("long"),
+            "found_digest": F.when(F.col("whole") & (F.col("length") > 0), base32_sha1(payload(block).cast("binary"))), "jump": F.lit(len(MAGIC)) + F.col("head_bytes") + F.col("length") + len(END),
         }
     )
 
@@ -116,14 +146,21 @@ def reachable(candidates: DataFrame) -> DataFrame:
     return known
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """One row for each record of the archives: file, start, page_id, url, record_type, refers_to, length, told_bytes,
-    told_digest, and found_digest of the payload read, null in a revisit."""
+    told_digest, and found_digest of the payload read, null in a revisit. A chain that ends before its file does is an error, or if not
+    `strict` the end of that file."""
     told = ["page_id", "url", "record_type", "refers_to", "length", "told_bytes", "told_digest", "found_digest"]
     narrow = placed_narrow(headers(pieces(spark, path)))
-    table = stored(narrow.select("file", "start", "jump", "whole", *told), "warc-candidates")
+    table = stored(narrow.select("file", "start", "jump", "whole", "size", *told), "warc-candidates")
     found = table.join(reachable(table.filter("start >= 0").select("file", "start", "jump")), ["file", "start"], "left_semi")
     found = stored(found, "warc-records")
+    if strict:
+        sizes = table.groupBy("file").agg((F.sum("size") - len(MAGIC)).alias("bytes"))
+        ends = found.groupBy("file").agg(F.max(F.col("start") + F.col("jump")).alias("last"))
+        bad = sizes.join(ends, "file", "left").filter("bytes > 0 and (last is null or last <> bytes)").select("file").head()
+        if bad:
+            raise ValueError(f"the chain of records breaks in {bad.file}")
     broken = found.filter("not whole").select("file").distinct()
     if broken.isEmpty():
         return found.select("file", "start", *told)
@@ -135,8 +172,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     owned = again.join(starts, ["file", "start"], "left").withColumn("owner", F.last("owner", ignorenulls=True).over(last))
     parts = owned.join(heads, (F.col("file") == F.col("h_file")) & (F.col("owner") == F.col("first")))
     joined = parts.groupBy("file", "owner", "want").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"]), MAGIC).alias("piece"))
-    body = F.substring(F.col("piece").cast("binary"), F.octet_length(F.substring_index("piece", END, 1)) + len(END) + 1, F.col("want").cast("int"))
-    mended = joined.select("file", F.col("owner").alias("start"), base32_sha1(body).alias("mended"))
+    block = F.substring(F.col("piece").cast("binary"), F.octet_length(F.substring_index("piece", END, 1)) + len(END) + 1, F.col("want").cast("int")).cast("string")
+    mended = joined.select("file", F.col("owner").alias("start"), base32_sha1(payload(block).cast("binary")).alias("mended"))
     out = found.join(mended, ["file", "start"], "left").withColumn("found_digest", F.coalesce("mended", "found_digest"))
     return out.select("file", "start", *told)
 
@@ -157,5 +194,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(read(spark, sf_dir, "pages"), path)
     r = records(spark, path)
-    agree = F.when(F.col("record_type") == "response", F.col("found_digest") == F.col("told_digest")).otherwise(True)
-    return r.filter(agree).select("page_id", F.col("told_bytes").alias("payload_bytes"), F.col("told_digest").alias("payload_digest"), "record_type", "refers_to")
+    agree = F.when(F.col("record_type") == "response", F.coalesce(F.col("found_digest") == F.col("told_digest"), F.lit(False))).otherwise(True)
+    return r.select("page_id", F.col("told_bytes").alias("payload_bytes"), F.col("told_digest").alias("payload_digest"), "record_type", "refers_to", agree.alias("payload_ok"))
