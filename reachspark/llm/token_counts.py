@@ -27,6 +27,8 @@ from reachspark.llm.common import put, read, stored
 
 #: Counts that a task remembers; it forgets all beyond that and goes on, so memory is bounded and results don't change.
 REMEMBERED = 400_000
+#: The most frequent pre-tokens whose counts are worked out once and broadcast, at most (about 30 bytes each). Others are cut in the tasks.
+FREQUENT = 200_000
 #: Rounds of cutting and counting when scores are fitted, and what is added to each piece's count.
 ROUNDS, LEAST_COUNT = 2, 0.1
 #: Documents whose pre-tokens are put in one trie.
@@ -116,10 +118,31 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fitted(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rounds: int = ROUNDS) -> dict[bytes, float]:
-    """Scores of the vocabulary's pieces by their shares in the documents' best segmentations. No more than the vocabulary comes back."""
-    scores, context = zipf(ranks), docs.sparkSession.sparkContext
-    words = stored(word_counts(docs, pattern), "pre-tokens") if rounds else None
+def frequent(words: DataFrame, scores: dict[bytes, float], most: int = FREQUENT) -> dict[str, int]:
+    """Pieces of the most frequent of words (word, n): of all that occur 2^k times or more, with the least k that leaves `most` or fewer."""
+    sizes = words.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("words")).orderBy(F.desc("k")).collect()  # 63 rows at most
+    total, least = 0, None
+    for r in sizes:
+        total += r.words
+        if total > most:
+            break
+        least = r.k
+    if least is None:
+        return {}
+    held = words.sparkSession.sparkContext.broadcast(Unigram(scores))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.sort_values("word")
+            yield pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in b["word"]], "pieces": held.value.counts(b["word"])})
+
+    found = words.filter(F.col("n") >= 1 << least).select("word").mapInPandas(cut, "word string, pieces int").toPandas()
+    return dict(zip(found["word"], found["pieces"].tolist(), strict=True))
+
+
+def fitted(words: DataFrame, ranks: dict[bytes, int], rounds: int = ROUNDS) -> dict[bytes, float]:
+    """Scores of the vocabulary's pieces by their shares in the best segmentations of words (word, n). No more than the vocabulary comes back."""
+    scores, context = zipf(ranks), words.sparkSession.sparkContext
     for _ in range(rounds):
         held = context.broadcast(Unigram(scores))  # as large as the vocabulary
 
@@ -137,21 +160,22 @@ def fitted(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rounds: int =
     return scores
 
 
-def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str, remembered: int = REMEMBERED) -> DataFrame:
-    """docs with n_pretokens and n_tokens."""
+def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str, remembered: int = REMEMBERED, often: dict[str, int] | None = None) -> DataFrame:
+    """docs with n_pretokens and n_tokens. `often` has the counts of pre-tokens that are known already."""
+    known_often = docs.sparkSession.sparkContext.broadcast(often or {})
     held = docs.sparkSession.sparkContext.broadcast(Unigram(scores))  # as large as the vocabulary
 
     @F.pandas_udf("n_pretokens long, n_tokens long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import regex
 
-        cut, model, known = regex.compile(pattern).findall, held.value, {}
+        cut, model, known = regex.compile(pattern).findall, held.value, dict(known_often.value)
         for texts in batches:
             rows = []
             for i in range(0, len(texts), STRETCH):
                 stretch = [cut(t) if t else [] for t in texts.iloc[i : i + STRETCH]]
-                if len(known) > remembered:
-                    known.clear()
+                if len(known) > remembered + len(known_often.value):
+                    known = dict(known_often.value)
                 fresh = sorted((w.encode("utf-8", "surrogatepass"), w) for w in {w for x in stretch for w in x if w not in known})
                 known.update(zip((w for _, w in fresh), model.counts(b for b, _ in fresh), strict=True))
                 rows += [(len(x), sum(map(known.__getitem__, x))) for x in stretch]
@@ -167,4 +191,6 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: st
     ranks = read_vocabulary(spark, path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     pattern = pattern or public_tokenizers.PATTERN
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, fitted(docs, ranks, pattern), pattern)[["doc_id", "n_pretokens", "n_tokens"]]
+    words = stored(word_counts(docs, pattern), "pre-tokens")
+    scores = fitted(words, ranks)
+    return count_tokens(docs, scores, pattern, often=frequent(words, scores))[["doc_id", "n_pretokens", "n_tokens"]]

@@ -60,8 +60,15 @@ def fitted(texts, ranks, rounds=T.ROUNDS):
 def test_scores_are_fitted_to_all_documents(spark):
     texts = ["the abc the then", "abab bc", None, "", "the abc the then", "é " * 50]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    assert T.fitted(df, RANKS, P.PATTERN) == pytest.approx(fitted(texts, RANKS))
-    assert T.fitted(df.limit(0), RANKS, P.PATTERN) == pytest.approx(fitted([], RANKS))
+    words = T.word_counts(df, P.PATTERN)
+    assert T.fitted(words, RANKS) == pytest.approx(fitted(texts, RANKS))
+    assert T.fitted(T.word_counts(df.limit(0), P.PATTERN), RANKS) == pytest.approx(fitted([], RANKS))
+    counts = {bytes(r.word).decode(): r.n for r in words.collect()}
+    for most in (0, 3, 100):
+        often = T.frequent(words, SCORES, most)
+        assert len(often) <= most and all(n == brute(w.encode(), SCORES) for w, n in often.items())
+        assert not often or min(counts[w] for w in often) > max([n for w, n in counts.items() if w not in often], default=0)
+    assert [r.n_tokens for r in T.count_tokens(df, SCORES, P.PATTERN, 2, often).collect()] == [r.n_tokens for r in T.count_tokens(df, SCORES, P.PATTERN).collect()]
 
 
 def test_trie_matches_one_word_at_a_time():
@@ -83,7 +90,7 @@ def test_rows(spark, remembered):
 def test_query_matches_brute_force(spark, sf):
     ranks = T.read_vocabulary(spark, P.path("byte_bpe_50k.tiktoken"))
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    scores = T.fitted(spark.read.parquet(f"{sf}/documents.parquet"), ranks, P.PATTERN)  # see test_scores_are_fitted_to_all_documents
+    scores = T.fitted(T.word_counts(spark.read.parquet(f"{sf}/documents.parquet"), P.PATTERN), ranks)  # see test_scores_are_fitted_to_all_documents
     known = functools.cache(lambda w: brute(w.encode(), scores))
     for r in T.query(spark, sf).collect():
         words = regex.findall(P.PATTERN, docs[r.doc_id] or "")
