@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachspark.operators.privacy import digest, uniform
+from reachspark.sources.scratch import kept
 
 MOST_LATIN = 2000
+#: Coordinates of all candidates' points up to which they are broadcast (8 bytes each).
+BROADCAST_NUMBERS = 4_000_000
 
 
 def grid_points(limits: DataFrame, g: int) -> DataFrame:
@@ -32,14 +36,21 @@ def uniform_points(limits: DataFrame, n: int, seed: str, per_publisher: int = 0)
 def latin_unit(spark: SparkSession, dimensions: DataFrame, n: int, seed: str, tries: int = 4) -> DataFrame:
     """dim, point_id, u: a Latin hypercube on the unit cube. Of several, that with the greatest least distance of two points.
 
-    dimensions has a column dim. At most 2000 points, so a candidate's distances are four million rows for each dimension."""
-    n = min(n, MOST_LATIN)
+    dimensions has a column dim. More than MOST_LATIN points are not made, with a warning: a candidate's distances are two million rows."""
+    if n > MOST_LATIN:
+        warnings.warn(f"{MOST_LATIN} points instead of {n}", stacklevel=2)
+        n = MOST_LATIN
     cells = dimensions.select("dim").crossJoin(spark.range(tries).select(F.col("id").alias("try"))).crossJoin(spark.range(n).select(F.col("id").alias("point_id")))
     stratum = F.row_number().over(Window.partitionBy("dim", "try").orderBy(digest("dim", "try", "point_id", seed=seed), "point_id")) - 1
     cells = cells.withColumn("u", (stratum + uniform("dim", "try", "point_id", seed=f"{seed}-in")) / n)
     if tries > 1:
-        a, b = cells, cells.select("dim", "try", F.col("point_id").alias("q"), F.col("u").alias("v"))
-        apart = a.join(b, ["dim", "try"]).filter("point_id < q").groupBy("try", "point_id", "q").agg(F.sum(F.pow(F.col("u") - F.col("v"), F.lit(2.0))).alias("d"))
+        cells = kept(cells, "cells")
+        lists = cells.groupBy("try", "point_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "u"))), lambda x: x["u"]).alias("us"))
+        other = kept(lists.select("try", F.col("point_id").alias("q"), F.col("us").alias("vs")), "points")
+        numbers = tries * n * dimensions.count()
+        pairs = lists.repartition("try", "point_id").join(other.hint("broadcast" if numbers <= BROADCAST_NUMBERS else "merge"), "try").filter("point_id < q")
+        square = F.aggregate(F.zip_with("us", "vs", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+        apart = pairs.select("try", square.alias("d"))
         best = apart.groupBy("try").agg(F.min("d").alias("d")).agg(F.max_by("try", "d").alias("try"))
         cells = cells.join(F.broadcast(best), "try", "left_semi") if n > 1 else cells.filter("try = 0")
     return cells.select("dim", "point_id", "u")
