@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,18 +67,26 @@ def subset_sums(regions: DataFrame, bits: int) -> DataFrame:
     Sums run along the low half of the bits, in an array for each high half, and then along the high half, in an array for each
     low one: two shuffles of 2^bits numbers at most, whatever the number of pairs."""
     low = bits // 2
-    n_low, n_high = 1 << low, 1 << (bits - low)
+    n_low = 1 << low
     split = regions.select(F.shiftright("region", low).cast("int").alias("a"), F.col("region").bitwiseAND(F.lit(n_low - 1)).cast("int").alias("b"), F.col("reach").alias("v"))
 
-    def along(df: DataFrame, key: str, place: str, size: int, steps: int) -> DataFrame:
-        filled = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(place, "v"))).alias("m"))
-        sums = filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast(df.schema["v"].dataType))).alias("x"))
-        for s in range(steps):
-            half = F.lit(1 << s)
-            sums = sums.withColumn("x", F.transform("x", lambda v, i: F.when(i.bitwiseAND(half) != 0, v + F.get("x", i - half)).otherwise(v)))  # noqa: B023
-        return sums.select(key, F.posexplode("x").alias(place, "v"))
+    kind = regions.schema["reach"].dataType.simpleString()
+
+    def along(df: DataFrame, key: str, place: str, steps: int) -> DataFrame:
+        def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for k, x in zip(batch[key], batch["x"], strict=True):
+                    sums = np.zeros(1 << steps, dtype=np.float64 if kind == "double" else np.int64)
+                    sums[[e[place] for e in x]] = [e["v"] for e in x]
+                    for s in range(steps):  # those with bit s take what those without it have
+                        half = sums.reshape(-1, 2, 1 << s)
+                        half[:, 1] += half[:, 0]
+                    yield pd.DataFrame({key: np.int32(k), place: np.arange(1 << steps, dtype=np.int32), "v": sums})
+
+        lists = df.groupBy(key).agg(F.collect_list(F.struct(place, "v")).alias("x"))  # 2^steps at most
+        return lists.mapInPandas(add_up, f"{key} int, {place} int, v {kind}")
 
-    sums = along(along(split, "a", "b", n_low, low), "b", "a", n_high, bits - low)
+    sums = along(along(split, "a", "b", low), "b", "a", bits - low)
     return sums.select((F.shiftleft(F.col("a").cast("long"), low) + F.col("b")).alias("subset"), F.col("v").alias("within"))
 
 
