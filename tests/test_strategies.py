@@ -12,10 +12,10 @@ from reachspark.sources import logs
 
 def campaign_log(spark, people, publishers=3, dataset="d"):
     """Publisher i reaches people whose number has i among its last digits, so audiences overlap as if at random."""
-    rows = spark.range(people * 3).select((F.col("id") % people).alias("vid"), F.explode(F.array(*map(F.lit, range(publishers)))).alias("pub_idx"))
+    rows = spark.range(people * 3).select("id", (F.col("id") % people).alias("vid"), F.explode(F.array(*map(F.lit, range(publishers)))).alias("pub_idx"))
     rows = rows.filter(F.pmod(F.xxhash64("vid", "pub_idx"), F.lit(3)) == 0).withColumn("dataset", F.lit(dataset)).withColumn("publisher", F.concat(F.lit("p"), "pub_idx"))
-    along = Window.partitionBy("dataset", "publisher").orderBy(F.xxhash64("vid", "pub_idx"), "vid")
-    return rows.withColumn("seq", F.row_number().over(along)).withColumn("spend", F.col("seq") * 0.1)
+    along = Window.partitionBy("dataset", "publisher").orderBy(F.xxhash64("id", "pub_idx"), "id")
+    return rows.withColumn("seq", F.row_number().over(along)).withColumn("spend", F.col("seq") * 0.1).drop("id")
 
 
 def trials(spark, *rows):
