@@ -378,7 +378,7 @@ est AS (SELECT dataset, k, any_value(size) * count(*) FILTER (low = high AND fre
 
 VENN_DP = SKETCH.replace("{seed}", "'dp'") + SAMPLED.format(seed="dp-draw", n="(SELECT alone FROM used)") + f""", noisy AS (SELECT region, greatest(n + {geometric_sql("region", 1.0, "dp")}, 0) AS reach FROM (SELECT r.range AS region, count(vid) AS n FROM range(1, 32) r LEFT JOIN drawn ON drawn.region = r.range GROUP BY r.range)),
 scaled AS (SELECT region, reach * (SELECT size + {geometric_sql("dataset", 1.0, "dp-size")} FROM size) / (SELECT sum(reach) FROM noisy) AS reach FROM noisy), p AS (SELECT list(struct_pack(i := pub_idx, n := impressions, s := spend) ORDER BY pub_idx) AS p FROM pr)
-SELECT m.range AS mask, round(coalesce(sum(reach), 0), 4) AS reach, list_transform(any_value(p), lambda x: CASE WHEN m.range & (1::BIGINT << x.i) <> 0 THEN x.n ELSE 0 END) AS impressions, list_transform(any_value(p), lambda x: CASE WHEN m.range & (1::BIGINT << x.i) <> 0 THEN x.s ELSE 0 END) AS spends FROM range(1, 32) m LEFT JOIN scaled ON scaled.region & m.range <> 0 CROSS JOIN p GROUP BY m.range"""
+SELECT m.range AS mask, round(coalesce(sum(reach), 0), 6) AS reach, list_transform(any_value(p), lambda x: CASE WHEN m.range & (1::BIGINT << x.i) <> 0 THEN x.n ELSE 0 END) AS impressions, list_transform(any_value(p), lambda x: CASE WHEN m.range & (1::BIGINT << x.i) <> 0 THEN x.s ELSE 0 END) AS spends FROM range(1, 32) m LEFT JOIN scaled ON scaled.region & m.range <> 0 CROSS JOIN p GROUP BY m.range"""
 
 
 @query("venn_reach_dp", VENN_DP)
@@ -386,7 +386,7 @@ def venn_reach_dp(spark, sf_dir):
     log = kept_log(spark, sf_dir)
     spent = limits(log)
     prefix = kept(reach.within(log, spent), "prefix")
-    return overlap.all_subset_reach(overlap.regions_dp(prefix, spent, 1.0, "dp")[0], measured(prefix)).withColumn("reach", F.round("reach", 4))
+    return overlap.all_subset_reach(overlap.regions_dp(prefix, spent, 1.0, "dp")[0], measured(prefix)).withColumn("reach", F.round("reach", 6))
 
 
 @query("pairwise_overlap_features", "SELECT a.pub_idx AS i, b.pub_idx AS j, round(a.reach * b.reach / (2.0::DOUBLE * greatest(ta.reach, tb.reach)), 6) AS d FROM pr a JOIN top ta USING (publisher), pr b JOIN top tb USING (publisher)")
@@ -413,9 +413,9 @@ def sketch_merge(spark, sf_dir):
     return sketch.merge(sketch_build(spark, sf_dir), ("dataset",))
 
 
-@query("sketch_estimate", SKETCH.replace("{seed}", "'s'") + " SELECT dataset, k, round(reach, 4) AS reach FROM est")
+@query("sketch_estimate", SKETCH.replace("{seed}", "'s'") + " SELECT dataset, k, round(reach, 6) AS reach FROM est")
 def sketch_estimate(spark, sf_dir):
-    return sketch.estimate(sketch_merge(spark, sf_dir), 10).withColumn("reach", F.round("reach", 4))
+    return sketch.estimate(sketch_merge(spark, sf_dir), 10).withColumn("reach", F.round("reach", 6))
 
 
 @query("active_registers", SKETCH.replace("{seed}", "'s'") + " SELECT dataset, alone AS active FROM used")
@@ -439,9 +439,9 @@ def approx_reach(spark, sf_dir):
 
 
 @query("reach_by_spend_dp", SKETCH.replace("{seed}", "'dp'") + f""", noisy AS (SELECT dataset, k, reach + {geometric_sql("dataset, k", 1.0, "dp")} AS reach FROM est), mono AS (SELECT dataset, k, min(greatest(reach, 0)) OVER (PARTITION BY dataset ORDER BY k) AS reach FROM noisy),
-shown AS (SELECT dataset, count(*) AS n FROM pre GROUP BY ALL) SELECT dataset, k, round(CASE WHEN max(reach) OVER (PARTITION BY dataset) >= n THEN CASE WHEN k = 1 THEN greatest(n - 1, 1) ELSE 0 END ELSE reach END::DOUBLE, 4) AS reach FROM mono JOIN shown USING (dataset)""")
+shown AS (SELECT dataset, count(*) AS n FROM pre GROUP BY ALL) SELECT dataset, k, round(CASE WHEN max(reach) OVER (PARTITION BY dataset) >= n THEN CASE WHEN k = 1 THEN greatest(n - 1, 1) ELSE 0 END ELSE reach END::DOUBLE, 6) AS reach FROM mono JOIN shown USING (dataset)""")
 def reach_by_spend_dp(spark, sf_dir):
-    return sketch.reach_with_noise(kept(campaign(spark, sf_dir), "prefix"), 10, 1.0, "dp")[0].withColumn("reach", F.round("reach", 4))
+    return sketch.reach_with_noise(kept(campaign(spark, sf_dir), "prefix"), 10, 1.0, "dp")[0].withColumn("reach", F.round("reach", 6))
 
 
 UNEVEN = "SELECT dataset, k, reach - 100 * (k % 3) AS reach FROM kp"
