@@ -107,7 +107,7 @@ def test_private_regions_draw_as_many_as_the_sketch_shows(spark, sf):
         parts = [r * active / sum(got.values()) for r in got.values()]
         assert sorted(got) == [1, 2, 3] and got[2] == 0 and all(abs(x - round(x)) < 1e-6 for x in parts)
         assert sum(got.values()) == pytest.approx(people, rel=0.03) and (people < 100 or got[3] == pytest.approx(people / 10, rel=0.1))
-    assert overlap.regions_dp(campaign(50), limits_of(spark, (0, 0)), 1.0, "dp").count() == 0
+    assert overlap.regions_dp(campaign(50), limits_of(spark, (0, 0)), 1.0, "dp")[0].count() == 0
     assert queries.venn_reach_dp(spark, sf).count() == 31  # fewer than 200 people are reached there
 
 
