@@ -38,6 +38,8 @@ BROADCAST_IDS = 1_000_000
 STRETCH, STRETCH_ROWS = 200_000, 1000
 #: Slots of the longer signatures that nodes compared across classes get.
 LONG_SLOTS = 1008
+#: Rows of a key that a task compares with the key's other rows; keys with more are dealt into parts.
+PART_ROWS = 2000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -225,7 +227,7 @@ def prefixes(own: DataFrame, least: float) -> DataFrame:
     return order.mapInPandas(cut, "node long, prefix array<long>, before array<double>")
 
 
-def across(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def across(nodes: DataFrame, texts: DataFrame, least: float, most: int = PART_ROWS) -> DataFrame:
     """Pairs (a, b) of nodes (node, class) of different classes that may be similar enough: they share a prefix, and
     longer signatures agree in enough bits. Each pair comes once, from the first shingle that both prefixes have.
 
@@ -242,11 +244,21 @@ def across(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     signed_ = own.mapInPandas(sign, "node long, n_bits array<long>")
     rows = stored(nodes.select("node", "class").join(signed_, "node").join(prefixes(own, least), "node"), "prefixes")
     rows = rows.select("node", "class", "n_bits", "prefix", F.explode(F.arrays_zip("prefix", "before")).alias("z")).select("node", "class", "n_bits", "prefix", F.col("z.prefix").alias("s"), F.col("z.before").alias("out"))
-    side = lambda k: rows.select("s", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "class", "n_bits", "prefix", "out")))
+    p, q = dealt(rows, "s", most)
+    side = lambda df, k: df.select("s", "part", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "class", "n_bits", "prefix", "out")))
     x, y = F.col("p_out"), F.col("q_out")
     ok = (F.col("p_node") < F.col("q_node")) & (F.col("p_class") != F.col("q_class")) & ((1 - x) * (1 - y) >= (least - 1e-9) * (1 - x * y)) & (bits_that_differ(F.col("p_n_bits"), F.col("q_n_bits"), LONG_SLOTS) <= bits_apart(LONG_SLOTS, least))
     first = F.get(F.array_intersect("p_prefix", "q_prefix"), F.lit(0)) == F.col("s")
-    return side("p").join(side("q"), "s").filter(ok & first).select(F.col("p_node").alias("a"), F.col("q_node").alias("b"))
+    return side(p, "p").join(side(q, "q"), ["s", "part"]).filter(ok & first).select(F.col("p_node").alias("a"), F.col("q_node").alias("b"))
+
+
+def dealt(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a join of rows (key, node, ...) with themselves, on key and part: each row is in one part of its key on the left and
+    in all of them on the right, so a hot key is as many groups as it has parts and still every row meets every other."""
+    hot = small_list(stored(rows.groupBy(key).count().filter(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("parts")), "hot"))
+    rows = rows.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).drop("parts")
+    return left, rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
 def small_list(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -254,7 +266,7 @@ def small_list(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return ids.hint("broadcast" if ids.count() <= most else "merge")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS, most: int = PART_ROWS) -> DataFrame:
     """(doc_id, class_id), a row for each row of docs."""
     sig = stored(signed(docs, rows, bands), "signatures")
     nodes = stored(sig.groupBy("n_key").agg(F.min("doc_id").alias("node"), F.first("n_bands").alias("n_bands"), F.first("n_bits").alias("n_bits")).filter("node is not null"), "nodes")
@@ -271,11 +283,12 @@ def classes(docs: DataFrame, least: float = SIMILARITY, rows: int = ROWS, bands:
     torn = member.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("h")).filter("l < h").select("key")
     member = stored(member.join(torn, "key").join(nodes.select("node", "n_bits"), "node"), "torn")
     allowed = bits_apart(rows * bands, least)
-    other = member.select("key", F.col("class").alias("q_class"), F.col("n_bits").alias("q_bits"))
-    near = F.col("class") != F.col("q_class")
-    near = (member["key"] == other["key"]) & near & (bits_that_differ(F.col("n_bits"), F.col("q_bits"), rows * bands) <= allowed)
+    member, other = dealt(member, "key", most)
+    other = other.select(F.col("key").alias("q_key"), F.col("part").alias("q_part"), F.col("class").alias("q_class"), F.col("n_bits").alias("q_bits"))
+    near = (F.col("key") == F.col("q_key")) & (F.col("part") == F.col("q_part")) & (F.col("class") != F.col("q_class"))
+    near = near & (bits_that_differ(F.col("n_bits"), F.col("q_bits"), rows * bands) <= allowed)
     likely = stored(member.join(other, near, "left_semi").select("node", "class").distinct(), "likely")
-    cross = across(likely, texts, least).join(stars, ["a", "b"], "left_anti")
+    cross = across(likely, texts, least, most).join(stars, ["a", "b"], "left_anti")
     cross = stored(cross, "across")
     more = stored(verified(cross, texts, least), "verified")
     if not more.isEmpty():

@@ -74,8 +74,18 @@ def test_classes_match_brute_force(spark):
     base = some(1, 150)
     texts = [" ".join(edited(base, n % 9, n)) for n in range(60)] + [" ".join(some(s)) for s in range(2, 20)] + ["a b", "A  b", "a b c", "", None, None, " ".join(base).upper(), "x y z " * 50, "x y z " * 70, "x y z " * 70 + "q r s t u"]
     docs = [(100 + i * 7 % 1009, t) for i, t in enumerate(texts)]
-    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == brute_classes(sorted(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (N.PART_ROWS, 4):  # hot keys in parts
+        assert {r.doc_id: r.class_id for r in N.classes(df, most=most).collect()} == brute_classes(sorted(docs))
+
+
+def test_rows_of_hot_keys_meet_once(spark):
+    rows = [(k, n) for k in (1, 2, 3) for n in range((0, 1, 7, 30)[k])]
+    left, right = N.dealt(spark.createDataFrame(rows, "key long, node long"), "key", 5)
+    right = right.withColumnRenamed("node", "other")
+    got = sorted((r.key, r.node, r.other) for r in left.join(right, ["key", "part"]).collect())
+    assert got == sorted((k, a, b) for k, a in rows for j, b in rows if k == j)
+    assert left.filter("key = 3").select("part").distinct().count() > 1
 
 
 def test_odd_rows(spark):
