@@ -10,7 +10,7 @@ Groups may be of any size. Equal texts are one node. In a bucket of equal bands
 leader, so a group of m texts gives m pairs a band. Where verified pairs leave a bucket in several classes, its nodes are
 compared across classes too, all pairs but those that can't be similar enough: whose signatures, one bit a slot, differ in
 too many bits (by six deviations), or that share none of the rarest shingles, of which similar bags share one.
-So no link between different classes is lost.
+So no link between different classes is lost. Both steps deal the rows of a hot key into parts, so none is one task.
 
 Defined cases: a text of one to four words is one shingle. Null and empty texts have none and are like nothing, not
 even each other: their class is their own doc_id. In classes() rows of one doc_id are one document, whatever their texts; a row without
