@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachspark.llm import decontaminate, language_id, line_dedup, main_text, near_dedup, quality_rules, source_mix, substring_dedup, token_counts, warc
+from reachspark.llm import decontaminate, language_id, line_dedup, main_text, near_dedup, quality_rules, source_mix, substring_dedup, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality_rules.query,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_trie_token_counts": token_counts.query,
     "op9_rank_order_language": language_id.query,
     "op10_induced_substring_dedup": substring_dedup.query,
+    "op11_noisy_or_toxicity": toxicity.query,
 }
 SQL: dict[str, str] = {"op1_quality_divergence": quality_rules.SQL, "op2_source_mix": source_mix.SQL, "op3_line_dedup": line_dedup.SQL}
