@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachspark.llm import decontaminate, language_id, line_dedup, main_text, near_dedup, quality_rules, source_mix, substring_dedup, token_counts, toxicity, warc
+from reachspark.llm import decontaminate, hard_negatives, language_id, line_dedup, main_text, near_dedup, quality_rules, source_mix, substring_dedup, token_counts, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality_rules.query,
@@ -20,5 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rank_order_language": language_id.query,
     "op10_induced_substring_dedup": substring_dedup.query,
     "op11_noisy_or_toxicity": toxicity.query,
+    "op12_charpoly_whitening": whitening.query,
+    "op13_lemp_hard_negatives": hard_negatives.query,
 }
-SQL: dict[str, str] = {"op1_quality_divergence": quality_rules.SQL, "op2_source_mix": source_mix.SQL, "op3_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op1_quality_divergence": quality_rules.SQL, "op2_source_mix": source_mix.SQL, "op3_line_dedup": line_dedup.SQL, "op13_lemp_hard_negatives": hard_negatives.SQL}
