@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachspark.functions.ranking import ranked
@@ -101,13 +101,18 @@ def all_subset_reach(regions: DataFrame, publishers: DataFrame) -> DataFrame:
     return union.join(F.broadcast(lists)).select("mask", "reach", inside("impressions").alias("impressions"), inside("spend").alias("spends"))
 
 
-def leave_one_out_reach(regions: DataFrame, active: int) -> DataFrame:
-    """kind (all, single, without), pub_idx, reach: the points that a surface is trained on, in one pass over regions."""
-    spark = regions.sparkSession
-    each = [i for i in range(active.bit_length()) if active >> i & 1]
-    masks = [("all", None, active), *(("single", i, 1 << i) for i in each), *(("without", i, active ^ 1 << i) for i in each)]
-    m = spark.createDataFrame(masks, "kind string, pub_idx int, mask long")
-    return m.join(subset_union_reach(regions, m.select("mask").distinct()), "mask").select("kind", "pub_idx", "reach")
+def leave_one_out_reach(prefix: DataFrame) -> DataFrame:
+    """dataset, kind (all, single, without), pub_idx (null for all), reach: the points that a surface is trained on, for any number of publishers.
+
+    All publishers but one reach everyone but the people whose only publisher it is. So each person is looked at once, and what is
+    summed is a row for each person and publisher that reaches them; no set of publishers is ever made out."""
+    people = prefix.groupBy("dataset", "vid").agg(F.collect_set("pub_idx").alias("by"))
+    rows = people.select("dataset", (F.size("by") == 1).alias("alone"), F.explode(F.concat(F.array(F.lit(None).cast("int")), F.col("by"))).alias("pub_idx"))
+    counts = rows.groupBy("dataset", "pub_idx").agg(F.count("*").alias("reach"), F.count_if("alone").alias("alone"))
+    total = F.max(F.when(F.col("pub_idx").isNull(), F.col("reach"))).over(Window.partitionBy("dataset"))  # a row for each publisher and one
+    one = lambda kind, reach: F.struct(F.lit(kind).alias("kind"), reach.alias("reach"))
+    points = F.when(F.col("pub_idx").isNull(), F.array(one("all", F.col("reach")))).otherwise(F.array(one("single", F.col("reach")), one("without", total - F.col("alone"))))
+    return counts.select("dataset", "pub_idx", points.alias("points")).select("dataset", "pub_idx", F.inline("points")).select("dataset", "kind", "pub_idx", "reach")
 
 
 def sample_users(users: DataFrame, n: int, seed: str) -> DataFrame:

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachspark.operators import curves, privacy, reach, sketch, surfaces
+from reachspark.functions.joins import beside
+from reachspark.operators import curves, overlap, privacy, reach, sketch, surfaces
 from reachspark.sources.scratch import kept
 
 #: Frequencies that are measured for a single publisher's strategy, and for the publishers of several.
@@ -84,36 +85,36 @@ def exact(prefix: DataFrame, most: int) -> DataFrame:
     return people.groupBy(*keys).agg(F.sum("f").alias("impressions"), F.max("s").alias("spend"), F.count("*").cast("double").alias("reach"), counts.alias("histogram"))
 
 
+def unions_of(points: DataFrame) -> DataFrame:
+    """dataset, without (pub_idx, or -1 for none), reach of all publishers but that one, from leave_one_out_reach's rows."""
+    return points.filter("kind <> 'single'").select("dataset", F.coalesce("pub_idx", F.lit(-1)).alias("without"), F.col("reach").cast("double").alias("reach"))
+
+
 def exact_unions(prefix: DataFrame) -> DataFrame:
-    """dataset, without (pub_idx, or -1 for none), reach of all publishers but that one: people are counted by region once."""
-    regions = prefix.groupBy("dataset", "vid").agg(F.bit_or(F.expr("shiftleft(1L, pub_idx)")).alias("region")).groupBy("dataset", "region").agg(F.count("*").alias("v"))
-    every = kept(regions, "regions")
-    active = every.groupBy("dataset").agg(F.bit_or("region").alias("active"))
-    asked = every.join(F.broadcast(active), "dataset").withColumn("without", F.explode(F.sequence(F.lit(-1), F.floor(F.log2("active")).cast("int"))))  # a row for each data set
-    bit = F.when(F.col("without") < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest("without", F.lit(0))))
-    asked = asked.filter((F.col("without") < 0) | (F.col("active").bitwiseAND(bit) != 0))
-    return asked.groupBy("dataset", "without").agg(F.sum(F.when(F.col("region").bitwiseAND(F.bitwise_not(bit)) != 0, F.col("v")).otherwise(0)).cast("double").alias("reach"))
+    return unions_of(overlap.leave_one_out_reach(prefix))
 
 
 def private(prefix: DataFrame, most: int, epsilon: float, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """exact() and exact_unions() as sketches with noise show them, and the ledger (dataset, epsilon, delta, mechanism).
 
-    A campaign's epsilon is parted among 2p + 1 requests; each request merges the registers of its publishers."""
+    A campaign's epsilon is parted among 2p + 1 requests. Registers in use without a publisher are those in use less those that only it
+    uses, so a union's reach needs no register twice."""
     shown = exact(prefix, most)
-    parts = shown.groupBy("dataset").agg((F.lit(float(epsilon)) / (2 * F.count("*") + 1)).alias("epsilon"), F.count("*").alias("p"), F.collect_set("pub_idx").alias("all"))
-    registers = kept(sketch.build(prefix, seed, ("dataset", "publisher", "pub_idx")), "registers").join(F.broadcast(parts), "dataset")  # a row for each data set
-    others = F.transform(F.filter("all", lambda i: i != F.col("pub_idx")), lambda i: F.concat(F.lit("without/"), i))
-    asked = F.concat(F.array(F.lit("without/-1"), F.concat(F.lit("single/"), F.col("pub_idx"))), F.when(F.col("p") > 2, others).otherwise(F.array().cast("array<string>")))
-    merged = sketch.merge(registers.withColumn("asked", F.explode(asked)), ("dataset", "asked"))
-    seen = sketch.estimate(merged, most, ("dataset", "asked")).join(F.broadcast(parts.select("dataset", "epsilon")), "dataset")
-    up, down = (F.floor(F.log(privacy.uniform("dataset", "asked", "k", seed=f"{seed}-{s}")) / -F.col("epsilon")) for s in ("up", "down"))
-    noisy = sketch.monotone(seen.withColumn("reach", F.col("reach") + up - down), ("dataset", "asked"))
-    lists = noisy.groupBy("dataset", "asked").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "reach"))), lambda x: x["reach"].cast("double")).alias("kplus"))
-    lists = kept(lists.select("dataset", F.split("asked", "/")[0].alias("kind"), F.split("asked", "/")[1].cast("int").alias("i"), "kplus"), "measured")
-    single = lists.filter("kind = 'single'").select("dataset", F.col("i").alias("pub_idx"), F.col("kplus")[0].alias("reach"), F.transform("kplus", lambda x, i: x - F.coalesce(F.get("kplus", i + 1), F.lit(0.0))).alias("histogram"))
+    parts = kept(shown.groupBy("dataset").agg((F.lit(float(epsilon)) / (2 * F.count("*") + 1)).alias("epsilon"), F.count("*").alias("p")), "parts")
+    registers = kept(sketch.build(prefix, seed, ("dataset", "publisher", "pub_idx")), "registers")
+
+    def noisy(seen: DataFrame, asked: Column) -> DataFrame:
+        up, down = (F.floor(F.log(privacy.uniform("dataset", "asked", "k", seed=f"{seed}-{s}")) / -F.col("epsilon")) for s in ("up", "down"))
+        rows = beside(seen.withColumn("asked", asked), parts, ["dataset"])
+        return sketch.monotone(rows.withColumn("reach", F.col("reach") + up - down), ("dataset", "asked"))
+
+    each = noisy(sketch.estimate(registers, most, ("dataset", "pub_idx")), F.concat(F.lit("single/"), F.col("pub_idx")))
+    lists = each.groupBy("dataset", "pub_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "reach"))), lambda x: x["reach"].cast("double")).alias("kplus"))
+    single = kept(lists.select("dataset", "pub_idx", F.col("kplus")[0].alias("reach"), F.transform("kplus", lambda x, i: x - F.coalesce(F.get("kplus", i + 1), F.lit(0.0))).alias("histogram")), "single")
+    used = unions_of(overlap.leave_one_out_reach(registers.withColumnRenamed("register", "vid"))).select("dataset", "without", F.lit(1).cast("long").alias("k"), sketch.cardinality(F.col("reach")).alias("reach"))
+    unions = noisy(used, F.concat(F.lit("without/"), F.col("without"))).filter("without < 0 or p > 2").select("dataset", "without", "reach")
     ledger = parts.select("dataset", "epsilon", F.lit(0.0).alias("delta"), F.lit("Discrete Laplace").alias("mechanism"), F.explode(F.sequence(F.lit(1), F.when(F.col("p") > 2, 2 * F.col("p") + 1).otherwise(F.col("p") + 1).cast("int"))).alias("request"))
-    unions = lists.filter("kind = 'without'").select("dataset", F.col("i").alias("without"), F.col("kplus")[0].alias("reach"))
-    return shown.drop("reach", "histogram").join(single, ["dataset", "pub_idx"]), unions, ledger
+    return shown.drop("reach", "histogram").join(single, ["dataset", "pub_idx"]), kept(unions, "unions"), ledger
 
 
 def fit_single_publisher(prefix: DataFrame, trials: DataFrame, epsilon: float | None = None, seed: str = "single") -> tuple[DataFrame, DataFrame | None]:

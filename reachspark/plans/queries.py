@@ -345,7 +345,26 @@ def all_subset_reach(spark, sf_dir):
 @query("leave_one_out_reach", """, m AS (SELECT 'all' AS kind, NULL::INTEGER AS pub_idx, 31::BIGINT AS mask UNION ALL SELECT 'single', pub_idx, 1::BIGINT << pub_idx FROM top UNION ALL SELECT 'without', pub_idx, xor(31::BIGINT, 1::BIGINT << pub_idx) FROM top)
 SELECT kind, pub_idx, CAST(sum(reach) AS BIGINT) AS reach FROM m JOIN vr ON vr.region & mask <> 0 GROUP BY ALL""")
 def leave_one_out_reach(spark, sf_dir):
-    return overlap.leave_one_out_reach(region_reach(spark, sf_dir), overlap.active_publishers(limits(logs.log_from_orders(spark, sf_dir))))
+    return overlap.leave_one_out_reach(campaign(spark, sf_dir)).select("kind", "pub_idx", "reach")
+
+
+HUNDRED = """WITH ranked AS (SELECT concat_ws('/', o_orderpriority, o_orderkey % 20) AS publisher, CAST(o_custkey AS BIGINT) AS vid, row_number() OVER (PARTITION BY o_orderpriority, o_orderkey % 20 ORDER BY o_orderdate, o_orderkey) AS seq FROM orders),
+log AS (SELECT publisher, CAST(dense_rank() OVER (ORDER BY publisher) - 1 AS INTEGER) AS pub_idx, seq, vid, seq * 0.1::DOUBLE AS spend FROM ranked),
+pre AS (SELECT log.* FROM log JOIN (SELECT publisher, 0.3::DOUBLE * max(spend) AS spend_limit FROM log GROUP BY ALL) USING (publisher) WHERE spend <= spend_limit)"""
+
+
+def hundred_publishers(spark, sf_dir) -> DataFrame:
+    """orders as a log of a hundred publishers: priority and the last digits of an order's number."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", F.concat_ws("/", "o_orderpriority", F.col("o_orderkey") % 20).alias("publisher"))
+    return logs.log_from(orders, "hundred", "publisher", "o_custkey", F.to_date("o_orderdate"), ["o_orderdate", "o_orderkey"])
+
+
+@query("leave_one_out_reach_of_hundred", HUNDRED + """, r AS (SELECT DISTINCT pub_idx, vid FROM pre), n AS (SELECT vid, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT count(*) AS t FROM n)
+SELECT 'all' AS kind, NULL::INTEGER AS pub_idx, t AS reach FROM t UNION ALL SELECT 'single', pub_idx, count(*) FROM r GROUP BY ALL
+UNION ALL SELECT 'without', p.pub_idx, (SELECT count(DISTINCT vid) FROM r WHERE r.pub_idx <> p.pub_idx) FROM (SELECT DISTINCT pub_idx FROM r) p""", log=False)
+def leave_one_out_reach_of_hundred(spark, sf_dir):
+    log = kept(hundred_publishers(spark, sf_dir), "log")
+    return overlap.leave_one_out_reach(reach.within(log, limits(log))).select("kind", "pub_idx", "reach")
 
 
 @query("scale_regions", "SELECT region, round(reach * 5000.0::DOUBLE / (SELECT sum(reach) FROM vr), 6) AS reach FROM vr")

@@ -68,6 +68,30 @@ def test_noisy_measurements_spend_the_budget(spark):
     assert unions == {-1: len(set.union(*people.values())), **{i: len(set.union(*(people[j] for j in range(3) if j != i))) for i in range(3)}}
 
 
+def test_leave_one_out_of_many_publishers(spark):
+    """From 64 publishers on a mask of 64 bits would fail; each publisher i has person i of its own, all share two people and some a few."""
+    p = 130
+    rows = [("d", f"p{i}", i, v) for i in range(p) for v in (i, 1000, 1001, 2000 + i // 2)] + [("e", "q", 0, 1), ("e", "q", 0, 2)]
+    prefix = spark.createDataFrame(rows, "dataset string, publisher string, pub_idx int, vid long")
+    people = {i: {v for d, _, j, v in rows if d == "d" and j == i} for i in range(p)}
+    got = {(r.dataset, r.kind, r.pub_idx): r.reach for r in overlap.leave_one_out_reach(prefix).collect()}
+    want = {("d", "all", None): len(set.union(*people.values())), ("e", "all", None): 2, ("e", "single", 0): 2, ("e", "without", 0): 0}
+    want |= {("d", "single", i): len(people[i]) for i in range(p)} | {("d", "without", i): len(set.union(*(people[j] for j in range(p) if j != i))) for i in range(p)}
+    assert got == want
+    unions = {(r.dataset, r.without): r.reach for r in strategies.exact_unions(prefix).collect()}
+    assert unions == {(d, -1 if k == "all" else i): v for (d, k, i), v in want.items() if k != "single"}
+
+
+def test_noisy_unions_of_many_publishers(spark):
+    p = 90
+    prefix = spark.range(p * 40).select(F.lit("d").alias("dataset"), F.concat(F.lit("p"), F.col("id") % p).alias("publisher"), (F.col("id") % p).cast("int").alias("pub_idx"), F.pmod(F.xxhash64("id"), F.lit(3000)).alias("vid"), F.lit(0.1).alias("spend"))
+    exact = {r.without: r.reach for r in strategies.exact_unions(prefix).collect()}
+    shown, noisy, ledger = strategies.private(prefix, 3, 1e6, "s")
+    got = {r.without: r.reach for r in noisy.collect()}
+    assert sorted(got) == sorted(exact) == list(range(-1, p)) and all(abs(got[i] - exact[i]) < 0.05 * exact[i] for i in exact)
+    assert shown.count() == p and ledger.count() == 2 * p + 1
+
+
 def test_inflated_fit_recovers(spark):
     alpha, beta, n, prefix = 1.5, 2.0, 5000.0, np.array([0.5])
     impressions = 4000.0
