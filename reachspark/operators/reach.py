@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,11 @@ def with_fractions(publishers: DataFrame, fractions: list[float]) -> DataFrame:
 
 def campaign_spend(log: DataFrame, fractions: list[float]) -> DataFrame:
     """dataset, publisher, pub_idx, spend_limit: a fraction of each publisher's greatest spend."""
-    top = log.groupBy("dataset", "publisher", "pub_idx").agg(F.max("spend").alias("max_spend"))
+    return share_of_spend(log.groupBy("dataset", "publisher", "pub_idx").agg(F.max("spend").alias("max_spend")), fractions)
+
+
+def share_of_spend(top: DataFrame, fractions: list[float]) -> DataFrame:
+    """campaign_spend where the greatest spends (dataset, publisher, pub_idx, max_spend) are known."""
     return with_fractions(top, fractions).select("dataset", "publisher", "pub_idx", (F.col("fraction") * F.col("max_spend")).alias("spend_limit"))
 
 
@@ -142,15 +148,46 @@ def reach_curve(log: DataFrame, points: DataFrame, most: int = K) -> DataFrame:
     return both.groupBy("dataset", "publisher", "spend", "k").agg(F.coalesce(F.sum(F.when(F.col("i") <= F.col("j"), F.col("n"))), F.lit(0)).alias("reach"))
 
 
+def signatures(log: DataFrame, lists: DataFrame, most: int = K) -> DataFrame:
+    """dataset, signature, people: how many people have the same impressions as far as points can tell, from a log and
+    lists (dataset, publisher, no, at): the number of a publisher and its points' spends in order.
+
+    A signature lists (no, i, n): n impressions of a publisher between its points i - 1 and i. Beyond the last point, and from a
+    publisher's `most`-th impression on, nothing changes any k+ reach, so a person that ads reach often is like others."""
+    place = F.size(F.filter("at", lambda p: p < F.col("spend")))
+    seen = beside(log, lists, ["dataset", "publisher"]).withColumn("i", place).filter(F.col("i") < F.size("at"))
+    held = seen.groupBy("dataset", "vid", "no", "i").agg(F.count("*").alias("n")).repartition("dataset", "vid")  # counted before, so that no person is a task's work
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("dataset", "vid", "no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.withColumn("n", F.least(F.col("n"), F.lit(most) - before)).filter(F.col("n") > 0)
+    people = held.groupBy("dataset", "vid").agg(F.sort_array(F.collect_list(F.struct("no", "i", F.col("n").cast("int").alias("n")))).alias("signature"))
+    return people.groupBy("dataset", "signature").agg(F.count("*").alias("people"))
+
+
 def reach_at_points(log: DataFrame, points: DataFrame, most: int = K) -> DataFrame:
     """dataset, point_id, k, reach of all publishers together at many spend vectors (dataset, point_id, publisher, spend).
 
-    Impressions are counted for each person, publisher and interval between points first."""
-    lists = kept(points.groupBy("dataset", "publisher").agg(F.sort_array(F.collect_set("spend")).alias("at")), "spends")
-    place = F.size(F.filter("at", lambda p: p < F.col("spend")))
-    held = beside(log, lists, ["dataset", "publisher"]).groupBy("dataset", "publisher", "vid", place.alias("i")).agg(F.count("*").alias("n"))
-    at = kept(points.join(lists, ["dataset", "publisher"]).select("dataset", "publisher", "point_id", F.size(F.filter("at", lambda p: p < F.col("spend"))).alias("j")), "points")
-    seen = beside(held, at, ["dataset", "publisher"], F.xxhash64("vid")).filter("i <= j").groupBy("dataset", "point_id", "vid").agg(F.sum("n").alias("f"))
-    rows = kplus(seen, ("dataset", "point_id"), most)
-    every = at.select("dataset", "point_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(most).cast("long"))))
-    return every.join(rows, ["dataset", "point_id", "k"], "left").select("dataset", "point_id", "k", F.coalesce("reach", F.lit(0)).alias("reach"))
+    Only signatures meet points, once each: what is shuffled after that is a row for each point and task. Points of one
+    publisher alone are read off its curve."""
+    numbered = F.row_number().over(Window.partitionBy("dataset").orderBy("publisher"))  # a row for each publisher
+    lists = points.groupBy("dataset", "publisher").agg(F.sort_array(F.collect_set("spend")).alias("at")).withColumn("no", numbered)
+    lists = kept(lists.withColumn("p", F.max("no").over(Window.partitionBy("dataset"))), "spends")
+    alone, together = (bool(lists.filter(c).head(1)) for c in ("p = 1", "p > 1"))
+    out = []
+    if alone:
+        few = points.join(lists.filter("p = 1").select("dataset"), "dataset", "left_semi")
+        curve = reach_curve(log, few.select("dataset", "publisher", "spend").distinct(), most)
+        out.append(few.join(curve, ["dataset", "publisher", "spend"]).select("dataset", "point_id", "k", "reach"))
+    if together:
+        lists = lists.filter("p > 1")
+        found = signatures(log, lists.select("dataset", "publisher", "no", "at"), most)
+        place = F.size(F.filter("at", lambda p: p < F.col("spend")))
+        at = points.join(lists, ["dataset", "publisher"]).groupBy("dataset", "point_id", "p").agg(F.map_from_entries(F.collect_list(F.struct("no", place.alias("j")))).alias("js"))
+        at = kept(at.select("dataset", "point_id", F.transform(F.sequence(F.lit(1), "p"), lambda x: F.coalesce(F.element_at("js", x), F.lit(-1))).alias("js")), "points")
+        f = F.aggregate("signature", F.lit(0), lambda a, e: a + F.when(e["i"] <= F.get("js", e["no"] - 1), e["n"]).otherwise(0))
+        both = beside(found, at, ["dataset"]).select("dataset", "point_id", "people", f.alias("f"))
+        wide = both.groupBy("dataset", "point_id").agg(*(F.sum(F.when(F.col("f") >= k, F.col("people")).otherwise(0)).alias(f"k{k}") for k in range(1, most + 1)))
+        every = at.select("dataset", "point_id").join(wide, ["dataset", "point_id"], "left")
+        rows = every.select("dataset", "point_id", F.posexplode(F.array(*(F.coalesce(f"k{k}", F.lit(0)) for k in range(1, most + 1)))).alias("k", "reach"))
+        out.append(rows.select("dataset", "point_id", (F.col("k") + 1).cast("long").alias("k"), "reach"))
+    none = points.limit(0).select("dataset", "point_id", F.lit(1).cast("long").alias("k"), F.lit(0).cast("long").alias("reach"))
+    return reduce(DataFrame.unionByName, out) if out else none

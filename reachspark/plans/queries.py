@@ -65,14 +65,19 @@ def limits(log: DataFrame, share: float = 0.3) -> DataFrame:
     return reach.campaign_spend(log, [share])
 
 
+def order_limits(spark: SparkSession, sf_dir: str, share: float = 0.3) -> DataFrame:
+    """limits() of the orders' log, from counts of its rows."""
+    return reach.share_of_spend(logs.greatest_spends(spark.read.parquet(f"{sf_dir}/orders.parquet"), "orders", "o_orderpriority"), [share])
+
+
 def kept_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log, written once in the order of publishers and spends: it isn't ranked again, and a limit skips what lies beyond it."""
+    """The log, written once for a query that uses it more than once: it isn't ranked again."""
     return kept(logs.log_from_orders(spark, sf_dir), "log")
 
 
-def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = kept_log(spark, sf_dir)
-    return reach.within(log, limits(log))
+def campaign(spark: SparkSession, sf_dir: str, log: DataFrame | None = None) -> DataFrame:
+    """What the campaign buys; the log is read once and not written unless a query has it already."""
+    return reach.within(logs.log_from_orders(spark, sf_dir) if log is None else log, order_limits(spark, sf_dir))
 
 
 def measured(prefix: DataFrame) -> DataFrame:
@@ -310,9 +315,11 @@ def impressions_from_histogram(spark, sf_dir):
 
 
 def region_reach(spark, sf_dir, most: int = 1) -> DataFrame:
-    log = kept_log(spark, sf_dir)
-    spent = limits(log)
-    return overlap.venn_regions(overlap.user_region(reach.within(log, spent)), overlap.powerset(spark, overlap.active_publishers(spent)), most)
+    return regions_of(spark, campaign(spark, sf_dir), order_limits(spark, sf_dir), most)
+
+
+def regions_of(spark, prefix: DataFrame, spent: DataFrame, most: int = 1) -> DataFrame:
+    return overlap.venn_regions(overlap.user_region(prefix), overlap.powerset(spark, overlap.active_publishers(spent)), most)
 
 
 @query("user_region", "SELECT dataset, vid, region, f FROM reg")
@@ -322,7 +329,7 @@ def user_region(spark, sf_dir):
 
 @query("powerset", "SELECT r.range AS region FROM range(1, 1 << (SELECT count(*) FROM top)) r")
 def powerset(spark, sf_dir):
-    return overlap.powerset(spark, overlap.active_publishers(limits(logs.log_from_orders(spark, sf_dir))))
+    return overlap.powerset(spark, overlap.active_publishers(order_limits(spark, sf_dir)))
 
 
 @query("venn_regions", "SELECT r.range AS region, k, count(*) FILTER (reg.f >= k) AS reach FROM range(1, 32) r CROSS JOIN ks LEFT JOIN reg ON reg.region = r.range GROUP BY ALL")
@@ -339,7 +346,8 @@ def subset_union_reach(spark, sf_dir):
 @query("all_subset_reach", """, p AS (SELECT list(struct_pack(i := pub_idx, n := impressions, s := spend) ORDER BY pub_idx) AS p FROM pr)
 SELECT m.range AS mask, CAST(coalesce(sum(reach), 0) AS BIGINT) AS reach, list_transform(any_value(p), lambda x: CASE WHEN m.range & (1::BIGINT << x.i) <> 0 THEN x.n ELSE 0 END) AS impressions, list_transform(any_value(p), lambda x: CASE WHEN m.range & (1::BIGINT << x.i) <> 0 THEN x.s ELSE 0 END) AS spends FROM range(1, 32) m LEFT JOIN vr ON vr.region & m.range <> 0 CROSS JOIN p GROUP BY m.range""")
 def all_subset_reach(spark, sf_dir):
-    return overlap.all_subset_reach(region_reach(spark, sf_dir), measured(campaign(spark, sf_dir)))
+    prefix = kept(campaign(spark, sf_dir), "prefix")
+    return overlap.all_subset_reach(regions_of(spark, prefix, order_limits(spark, sf_dir)), measured(prefix))
 
 
 @query("leave_one_out_reach", """, m AS (SELECT 'all' AS kind, NULL::INTEGER AS pub_idx, 31::BIGINT AS mask UNION ALL SELECT 'single', pub_idx, 1::BIGINT << pub_idx FROM top UNION ALL SELECT 'without', pub_idx, xor(31::BIGINT, 1::BIGINT << pub_idx) FROM top)
@@ -402,9 +410,8 @@ SELECT m.range AS mask, round(coalesce(sum(reach), 0), 6) AS reach, list_transfo
 
 @query("venn_reach_dp", VENN_DP)
 def venn_reach_dp(spark, sf_dir):
-    log = kept_log(spark, sf_dir)
-    spent = limits(log)
-    prefix = kept(reach.within(log, spent), "prefix")
+    spent = order_limits(spark, sf_dir)
+    prefix = kept(campaign(spark, sf_dir), "prefix")
     return overlap.all_subset_reach(overlap.regions_dp(prefix, spent, 1.0, "dp")[0], measured(prefix)).withColumn("reach", F.round("reach", 6))
 
 
@@ -415,8 +422,9 @@ def pairwise_overlap_features(spark, sf_dir):
 
 def with_max(spark, sf_dir) -> DataFrame:
     """The campaign's reach of each publisher beside the most it can reach."""
-    most = publisher_stats(spark, sf_dir).select("dataset", "publisher", F.col("reach").alias("max_reach"))
-    return measured(campaign(spark, sf_dir)).join(most, ["dataset", "publisher"])
+    log = kept_log(spark, sf_dir)
+    most = reach.publisher_stats(log).select("dataset", "publisher", F.col("reach").alias("max_reach"))
+    return measured(campaign(spark, sf_dir, log)).join(most, ["dataset", "publisher"])
 
 
 # Sketches and privacy
@@ -612,8 +620,8 @@ def lhs_design(spark, sf_dir):
 # Curves
 
 
-def fitted(spark, sf_dir) -> DataFrame:
-    return curves.goerg_fit(measured(campaign(spark, sf_dir)))
+def fitted(spark, sf_dir, log: DataFrame | None = None) -> DataFrame:
+    return curves.goerg_fit(measured(campaign(spark, sf_dir, log)))
 
 
 @query("goerg_fit", "SELECT publisher, round(rho, 6) AS rho, round(spend / impressions, 9) AS cpi FROM g")
@@ -760,9 +768,9 @@ def reach_vector(spark, sf_dir):
     return surfaces.reach_vector(at, fit).select("publisher", F.round("reach", 6).alias("reach"))
 
 
-def surface_points(spark, sf_dir) -> DataFrame:
+def surface_points(spark, sf_dir, log: DataFrame | None = None) -> DataFrame:
     """dataset, point_id, pub_idx, reach, max_reach at the grid's points."""
-    log = kept_log(spark, sf_dir)
+    log = kept_log(spark, sf_dir) if log is None else log
     at = points.grid_points(limits(log), 2)
     alone = reach.reach_curve(log, at.select("dataset", "publisher", "spend").distinct(), 1).select("dataset", "publisher", "spend", "reach")
     most = reach.publisher_stats(log).select("dataset", "publisher", F.col("reach").alias("max_reach"))
@@ -794,19 +802,20 @@ def mixture_predict(spark, sf_dir):
     return surfaces.mixture_predict(at, clusters).select("point_id", F.round("reach", 6).alias("reach"))
 
 
-def union_reach(spark, sf_dir) -> DataFrame:
-    log = kept_log(spark, sf_dir)
+def union_reach(log: DataFrame) -> DataFrame:
     return reach.reach_at_points(log, points.grid_points(limits(log), 2), 1).select("dataset", "point_id", F.col("reach").cast("double").alias("reach"))
 
 
 @query("pairwise_fit")
 def pairwise_fit(spark, sf_dir):
-    return surfaces.pairwise_fit(surface_points(spark, sf_dir), union_reach(spark, sf_dir))
+    log = kept_log(spark, sf_dir)
+    return surfaces.pairwise_fit(surface_points(spark, sf_dir, log), union_reach(log))
 
 
 @query("restricted_fit")
 def restricted_fit(spark, sf_dir):
-    return surfaces.restricted_fit(surface_points(spark, sf_dir), union_reach(spark, sf_dir))
+    log = kept_log(spark, sf_dir)
+    return surfaces.restricted_fit(surface_points(spark, sf_dir, log), union_reach(log))
 
 
 # Evaluation
@@ -821,7 +830,7 @@ def scored(spark, sf_dir, share: float = 1.0, at: list[float] | None = None) ->
     at = limits(log, share).crossJoin(values(spark, "id long, at double", *enumerate(at, 1))).select("dataset", "publisher", "id", (F.col("spend_limit") * F.col("at")).alias("spend"))
     curve = reach.reach_curve(log, at.select("dataset", "publisher", "spend"))
     truth = curve.groupBy("publisher", "spend").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "reach"))), lambda x: x["reach"].cast("double")).alias("x"))
-    fit = fitted(spark, sf_dir).select("publisher", "rho", "cpi")
+    fit = fitted(spark, sf_dir, log).select("publisher", "rho", "cpi")
     model = at.join(fit, "publisher").select("publisher", "spend", F.col("id").alias("point_id"), curves.goerg_kplus(F.col("spend") / F.col("cpi"), F.col("rho"), 10).alias("y"))
     return truth.join(model, ["publisher", "spend"]).select(F.col("publisher").alias("trial"), "point_id", "x", "y")
 
@@ -968,7 +977,8 @@ def kinflated_fit(spark, sf_dir):
 
 @query("mixture_fit")
 def mixture_fit(spark, sf_dir):
-    return surfaces.mixture_fit(surface_points(spark, sf_dir), union_reach(spark, sf_dir))
+    log = kept_log(spark, sf_dir)
+    return surfaces.mixture_fit(surface_points(spark, sf_dir, log), union_reach(log))
 
 
 # Synthetic logs

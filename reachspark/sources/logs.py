@@ -32,6 +32,14 @@ def log_from(df: DataFrame, dataset, publisher: str, vid: str, day, order: list[
     return log.select("dataset", "publisher", "pub_idx", "seq", "vid", "spend")
 
 
+def greatest_spends(df: DataFrame, dataset, publisher: str) -> DataFrame:
+    """dataset, publisher, pub_idx, max_spend of the log that log_from makes: known from counts, without ranking a row."""
+    name = F.lit(dataset) if isinstance(dataset, str) else dataset
+    n = df.groupBy(name.alias("dataset"), F.col(publisher).alias("publisher")).agg(F.count("*").alias("n"))
+    index = F.row_number().over(Window.partitionBy("dataset").orderBy("publisher")) - 1  # a row for each publisher
+    return n.select("dataset", "publisher", index.cast("int").alias("pub_idx"), (F.col("n") * F.lit(COST)).alias("max_spend"))
+
+
 def log_from_orders(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
     """orders as a log: priorities are publishers, customers are people; one data set, or one for each year."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")

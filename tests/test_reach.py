@@ -1,9 +1,12 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from reachspark.operators import overlap, reach, sketch
+from reachspark.operators import overlap, points, reach, sketch
 from reachspark.plans import queries
 from reachspark.sources import logs
+from reachspark.sources.scratch import kept
 
 PDF = [("pdf1", 0, [(1, 0.01), (2, 0.02), (1, 0.04), (3, 0.05)]), ("pdf2", 1, [(2, 0.03), (4, 0.06)])]
 THIRD = [("pdf3", 2, [(2, 0.01), (3, 0.03), (4, 0.05)])]
@@ -128,3 +131,41 @@ def test_files(spark, tmp_path):
         logs.add_dataset(spark, log, design)
     logs.add_dataset(spark, log.withColumn("dataset", F.lit("e")), design)
     assert logs.read_design(spark, design, ["e"]).count() == 6
+
+
+def test_reach_at_points_matches_a_recount(spark):
+    """Two data sets, one of them of one publisher; points that leave a publisher out, share spends, or buy nothing."""
+    rows = [("d", f"p{p}", p, n, (n * (3 + p) + p) % 17, round(0.1 * n, 6)) for p in range(3) for n in range(1, 60)]
+    rows += [("e", "q", 0, n, n % 5, round(0.1 * n, 6)) for n in range(1, 30)]
+    log = spark.createDataFrame(rows, "dataset string, publisher string, pub_idx int, seq long, vid long, spend double")
+    spends = {("d", 0): (1.0, 2.0, 0.0), ("d", 1): (1.0, 5.9, 3.3), ("d", 2): (None, 1.05, 100.0), ("d", 3): (0.0, 0.0, 0.0), ("e", 0): (0.7,), ("e", 1): (2.9,), ("e", 2): (0.0,)}
+    asked = [(d, i, f"p{p}" if d == "d" else "q", s) for (d, i), v in spends.items() for p, s in enumerate(v) if s is not None]
+    at = spark.createDataFrame(asked, "dataset string, point_id int, publisher string, spend double")
+    for most in (1, 4):
+        want = {}
+        for (d, i) in spends:
+            seen = Counter(v for x, pub, _, _, v, s in rows for y, j, q, t in asked if (x, pub) == (y, q) and (y, j) == (d, i) and s <= t)
+            want |= {(d, i, k): sum(n >= k for n in seen.values()) for k in range(1, most + 1)}
+        assert {(r.dataset, r.point_id, r.k): r.reach for r in reach.reach_at_points(log, at, most).collect()} == want
+    assert reach.reach_at_points(log, at.limit(0)).count() == 0
+
+
+def test_saturated_logs_have_few_signatures(spark, sf):
+    """What meets the points is bounded by signatures, not by people and publishers."""
+    log = logs.log_from_events(spark, sf)
+    at = points.grid_points(reach.campaign_spend(log, [1.0]), 2)
+    spends = at.groupBy("dataset", "publisher").agg(F.sort_array(F.collect_set("spend")).alias("at")).join(log.select("publisher", (F.col("pub_idx") + 1).alias("no")).distinct(), "publisher")
+    found = reach.signatures(log, spends, 1)
+    people = log.select("vid").distinct().count()
+    assert found.agg(F.sum("people")).first()[0] == people and found.count() <= people / 3
+    # nobody's impressions after the first of a publisher, or beyond the last point, tell
+    assert found.filter(F.size("signature") > 5).count() == 0
+
+
+def test_a_query_writes_its_log_once(spark, sf, monkeypatch):
+    written = []
+    monkeypatch.setattr(queries, "kept", lambda df, name: written.append(name) or kept(df, name))
+    for name, most in (("error_metrics", 1), ("pairwise_overlap_features", 1), ("sketch_estimate", 0), ("reach_by_spend", 0), ("goerg_predict", 0), ("frequency_histogram", 0), ("all_subset_reach", 0), ("pairwise_fit", 1)):
+        written.clear()
+        queries.QUERIES[name](spark, sf)
+        assert written.count("log") == most, name
