@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reachspark.sources.scratch import kept
+
 
 def reach_vector(points: DataFrame, curves: DataFrame) -> DataFrame:
     """points (dataset, point_id, publisher, impressions) with the reach that Goerg curves (dataset, publisher, rho) predict."""
@@ -44,95 +48,202 @@ def mixture_predict(points: DataFrame, clusters: DataFrame) -> DataFrame:
     return by.groupBy("dataset", "point_id").agg((F.first("n") * F.sum("hit")).alias("reach"))
 
 
-def project(a: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """The nearest matrix, about, that is symmetric, not negative, 0 on the diagonal, and has row sums of 1 at most."""
+def bags(points: DataFrame, union: DataFrame) -> DataFrame:
+    """A row for each data set with all its training points: pubs, r (points x publishers, in one list), m (greatest reaches), y (reach lost to overlap).
+
+    A data set has p + 1 points or a few thousand; a publisher that a point doesn't name reaches nobody there."""
+    rows = points.join(union.select("dataset", "point_id", F.col("reach").alias("u")), ["dataset", "point_id"]).select("dataset", "point_id", "pub_idx", "reach", "max_reach", "u")
+
+    def pack(s: pd.DataFrame) -> pd.DataFrame:
+        r = s.pivot(index="point_id", columns="pub_idx", values="reach").fillna(0.0)
+        m = s.groupby("pub_idx")["max_reach"].max().loc[r.columns]
+        y = r.sum(axis=1) - s.groupby("point_id")["u"].first().loc[r.index]
+        return pd.DataFrame([(s["dataset"].iloc[0], r.columns.tolist(), r.to_numpy(float).ravel().tolist(), m.astype(float).tolist(), y.tolist())], columns=["dataset", "pubs", "r", "m", "y"])
+
+    return rows.groupBy("dataset").applyInPandas(pack, "dataset string, pubs array<int>, r array<double>, m array<double>, y array<double>")
+
+
+class Bag:
+    """The points of a data set: lost reach is to be sum of a_ij d_ij over ordered pairs, d_ij = r_i r_j w_ij."""
+
+    def __init__(self, r: np.ndarray, m: np.ndarray, y: np.ndarray):
+        self.r, self.y = np.asarray(r, dtype=float).reshape(len(y), len(m)), np.asarray(y, dtype=float)
+        self.w = 1 / (2 * np.maximum(np.maximum.outer(m, m), 1e-300))
+        np.fill_diagonal(self.w, 0)
+
+    def lost(self, a: np.ndarray) -> np.ndarray:
+        """p^2 work for a point: no pair of pairs is ever made out."""
+        return ((self.r @ (a * self.w)) * self.r).sum(axis=1)
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        """Sum of e d over the points."""
+        return self.w * (self.r.T @ (e[:, None] * self.r))
+
+    def loss(self, a: np.ndarray) -> float:
+        return float(((self.lost(a) - self.y) ** 2).sum())
+
+
+def within_rows(a: np.ndarray) -> np.ndarray:
+    """Rows moved to the nearest points that are not negative and sum to 1 at most."""
+    out = np.maximum(a, 0)
+    over = out.sum(axis=1) > 1
+    if over.any():
+        out[over] = onto_simplex(a[over])
+    return out
+
+
+def project(a: np.ndarray, rounds: int = 2000, near: float = 1e-12, taken: np.ndarray | None = None) -> np.ndarray:
+    """The nearest matrix that is symmetric, not negative, 0 on the diagonal, and has row sums of 1 at most.
+
+    By turns the nearest symmetric matrix and the nearest rows, each time with what the rows' step took off put back first
+    (Dykstra); without that the end would be a point of both sets, but not the nearest. `taken`, what was taken off a matrix near this
+    one, is where the turns start and is kept up to date: any start leads to the nearest point, a good one sooner."""
+
+    def even(x: np.ndarray) -> np.ndarray:
+        x = (x + x.T) / 2
+        np.fill_diagonal(x, 0)
+        return x
+
+    a = even(a)
+    plain = np.maximum(a, 0)
+    if (plain.sum(axis=1) <= 1).all():
+        return plain
+    taken = np.zeros_like(a) if taken is None else taken
+    a = even(a - taken)
     for _ in range(rounds):
-        a = np.maximum((a + a.T) / 2, 0)
-        np.fill_diagonal(a, 0)
-        over = a.sum(axis=1)
-        if (over <= 1 + 1e-12).all():
+        rows = within_rows(a + taken)
+        taken += a - rows
+        a, last = even(rows), a
+        if np.abs(a - last).max() < near and np.abs(a - rows).max() < near:
+            break
+    return a / max(1.0, a.sum(axis=1).max())  # what is left over 1 is below `near`, about
+
+
+def pairwise_parameters(bag: Bag, steps: int = 1500, near: float = 1e-9, gain: float = 1e-7) -> np.ndarray:
+    """The overlap with the least squared error: projected gradient steps, hurried on while they go down, until nothing moves by `near`
+    or a hundred steps take off less than a share `gain` of the error."""
+    p = bag.r.shape[1]
+    v, top = np.random.default_rng(0).random((p, p)) * (bag.w > 0), 0.0
+    for _ in range(60):  # the steepest direction's curvature
+        v = v / max(float(np.linalg.norm(v)), 1e-300)
+        v = bag.back(bag.lost(v))
+        last, top = top, float(np.linalg.norm(v))
+        if abs(top - last) <= 1e-3 * top:
+            break
+    if not top:
+        return np.zeros((p, p))
+    top *= 1.05
+    a = ahead = np.zeros((p, p))
+    speed, taken, error = 1.0, np.zeros((p, p)), np.inf
+    for step in range(steps):
+        if step % 100 == 0:
+            last, error = error, bag.loss(a)
+            if (step and last - error <= gain * last) or error <= 1e-16 * float(bag.y @ bag.y):
+                break
+        new = project(ahead - bag.back(bag.lost(ahead) - bag.y) / top, rounds=200, near=1e-11, taken=taken)
+        if ((ahead - new) * (new - a)).sum() > 0:
+            speed = 1.0
+        faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+        ahead = new + (speed - 1) / faster * (new - a)
+        moved, a, speed = np.abs(new - a).max(), new, faster
+        if moved < near:
             break
-        scale = 1 / np.maximum(over, 1)
-        a = a * np.minimum(scale[:, None], scale[None, :])
     return a
 
 
-def normal_equations(points: DataFrame, union: DataFrame) -> DataFrame:
-    """dataset, (i, j) x (k, l) sums of d_ij d_kl and of d_ij times what is lost: least squares' sums, added up by Spark."""
-    d = pairs(points).filter("i < j")
-    lost = points.groupBy("dataset", "point_id").agg(F.sum("reach").alias("s")).join(union, ["dataset", "point_id"]).select("dataset", "point_id", (F.col("s") - F.col("reach")).alias("y"))
-    e = d.select("dataset", "point_id", F.col("i").alias("k"), F.col("j").alias("l"), F.col("d").alias("e"))
-    both = d.join(e, ["dataset", "point_id"]).groupBy("dataset", "i", "j", "k", "l").agg(F.sum(F.col("d") * F.col("e")).alias("z"))
-    right = d.join(lost, ["dataset", "point_id"]).groupBy("dataset", "i", "j").agg(F.sum(F.col("d") * F.col("y")).alias("z"))
-    return both.unionByName(right.select("dataset", "i", "j", F.lit(-1).alias("k"), F.lit(-1).alias("l"), "z"))
+def pairwise_fit(points: DataFrame, union: DataFrame) -> DataFrame:
+    """dataset, i, j, a: the constrained least squares fit of lost reach, one small problem for each data set."""
 
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, pubs, r, m, y in zip(*(b[c] for c in ("dataset", "pubs", "r", "m", "y")), strict=True):
+                a = pairwise_parameters(Bag(r, np.asarray(m), np.asarray(y)))
+                i, j = np.nonzero(~np.eye(len(pubs), dtype=bool))
+                yield pd.DataFrame({"dataset": name, "i": np.asarray(pubs)[i], "j": np.asarray(pubs)[j], "a": a[i, j]})
 
-def pairwise_fit(points: DataFrame, union: DataFrame, steps: int = 4000) -> DataFrame:
-    """dataset, i, j, a: the constrained least squares fit of lost reach, one small problem for each data set."""
+    return bags(points, union).mapInPandas(solve, "dataset string, i int, j int, a double")
 
-    def solve(sums: pd.DataFrame) -> pd.DataFrame:
-        name = sums["dataset"].iloc[0]
-        right = sums[sums["k"] < 0].sort_values(["i", "j"])
-        names = list(zip(right["i"], right["j"], strict=True))
-        place = {x: n for n, x in enumerate(names)}
-        g = np.zeros((len(names), len(names)))
-        for i, j, k, m, z in sums.loc[sums["k"] >= 0, ["i", "j", "k", "l", "z"]].itertuples(index=False):
-            g[place[i, j], place[k, m]] = z
-        b = right["z"].to_numpy()
-        p = max(j for _, j in names) + 1
-        top = np.linalg.eigvalsh(g)[-1] or 1.0
-        x = np.zeros(len(names))
-        for _ in range(steps):  # a_ij counts twice, for (i, j) and (j, i)
-            y = x - (g @ x - b) / top
-            m = np.zeros((p, p))
-            for (i, j), v in zip(names, y, strict=True):
-                m[i, j] = m[j, i] = v / 2
-            m = project(m)
-            x = np.array([2 * m[i, j] for i, j in names])
-        out = [(name, i, j, v / 2) for (i, j), v in zip(names, x, strict=True)]
-        return pd.DataFrame(out + [(n, j, i, v) for n, i, j, v in out], columns=["dataset", "i", "j", "a"])
-
-    return normal_equations(points, union).groupBy("dataset").applyInPandas(solve, "dataset string, i int, j int, a double")
-
-
-def restricted_fit(points: DataFrame, union: DataFrame, starts: int = 8, sweeps: int = 200, seed: int = 1) -> DataFrame:
-    """dataset, pub_idx, l: a_ij = l_i l_j with row sums of 1 at most; the best of several starts, each a task of its own."""
-    sums = normal_equations(points, union)
-    tries = points.sparkSession.range(starts).select(F.col("id").alias("try"))
 
-    def solve(s: pd.DataFrame) -> pd.DataFrame:
-        name, attempt = s["dataset"].iloc[0], int(s["try"].iloc[0])
-        right = s[s["k"] < 0].sort_values(["i", "j"])
-        names = list(zip(right["i"], right["j"], strict=True))
-        place = {x: n for n, x in enumerate(names)}
-        g = np.zeros((len(names), len(names)))
-        for i, j, k, m, z in s.loc[s["k"] >= 0, ["i", "j", "k", "l", "z"]].itertuples(index=False):
-            g[place[i, j], place[k, m]] = z
-        b = right["z"].to_numpy()
-        p = max(j for _, j in names) + 1
-        ls = np.random.default_rng(seed + attempt).uniform(0, 1, p)
-        ls = ls / max(1.0, (ls * (ls.sum() - ls)).max() ** 0.5)
-        loss = lambda v: (x := np.array([2 * v[i] * v[j] for i, j in names])) @ g @ x / 2 - b @ x
-        for _ in range(sweeps):
-            for i in range(p):
-                others = ls.sum() - ls[i]
-                most = 1 / others if others > 0 else 1.0
-                for j in range(p):  # the row sums of the others
-                    if j != i and ls[j] > 0:
-                        most = min(most, (1 / ls[j]) - (others - ls[j]))
-                # the loss is a parabola in l_i: through three points of it
-                v = [ls.copy() for _ in range(3)]
-                for n, t in enumerate((0.0, 0.5, 1.0)):
-                    v[n][i] = t
-                y0, y1, y2 = map(loss, v)
-                a, c = 2 * (y0 - 2 * y1 + y2), -3 * y0 + 4 * y1 - y2
-                best = -c / (2 * a) if a > 0 else (most if c < 0 else 0.0)
-                ls[i] = min(max(best, 0.0), max(most, 0.0))
-        return pd.DataFrame({"dataset": name, "try": attempt, "pub_idx": np.arange(p), "l": ls, "loss": loss(ls)})
-
-    all_ = sums.crossJoin(F.broadcast(tries)).groupBy("dataset", "try").applyInPandas(solve, "dataset string, try long, pub_idx int, l double, loss double")
-    best = all_.groupBy("dataset").agg(F.min_by("try", F.struct("loss", "try")).alias("try"))
-    return all_.join(best, ["dataset", "try"]).select("dataset", "pub_idx", "l")
+def feasible(l: np.ndarray) -> bool:  # noqa: E741
+    return bool((l >= 0).all() and (l * (l.sum() - l)).max() <= 1 + 1e-12)
+
+
+def greatest(l: np.ndarray, i: int) -> float:  # noqa: E741
+    """How large l_i may be: its own row and those of the others sum to 1 at most."""
+    others = l.sum() - l[i]
+    own = 1 / others if others > 0 else 1.0
+    rest = np.delete(l, i)
+    rest = rest[rest > 0]
+    return max(0.0, min(own, float((1 / rest - (others - rest)).min()) if len(rest) else own))
+
+
+#: Losses that differ by less than this share of the squares of what is lost are alike.
+ALIKE = 3e-4
+
+
+def restricted_start(p: int, seed: int) -> np.ndarray:
+    """A feasible point: a direction drawn evenly from the simplex, at a part of the length that is feasible."""
+    rng = np.random.default_rng(seed)
+    way = rng.dirichlet(np.ones(p))
+    return way * rng.random() / max(float((way * (1 - way)).max()) ** 0.5, 1e-9)
+
+
+def restricted_parameters(bag: Bag, start: np.ndarray, rounds: int = 1000, least_gain: float = 1e-3) -> tuple[np.ndarray, float]:
+    """l with a_ij = l_i l_j from one start, and its loss: in each round l's length is set to the best, which frees what bounds hold
+    fast, and then one coordinate after another goes to where a parabola is least, within its bounds. Errors are kept up to date, so a coordinate costs its column of pairs only."""
+    l, r, w = start.copy(), bag.r, bag.w  # noqa: E741
+    e = bag.lost(np.outer(l, l)) - bag.y
+    now, exact = float(e @ e), 1e-9 * float(bag.y @ bag.y)
+    for _ in range(rounds):
+        whole = e + bag.y  # first all of l at once: how long it is best
+        if (size := float(whole @ whole)) > 0:
+            t = min(max(float(whole @ bag.y) / size, 0.0), 1 / max(float((l * (l.sum() - l)).max()), 1e-300))
+            l, e = l * t**0.5, t * whole - bag.y  # noqa: E741
+        for i in range(len(l)):
+            slope = 2 * r[:, i] * (r @ (w[i] * l))
+            steep = float(slope @ slope)
+            if steep <= 0:
+                continue
+            new = min(max(l[i] - float(e @ slope) / steep, 0.0), greatest(l, i))
+            e += (new - l[i]) * slope
+            l[i] = new
+        last, now = now, float(e @ e)
+        if last - now <= least_gain * last or now <= exact:
+            break
+    return l, bag.loss(np.outer(l, l))
+
+
+def restricted_fit(points: DataFrame, union: DataFrame, starts: int = 30, most_starts: int = 1000, agree: int = 10, apart: float = 0.01, seed: int = 1) -> DataFrame:
+    """dataset, pub_idx, l: a_ij = l_i l_j with row sums of 1 at most, the best of many starts, each a row that any task may take.
+
+    Starts are drawn in waves until a data set's `agree` smallest losses lie within a share `apart` of the smallest, or there were
+    most_starts; only those losses are kept. A data set that agrees draws no more."""
+    spark = points.sparkSession
+    left, best, drawn, wave = kept(bags(points, union), "bags"), None, 0, starts
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, attempt, pubs, r, m, y in zip(*(b[c] for c in ("dataset", "try", "pubs", "r", "m", "y")), strict=True):
+                l, loss = restricted_parameters(Bag(r, np.asarray(m), np.asarray(y)), restricted_start(len(pubs), seed + int(attempt)))  # noqa: E741
+                out.append((name, attempt, list(pubs), l.tolist(), loss, float(np.square(y).sum())))
+            yield pd.DataFrame(out, columns=["dataset", "try", "pubs", "l", "loss", "scale"])
+
+    while True:
+        tries = F.broadcast(spark.range(drawn, drawn + wave).select(F.col("id").alias("try")))
+        found = left.crossJoin(tries).repartition("dataset", "try").mapInPandas(solve, "dataset string, try long, pubs array<int>, l array<double>, loss double, scale double")
+        place = F.row_number().over(Window.partitionBy("dataset").orderBy("loss", "try"))  # `agree` rows and a wave
+        both = found if best is None else best.unionByName(found)
+        best = kept(both.withColumn("place", place).filter(F.col("place") <= agree).drop("place"), "starts")
+        drawn += wave
+        spread = best.groupBy("dataset").agg(F.count("*").alias("n"), F.min("loss").alias("low"), F.max("loss").alias("high"), F.max("scale").alias("scale"))
+        apart_still = spread.filter((F.col("n") < agree) | (F.col("high") > (1 + apart) * F.col("low") + ALIKE * F.col("scale")))
+        if drawn >= most_starts or not apart_still.head(1):
+            break
+        left = kept(left.join(apart_still.select("dataset"), "dataset", "left_semi"), "bags")
+        wave = min(drawn, most_starts - drawn)
+    top = best.groupBy("dataset").agg(F.min_by(F.arrays_zip(F.col("pubs").alias("pub_idx"), F.col("l").alias("l")), F.struct("loss", "try")).alias("x"))
+    return top.select("dataset", F.inline("x"))
 
 
 def onto_simplex(a: np.ndarray) -> np.ndarray:
