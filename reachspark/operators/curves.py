@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachspark.functions.histograms import suffix_sums
+from reachspark.functions.search import greatest_input
 
 
 def goerg_fit(points: DataFrame) -> DataFrame:
@@ -196,6 +198,22 @@ def dirac_predict(fits: DataFrame, scale: Column, most: int) -> DataFrame:
     return sums.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "p"))), lambda x: x["p"]).alias("pmf"))
 
 
+def dirac_kplus(impressions: Column, at: Column, components: Column, weights: Column, universe: Column, most: int) -> Column:
+    """k+ reach of a Poisson mixture fitted where `at` impressions were shown, as whole numbers of people."""
+    sums = F.aggregate(F.arrays_zip(components.alias("c"), weights.alias("w")), F.array_repeat(F.lit(0.0), most + 1), lambda a, x: F.zip_with(a, truncated_poisson(x["c"] * impressions / at, most), lambda s, p: s + x["w"] * p))
+    return F.transform(F.slice(suffix_sums(sums), 2, most), lambda p: F.bround(universe * p))
+
+
+def dirac_most(components: Column, weights: Column, universe: Column) -> Column:
+    """The people that enough impressions reach: all but those of components at 0."""
+    return universe * F.aggregate(F.zip_with(components, weights, lambda c, w: F.when(c > 0, w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+
+
+def curve_inverse(q: Column, most: Column, rising: Callable[[Column], Column]) -> Column:
+    """The greatest whole number of what `rising` takes (impressions, or spend) whose reach is at most q of the greatest, 0 < q < 1."""
+    return F.when((q <= 0) | (q >= 1), F.raise_error(F.lit("q must lie between 0 and 1"))).otherwise(greatest_input(q * most, rising))
+
+
 def expected_histogram(impressions: float, alpha: np.ndarray, beta: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
     """gamma_poisson_histogram for arrays of parameters: a row of `most` values for each."""
     top = n * (1 + alpha * beta)

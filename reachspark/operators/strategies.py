@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachspark.functions.joins import beside
+from reachspark.functions.search import last_at_most
 from reachspark.operators import curves, overlap, privacy, reach, sketch, surfaces
 from reachspark.sources.scratch import kept
 
 #: Frequencies that are measured for a single publisher's strategy, and for the publishers of several.
 MOST_SINGLE, MOST_EACH = 20, 10
 
-PARAMETERS = {"rho": "double", "alpha": "double", "beta": "double", "n": "double", "prefix": "array<double>"}
+PARAMETERS = {"rho": "double", "alpha": "double", "beta": "double", "n": "double", "prefix": "array<double>", "components": "array<double>", "weights": "array<double>", "shown": "double", "universe": "double", "spends": "array<double>", "steps": "array<array<double>>"}
+#: Components of a Poisson mixture.
+COMPONENTS = 30
 
 
 def parameters(fit: DataFrame, **own: Column) -> DataFrame:
@@ -42,17 +45,52 @@ def kinflated(points: DataFrame) -> DataFrame:
     return parameters(curves.kinflated_fit(good), alpha=F.col("alpha"), beta=F.col("beta"), n=F.col("n"), prefix=F.col("prefix"))
 
 
-#: Curves by name: what fits points (key, impressions, reach, spend, histogram).
-CURVES: dict[str, Callable[[DataFrame], DataFrame]] = {"goerg": goerg, "gamma_poisson": gamma_poisson, "kinflated_gamma_poisson": kinflated}
+def dirac(points: DataFrame) -> DataFrame:
+    """A Poisson mixture of everyone's frequencies: those not reached, of the audience's size `people`, come first."""
+    good = points.filter((F.col("impressions") > 0) & (F.col("people") > F.col("reach")))
+    h = F.concat(F.array(F.col("people") - F.col("reach")), F.transform("histogram", lambda x: F.greatest(x, F.lit(0.0))))
+    total = F.aggregate("h", F.lit(0.0), lambda a, x: a + x)
+    rows = good.withColumn("h", h).select("key", "impressions", "people", F.col("h").alias("histogram"), curves.poisson_grid(F.transform("h", lambda x: x / total), COMPONENTS).alias("components"))
+    fit = curves.dirac_fit(rows.select("key", "histogram", "components")).filter("error is null").join(rows.select("key", "impressions", "people"), "key")
+    return parameters(fit, components=F.col("components"), weights=F.col("weights"), shown=F.col("impressions"), universe=F.col("people"), n=curves.dirac_most(F.col("components"), F.col("weights"), F.col("people")))
 
 
-def curve_kplus(impressions: Column, most: int) -> Column:
-    """k+ reach by the curve that a row (curve and PARAMETERS) carries; nothing is reached without impressions."""
+def true(points: DataFrame) -> DataFrame:
+    """The publisher's true curve at the spends that are asked for, which true_curves() put beside the points."""
+    if "true_spends" not in points.columns:
+        raise ValueError("true curves need true_curves()")
+    return parameters(points.filter("true_spends is not null"), spends=F.col("true_spends"), steps=F.col("true_steps"), n=F.col("true_reach"))
+
+
+#: Curves by name: what fits points (key, impressions, reach, spend, histogram, people).
+CURVES: dict[str, Callable[[DataFrame], DataFrame]] = {"goerg": goerg, "gamma_poisson": gamma_poisson, "kinflated_gamma_poisson": kinflated, "dirac_mixture": dirac, "true": true}
+
+
+def true_curves(log: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """dataset, publisher, true_spends, true_steps, true_reach: a row for each publisher with its k+ reach at all the spends of `asked`
+    (dataset, publisher, spend), in order of spend, and its greatest reach. A spend between two of them has the reach of the smaller one."""
+    asked = kept(asked.select("dataset", "publisher", "spend").distinct(), "asked")
+    curve = reach.reach_curve(log, asked, most).groupBy("dataset", "publisher", "spend").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "reach"))), lambda x: x["reach"].cast("double")).alias("steps"))
+    rows = curve.groupBy("dataset", "publisher").agg(F.sort_array(F.collect_list(F.struct("spend", "steps"))).alias("rows"))  # as many as there are points
+    top = reach.publisher_stats(log).select("dataset", "publisher", F.col("reach").cast("double").alias("true_reach"))
+    return rows.select("dataset", "publisher", F.col("rows.spend").alias("true_spends"), F.col("rows.steps").alias("true_steps")).join(top, ["dataset", "publisher"])
+
+
+def true_kplus(spend: Column, most: int) -> Column:
+    place = last_at_most(F.col("spends"), spend)
+    steps = F.slice(F.get("steps", place - 1), 1, most)
+    return F.when(place == 0, F.array_repeat(F.lit(0.0), most)).otherwise(steps)
+
+
+def curve_kplus(impressions: Column, most: int, spend: Column | None = None) -> Column:
+    """k+ reach by the curve that a row (curve and PARAMETERS) carries; nothing is reached without impressions. True curves go by spend."""
     p = {k: F.col(k) for k in PARAMETERS}
     usual = F.when(F.col("curve") == "goerg", curves.goerg_kplus(impressions, p["rho"], most))
     usual = usual.when(F.col("curve") == "gamma_poisson", curves.gamma_poisson_kplus(impressions, p["alpha"], p["beta"], p["n"], most))
     usual = usual.when(F.col("curve") == "kinflated_gamma_poisson", curves.kinflated_kplus(impressions, p["alpha"], p["beta"], p["n"], p["prefix"], most))
-    return F.when(impressions <= 0, F.array_repeat(F.lit(0.0), most)).otherwise(usual)
+    usual = usual.when(F.col("curve") == "dirac_mixture", curves.dirac_kplus(impressions, p["shown"], p["components"], p["weights"], p["universe"], most))
+    usual = F.when(impressions <= 0, F.array_repeat(F.lit(0.0), most)).otherwise(usual)
+    return usual if spend is None else F.when(F.col("curve") == "true", true_kplus(spend, most)).otherwise(usual)
 
 
 def most_reach() -> Column:
@@ -60,6 +98,16 @@ def most_reach() -> Column:
     return F.coalesce("rho", "n")
 
 
+def impressions_at_quantile(q: Column) -> Column:
+    """The greatest whole number of impressions at which a row's curve reaches q of its greatest reach at most."""
+    return curves.curve_inverse(q, most_reach(), lambda x: curve_kplus(x, 1)[0])
+
+
+def spend_at_quantile(q: Column) -> Column:
+    """The same by spend, at the row's cost of an impression (cpi)."""
+    return curves.curve_inverse(q, most_reach(), lambda x: curve_kplus(curves.impressions_for_spend(x, F.col("cpi")), 1, x)[0])
+
+
 def fit_curves(points: DataFrame) -> DataFrame:
     """points (key, curve, impressions, reach, spend, histogram) with PARAMETERS and cpi; what can't be fitted has an error.
 
@@ -72,7 +120,7 @@ def fit_curves(points: DataFrame) -> DataFrame:
         return points.select("*", *(F.lit(None).cast(t).alias(k) for k, t in PARAMETERS.items()), F.lit(None).cast("double").alias("cpi"), F.lit(None).cast("string").alias("error"))
     fits = reduce(DataFrame.unionByName, [CURVES[n](points.filter(F.col("curve") == n)).withColumn("curve", F.lit(n)) for n in sorted(names)])
     out = points.join(fits, ["key", "curve"], "left")
-    error = F.when(most_reach().isNull(), F.lit("impressions must be over reach, and reach over 0"))
+    error = F.when(most_reach().isNull(), F.lit("impressions must be over reach, and reach over 0, for this curve"))
     return out.withColumn("cpi", F.when(F.col("spend") > 0, F.col("spend") / F.col("impressions"))).withColumn("error", error)
 
 
@@ -117,7 +165,15 @@ def private(prefix: DataFrame, most: int, epsilon: float, seed: str) -> tuple[Da
     return shown.drop("reach", "histogram").join(single, ["dataset", "pub_idx"]), kept(unions, "unions"), ledger
 
 
-def fit_single_publisher(prefix: DataFrame, trials: DataFrame, epsilon: float | None = None, seed: str = "single") -> tuple[DataFrame, DataFrame | None]:
+#: What fits take beside a trial's names.
+POINT = ["key", "trial", "dataset", "publisher", "pub_idx", "curve", "impressions", "reach", "spend", "histogram", "people"]
+
+
+def beside_true(points: DataFrame, truth: DataFrame | None) -> DataFrame:
+    return points if truth is None else points.join(truth, ["dataset", "publisher"], "left")
+
+
+def fit_single_publisher(prefix: DataFrame, trials: DataFrame, epsilon: float | None = None, seed: str = "single", truth: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Curves of campaigns of one publisher, by trial (trial, dataset, curve): fit_curves' columns, trial and dataset; and the ledger of them
     (trial, epsilon, delta, mechanism). A campaign with several publishers gives an error."""
     points, ledger = exact(prefix, MOST_SINGLE), None
@@ -127,8 +183,8 @@ def fit_single_publisher(prefix: DataFrame, trials: DataFrame, epsilon: float |
     points = kept(points, "single")
     alone = points.groupBy("dataset").agg(F.count("*").alias("p"))
     rows = trials.select("trial", "dataset", "curve").join(alone, "dataset", "left")
-    good = rows.filter("p = 1").join(points, "dataset").withColumn("key", F.col("trial"))
-    fits = fit_curves(good.select("key", "trial", "dataset", "publisher", "pub_idx", "curve", "impressions", "reach", "spend", "histogram"))
+    good = rows.filter("p = 1").join(points, "dataset").withColumns({"key": F.col("trial"), "people": 2 * F.col("reach")})
+    fits = without_true(fit_curves(beside_true(good.select(*POINT), truth)))
     bad = rows.filter("p is null or p <> 1").select("trial", "dataset", "curve", F.concat(F.lit("one publisher only, not "), F.coalesce("p", F.lit(0))).alias("error"))
     return fits.drop("key").unionByName(bad, allowMissingColumns=True), ledger
 
@@ -136,7 +192,7 @@ def fit_single_publisher(prefix: DataFrame, trials: DataFrame, epsilon: float |
 def training_points(fits: DataFrame, unions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points of a surface, as surfaces' fits take them, from curves of campaigns (trial, dataset, pub_idx, impressions, ..) and their unions:
     all publishers at once, and all but each one where there are more than two."""
-    r = fits.withColumn("r", curve_kplus(F.col("impressions").cast("double"), 1)[0]).select("trial", "dataset", "pub_idx", "r", most_reach().alias("max_reach"))
+    r = fits.withColumn("r", curve_kplus(F.col("impressions").cast("double"), 1, F.col("spend"))[0]).select("trial", "dataset", "pub_idx", "r", most_reach().alias("max_reach"))
     p = fits.groupBy("trial").agg(F.count("*").alias("p"))
     union = fits.select("trial", "dataset").distinct().join(unions, "dataset").join(p, "trial").filter("without < 0 or p > 2").select(F.col("trial").alias("dataset"), F.col("without").alias("point_id"), "reach")
     points = union.select(F.col("dataset").alias("trial"), "point_id").join(r, "trial").select(F.col("trial").alias("dataset"), "point_id", "pub_idx", F.when(F.col("pub_idx") == F.col("point_id"), 0.0).otherwise(F.col("r")).alias("reach"), "max_reach")
@@ -162,13 +218,19 @@ def mixture(points: DataFrame, union: DataFrame) -> Callable[[DataFrame], DataFr
 SURFACES: dict[str, Callable[[DataFrame, DataFrame], Callable[[DataFrame], DataFrame]] | None] = {"pairwise_union": pairwise, "restricted_pairwise_union": restricted, "generalized_mixture": mixture, "none": None}
 
 
-def fit_m3(prefix: DataFrame, trials: DataFrame, epsilon: float | None = None, seed: str = "m3") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def without_true(fits: DataFrame) -> DataFrame:
+    return fits.drop("true_spends", "true_steps", "true_reach")
+
+
+def fit_m3(prefix: DataFrame, trials: DataFrame, epsilon: float | None = None, seed: str = "m3", truth: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Curves of all publishers of campaigns, by trial (trial, dataset, curve, surface): (fits, unions measured, ledger). See predict()."""
     points, unions, ledger = (exact(prefix, MOST_EACH), exact_unions(prefix), None) if epsilon is None else private(prefix, MOST_EACH, epsilon, seed)
     if ledger is not None:
         ledger = trials.select("trial", "dataset").join(ledger, "dataset").drop("dataset", "request")
-    rows = trials.select("trial", "dataset", "curve", "surface").join(kept(points, "each"), "dataset").withColumn("key", F.concat_ws("/", "trial", "pub_idx"))
-    return fit_curves(rows).drop("key"), kept(unions, "unions"), ledger
+    unions = kept(unions, "unions")
+    people = unions.filter("without < 0").select("dataset", (2 * F.col("reach")).alias("people"))  # the audience where none is known: twice those reached
+    rows = trials.select("trial", "dataset", "curve", "surface").join(kept(points, "each"), "dataset").join(people, "dataset").withColumn("key", F.concat_ws("/", "trial", "pub_idx"))
+    return without_true(fit_curves(beside_true(rows, truth))).drop("key"), unions, ledger
 
 
 def predict(fits: DataFrame, unions: DataFrame | None, at: DataFrame, most: int = reach.K) -> DataFrame:
@@ -178,7 +240,7 @@ def predict(fits: DataFrame, unions: DataFrame | None, at: DataFrame, most: int
     bad = fits.filter("error is not null").select("trial").distinct()
     p = fits.groupBy("trial").agg(F.count("*").alias("p"))
     each = at.join(fits.join(bad, "trial", "left_anti").drop("spend").join(p, "trial"), ["trial", "pub_idx"])
-    each = kept(each.withColumn("y", curve_kplus(F.col("spend") / F.col("cpi"), most)).withColumn("most", most_reach()), "each-reach")
+    each = kept(each.withColumn("y", curve_kplus(F.col("spend") / F.col("cpi"), most, F.col("spend"))).withColumn("most", most_reach()), "each-reach")
     out = [each.filter("p = 1").select("trial", "point_id", "y")]
     if unions is not None and "surface" in fits.columns:
         names = [r.surface for r in fits.select("surface").distinct().collect()]  # names of models
@@ -212,10 +274,16 @@ def evaluated(log: DataFrame, trials: DataFrame, points: DataFrame, done: DataFr
     prefix = reach.beside(log, lists, ["dataset", "publisher"]).withColumn("campaign", F.explode(bought)).select(F.col("campaign.campaign").alias("dataset"), "publisher", "pub_idx", "seq", "vid", "spend")
     prefix = kept(prefix, "campaigns")
     at = named.select("trial", "dataset").join(points, "dataset").select("trial", "point_id", "pub_idx", "spend")
+    truth = None
+    if named.filter("curve = 'true'").head(1):  # at the points, and at what the campaigns spend
+        campaigns = named.select("dataset", "campaign").distinct()
+        spends = prefix.groupBy("dataset", "publisher").agg(F.max("spend").alias("spend")).withColumnRenamed("dataset", "campaign").join(campaigns, "campaign")
+        asked = points.select("dataset", "publisher", "spend").unionByName(spends.select("dataset", "publisher", "spend"))
+        truth = kept(true_curves(log, asked, max(most, 1)).join(campaigns, "dataset").drop("dataset").withColumnRenamed("campaign", "dataset"), "truth")
     found, wrong, spent_by = [], [], [log.sparkSession.createDataFrame([], "trial string, epsilon double, delta double, mechanism string")]
     for n in sorted(names):
         rows = named.filter(F.col("strategy") == n).withColumn("dataset", F.col("campaign"))
-        fits, unions, ledger = STRATEGIES[n](prefix, rows, epsilon=epsilon)
+        fits, unions, ledger = STRATEGIES[n](prefix, rows, epsilon=epsilon, truth=truth)
         fits = kept(fits, "fits")
         if ledger is not None:
             spent_by.append(ledger)

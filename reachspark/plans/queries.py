@@ -646,6 +646,24 @@ def inverse_reach(spark, sf_dir):
     return fitted(spark, sf_dir).crossJoin(values(spark, "q double", (0.1,), (0.5,), (0.8,))).select("publisher", "q", curves.goerg_inverse(F.col("q"), F.col("rho")).alias("impressions"))
 
 
+CURVE_LIST = ("goerg", "gamma_poisson", "kinflated_gamma_poisson", "dirac_mixture")
+
+
+def curve_rows(spark, sf_dir) -> DataFrame:
+    """Every publisher of the campaign with every curve fitted to it."""
+    shown = kept(strategies.exact(campaign(spark, sf_dir), 10).withColumn("people", 2 * F.col("reach")), "shown")
+    named = shown.withColumn("curve", F.explode(F.array(*map(F.lit, CURVE_LIST)))).withColumn("key", F.concat_ws("/", "publisher", "curve"))
+    return strategies.fit_curves(named)
+
+
+@query("inverse_reach_of_curves")
+def inverse_reach_of_curves(spark, sf_dir):
+    """Impressions and spend at which each curve gets half of its greatest reach, and the reach there and one on."""
+    rows = curve_rows(spark, sf_dir).withColumns({"impressions_at": strategies.impressions_at_quantile(F.lit(0.5)), "spend_at": strategies.spend_at_quantile(F.lit(0.5))})
+    near = {f"reach_{i}": strategies.curve_kplus((F.col("impressions_at") + i).cast("double"), 1)[0] for i in (0, 1)}
+    return rows.withColumns(near).select("publisher", "curve", strategies.most_reach().alias("greatest"), "impressions_at", "spend_at", "reach_0", "reach_1")
+
+
 NB = "exp(lgamma({k} + {r}) - lgamma({r}) - lgamma({k} + 1) + {r} * ln({p}) + ({k}) * ln(1 - {p}))"
 START = ", e AS (SELECT publisher, pub_idx, impressions::DOUBLE AS i, reach::DOUBLE AS r, (impressions::DOUBLE / least(reach::DOUBLE, impressions::DOUBLE - 1) - 1) * 1.2 AS beta FROM pr), s AS (SELECT *, i * beta * r / ((beta + 1) * (i - r)) AS n FROM e)"
 
@@ -672,6 +690,17 @@ def gamma_poisson_kreach(spark, sf_dir):
     return started(spark, sf_dir).crossJoin(spark.range(0, 10).withColumnRenamed("id", "k")).select("publisher", "k", F.round(curves.gamma_poisson_kreach(F.col("k"), F.lit(0.4), F.lit(1.5), F.col("beta")), 9).alias("p"))
 
 
+GP_REACH = "n * (1 - (1 - {x} / top) * pow(1 + beta * {x} / top, -1.5))"
+
+
+@query("inverse_reach_of_gamma_poisson", START + f""", t AS (SELECT publisher, n, beta, n * (1 + 1.5 * beta) AS top FROM s)
+SELECT publisher, v.q, CAST((SELECT max(x.range) FROM range(0, 2000000) x WHERE x.range < top AND {GP_REACH.format(x="x.range")} <= v.q * n) AS BIGINT) AS impressions FROM t, (VALUES (0.1::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE)) v(q)""")
+def inverse_reach_of_gamma_poisson(spark, sf_dir):
+    reached = lambda x: curves.gamma_poisson_kplus(x, F.lit(1.5), F.col("beta"), F.col("n"), 1)[0]
+    asked = started(spark, sf_dir).crossJoin(values(spark, "q double", (0.1,), (0.4,), (0.6,)))
+    return asked.select("publisher", "q", curves.curve_inverse(F.col("q"), F.col("n"), reached).alias("impressions"))
+
+
 PREDICT = f", w AS (SELECT publisher, i, n, beta, n * (1 + 1.5 * beta) AS top, least(i, n * (1 + 1.5 * beta) - 1) / (n * (1 + 1.5 * beta)) AS q FROM s), x AS (SELECT publisher, n, k, n * {KREACH} AS users FROM w, (SELECT range AS k FROM range(0, 10)))"
 
 
@@ -962,6 +991,21 @@ def fit_m3(spark, sf_dir):
     return strategies.evaluated(log, every, kept(test_points(log), "points"))[0].select("trial", "point_id", F.col("x")[0].alias("reach"), F.col("y")[0].alias("predicted"))
 
 
+TRUE_M3 = """, two AS (SELECT * FROM log WHERE pub_idx < 2), pt AS (SELECT point_id, a.publisher AS p, b.publisher AS q, a.m * (point_id % 2 + 1) / 3 AS sp, b.m * (point_id // 2 + 1) / 3 AS sq FROM (SELECT publisher, max_spend AS m FROM top WHERE pub_idx = 0) a, (SELECT publisher, max_spend AS m FROM top WHERE pub_idx = 1) b, (SELECT range AS point_id FROM range(0, 4))),
+r AS (SELECT point_id, (SELECT count(DISTINCT vid) FROM two WHERE publisher = p AND spend <= sp)::DOUBLE AS a, (SELECT count(DISTINCT vid) FROM two WHERE publisher = q AND spend <= sq)::DOUBLE AS b, (SELECT count(DISTINCT vid) FROM two WHERE publisher = p AND spend <= sp OR publisher = q AND spend <= sq)::DOUBLE AS reach FROM pt),
+c AS (SELECT (SELECT max(reach) FROM top WHERE pub_idx < 2)::DOUBLE AS m, (SELECT count(DISTINCT vid) FROM pre WHERE pub_idx < 2)::DOUBLE AS u, (SELECT reach FROM pr WHERE pub_idx = 0)::DOUBLE AS a0, (SELECT reach FROM pr WHERE pub_idx = 1)::DOUBLE AS b0)
+SELECT point_id, reach, round(a + b - least(1, greatest(0, (a0 + b0 - u) / (a0 * b0 / m))) * a * b / m, 3) AS predicted FROM r, c"""
+
+
+@query("fit_m3_of_true_curves", TRUE_M3)
+def fit_m3_of_true_curves(spark, sf_dir):
+    """Two publishers with their true curves: their overlap is what the campaign shows, so predictions are known."""
+    log = kept(logs.log_from_orders(spark, sf_dir).filter("pub_idx < 2"), "log")
+    every = strategy_trials(spark, sf_dir, ("m3",), ("true",), ("pairwise_union",)).filter("dataset = 'orders' and share = 0.3")
+    both = strategies.evaluated(log, every, kept(test_points(log), "points"))[0]
+    return both.select("point_id", F.col("x")[0].alias("reach"), F.round(F.col("y")[0], 3).alias("predicted"))
+
+
 @query("model_registry")
 def model_registry(spark, sf_dir):
     """One row of metrics for each data set, curve and surface by name, from noisy measurements."""

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reachspark.functions import joins
+from reachspark.functions import joins, search
 from reachspark.operators import curves, overlap, points, privacy, reach, strategies, surfaces, synthetic
+from reachspark.plans import queries
 from reachspark.sources import logs
 
 
@@ -53,6 +54,39 @@ def test_trials(spark):
         assert np.mean([abs(x[0] - y[0]) / x[0] for x, y in v]) < 0.25, t
 
 
+def test_every_curve_by_name(spark):
+    """All curves in one table of trials, alone and under a surface; true curves give the truth of each publisher."""
+    log = campaign_log(spark, 600).unionByName(campaign_log(spark, 500, 1, "e"))
+    rows = [(f"e-{c}", "e", s, c, "none", 0.5) for c, s in zip(strategies.CURVES, ["single_publisher", "m3"] * 3)]
+    rows += [(f"d-{c}", "d", "m3", c, "restricted_pairwise_union", 0.5) for c in strategies.CURVES]
+    both, errors, _ = strategies.evaluated(log, trials(spark, *rows), spends(spark, log))
+    assert errors.count() == 0
+    found = {}
+    for r in both.collect():
+        found.setdefault(r.trial, []).append((r.x, r.y))
+    assert {t: len(v) for t, v in found.items()} == {t: 2 if t[0] == "e" else 8 for t, *_ in rows}
+    assert all(x == y for x, y in found["e-true"])
+    assert all(np.mean([abs(x[0] - y[0]) / x[0] for x, y in v]) < 0.25 for v in found.values())
+    assert all(y == [round(v) for v in y] and sorted(y, reverse=True) == y for _, y in found["e-dirac_mixture"])
+
+
+def test_tables_are_searched(spark):
+    at = [0.5, 1.0, 1.0, 4.0]
+    got = spark.createDataFrame([(at, x) for x in (0.0, 0.5, 0.9, 1.0, 3.9, 4.0, 9.0)] + [([], 1.0)], "v array<double>, x double").select(search.last_at_most(F.col("v"), F.col("x")).alias("n")).collect()
+    assert [r.n for r in got] == [0, 1, 1, 3, 3, 4, 4, 0]
+    one = lambda target, f: spark.range(1).select(search.greatest_input(F.lit(float(target)), f).alias("x")).first().x
+    assert [one(t, lambda x: x * x) for t in (0, 1, 2, 99, 100, 1e12)] == [0, 1, 1, 9, 10, 10**6]
+    with pytest.raises(Exception, match="never reached"):
+        one(5, lambda x: F.least(x, F.lit(4.0)))
+
+
+def test_inverse_of_every_curve(spark, sf):
+    got = queries.inverse_reach_of_curves(spark, sf).collect()
+    assert len(got) == 20
+    for r in got:
+        assert r.reach_0 <= r.greatest / 2 < r.reach_1 and r.spend_at == pytest.approx(r.impressions_at * 0.1, abs=1.1), r
+
+
 def test_noisy_measurements_spend_the_budget(spark):
     log = campaign_log(spark, 900)
     every = trials(spark, ("m", "d", "m3", "goerg", "restricted_pairwise_union", 1.0))
