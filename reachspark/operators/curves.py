@@ -100,16 +100,39 @@ def chi2(actual: Column, expected: Column, top: Column, extrapolation: Column) -
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) + gap * gap + lack
 
 
-def with_exp_poisson_start(points: DataFrame, stretch: float = 1.2, tries: int = 400) -> DataFrame:
+def exp_poisson_reach(impressions: Column, n: Column, beta: Column) -> Column:
+    """1+ reach of the model with alpha = 1 when some of its impressions are shown; of all of them, everyone."""
+    return F.when(impressions >= (beta + 1) * n, n).otherwise(n * impressions * (beta + 1) / (n + beta * (n + impressions)))
+
+
+def exp_poisson_beta(impressions: Column, n: Column, reach: Column) -> Column:
+    """The beta at which so many impressions reach so many of n; 1000 if none does."""
+    left = impressions * reach - n * (impressions - reach)
+    return F.when(left <= 0, F.lit(1e3)).otherwise(n * (impressions - reach) / left)
+
+
+def exp_poisson_audience(impressions: Column, reach: Column, stretch: float = 1.5) -> Column:
+    """The audience from one reach alone, if its mean is `stretch` times what is seen; a hundred times the reach if nobody was seen twice."""
+    if stretch < 1:
+        raise ValueError("the mean can't be below what is seen")
+    return F.when(impressions < reach + 1e-3, 100.0 * reach).otherwise(reach * (stretch * impressions - reach) / (stretch * (impressions - reach)))
+
+
+def with_exp_poisson_start(points: DataFrame, stretch: float = 1.2, tries: int = 400, least: float | None = None, single: Column | None = None) -> DataFrame:
     """points (.., impressions, reach) with the audience n and beta of the model with alpha = 1 that has this reach.
 
-    The mean is taken to be `stretch` times what is seen beyond one. If that leaves fewer impressions than were shown, n grows by
-    a tenth until it doesn't (tries bounds the search: a factor of 10^16)."""
+    The mean is taken to be `stretch` times what is seen beyond one; where `single` holds, only 1+ reach is known and the audience comes
+    from it alone. The model has `least` impressions or more, if given. If it had fewer than were shown, n grows by a tenth until it
+    doesn't (tries bounds the search: a factor of 10^16)."""
     i, r = F.col("impressions").cast("double"), F.col("reach").cast("double")
+    i = i if least is None else F.greatest(i, F.lit(float(least)))
     beta = (i / F.least(r, i - 1) - 1) * stretch
     n = F.when(i < r + 1e-3, 100.0 * r).otherwise(i * beta * r / ((beta + 1) * (i - r)))
+    if single is not None:
+        alone = exp_poisson_audience(i, r)
+        n, beta = F.when(single, alone).otherwise(n), F.when(single, exp_poisson_beta(i, alone, r)).otherwise(beta)
     df = points.withColumns({"n": n, "beta": beta})
-    solved = lambda m: F.when(i * r - m * (i - r) <= 0, F.lit(1e3)).otherwise(m * (i - r) / (i * r - m * (i - r)))
+    solved = lambda m: exp_poisson_beta(i, m, r)
     grown = lambda j: F.greatest(F.lit(1.0), F.col("n") * F.pow(F.lit(1.1), j))
     first = F.get(F.filter(F.sequence(F.lit(1), F.lit(tries)), lambda j: grown(j) * (solved(grown(j)) + 1) >= i), 0)
     ok = F.col("n") * (F.col("beta") + 1) >= i
@@ -233,14 +256,21 @@ def chi2_of(h: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return ((expected - h) ** 2 / (np.abs(expected) + 1e-6)).sum(axis=-1) + gap * gap
 
 
-def gamma_poisson_grid(h: np.ndarray, impressions: float, cells: int, rounds: int, most_alpha: float) -> tuple[float, float, float, float]:
-    """alpha, beta, n, objective: audience and alpha on a grid that shrinks; in each cell beta meets 1+ reach, found by halving."""
+def gamma_poisson_grid(h: np.ndarray, impressions: float, cells: int, rounds: int, most_alpha: float, audience: float | None = None, least: float = 0.0) -> tuple[float, float, float, float]:
+    """alpha, beta, n, objective: audience and alpha on a grid that shrinks; in each cell beta meets 1+ reach, found by halving.
+
+    With a given audience only alpha is searched, as finely as the grid has cells. The model has `least` impressions or more."""
     reach = h.sum()
+    if audience is not None and not audience > reach:
+        return (np.nan, np.nan, float(audience), np.inf)
     a0, a1, n0, n1 = np.log(1e-3), np.log(most_alpha), np.log(reach * 1.0001), np.log(reach * 100)
     best = (np.nan, np.nan, np.nan, np.inf)
     for _ in range(rounds):
-        alpha, n = (x.ravel() for x in np.meshgrid(np.exp(np.linspace(a0, a1, cells)), np.exp(np.linspace(n0, n1, cells))))
-        low = np.log(np.maximum((impressions + 1) / n - 1, 0.0) / alpha + 1e-9)
+        if audience is None:
+            alpha, n = (x.ravel() for x in np.meshgrid(np.exp(np.linspace(a0, a1, cells)), np.exp(np.linspace(n0, n1, cells))))
+        else:
+            alpha, n = np.exp(np.linspace(a0, a1, cells * cells)), np.full(cells * cells, float(audience))
+        low = np.log(np.maximum(max(impressions + 1, least) / n - 1, 0.0) / alpha + 1e-9)
         high = np.full_like(low, np.log(1e6))
         for _ in range(40):
             middle = (low + high) / 2
@@ -253,21 +283,26 @@ def gamma_poisson_grid(h: np.ndarray, impressions: float, cells: int, rounds: in
         i = int(np.nanargmin(score))
         if score[i] <= best[3]:
             best = (float(alpha[i]), float(beta[i]), float(n[i]), float(score[i]))
-        wide_a, wide_n = 2 * (a1 - a0) / (cells - 1), 2 * (n1 - n0) / (cells - 1)
+        wide_a, wide_n = 2 * (a1 - a0) / ((cells if audience is None else cells * cells) - 1), 2 * (n1 - n0) / (cells - 1)
         a0, a1 = np.log(best[0]) - wide_a, np.log(best[0]) + wide_a
         n0, n1 = max(np.log(best[2]) - wide_n, np.log(reach * 1.0001)), np.log(best[2]) + wide_n
     return best
 
 
 def gamma_poisson_fit(points: DataFrame, cells: int = 16, rounds: int = 4, most_alpha: float = 100.0) -> DataFrame:
-    """key, alpha, beta, n, objective for points (key, impressions, histogram): one small grid search for each row."""
+    """key, alpha, beta, n, objective for points (key, impressions, histogram): one small grid search for each row.
+
+    Points may have an `audience` (null where it isn't known), which n then is, and `least`, the fewest impressions that the model has.
+    An audience that isn't over the reach has no fit: nulls, and an endless objective."""
+    given = {"audience": F.col("audience") if "audience" in points.columns else F.lit(None), "least": F.col("least") if "least" in points.columns else F.lit(0.0)}
 
     def fit(batches):
         for b in batches:
-            out = [(key, *gamma_poisson_grid(np.asarray(h, dtype=float), float(i), cells, rounds, most_alpha)) for key, i, h in zip(b["key"], b["impressions"], b["histogram"], strict=True)]
+            rows = zip(b["key"], b["impressions"], b["histogram"], b["audience"], b["least"], strict=True)
+            out = [(key, *gamma_poisson_grid(np.asarray(h, dtype=float), float(i), cells, rounds, most_alpha, None if pd.isna(n) else float(n), float(least))) for key, i, h, n, least in rows]
             yield pd.DataFrame(out, columns=["key", "alpha", "beta", "n", "objective"])
 
-    return points.select("key", "impressions", "histogram").mapInPandas(fit, "key string, alpha double, beta double, n double, objective double")
+    return points.select("key", "impressions", "histogram", *(v.cast("double").alias(k) for k, v in given.items())).mapInPandas(fit, "key string, alpha double, beta double, n double, objective double")
 
 
 def least_point(f, start: np.ndarray, size: float = 0.3, steps: int = 400) -> tuple[np.ndarray, float]:

@@ -94,3 +94,26 @@ def reach_with_noise(prefix: DataFrame, most: int, epsilon: float, seed: str, no
 def approximate_reach(prefix: DataFrame) -> DataFrame:
     """dataset, reach by the built-in distinct-count sketch."""
     return prefix.groupBy("dataset").agg(F.approx_count_distinct("vid", 0.01).alias("reach"))
+
+
+#: log2 of a stored sketch's registers; its standard error is 1.04 / 2^(STORED / 2).
+STORED = 14
+
+
+def stored_sketches(prefix: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Writes a mergeable sketch of a few kilobytes for each data set and publisher (dataset, publisher, pub_idx, audience) under path, and reads
+    what is there: logs of other days or campaigns can be added without the people of the first."""
+    found = prefix.groupBy("dataset", "publisher", "pub_idx").agg(F.hll_sketch_agg("vid", F.lit(STORED)).alias("audience"))
+    found.write.mode(mode).partitionBy("dataset").parquet(path)
+    return prefix.sparkSession.read.parquet(path)
+
+
+def approximate_unions(sketches: DataFrame, subsets: DataFrame) -> DataFrame:
+    """dataset, mask, reach of any sets of publishers (dataset, mask, pub_idx), from stored sketches alone: people aren't looked at again."""
+    both = subsets.join(sketches.select("dataset", "pub_idx", "audience"), ["dataset", "pub_idx"])
+    return both.groupBy("dataset", "mask").agg(F.hll_sketch_estimate(F.hll_union_agg("audience")).alias("reach"))
+
+
+def stored_error() -> float:
+    """A stored sketch's standard error, as a share of the reach."""
+    return 1.04 / 2 ** (STORED / 2)

@@ -465,6 +465,17 @@ def approx_reach(spark, sf_dir):
     return sketch.approximate_reach(campaign(spark, sf_dir))
 
 
+@query("approx_subset_reach", "SELECT m.range AS mask, CAST(coalesce(sum(reach), 0) AS BIGINT) AS reach, true AS near FROM range(1, 32) m LEFT JOIN vr ON vr.region & m.range <> 0 GROUP BY ALL")
+def approx_subset_reach(spark, sf_dir):
+    """Every set of publishers from stored sketches: exact reach, and whether the estimate is within three deviations of it."""
+    prefix = kept(campaign(spark, sf_dir), "prefix")
+    sketches = sketch.stored_sketches(prefix, scratch(spark, "sketches"))
+    exact = overlap.subset_union_reach(regions_of(spark, prefix, order_limits(spark, sf_dir)), overlap.powerset(spark, overlap.active_publishers(order_limits(spark, sf_dir))).withColumnRenamed("region", "mask"))
+    asked = sketches.select("dataset", "pub_idx").join(exact.select("mask"), F.col("mask").bitwiseAND(F.expr("shiftleft(1L, pub_idx)")) != 0)  # sets times publishers
+    found = sketch.approximate_unions(sketches, asked).select("mask", F.col("reach").alias("found"))
+    return exact.join(found, "mask").select("mask", "reach", (F.abs(F.col("found") - F.col("reach")) <= F.greatest(3 * sketch.stored_error() * F.col("reach"), F.lit(1.0))).alias("near"))
+
+
 @query("reach_by_spend_dp", SKETCH.replace("{seed}", "'dp'") + f""", noisy AS (SELECT dataset, k, reach + {geometric_sql("dataset, k", 1.0, "dp")} AS reach FROM est), mono AS (SELECT dataset, k, min(greatest(reach, 0)) OVER (PARTITION BY dataset ORDER BY k) AS reach FROM noisy),
 shown AS (SELECT dataset, count(*) AS n FROM pre GROUP BY ALL) SELECT dataset, k, round(CASE WHEN max(reach) OVER (PARTITION BY dataset) >= n THEN CASE WHEN k = 1 THEN greatest(n - 1, 1) ELSE 0 END ELSE reach END::DOUBLE, 6) AS reach FROM mono JOIN shown USING (dataset)""")
 def reach_by_spend_dp(spark, sf_dir):
@@ -677,6 +688,17 @@ def exp_poisson_start(spark, sf_dir):
     return started(spark, sf_dir).select("publisher", F.round("n", 6).alias("n"), F.round("beta", 6).alias("beta"))
 
 
+SINGLE = ", e AS (SELECT publisher, 1.1::DOUBLE * impressions AS i, reach::DOUBLE AS r FROM pr), s AS (SELECT publisher, i, r, r * (1.5 * i - r) / (1.5 * (i - r)) AS n FROM e) SELECT publisher, round(n, 6) AS n, round(n * (i - r) / (i * r - n * (i - r)), 6) AS beta, round(r, 6) AS reach FROM s"
+
+
+@query("exp_poisson_start_of_one_frequency", SINGLE)
+def exp_poisson_start_of_one_frequency(spark, sf_dir):
+    """The start from 1+ reach alone, for a tenth more impressions than were shown; its reach at those is the measured one again."""
+    more = measured(campaign(spark, sf_dir)).withColumn("impressions", 1.1 * F.col("impressions"))
+    fit = curves.with_exp_poisson_start(more, single=F.lit(True))
+    return fit.select("publisher", F.round("n", 6).alias("n"), F.round("beta", 6).alias("beta"), F.round(curves.exp_poisson_reach(F.col("impressions"), F.col("n"), F.col("beta")), 6).alias("reach"))
+
+
 @query("gamma_poisson_pmf", START + f" SELECT publisher, k, round({NB.format(k='(k - 1)', r='1.5', p='(1 / (1 + beta))')}, 9) AS p FROM s, ks")
 def gamma_poisson_pmf(spark, sf_dir):
     return started(spark, sf_dir).crossJoin(spark.range(1, 11).withColumnRenamed("id", "k")).select("publisher", "k", F.round(curves.gamma_poisson_pmf(F.col("k"), F.lit(1.5), F.col("beta")), 9).alias("p"))
@@ -739,6 +761,13 @@ def chi2_objective(spark, sf_dir):
     return histograms(spark, sf_dir).withColumn("e", expected).select("publisher", F.round(curves.chi2(F.col("histogram"), F.col("e"), F.lit(0.0), F.lit(0.0)), 3).alias("objective"))
 
 
+@query("gamma_poisson_fit_of_audience")
+def gamma_poisson_fit_of_audience(spark, sf_dir):
+    """The fit where the audience is known: twice the publisher's reach."""
+    rows = histograms(spark, sf_dir).select(F.col("publisher").alias("key"), "impressions", "histogram", (2 * F.col("reach")).alias("audience"))
+    return curves.gamma_poisson_fit(rows)
+
+
 @query("gamma_poisson_fit")
 def gamma_poisson_fit(spark, sf_dir):
     return curves.gamma_poisson_fit(histograms(spark, sf_dir).select(F.col("publisher").alias("key"), "impressions", "histogram"))

@@ -38,6 +38,43 @@ def test_gamma_poisson_fit_is_close_to_its_data(spark):
     assert sum((a - b) ** 2 / max(b, 1) for a, b in zip(h, back, strict=True)) < 10 and abs(sum(h) - sum(back)) < 5
 
 
+def test_gamma_poisson_fit_of_a_given_audience(spark):
+    kplus = [7488, 3739, 1864, 927, 459, 225, 108, 50, 21, 7]
+    h = [float(a - b) for a, b in zip(kplus, [*kplus[1:], 0], strict=True)]
+    rows = [("given", 15000.0, h, 10000.0, 0.0), ("free", 15000.0, h, None, 0.0), ("many", 15000.0, h, 10000.0, 40000.0), ("small", 15000.0, h, 7000.0, 0.0)]
+    p = spark.createDataFrame(rows, "key string, impressions double, histogram array<double>, audience double, least double")
+    got = {r.key: r for r in curves.gamma_poisson_fit(p).collect()}
+    score = lambda r: np.mean((curves.expected_histogram(15000.0, *(np.array(x) for x in (r.alpha, r.beta, r.n)), 10) - h) ** 2 / np.maximum(h, 1))
+    assert got["given"].n == 10000 and score(got["given"]) < 1.1 and got["given"].objective < 5.2 and got["free"].objective < got["given"].objective
+    assert got["many"].n * (1 + got["many"].alpha * got["many"].beta) >= 40000 * (1 - 1e-6) and got["many"].objective >= got["given"].objective
+    assert got["small"].objective == float("inf")
+
+
+def test_exp_poisson_fixture(spark):
+    i, r, n = F.lit(20000.0), F.lit(10000.0), F.lit(10000.0)
+    got = one(spark, a=curves.exp_poisson_reach(i, n, F.lit(3.0)), b=curves.exp_poisson_beta(i, n, F.lit(8000.0)), c=curves.exp_poisson_audience(i, r), d=curves.exp_poisson_reach(F.lit(50000.0), n, F.lit(3.0)), e=curves.exp_poisson_audience(r, r))
+    assert (got.a, got.b, got.c, got.d, got.e) == pytest.approx((8000, 3, 13333.33, 10000, 1e6), rel=1e-6)
+    with pytest.raises(ValueError):
+        curves.exp_poisson_audience(i, r, 0.9)
+    rows = spark.createDataFrame([("several", 19971.0, 7993.0, False), ("one", 19971.0, 7993.0, True)], "key string, impressions double, reach double, single boolean")
+    fit = {x.key: x for x in curves.with_exp_poisson_start(rows, single=F.col("single")).collect()}
+    assert (round(fit["several"].n), round(fit["several"].beta, 1)) == (8564, 1.8)
+    for x in (fit["one"], *curves.with_exp_poisson_start(rows, least=60000.0, single=F.col("single")).collect()):
+        assert x.n * (x.beta + 1) >= (19971 if x is fit["one"] else 60000) * (1 - 1e-9)
+    again = one(spark, x=curves.exp_poisson_reach(F.lit(19971.0), F.lit(fit["one"].n), F.lit(fit["one"].beta))).x
+    assert again == pytest.approx(7993)
+
+
+def test_stored_sketches_merge(spark, tmp_path):
+    prefix = spark.range(60000).select(F.when(F.col("id") < 50000, "d").otherwise("e").alias("dataset"), F.concat(F.lit("p"), F.col("id") % 3).alias("publisher"), (F.col("id") % 3).cast("int").alias("pub_idx"), F.pmod(F.xxhash64("id"), F.lit(20000)).alias("vid"))
+    for d in ("d", "e"):  # one after the other
+        sketches = sketch.stored_sketches(prefix.filter(F.col("dataset") == d), str(tmp_path / "s"))
+    subsets = sketches.select("dataset", "pub_idx").join(spark.range(1, 8).select(F.col("id").alias("mask")), F.col("mask").bitwiseAND(F.expr("shiftleft(1L, pub_idx)")) != 0)
+    got = {(r.dataset, r.mask): r.reach for r in sketch.approximate_unions(sketches, subsets).collect()}
+    exact = {(r.dataset, r.mask): r.n for r in prefix.join(subsets, ["dataset", "pub_idx"]).groupBy("dataset", "mask").agg(F.countDistinct("vid").alias("n")).collect()}
+    assert len(got) == 14 and all(abs(got[k] - exact[k]) <= 3 * sketch.stored_error() * exact[k] for k in exact)
+
+
 def test_mixture(spark):
     got = one(spark, g=curves.poisson_grid(F.array(*map(F.lit, (0.3, 0.0, 0.4, 0.2, 0.1))), 10), t=curves.truncated_poisson(F.lit(1.0), 3))
     assert got.g == pytest.approx([0, 1 / 3, 2 / 3, 2, 2.25, 2.5, 2.75, 3, 3.5, 4])
