@@ -9,32 +9,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachspark.functions.ranking import ranked
+from reachspark.functions.search import once
 from reachspark.operators.privacy import digest, normal, uniform
+from reachspark.sources.scratch import kept
 
 #: The greatest frequency that a heavy-tailed person gets.
 MOST = 10_000
 
 
-def poisson(mean: Column, *key: str, seed: str, most: int = 200) -> Column:
-    """A Poisson number by inversion: the first k whose cumulative probability passes a uniform number. For means up to 100."""
+#: The greatest mean of a Poisson number that is drawn at once; larger ones are sums of such numbers.
+MOST_MEAN = 100
+
+
+def poisson(mean: Column, *key: Column | str, seed: str, most: int = 200) -> Column:
+    """A Poisson number by inversion: the first k whose cumulative probability passes a uniform number. A mean over MOST_MEAN is an error."""
+    mean = F.when(mean > MOST_MEAN, F.raise_error(F.lit("this mean needs a sum of several numbers")).cast("double")).otherwise(mean)
     u = uniform(*key, seed=seed)
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.when(u <= F.exp(-mean), 0).alias("k"))
     step = lambda s, j: F.struct((s["p"] * mean / j).alias("p"), (s["c"] + s["p"] * mean / j).alias("c"), F.coalesce(s["k"], F.when(u <= s["c"] + s["p"] * mean / j, j)).alias("k"))
     return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["k"], F.lit(most))
 
 
-def gamma(shape: float, scale: float, *key: str, seed: str) -> Column:
+def poisson_sum(mean: Column, *key: Column | str, seed: str) -> Column:
+    """A Poisson number of any mean: a sum of as many as it takes, each numbered in its key."""
+    many = F.struct(mean.alias("mean"), F.floor(mean / MOST_MEAN).cast("int").alias("parts"))
+    return once(many, lambda m: F.aggregate(F.sequence(F.lit(0), m["parts"]), F.lit(0), lambda a, part: a + poisson(m["mean"] / (m["parts"] + 1), *key, part, seed=seed)))
+
+
+def gamma(shape: Column | float, scale: Column | float, *key: Column | str, seed: str) -> Column:
     """A gamma number by the cube of a normal one, the first of eight tries that is accepted (or the mean, one in 10^8)."""
-    low = shape < 1
-    d = (shape + 1 if low else shape) - 1 / 3
-    c = 1 / (9 * d) ** 0.5
+    shape, scale = (x if isinstance(x, Column) else F.lit(float(x)) for x in (shape, scale))
+    d = F.when(shape < 1, shape + 1).otherwise(shape) - F.lit(1 / 3)
+    c = 1 / F.sqrt(9 * d)
     tries = []
     for i in range(8):
         x = normal(*key, seed=f"{seed}-{i}")
         v = F.pow(1 + c * x, F.lit(3.0))
         tries.append(F.when((v > 0) & (F.log(uniform(*key, seed=f"{seed}-u{i}")) < 0.5 * x * x + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300)))), d * v))
-    boost = F.pow(uniform(*key, seed=f"{seed}-b"), F.lit(1 / shape)) if low else F.lit(1.0)
-    return F.coalesce(*tries, F.lit(d)) * boost * scale
+    boost = F.when(shape < 1, F.pow(uniform(*key, seed=f"{seed}-b"), 1 / shape)).otherwise(1.0)
+    return F.coalesce(*tries, d) * boost * scale
 
 
 def repeated(people: DataFrame, frequency: Column) -> DataFrame:
@@ -43,7 +56,8 @@ def repeated(people: DataFrame, frequency: Column) -> DataFrame:
 
 
 def homogeneous(people: DataFrame, rate: float, seed: str) -> DataFrame:
-    return repeated(people, 1 + poisson(F.lit(float(rate)), "vid", seed=seed))
+    rate_ = F.lit(float(rate))
+    return repeated(people, 1 + (poisson(rate_, "vid", seed=seed) if rate <= MOST_MEAN else poisson_sum(rate_, "vid", seed=seed)))
 
 
 def heterogeneous(people: DataFrame, shape: float, scale: float, seed: str) -> DataFrame:
@@ -55,17 +69,27 @@ def heterogeneous(people: DataFrame, shape: float, scale: float, seed: str) -> D
     return repeated(drawn, 1 + F.col("n")).drop("n")
 
 
+def zeta(exponent: Column, *key: Column | str, seed: str, most: int = MOST) -> Column:
+    """A number with P(f) in proportion to f^-exponent, by rejection from a Pareto law: the first of 32 tries accepted, else 1."""
+    right = F.when(exponent <= 1, F.raise_error(F.lit("the exponent must be over 1")).cast("double")).otherwise(exponent)
+
+    def drawn(exponent: Column) -> Column:
+        b = F.pow(F.lit(2.0), exponent - 1)
+        tries = []
+        for i in range(32):
+            x = F.floor(F.pow(uniform(*key, seed=f"{seed}-{i}"), -1 / (exponent - 1)))
+            t = F.pow(1 + 1 / x, exponent - 1)
+            tries.append(F.when((x <= most) & (uniform(*key, seed=f"{seed}-v{i}") * x * (t - 1) / (b - 1) <= t / b), x))
+        return F.coalesce(*tries, F.lit(1))
+
+    return once(right, drawn)
+
+
 def heavy_tailed(people: DataFrame, exponent: float, seed: str, most: int = MOST) -> DataFrame:
-    """Frequencies with P(f) in proportion to f^-exponent, by rejection from a Pareto law: the first of 32 tries accepted, else 1."""
+    """Frequencies with P(f) in proportion to f^-exponent."""
     if exponent <= 1:
         raise ValueError("the exponent must be over 1")
-    b = 2 ** (exponent - 1)
-    tries = []
-    for i in range(32):
-        x = F.floor(F.pow(uniform("vid", seed=f"{seed}-{i}"), F.lit(-1 / (exponent - 1))))
-        t = F.pow(1 + 1 / x, F.lit(exponent - 1))
-        tries.append(F.when((x <= most) & (uniform("vid", seed=f"{seed}-v{i}") * x * (t - 1) / (b - 1) <= t / b), x))
-    return repeated(people, F.coalesce(*tries, F.lit(1)))
+    return repeated(people, zeta(F.lit(float(exponent)), "vid", seed=seed, most=most))
 
 
 def shuffled(impressions: DataFrame, keys: list[str], seed: str) -> DataFrame:
@@ -152,3 +176,52 @@ def generate_design(sets: DataFrame, people: DataFrame, rate: float, cost: float
     each = publisher_sizes(sets).join(people, F.col("vid") < F.col("size")).select("dataset", "publisher", "vid")
     rows = repeated(each, 1 + poisson(F.lit(float(rate)), "dataset", "publisher", "vid", seed=seed))
     return price_fixed(shuffled(rows, ["dataset", "publisher"], seed), cost).select("dataset", "publisher", F.col("rank").alias("seq"), "vid", "spend")
+
+
+#: People that one row stands for until they are told apart.
+CHUNK = 10_000
+LAWS, OVERLAPS, ORDERS = ("homogeneous", "heterogeneous", "heavy_tailed"), ("full", "disjoint", "sequential", "independent"), ("original", "reversed", "random")
+
+
+def numbered(df: DataFrame, count: Column, name: str) -> DataFrame:
+    """df with a row for each number from 0 to count - 1, in chunks that are tasks' work one by one."""
+    parts = df.withColumn("x_n", count.cast("long")).filter("x_n > 0").withColumn("x_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("x_n") - 1) / CHUNK))))
+    spread = parts.repartition("dataset", "publisher", "x_part")
+    return spread.withColumn(name, F.explode(F.sequence(F.col("x_part") * CHUNK, F.least((F.col("x_part") + 1) * CHUNK, F.col("x_n")) - 1))).drop("x_n", "x_part")
+
+
+def audiences(sets: DataFrame, seed: str) -> DataFrame:
+    """sets (a row for each data set) with publisher, place (0, 1, .. for its people) and vid, by each row's own kind of overlap.
+
+    full: place is the person. disjoint: behind the people of the publishers before. sequential: a publisher's first `share` of people are the
+    last ones of the publisher before it, as many as that has, in the order original, reversed or random. So these three are an offset
+    for each publisher, whatever their number. independent: the people of the least hashes of a universe, drawn for each publisher."""
+    sizes = publisher_sizes(sets).join(sets, "dataset")  # a row for each publisher
+    sign = F.when(F.col("order") == "reversed", -F.col("publisher")).otherwise(F.col("publisher"))
+    along = Window.partitionBy("dataset").orderBy(F.when(F.col("order") == "random", digest("dataset", "publisher", seed=f"{seed}-order")).otherwise(""), sign)
+    sizes = sizes.withColumn("x_before", F.coalesce(F.lag("size").over(along), F.lit(0)))
+    common = F.least(F.bround(F.col("share") * F.col("size")).cast("long"), F.col("x_before"))
+    step = F.when(F.col("overlap") == "full", 0).when(F.col("overlap") == "disjoint", F.col("x_before")).otherwise(F.col("x_before") - F.coalesce(common, F.lit(0)))
+    sizes = kept(sizes.withColumn("x_offset", F.sum(step).over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("x_before"), "sizes")
+    moved = numbered(sizes.filter("overlap <> 'independent'"), F.col("size"), "place").withColumn("vid", F.col("place") + F.col("x_offset"))
+    drawn = numbered(sizes.filter("overlap = 'independent'"), F.col("universe"), "vid").withColumn("x_h", digest("dataset", "publisher", "vid", seed=f"{seed}-draw"))
+    drawn = ranked(drawn, ["dataset", "publisher"], F.substring("x_h", 1, 5), ["x_h", "vid"], "x_r").filter(F.col("x_r") <= F.col("size")).withColumn("place", F.col("x_r") - 1)
+    return moved.drop("x_offset").unionByName(drawn.drop("x_offset", "x_h", "x_r"))
+
+
+def generate_designs(sets: DataFrame, seed: str) -> DataFrame:
+    """Logs (dataset, publisher, seq, vid, spend) of all data sets in one job. Each row of sets says how its data set is made: dataset, publishers,
+    largest, ratio (sizes of publishers), law with a and b (homogeneous: rate; heterogeneous: shape and scale; heavy_tailed: exponent), cost of
+    an impression, overlap with share and order (sequential) or universe (independent). Names that don't exist are errors."""
+    named = {"law": LAWS, "overlap": OVERLAPS, "order": ORDERS}
+    wrong = [F.when(~F.coalesce(F.col(c), F.lit("original" if c == "order" else "")).isin(*known), F.concat(F.lit(f"no {c} "), F.coalesce(F.col(c), F.lit("null")))) for c, known in named.items()]
+    if bad := sets.select(F.coalesce(*wrong).alias("bad")).filter("bad is not null").head():
+        raise ValueError(bad.bad)
+    people = audiences(sets.withColumn("order", F.coalesce("order", F.lit("original"))), seed)
+    key = ("dataset", "publisher", "place")
+    rates = once(F.struct("a", "b"), lambda p: gamma(p["a"], p["b"], *key, seed=f"{seed}-g"))
+    rate = F.when(F.col("law") == "homogeneous", F.col("a")).otherwise(rates)
+    frequency = F.when(F.col("law") == "heavy_tailed", zeta(F.col("a"), *key, seed=f"{seed}-z")).otherwise(1 + poisson_sum(rate, *key, seed=f"{seed}-p"))
+    shown = repeated(people.select("dataset", "publisher", "place", "vid", "law", "a", "b", "cost"), frequency).drop("law", "a", "b")
+    rows = shuffled(shown, ["dataset", "publisher"], f"{seed}-s")
+    return rows.select("dataset", "publisher", F.col("rank").alias("seq"), "vid", (F.col("rank") * F.col("cost")).alias("spend"))

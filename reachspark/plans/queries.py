@@ -122,6 +122,14 @@ def write_dataset(spark, sf_dir):
     return logs.read_design(spark, path, ["orders"]).select("publisher", "pub_idx", "seq", "vid", "spend")
 
 
+@query("read_prefix", "SELECT publisher, pub_idx, seq, vid, spend FROM pre")
+def read_prefix(spark, sf_dir):
+    path = scratch(spark, "design")
+    logs.write_dataset(logs.log_from_orders(spark, sf_dir), path)
+    logs.index_design(spark, path)
+    return logs.read_prefix(spark, path, order_limits(spark, sf_dir)).select("publisher", "pub_idx", "seq", "vid", "spend")
+
+
 @query("add_dataset", "SELECT dataset, count(*) AS impressions, count(DISTINCT publisher) AS publishers FROM log GROUP BY ALL UNION ALL SELECT 'events', count(*), count(DISTINCT event_type) FROM events")
 def add_dataset(spark, sf_dir):
     path = scratch(spark, "design")
@@ -1170,6 +1178,27 @@ def gen_design(spark, sf_dir):
     return synthetic.generate_design(c.withColumns({"publishers": F.lit(3), "ratio": F.lit(0.2)}), customers(spark, sf_dir), 1.0, 0.05, "g").withColumn("spend", F.round("spend", 6))
 
 
+MIXED = f"""WITH RECURSIVE cs AS (SELECT c_mktsegment AS dataset, count(*) AS n FROM customer GROUP BY ALL), s(dataset, publisher, size, n) AS (SELECT dataset, 1, n, n FROM cs UNION ALL SELECT dataset, publisher + 1, CAST(floor(size * pow(0.2::DOUBLE, 1.0 / 2)) AS BIGINT), n FROM s WHERE publisher < 3), {poisson_sql("law", 1.0)},
+b AS (SELECT *, coalesce(lag(size) OVER (PARTITION BY dataset ORDER BY CASE WHEN dataset = 'HOUSEHOLD' THEN -publisher ELSE publisher END), 0) AS before FROM s),
+o AS (SELECT *, sum(CASE dataset WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN before ELSE before - least(CAST(round_even(0.4::DOUBLE * size, 0) AS BIGINT), before) END) OVER (PARTITION BY dataset ORDER BY CASE WHEN dataset = 'HOUSEHOLD' THEN -publisher ELSE publisher END) AS offs FROM b),
+pe AS (SELECT dataset, publisher, r.range AS place, CAST(r.range + offs AS BIGINT) AS vid FROM o, range(0, 100000) r WHERE r.range < size AND dataset <> 'MACHINERY' UNION ALL
+SELECT dataset, publisher, r - 1, vid FROM (SELECT dataset, publisher, size, u.range AS vid, row_number() OVER (PARTITION BY dataset, publisher ORDER BY md5(concat_ws('/', dataset, publisher, u.range, 'm-draw')), u.range) AS r FROM s, range(0, 100000) u WHERE dataset = 'MACHINERY' AND u.range < 2 * n) WHERE r <= size),
+x AS (SELECT dataset, publisher, place, i.range AS i, floor(pow({uniform_sql("dataset, publisher, place", "'m-z-' || i.range")}, -1 / (2.5::DOUBLE - 1))) AS x, {uniform_sql("dataset, publisher, place", "'m-z-v' || i.range")} AS w FROM pe, range(0, 32) i WHERE dataset = 'FURNITURE'),
+z AS (SELECT dataset, publisher, place, arg_min(x, i) AS f FROM (SELECT *, pow(1 + 1 / x, 1.5) AS t FROM x) WHERE x <= 10000 AND w * x * (t - 1) / (pow(2::DOUBLE, 1.5) - 1) <= t / pow(2::DOUBLE, 1.5) GROUP BY ALL),
+n AS (SELECT pe.*, CASE WHEN dataset = 'FURNITURE' THEN coalesce(z.f, 1) ELSE 1 + coalesce((SELECT min(j) FROM law WHERE u <= c), 200) END AS f FROM (SELECT *, {uniform_sql("dataset, publisher, place, 0", "'m-p'")} AS u FROM pe) pe LEFT JOIN z USING (dataset, publisher, place)),
+g AS (SELECT dataset, publisher, vid, row_number() OVER (PARTITION BY dataset, publisher ORDER BY md5(concat_ws('/', vid, i.range, 'm-s')), vid, i.range) AS seq FROM n, range(1, 10001) i WHERE i.range <= f) SELECT dataset, publisher, seq, vid, round(seq * CASE WHEN dataset = 'BUILDING' THEN 0.5::DOUBLE ELSE 0.05::DOUBLE END, 6) AS spend FROM g"""
+
+
+@query("gen_design_of_mixed_rows", MIXED, log=False)
+def gen_design_of_mixed_rows(spark, sf_dir):
+    """A data set for each market segment, each with its own kind of overlap, frequencies and price."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_mktsegment").alias("dataset")).agg(F.count("*").alias("largest"))
+    kind = lambda **of: F.coalesce(*(F.when(F.col("dataset") == k, F.lit(v)) for k, v in of.items() if k != "rest"), F.lit(of.get("rest")))
+    sets = c.withColumns({"publishers": F.lit(3), "ratio": F.lit(0.2), "law": kind(FURNITURE="heavy_tailed", rest="homogeneous"), "a": kind(FURNITURE=2.5, rest=1.0), "b": F.lit(None).cast("double"), "cost": kind(BUILDING=0.5, rest=0.05),
+        "overlap": kind(AUTOMOBILE="full", BUILDING="disjoint", MACHINERY="independent", rest="sequential"), "share": F.lit(0.4), "order": kind(HOUSEHOLD="reversed", rest="original"), "universe": 2 * F.col("largest")})
+    return synthetic.generate_designs(sets, "m").withColumn("spend", F.round("spend", 6))
+
+
 @query("histogram_arrays", "SELECT dataset, list(reach::DOUBLE ORDER BY k) AS kplus FROM kp GROUP BY ALL")
 def histogram_arrays(spark, sf_dir):
     lists = frequency_histogram(spark, sf_dir).groupBy("dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "users"))), lambda x: x["users"].cast("double")).alias("h"))

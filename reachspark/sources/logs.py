@@ -5,6 +5,8 @@ A log has the columns dataset, publisher, pub_idx (0-based, by name), seq (order
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,32 @@ def write_dataset(log: DataFrame, path: str) -> None:
     log.repartitionByRange("dataset", "publisher", "spend", "seq").sortWithinPartitions("dataset", "publisher", "spend", "seq").write.mode("append").partitionBy("dataset", "publisher").parquet(path)
 
 
+#: Where a design keeps the ranges of its files; readers of the design pass over it.
+RANGES = "_ranges"
+
+
+def index_design(spark: SparkSession, path: str) -> None:
+    """Writes the range of spends that each of a design's files holds (dataset, publisher, file, low, high) beside it; only spends are read."""
+    ranges = spark.read.parquet(path).groupBy("dataset", "publisher", F.col("_metadata.file_path").alias("file")).agg(F.min("spend").alias("low"), F.max("spend").alias("high"))
+    kept(ranges, "ranges").coalesce(1).write.mode("overwrite").parquet(f"{path}/{RANGES}")  # a row for each file
+
+
+def read_prefix(spark: SparkSession, path: str, limits: DataFrame) -> DataFrame:
+    """What spend limits (dataset, publisher, spend_limit) buy in an indexed design. Files whose spends all lie beyond their publisher's limit aren't
+    opened, and within the others the greatest limit is a literal that the scan skips row groups by. A design that has changed since
+    index_design() must be indexed again."""
+    limits = kept(limits.select("dataset", "publisher", "spend_limit"), "limits")
+    names = {c: t for c, t in spark.read.parquet(path).dtypes}
+    ranges = spark.read.parquet(f"{path}/{RANGES}")
+    wanted = ranges.join(limits, ["dataset", "publisher"]).filter(F.col("low") <= F.col("spend_limit")).select("file", "spend_limit").collect()  # files, as the reader lists them anyway
+    every = spark.read.parquet(path)
+    if not wanted:
+        return every.limit(0)
+    top = max(r.spend_limit for r in wanted)
+    df = spark.read.option("basePath", path).schema(every.schema).parquet(*sorted({unquote(r.file) for r in wanted})).filter(F.col("spend") <= F.lit(top))
+    return beside(df, limits, ["dataset", "publisher"]).filter("spend <= spend_limit").select(*names)
+
+
 def write_files(log: DataFrame, path: str) -> None:
     """A headerless file of vid,spend for each publisher, named by it, as read_dataset takes them. One task writes each file."""
     log.select("publisher", F.concat_ws(",", "vid", "spend").alias("line"), "spend").repartition("publisher").sortWithinPartitions("publisher", "spend").select("publisher", "line").write.partitionBy("publisher").text(path)

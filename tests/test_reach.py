@@ -169,3 +169,24 @@ def test_a_query_writes_its_log_once(spark, sf, monkeypatch):
         written.clear()
         queries.QUERIES[name](spark, sf)
         assert written.count("log") == most, name
+
+
+def test_a_prefix_opens_few_files(spark, sf, tmp_path):
+    log, design = logs.log_from_orders(spark, sf), str(tmp_path / "design")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        logs.write_dataset(log.repartition(4), design)
+        for i in range(3):  # more files for each publisher
+            logs.write_dataset(log.withColumns({"dataset": F.lit("orders"), "spend": F.col("spend") + 1000.0 * (i + 1)}), design)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    logs.index_design(spark, design)
+    whole = logs.read_design(spark, design)
+    spent = reach.campaign_spend(log, [0.1])
+    got = logs.read_prefix(spark, design, spent)
+    assert got.columns == whole.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, reach.within(whole, spent).select(*got.columns).collect()))
+    assert len(got.inputFiles()) <= len(whole.inputFiles()) / 3
+    assert "LessThanOrEqual(spend," in got._jdf.queryExecution().executedPlan().toString()
+    assert logs.read_prefix(spark, design, spent.withColumn("spend_limit", F.lit(-1.0))).count() == 0
+    assert logs.read_design(spark, design).count() == 4 * log.count()  # the index is no data

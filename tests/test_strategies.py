@@ -196,6 +196,40 @@ def test_rates_are_not_cut(spark):
     people = spark.range(400).select(F.col("id").alias("vid"))
     mean = synthetic.heterogeneous(people, 2.0, 150.0, "x").count() / 400
     assert mean == pytest.approx(301, rel=0.1)
+    f = synthetic.homogeneous(people, 300.0, "x").groupBy("vid").count().agg(F.avg("count"), F.var_pop("count")).first()
+    assert f[0] == pytest.approx(301, rel=0.01) and f[1] == pytest.approx(300, rel=0.3)
+    with pytest.raises(Exception, match="several numbers"):
+        people.select(synthetic.poisson(F.lit(101.0), "vid", seed="x")).collect()
+
+
+def test_designs_of_mixed_rows(spark):
+    """As many data sets as rows, each by its own law, price and overlap."""
+    rows = [(f"{law}-{overlap}-{order}", 3, 400, 0.25, law, a, b, cost, overlap, 0.5, order, 1000) for law, a, b, cost in (("homogeneous", 250.0, None, 0.1), ("heterogeneous", 0.5, 2.0, 0.2), ("heavy_tailed", 2.5, None, 0.3)) for overlap, order in (("full", None), ("disjoint", None), ("sequential", "original"), ("sequential", "reversed"), ("sequential", "random"), ("independent", None))]
+    schema = "dataset string, publishers int, largest int, ratio double, law string, a double, b double, cost double, overlap string, share double, order string, universe int"
+    got = {}
+    for r in synthetic.generate_designs(spark.createDataFrame(rows, schema), "t").collect():
+        got.setdefault(r.dataset, {}).setdefault(r.publisher, []).append((r.seq, r.vid, r.spend))
+    assert sorted(got) == sorted(r[0] for r in rows)
+    for name, *_, law, _, _, cost, overlap, _, order, _ in rows:
+        seen = {p: {v for _, v, _ in x} for p, x in got[name].items()}
+        assert {p: len(v) for p, v in seen.items()} == {1: 400, 2: 200, 3: 100}
+        for x in got[name].values():
+            assert sorted(s for s, *_ in x) == list(range(1, len(x) + 1)) and all(spend == pytest.approx(s * cost) for s, _, spend in x)
+        mean = np.mean([len(x) / len(seen[p]) for p, x in got[name].items()])
+        assert mean == pytest.approx({"homogeneous": 251, "heterogeneous": 2, "heavy_tailed": 1.95}[law], rel=0.03 if law == "homogeneous" else 0.4)
+        both = {(p, q): len(seen[p] & seen[q]) for p, q in ((1, 2), (2, 3), (1, 3))}
+        if overlap == "full":
+            assert both == {(1, 2): 200, (2, 3): 100, (1, 3): 100}
+        elif overlap == "disjoint":
+            assert set(both.values()) == {0}
+        elif overlap == "independent":
+            assert both[1, 2] == pytest.approx(80, abs=25) and both[1, 3] == pytest.approx(40, abs=20) and max(v for x in seen.values() for v in x) < 1000
+        elif order == "original":
+            assert (both[1, 2], both[2, 3]) == (100, 50)
+        elif order == "reversed":
+            assert (both[2, 3], both[1, 2]) == (100, 200)
+    with pytest.raises(ValueError, match="no overlap none such"):
+        synthetic.generate_designs(spark.createDataFrame([("x", 1, 10, 1.0, "homogeneous", 1.0, None, 1.0, "none such", 0.5, None, 10)], schema), "t")
 
 
 def test_uniform_numbers_are_digests(spark):
