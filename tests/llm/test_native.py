@@ -19,7 +19,8 @@ def tuples(df, *columns):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql_gives_the_same(spark, sf, name):
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        c.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
     sql = c.sql(registry.SQL[name])
     got = registry.QUERIES[name](spark, sf)
     assert sorted(sql.columns) == sorted(got.columns)
