@@ -4,11 +4,12 @@ A profile is the list of the most frequent character n-grams (one to three chara
 padded with a blank, anything but letters cut away). A document gets the language whose profile is nearest to its own
 by out-of-place distance: for each of its n-grams the difference in rank, or the greatest difference where the
 profile lacks it. Profiles are learnt from labelled documents: at most about `per_language` of them for each language,
-drawn by a hash of doc_id; counts of their n-grams are summed by Spark.
+drawn by a hash of doc_id and text; counts of their n-grams are summed by Spark. The row of a language's least hash is always drawn, so every
+labelled language has a profile.
 
 Defined cases: a null text, or one without a letter, gives `und` and score 0. A tie goes to the language first in code
 point order. With no labelled document every text gives `und`. Repeated rows are each predicted alike; extra columns
-stay. A row without doc_id isn't held out. Score is 1 - distance / greatest possible distance.
+stay. Rows may share a doc_id or have none; copies of one id and text are drawn together or not at all. A row without doc_id isn't held out. Score is 1 - distance / greatest possible distance.
 """
 
 from __future__ import annotations
@@ -84,10 +85,11 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 def profiles(labelled: DataFrame, size: int = PROFILE, per_language: int = PER_LANGUAGE) -> dict[str, list[int]]:
     """Language -> its n-grams by rank, from rows with doc_id, text, lang. One short list for each language comes back."""
     labelled = labelled.filter("lang is not null and text is not null")
-    n = stored(labelled.groupBy(F.col("lang").alias("p_lang")).agg(F.count("*").alias("p_n")), "languages")
+    share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    n = stored(labelled.groupBy(F.col("lang").alias("p_lang")).agg(F.count("*").alias("p_n"), F.min(share).alias("p_least")), "languages")
     n = n.hint("broadcast" if n.count() <= BROADCAST_LANGUAGES else "merge")
-    share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.join(n, F.col("lang") == F.col("p_lang")).filter(share < per_language / F.col("p_n")).select("lang", "text")
+    drawn = share < F.greatest(per_language / F.col("p_n"), F.col("p_least") + F.lit(2.0**-30))
+    sample = labelled.join(n, F.col("lang") == F.col("p_lang")).filter(drawn).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from reachspark.llm import language_id as L
 
@@ -71,3 +72,14 @@ def test_query_matches_brute_force(spark, sf):
         far = {lang: sum(abs(ranks[g] - i) if g in ranks else L.PROFILE for i, g in enumerate(mine)) for lang, ranks in lists.items()}
         best = min(sorted(far), key=far.get) if mine else "und"
         assert (r.lang_pred, round(r.score, 9)) == (best, round(1 - far[best] / (L.PROFILE * len(mine)), 9) if mine else 0.0)
+
+
+def test_every_language_has_a_profile_whatever_the_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("lang is not null and text is not null")
+    langs = {r.lang for r in docs.select("lang").distinct().collect()}
+    for doc_id in (F.lit(None).cast("long"), F.lit(7)):
+        for most in (20, 1):
+            lists = L.profiles(docs.withColumn("doc_id", doc_id), per_language=most)
+            assert set(lists) == langs
+    copies = spark.createDataFrame([(None, "one and the same", "en")] * 50 + [(None, "der eine", "de")], "doc_id long, text string, lang string")
+    assert set(L.profiles(copies, per_language=1)) == {"en", "de"}
