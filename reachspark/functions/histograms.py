@@ -14,8 +14,3 @@ def suffix_sums(h: Column) -> Column:
 def differences(kplus: Column) -> Column:
     """Exact-frequency values from k+ values; the last bucket stays."""
     return F.transform(kplus, lambda x, i: x - F.coalesce(F.get(kplus, i + 1), F.lit(0.0)))
-
-
-def rows(values: Column, key: str, value: str) -> list[Column]:
-    """Select items that turn an array into rows (1-based position, value)."""
-    return [F.posexplode(values).alias(f"{key}_0", value)]

@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from reachspark.operators import overlap, points, reach, sketch
 from reachspark.plans import queries
 from reachspark.sources import logs
-from reachspark.sources.scratch import kept
+from reachspark.sources.scratch import job, kept
 
 PDF = [("pdf1", 0, [(1, 0.01), (2, 0.02), (1, 0.04), (3, 0.05)]), ("pdf2", 1, [(2, 0.03), (4, 0.06)])]
 THIRD = [("pdf3", 2, [(2, 0.01), (3, 0.03), (4, 0.05)])]
@@ -190,3 +191,17 @@ def test_a_prefix_opens_few_files(spark, sf, tmp_path):
     assert "LessThanOrEqual(spend," in got._jdf.queryExecution().executedPlan().toString()
     assert logs.read_prefix(spark, design, spent.withColumn("spend_limit", F.lit(-1.0))).count() == 0
     assert logs.read_design(spark, design).count() == 4 * log.count()  # the index is no data
+
+
+def test_a_job_deletes_what_it_kept(spark, tmp_path):
+    outside = kept(spark.range(3), "outside")
+    with job(spark):
+        inside = kept(spark.range(5), "inside")
+        inside.write.parquet(str(tmp_path / "result"))
+        files = inside.inputFiles()
+    with pytest.raises(ZeroDivisionError), job(spark):
+        failed = kept(spark.range(7), "failed").inputFiles()
+        raise ZeroDivisionError
+    gone = [p.removeprefix("file://") for p in files + failed]
+    assert gone and not any(os.path.exists(p) for p in gone)
+    assert outside.count() == 3 and spark.read.parquet(str(tmp_path / "result")).count() == 5
