@@ -31,6 +31,8 @@ REMEMBERED = 400_000
 FREQUENT = 200_000
 #: Rounds of cutting and counting when scores are fitted, and what is added to each piece's count.
 ROUNDS, LEAST_COUNT = 2, 0.1
+#: Characters of stretches of text whose counts are remembered; longer ones are cut each time.
+SHORT = 40
 #: Documents whose pre-tokens are put in one trie.
 STRETCH = 1000
 
@@ -96,20 +98,65 @@ def zipf(ranks: dict[bytes, int]) -> dict[bytes, float]:
     return {piece: -math.log(r + 1) - total for piece, r in ranks.items()}
 
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
+class Cutter:
+    """Cuts texts into stretches and stretches into pre-tokens.
+
+    Where a blank follows something that isn't white space a pre-token begins, whatever stands before: true of patterns that don't look
+    behind and take white space only at the start of a match, or line ends after other marks. So texts are cut there, and equal stretches, mostly
+    a blank and a word, are matched once. With `blanks` false, for other patterns, a text is one stretch."""
+
+    def __init__(self, pattern: str, blanks: bool = True):
+        import regex
+
+        self.cut, self.blanks = regex.compile(pattern).findall, blanks
+        self.irregular, self.split = regex.compile(r"\s ").search, regex.compile(r"(?<=\S) ").split
+
+    def stretches(self, text: str | None) -> list:
+        """The stretches of a text: the first as a tuple of itself, the others without their blank."""
+        if not text:
+            return []
+        if not self.blanks:
+            return [(text,)]
+        out = self.split(text) if self.irregular(text) else text.split(" ")
+        out[0] = (out[0],)
+        return out
+
+    def pretokens(self, stretch: str | tuple) -> list[str]:
+        return self.cut(stretch[0] if isinstance(stretch, tuple) else " " + stretch)
+
+
+def short(stretch: str | tuple) -> bool:
+    """Whether a stretch is worth remembering, and small enough."""
+    return len(stretch if isinstance(stretch, str) else stretch[0]) <= SHORT
+
+
+def word_counts(docs: DataFrame, pattern: str, blanks: bool = True) -> DataFrame:
     """(word, n): the distinct pre-tokens of all documents, as bytes. Tasks add up some hundred thousand at a time before they hand on."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
+        cutter, seen, stretches = Cutter(pattern, blanks), Counter(), Counter()
+
+        def settle() -> None:
+            for x, n in stretches.items():
+                for w in cutter.pretokens(x):
+                    seen[w] += n
+            stretches.clear()
 
-        cut, seen = regex.compile(pattern).findall, Counter()
         for b in batches:
             for t in b["text"]:
-                if t:
-                    seen.update(cut(t))
+                found = cutter.stretches(t)
+                if len(t or "") > SHORT * len(found):  # some are long
+                    for x in found:
+                        if not short(x):
+                            seen.update(cutter.pretokens(x))
+                    found = filter(short, found)
+                stretches.update(found)
+                if len(stretches) > REMEMBERED:
+                    settle()
                 if len(seen) > REMEMBERED:
                     yield frame(seen)
                     seen.clear()
+        settle()
         yield frame(seen)
 
     def frame(seen: Counter) -> pd.DataFrame:
@@ -160,25 +207,33 @@ def fitted(words: DataFrame, ranks: dict[bytes, int], rounds: int = ROUNDS) -> d
     return scores
 
 
-def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str, remembered: int = REMEMBERED, often: dict[str, int] | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, scores: dict[bytes, float], pattern: str, remembered: int = REMEMBERED, often: dict[str, int] | None = None, blanks: bool = True) -> DataFrame:
     """docs with n_pretokens and n_tokens. `often` has the counts of pre-tokens that are known already."""
     known_often = docs.sparkSession.sparkContext.broadcast(often or {})
     held = docs.sparkSession.sparkContext.broadcast(Unigram(scores))  # as large as the vocabulary
 
     @F.pandas_udf("n_pretokens long, n_tokens long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import regex
-
-        cut, model, known = regex.compile(pattern).findall, held.value, dict(known_often.value)
+        cutter, model, known = Cutter(pattern, blanks), held.value, dict(known_often.value)
+        counts: dict[str | tuple, tuple[int, int]] = {}  # of stretches: pre-tokens and tokens
         for texts in batches:
             rows = []
             for i in range(0, len(texts), STRETCH):
-                stretch = [cut(t) if t else [] for t in texts.iloc[i : i + STRETCH]]
+                found = [cutter.stretches(t) for t in texts.iloc[i : i + STRETCH]]
                 if len(known) > remembered + len(known_often.value):
                     known = dict(known_often.value)
-                fresh = sorted((w.encode("utf-8", "surrogatepass"), w) for w in {w for x in stretch for w in x if w not in known})
+                if len(counts) > remembered:
+                    counts.clear()
+                words = {x: cutter.pretokens(x) for x in {x for f in found for x in f if x not in counts}}
+                fresh = sorted((w.encode("utf-8", "surrogatepass"), w) for w in {w for x in words.values() for w in x if w not in known})
                 known.update(zip((w for _, w in fresh), model.counts(b for b, _ in fresh), strict=True))
-                rows += [(len(x), sum(map(known.__getitem__, x))) for x in stretch]
+                counts.update((x, (len(w), sum(map(known.__getitem__, w)))) for x, w in words.items())
+                for f in found:
+                    both = [counts[x] for x in f]
+                    rows.append((sum(n for n, _ in both), sum(n for _, n in both)))
+                for x in words:
+                    if not short(x):
+                        del counts[x]
             yield pd.DataFrame(rows, columns=["n_pretokens", "n_tokens"])
 
     df = put(docs, t_found=count(F.col("text")))

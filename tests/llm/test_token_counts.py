@@ -1,5 +1,6 @@
 import functools
 import math
+import random
 from collections import Counter
 
 import public_tokenizers as P
@@ -95,3 +96,26 @@ def test_query_matches_brute_force(spark, sf):
     for r in T.query(spark, sf).collect():
         words = regex.findall(P.PATTERN, docs[r.doc_id] or "")
         assert (r.n_pretokens, r.n_tokens) == (len(words), sum(map(known, words)))
+
+
+def test_stretches_give_the_same_pretokens():
+    rng = random.Random(5)
+    signs = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "\x1c", "\x85", "a", "bc", "'s", "'", "7", "é", "日本", "!", "?!", "😀", "\u0301", "\ud800"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(4000)] + [None, " ", "  ", " a", "a ", "a  ", "x" * 100 + " y"]
+    for blanks in (True, False):
+        c = T.Cutter(P.PATTERN, blanks)
+        for t in texts:
+            assert [w for x in c.stretches(t) for w in c.pretokens(x)] == regex.findall(P.PATTERN, t or "")
+
+
+def test_long_stretches_and_other_patterns(spark):
+    pattern = r"\s+|[a-z ]+|[^a-z\s]+"  # matches run across blanks
+    rows = [(i, t) for i, t in enumerate(["the then " * 3, "ab" * T.SHORT + " the", None, "", "the  ab\n the", "x" * (T.SHORT + 1)] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for regexp, blanks in ((pattern, False), (P.PATTERN, True), (P.PATTERN, False)):
+        want = Counter(w for _, t in rows for w in regex.findall(regexp, t or ""))
+        assert {bytes(r.word).decode(): r.n for r in T.word_counts(df, regexp, blanks).collect()} == want
+        got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in T.count_tokens(df, SCORES, regexp, remembered=1, blanks=blanks).collect()}
+        for i, t in rows:
+            words = regex.findall(regexp, t or "")
+            assert got[i] == (len(words), sum(brute(w.encode(), SCORES) for w in words))
