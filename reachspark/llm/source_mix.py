@@ -5,8 +5,9 @@ along that order (sums of key ranges first, then inside each range, so a hot sou
 is cut where its budget is spent. A budget of more than the source repeats it: whole epochs, then a cut.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times. A null source is a source of its own, last in
-the order. Rows of equal doc_id and size share a key; where the cut falls among such rows each takes an equal
-part, rounded down, of what is left. An empty table gives an empty result. Result columns replace input columns
+the order. Rows of equal doc_id and text share a key, others don't, though doc_ids are equal or null; where the cut
+falls among such copies each takes an equal part, rounded down, of what is left, so the source takes less than its target by fewer words
+than there are copies. An empty table gives an empty result. Result columns replace input columns
 of the same name. Reruns agree, whatever the partitions.
 """
 
@@ -29,7 +30,7 @@ BROADCAST_SOURCES = 20_000
 def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """docs with m_size and m_key, the random order within a source."""
     df = docs.withColumn("m_size", F.size(words_of(whole())).cast("long"))  # docs has no columns m_ of its own
-    return df.withColumn("m_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("m_size").cast("string"))))
+    return df.withColumn("m_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.md5(whole()))))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -91,8 +92,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
-k AS (SELECT *, md5(concat_ws(':', 'mix-1', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))) AS key FROM d),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS hash FROM documents),
+k AS (SELECT *, md5(concat_ws(':', 'mix-1', CAST(doc_id AS VARCHAR), hash)) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3.0::DOUBLE * source_size AS most FROM s),
 r AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,

@@ -88,6 +88,17 @@ def test_mix_budgets(spark):
     assert {r.taken for r in source_mix.mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).collect()} == {0}
 
 
+def test_mix_meets_its_targets_without_ids(spark):
+    """Rows that share a doc_id, or have none, and a size are cut apart by their texts."""
+    for doc_id in (None, 7):
+        rows = [(doc_id, f"a b c d {s}{i}", s) for s, n in (("a", 40), ("b", 3), ("c", 60)) for i in range(n)]
+        out = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        taken, target = defaultdict(int), {r.source: r.target for r in out}
+        for r in out:
+            taken[r.source] += r.taken
+        assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
 def test_lines(spark):
     rows = [(i, f"head\nown {i}\n foot \n", "a", 0) for i in range(20)] + [(i, f"own {i}\nfoot" if i % 2 else None, None, 0) for i in range(20, 40)] + [(50, "head", "b", 0), (50, "head", "b", 0), (60, "", "a", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int")
