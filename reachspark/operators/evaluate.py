@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reachspark.operators import sketch
 from reachspark.operators.reach import K
 
 QUANTILES = [k / 10 for k in range(1, 10)]
@@ -91,6 +92,14 @@ def privacy_columns(trials: DataFrame, ledgers: DataFrame) -> DataFrame:
 
 
 def trial_columns(trials: DataFrame, stats: DataFrame) -> DataFrame:
-    """Trials with the size of their data set and the mean of their spend fractions."""
-    average = F.aggregate("fractions", F.lit(0.0), lambda a, x: a + x) / F.size("fractions")
-    return trials.join(stats, "dataset").withColumn("average_spend_fraction", average)
+    """The independent variables of each trial: what was chosen for it, and the size of what it was tried on.
+
+    trials: dataset, trial, strategy, curve, surface, fractions (of the publishers' spend), and sketch_size, decay_rate, replica_id and
+    max_frequency where they aren't the usual ones; stats: dataset_stats. Names of models become single_pub_model and multi_pub_model. A
+    trial of a data set that isn't there has null sizes; no fractions give a null mean. What else trials have stays."""
+    usual = {"replica_id": (0, "long"), "sketch_size": (sketch.SIZE, "long"), "decay_rate": (sketch.DECAY, "double"), "max_frequency": (K, "long")}
+    chosen = {k: F.coalesce(*([F.col(k).cast(t)] if k in trials.columns else []), F.lit(v).cast(t)) for k, (v, t) in usual.items()}
+    average = F.when(F.size("fractions") > 0, F.aggregate("fractions", F.lit(0.0), lambda a, x: a + x) / F.size("fractions"))
+    sizes = stats.select("dataset", "reach", "universe", F.col("publishers").alias("campaigns"), F.col("max_publisher_reach").alias("largest_pub_reach"))
+    named = trials.withColumnsRenamed({"curve": "single_pub_model", "surface": "multi_pub_model"}).withColumns(chosen | {"average_spend_fraction": average})
+    return named.drop("reach", "universe", "campaigns", "largest_pub_reach").join(sizes, "dataset", "left")

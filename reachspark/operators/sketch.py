@@ -1,7 +1,8 @@
 """Mergeable sketches of audiences, and reach from them.
 
 A sketch is a row for each register in use: register, low and high (least and greatest person there), freq (impressions).
-Registers are drawn from a truncated exponential law, so small audiences fill few and large ones don't saturate."""
+Registers are drawn from a truncated exponential law, so small audiences fill few and large ones don't saturate. Size and decay of
+the law are numbers, or columns where sketches of several laws are in one table."""
 
 from __future__ import annotations
 
@@ -15,13 +16,18 @@ from reachspark.operators import privacy
 SIZE, DECAY = 100_000, 12.0
 
 
-def register(seed: str, size: int = SIZE, decay: float = DECAY) -> Column:
-    u = privacy.uniform("vid", seed=seed)
-    return F.least(F.floor(-F.log(1 - u * F.lit(1 - math.exp(-decay))) * F.lit(size / decay)), F.lit(size - 1)).cast("long")
+def exp(x: float | Column) -> float | Column:
+    return F.exp(x) if isinstance(x, Column) else math.exp(x)
 
 
-def build(prefix: DataFrame, seed: str, keys: tuple[str, ...] = (), size: int = SIZE, decay: float = DECAY) -> DataFrame:
-    return prefix.groupBy(*keys, register(seed, size, decay).alias("register")).agg(F.min("vid").alias("low"), F.max("vid").alias("high"), F.count("*").alias("freq"))
+def register(seed: str, size: int | Column = SIZE, decay: float | Column = DECAY, own: tuple[str, ...] = ()) -> Column:
+    """A person's register; columns in `own` draw it anew."""
+    u = privacy.uniform("vid", *own, seed=seed)
+    return F.least(F.floor(-F.log(1 - u * F.lit(1 - exp(-decay))) * F.lit(size / decay)), F.lit(size - 1)).cast("long")
+
+
+def build(prefix: DataFrame, seed: str, keys: tuple[str, ...] = (), size: int | Column = SIZE, decay: float | Column = DECAY, own: tuple[str, ...] = ()) -> DataFrame:
+    return prefix.groupBy(*keys, register(seed, size, decay, own).alias("register")).agg(F.min("vid").alias("low"), F.max("vid").alias("high"), F.count("*").alias("freq"))
 
 
 def merge(sketches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -29,23 +35,23 @@ def merge(sketches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return sketches.groupBy(*keys, "register").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("freq").alias("freq"))
 
 
-def occupied(n: Column, size: int, decay: float) -> Column:
+def occupied(n: Column, size: int | Column, decay: float | Column) -> Column:
     """Registers that n people are expected to occupy: a sum over 2000 slices of the law (far below the sketch's own error)."""
     cells = 2000
-    rate = decay / (size * (1 - math.exp(-decay)))
+    rate = decay / (size * (1 - exp(-decay)))
     p = lambda i: F.lit(rate) * F.exp(-F.lit(decay) * (i + 0.5) / cells)
     return F.aggregate(F.sequence(F.lit(0), F.lit(cells - 1)), F.lit(0.0), lambda a, i: a + (1 - F.exp(n * F.log1p(-p(i))))) * F.lit(size / cells)
 
 
-def cardinality(found: Column, size: int = SIZE, decay: float = DECAY) -> Column:
+def cardinality(found: Column, size: int | Column = SIZE, decay: float | Column = DECAY) -> Column:
     """The number of people at which so many registers are expected to be in use, by halving 40 times between 0 and 2^36."""
     step = lambda s, i: F.struct(F.when(occupied((s["lo"] + s["hi"]) / 2, size, decay) < found, (s["lo"] + s["hi"]) / 2).otherwise(s["lo"]).alias("lo"), F.when(occupied((s["lo"] + s["hi"]) / 2, size, decay) < found, s["hi"]).otherwise((s["lo"] + s["hi"]) / 2).alias("hi"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0.0).alias("lo"), F.lit(float(1 << 36)).alias("hi")), step)
     return F.when(found <= 0, 0.0).otherwise((end["lo"] + end["hi"]) / 2)
 
 
-def estimate(sketch: DataFrame, most: int, keys: tuple[str, ...] = ("dataset",), size: int = SIZE, decay: float = DECAY) -> DataFrame:
-    """keys, k, reach: cardinality from registers in use, frequencies from registers that hold one person."""
+def estimate(sketch: DataFrame, most: int, keys: tuple[str, ...] = ("dataset",), size: int | Column = SIZE, decay: float | Column = DECAY) -> DataFrame:
+    """keys, k, reach: cardinality from registers in use, frequencies from registers that hold one person. Columns of the law are keys."""
     alone = F.col("low") == F.col("high")
     wide = sketch.groupBy(*keys).agg(F.count("*").cast("double").alias("used"), F.count_if(alone).alias("alone"), *(F.count_if(alone & (F.col("freq") >= k)).alias(f"k{k}") for k in range(1, most + 1)))
     wide = wide.withColumn("reach", cardinality(F.col("used"), size, decay))

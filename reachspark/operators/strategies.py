@@ -142,24 +142,41 @@ def exact_unions(prefix: DataFrame) -> DataFrame:
     return unions_of(overlap.leave_one_out_reach(prefix))
 
 
-def private(prefix: DataFrame, most: int, epsilon: float, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def settings(rows: DataFrame, epsilon: float | None = None) -> DataFrame:
+    """rows with how each is measured: registers of a sketch and their decay, budget, and repetition (replica_id, which draws anew). Columns
+    that rows have count, and these defaults where there are none or nulls. A row without any budget is an error."""
+    usual = {"sketch_size": (sketch.SIZE, "long"), "decay_rate": (sketch.DECAY, "double"), "epsilon": (epsilon, "double"), "replica_id": (0, "long")}
+    chosen = {k: F.coalesce(*([F.col(k).cast(t)] if k in rows.columns else []), F.lit(v).cast(t)) for k, (v, t) in usual.items()}
+    chosen["epsilon"] = F.coalesce(chosen["epsilon"], F.raise_error(F.lit("a noisy trial needs an epsilon")).cast("double"))
+    return rows.withColumns(chosen)
+
+
+def has_noise(trials: DataFrame, epsilon: float | None) -> bool:
+    return epsilon is not None or "epsilon" in trials.columns
+
+
+def private(prefix: DataFrame, most: int, epsilon: float | None, seed: str, measure: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """exact() and exact_unions() as sketches with noise show them, and the ledger (dataset, epsilon, delta, mechanism).
 
-    A campaign's epsilon is parted among 2p + 1 requests. Registers in use without a publisher are those in use less those that only it
+    measure: settings() of each campaign (dataset), or else all have this epsilon. A campaign's epsilon is parted among 2p + 1 requests. Registers in use without a publisher are those in use less those that only it
     uses, so a union's reach needs no register twice."""
     shown = exact(prefix, most)
-    parts = kept(shown.groupBy("dataset").agg((F.lit(float(epsilon)) / (2 * F.count("*") + 1)).alias("epsilon"), F.count("*").alias("p")), "parts")
-    registers = kept(sketch.build(prefix, seed, ("dataset", "publisher", "pub_idx")), "registers")
+    sizes = shown.groupBy("dataset").agg(F.count("*").alias("p"))
+    sizes = settings(sizes, epsilon) if measure is None else sizes.join(measure.select("dataset", "sketch_size", "decay_rate", "epsilon", "replica_id"), "dataset")
+    parts = kept(sizes.withColumn("epsilon", F.col("epsilon") / (2 * F.col("p") + 1)), "parts")
+    law, size, decay = ("sketch_size", "decay_rate"), F.col("sketch_size"), F.col("decay_rate")
+    laws = parts.select("dataset", *law, "replica_id")
+    registers = kept(sketch.build(beside(prefix, laws, ["dataset"]), seed, ("dataset", "publisher", "pub_idx", *law), size, decay, ("replica_id",)), "registers")
 
     def noisy(seen: DataFrame, asked: Column) -> DataFrame:
         up, down = (F.floor(F.log(privacy.uniform("dataset", "asked", "k", seed=f"{seed}-{s}")) / -F.col("epsilon")) for s in ("up", "down"))
-        rows = beside(seen.withColumn("asked", asked), parts, ["dataset"])
+        rows = beside(seen.withColumn("asked", asked), parts.select("dataset", "epsilon", "p"), ["dataset"])
         return sketch.monotone(rows.withColumn("reach", F.col("reach") + up - down), ("dataset", "asked"))
 
-    each = noisy(sketch.estimate(registers, most, ("dataset", "pub_idx")), F.concat(F.lit("single/"), F.col("pub_idx")))
+    each = noisy(sketch.estimate(registers, most, ("dataset", "pub_idx", *law), size, decay).drop(*law), F.concat(F.lit("single/"), F.col("pub_idx")))
     lists = each.groupBy("dataset", "pub_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "reach"))), lambda x: x["reach"].cast("double")).alias("kplus"))
     single = kept(lists.select("dataset", "pub_idx", F.col("kplus")[0].alias("reach"), F.transform("kplus", lambda x, i: x - F.coalesce(F.get("kplus", i + 1), F.lit(0.0))).alias("histogram")), "single")
-    used = unions_of(overlap.leave_one_out_reach(registers.withColumnRenamed("register", "vid"))).select("dataset", "without", F.lit(1).cast("long").alias("k"), sketch.cardinality(F.col("reach")).alias("reach"))
+    used = beside(unions_of(overlap.leave_one_out_reach(registers.withColumnRenamed("register", "vid"))), laws, ["dataset"]).select("dataset", "without", F.lit(1).cast("long").alias("k"), sketch.cardinality(F.col("reach"), size, decay).alias("reach"))
     unions = noisy(used, F.concat(F.lit("without/"), F.col("without"))).filter("without < 0 or p > 2").select("dataset", "without", "reach")
     ledger = parts.select("dataset", "epsilon", F.lit(0.0).alias("delta"), F.lit("Discrete Laplace").alias("mechanism"), F.explode(F.sequence(F.lit(1), F.when(F.col("p") > 2, 2 * F.col("p") + 1).otherwise(F.col("p") + 1).cast("int"))).alias("request"))
     return shown.drop("reach", "histogram").join(single, ["dataset", "pub_idx"]), kept(unions, "unions"), ledger
@@ -169,6 +186,11 @@ def private(prefix: DataFrame, most: int, epsilon: float, seed: str) -> tuple[Da
 POINT = ["key", "trial", "dataset", "publisher", "pub_idx", "curve", "impressions", "reach", "spend", "histogram", "people"]
 
 
+def of_campaigns(trials: DataFrame, epsilon: float | None) -> DataFrame:
+    """settings() of the campaigns of trials; all trials of a campaign have the same."""
+    return settings(trials, epsilon).select("dataset", "sketch_size", "decay_rate", "epsilon", "replica_id").distinct()
+
+
 def beside_true(points: DataFrame, truth: DataFrame | None) -> DataFrame:
     return points if truth is None else points.join(truth, ["dataset", "publisher"], "left")
 
@@ -177,8 +199,9 @@ def fit_single_publisher(prefix: DataFrame, trials: DataFrame, epsilon: float |
     """Curves of campaigns of one publisher, by trial (trial, dataset, curve): fit_curves' columns, trial and dataset; and the ledger of them
     (trial, epsilon, delta, mechanism). A campaign with several publishers gives an error."""
     points, ledger = exact(prefix, MOST_SINGLE), None
-    if epsilon is not None:  # one request has all of it; private() parts it among three
-        points, _, spent = private(prefix, MOST_SINGLE, 3 * epsilon, seed)
+    if has_noise(trials, epsilon):  # one request has all of it; private() parts it among three
+        measure = of_campaigns(trials, epsilon).withColumn("epsilon", 3 * F.col("epsilon"))
+        points, _, spent = private(prefix, MOST_SINGLE, None, seed, measure)
         ledger = trials.select("trial", "dataset").join(spent.filter("request = 1"), "dataset").drop("dataset", "request")
     points = kept(points, "single")
     alone = points.groupBy("dataset").agg(F.count("*").alias("p"))
@@ -224,7 +247,7 @@ def without_true(fits: DataFrame) -> DataFrame:
 
 def fit_m3(prefix: DataFrame, trials: DataFrame, epsilon: float | None = None, seed: str = "m3", truth: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Curves of all publishers of campaigns, by trial (trial, dataset, curve, surface): (fits, unions measured, ledger). See predict()."""
-    points, unions, ledger = (exact(prefix, MOST_EACH), exact_unions(prefix), None) if epsilon is None else private(prefix, MOST_EACH, epsilon, seed)
+    points, unions, ledger = private(prefix, MOST_EACH, None, seed, of_campaigns(trials, epsilon)) if has_noise(trials, epsilon) else (exact(prefix, MOST_EACH), exact_unions(prefix), None)
     if ledger is not None:
         ledger = trials.select("trial", "dataset").join(ledger, "dataset").drop("dataset", "request")
     unions = kept(unions, "unions")
@@ -261,12 +284,17 @@ STRATEGIES: dict[str, Callable[..., tuple[DataFrame, DataFrame | None, DataFrame
 
 def evaluated(log: DataFrame, trials: DataFrame, points: DataFrame, done: DataFrame | None = None, epsilon: float | None = None, most: int = reach.K) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(trial, point_id, x, y) of truth and prediction, (trial, error) of failures, and (trial, epsilon, delta, mechanism) spent, for trials (trial, dataset, strategy, curve, surface,
-    share) that have no result in `done` yet. points: dataset, point_id, publisher, pub_idx, spend."""
+    share) that have no result in `done` yet. points: dataset, point_id, publisher, pub_idx, spend.
+
+    Trials with an epsilon, the argument or a column, are measured by sketches with noise; columns sketch_size, decay_rate and replica_id, if
+    there are any, choose the sketch (see settings), and each combination of them is a campaign of its own."""
     trials = kept(trials if done is None else trials.join(done.select("trial"), "trial", "left_anti"), "trials")
     names = [r.strategy for r in trials.select("strategy").distinct().collect()]  # names of strategies
     if unknown := sorted(set(names) - set(STRATEGIES)):
         raise ValueError(f"no strategy {unknown[0]}")
-    named = trials.withColumn("campaign", F.concat_ws("/", "dataset", "share"))
+    own = [c for c in ("sketch_size", "decay_rate", "epsilon", "replica_id") if c in trials.columns] if has_noise(trials, epsilon) else []
+    named = kept(settings(trials, epsilon), "settings") if own else trials
+    named = named.withColumn("campaign", F.concat_ws("/", "dataset", "share", *own))
     top = kept(log.groupBy("dataset", "publisher").agg(F.max("spend").alias("top")), "top")
     spent = named.select("dataset", "campaign", "share").distinct().join(top, "dataset").select("dataset", "campaign", "publisher", (F.col("share") * F.col("top")).alias("spend_limit"))
     lists = spent.groupBy("dataset", "publisher").agg(F.collect_list(F.struct("campaign", "spend_limit")).alias("c"))

@@ -938,11 +938,16 @@ def failed_trial_row(spark, sf_dir):
     return rounded(evaluate.with_failures(every, good).select("trial", "mean_error", "succeeded"))
 
 
-@query("trial_columns", DESCRIPTORS + ", st AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS dataset, count(DISTINCT o_custkey) AS reach FROM orders GROUP BY ALL) SELECT dataset, trial, reach, 2 * reach AS universe, round((share + 0.2::DOUBLE) / 2, 9) AS average_spend_fraction FROM t JOIN st USING (dataset)")
+@query("trial_columns", DESCRIPTORS + f""", st AS (SELECT dataset, count(DISTINCT vid) AS reach, count(DISTINCT publisher) AS campaigns FROM (SELECT CAST(year(o_orderdate) AS VARCHAR) AS dataset, o_custkey AS vid, o_orderpriority AS publisher FROM orders) GROUP BY ALL),
+one AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS dataset, count(DISTINCT o_custkey) AS r FROM orders GROUP BY CAST(year(o_orderdate) AS VARCHAR), o_orderpriority), big AS (SELECT dataset, max(r) AS largest_pub_reach FROM one GROUP BY ALL)
+SELECT dataset, trial, replica_id, model AS single_pub_model, 'none' AS multi_pub_model, 'm3' AS strategy, size AS sketch_size, {sketch.DECAY!r}::DOUBLE AS decay_rate, {reach.K}::BIGINT AS max_frequency, reach, 2 * reach AS universe, campaigns, largest_pub_reach, round((share + 0.2::DOUBLE) / 2, 9) AS average_spend_fraction
+FROM t JOIN st USING (dataset) JOIN big USING (dataset), (VALUES (0::BIGINT), (1::BIGINT)) v(replica_id), (VALUES (10000::BIGINT), ({sketch.SIZE}::BIGINT)) w(size)""")
 def trial_columns(spark, sf_dir):
     stats = reach.dataset_stats(logs.log_from_orders(spark, sf_dir, by_year=True))
-    t = trials(spark, sf_dir).withColumn("fractions", F.array("share", F.lit(0.2)))
-    return evaluate.trial_columns(t, stats).select("dataset", "trial", "reach", "universe", F.round("average_spend_fraction", 9).alias("average_spend_fraction"))
+    settings = points.factorial_design(spark, {"replica_id": [0, 1], "sketch_size": [10_000, None]})  # none is the usual one
+    t = points.trial_matrix(trials(spark, sf_dir), settings).withColumnRenamed("model", "curve").withColumns({"surface": F.lit("none"), "strategy": F.lit("m3"), "fractions": F.array("share", F.lit(0.2))})
+    columns = ("dataset", "trial", "replica_id", "single_pub_model", "multi_pub_model", "strategy", "sketch_size", "decay_rate", "max_frequency", "reach", "universe", "campaigns", "largest_pub_reach")
+    return evaluate.trial_columns(t, stats).select(*columns, F.round("average_spend_fraction", 9).alias("average_spend_fraction"))
 
 
 @query("privacy_columns", LEDGER + " SELECT publisher AS trial, 1.0::DOUBLE AS epsilon_budget, 0.01::DOUBLE AS delta_budget, CASE WHEN pub_idx % 2 = 0 THEN 0.1::DOUBLE * (pub_idx + 1) ELSE 0 END AS epsilon_used, CASE WHEN pub_idx % 2 = 0 THEN 0.001::DOUBLE * (pub_idx + 1) ELSE 0 END AS delta_used, CASE WHEN pub_idx % 2 = 0 THEN 'Gaussian' ELSE '' END AS mechanisms FROM top")
@@ -1051,6 +1056,20 @@ def model_registry(spark, sf_dir):
     return trial_rows(log, kept(every, "trials"), epsilon=10.0)
 
 
+@query("evaluate_settings")
+def evaluate_settings(spark, sf_dir):
+    """Independent variables and metrics of trials that differ in sketch size, budget and repetition: noisy measurements of each publisher."""
+    log = kept(alone_and_together(spark, sf_dir), "log")
+    every = strategy_trials(spark, sf_dir).filter("dataset <> 'orders' and share = 0.6")
+    levels = {"sketch_size": [1_000, 100_000], "epsilon": [1.0, 100.0], "replica_id": [0, 1]}
+    every = points.with_trial_name(points.trial_matrix(every, points.factorial_design(spark, levels)), ["dataset", "strategy", "curve", "share", *levels])
+    every = kept(every, "trials")
+    both, errors, spent = strategies.evaluated(log, every, kept(test_points(log), "points"))
+    named = evaluate.trial_columns(every.withColumn("fractions", F.array("share")), reach.dataset_stats(log))
+    named = named.withColumnRenamed("epsilon", "epsilon_budget").withColumn("delta_budget", F.lit(0.0))
+    return evaluate.privacy_columns(evaluate.with_failures(named, evaluate.metrics(both), errors), spent).drop("fractions")
+
+
 @query("kinflated_fit")
 def kinflated_fit(spark, sf_dir):
     return curves.kinflated_fit(histograms(spark, sf_dir).select(F.col("publisher").alias("key"), "impressions", "histogram"))

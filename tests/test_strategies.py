@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reachspark.functions import joins, search
-from reachspark.operators import curves, overlap, points, privacy, reach, strategies, surfaces, synthetic
+from reachspark.operators import curves, evaluate, overlap, points, privacy, reach, strategies, surfaces, synthetic
 from reachspark.plans import queries
 from reachspark.sources import logs
 
@@ -102,6 +102,34 @@ def test_noisy_measurements_spend_the_budget(spark):
     assert unions == {-1: len(set.union(*people.values())), **{i: len(set.union(*(people[j] for j in range(3) if j != i))) for i in range(3)}}
 
 
+def test_settings_of_trials(spark):
+    """Sketch size, budget and repetition are chosen by row: repetitions draw anew, and those of small sketches differ more."""
+    log = campaign_log(spark, 900, 1)
+    rows = [(f"{size}-{epsilon}-{k}", size, epsilon, k) for size in (60, None) for epsilon in (2.0, 1e5) for k in range(4)] + [("again", None, 1e5, 0)]
+    every = trials(spark, *((t, "d", "m3" if t == "again" else "single_publisher", "goerg", "none", 1.0) for t, *_ in rows))
+    every = every.join(spark.createDataFrame(rows, "trial string, sketch_size long, epsilon double, replica_id int"), "trial")
+    both, errors, spent = strategies.evaluated(log, every, spends(spark, log))
+    apart = {r.trial: r.e for r in both.groupBy("trial").agg(F.avg(F.col("x")[0] - F.col("y")[0]).alias("e")).collect()}
+    assert errors.count() == 0 and sorted(apart) == sorted(t for t, *_ in rows)
+    spread = lambda size, epsilon: np.std([apart[f"{size}-{epsilon}-{k}"] for k in range(4)])
+    assert spread(60, 1e5) > 5 * spread(None, 1e5) > 0
+    used = {r.trial: r.e for r in spent.groupBy("trial").agg(F.sum("epsilon").alias("e")).collect()}
+    assert all(used[t] == pytest.approx(e if t != "again" else e * 2 / 3) for t, _, e, _ in rows)
+    with pytest.raises(Exception, match="needs an epsilon"):
+        strategies.evaluated(log, every.withColumn("epsilon", F.lit(None).cast("double")), spends(spark, log))[0].count()
+
+
+def test_independent_variables(spark):
+    rows = [("d", "t", "m3", "goerg", "none", [0.2, 0.4], 7, None), ("gone", "u", "m3", "true", "none", [], None, 3)]
+    t = spark.createDataFrame(rows, "dataset string, trial string, strategy string, curve string, surface string, fractions array<double>, sketch_size int, replica_id int")
+    log = campaign_log(spark, 90, 2)
+    got = {r.trial: r.asDict() for r in evaluate.trial_columns(t, reach.dataset_stats(log)).collect()}
+    alone = [log.filter(F.col("pub_idx") == i).select("vid").distinct().count() for i in (0, 1)]
+    shared = {"strategy": "m3", "multi_pub_model": "none", "max_frequency": 10, "decay_rate": 12.0}
+    assert got["t"].items() >= (shared | {"dataset": "d", "single_pub_model": "goerg", "sketch_size": 7, "replica_id": 0, "campaigns": 2, "largest_pub_reach": max(alone), "reach": log.select("vid").distinct().count(), "average_spend_fraction": pytest.approx(0.3)}).items()
+    assert got["u"].items() >= (shared | {"single_pub_model": "true", "sketch_size": 100_000, "replica_id": 3, "campaigns": None, "reach": None, "average_spend_fraction": None}).items()
+
+
 def test_leave_one_out_of_many_publishers(spark):
     """From 64 publishers on a mask of 64 bits would fail; each publisher i has person i of its own, all share two people and some a few."""
     p = 130
