@@ -5,11 +5,12 @@ A byte goes if some string of `width` bytes over it starts at another place as w
 Two equal strings of `width` bytes hold the same anchor at the same place: of their substrings of `inner` bytes the one with
 the least hash. A text is cut into stretches of strings with a common anchor. Stretches whose anchor is found once
 are unique. Stretches of equal bytes (equal 128-bit digests) are one stretch with a count, so where all of a repeated anchor
-are equal, nothing is left to sort: all of its strings are repeated. The distinct stretches of other anchors,
-where a repeated passage begins or ends, are read and dealt into shards by their anchor; each shard is sorted
-by suffix (see induced_sort), and the common prefixes that the sort carries show the strings that occur twice. An anchor with more than a shard of stretches is split: equal
+are equal, there is one string to sort, which is beside itself in any order: all of it is repeated. The distinct stretches of other
+anchors, where a repeated passage begins or ends, are read, those found several times as two, and dealt into shards by their anchor;
+each shard is sorted by suffix (see induced_sort), and the common prefixes that the sort carries, nothing else, show the strings that
+occur twice. With sort_all the stretches of all repeated anchors are sorted so, to the same result. An anchor with more than a shard of stretches is split: equal
 strings hold the anchor at the same offset, so stretches are cut into runs of a few offsets and dealt by what all strings of those
-offsets share; what is too much even so is cut into single strings, and equal ones are counted.
+offsets share; what is too much even so is cut into single strings, dealt by all of their bytes, and equal ones are counted.
 
 Defined cases: null and empty texts, and those shorter than `width`, keep all they have. Matches never cross
 texts. Repeated rows are each other's copies, so long ones lose all. A row without doc_id is told from others
@@ -36,6 +37,8 @@ SHARD_BYTES, STRETCH = 4_000_000, 1 << 19
 #: Offsets of the anchor in one run of a split stretch.
 OFFSETS = 11
 LOW = np.uint64((1 << 20) - 1)
+#: Bytes of a strip in a sort: what is found several times is there twice.
+SORTED_BYTES = "octet_length(data) * least(copies, 2)"
 
 
 class Hasher:
@@ -163,11 +166,11 @@ def dealt(strips: DataFrame, width: int, inner: int, shard_bytes: int) -> tuple[
     out = []
 
     def deal(some: DataFrame) -> None:
-        total = some.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+        total = some.agg(F.coalesce(F.sum(F.expr(SORTED_BYTES)), F.lit(0))).first()[0]
         out.append(some.withColumn("shard", F.pmod(F.col("part"), F.lit(max(1, -(-total // shard_bytes))))))
 
     for most in (OFFSETS, 1):
-        hot = rest.groupBy("part").agg(F.sum(F.octet_length("data")).alias("bytes")).filter(F.col("bytes") > shard_bytes).select("part")
+        hot = rest.groupBy("part").agg(F.sum(F.expr(SORTED_BYTES)).alias("bytes")).filter(F.col("bytes") > shard_bytes).select("part")
         hot = stored(hot, "hot-parts")  # no more than there are shards
         if hot.isEmpty():
             deal(rest)
@@ -184,10 +187,9 @@ def sorted_shards(strips: DataFrame, width: int, inner: int, shard_bytes: int) -
 
     def find(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.drop_duplicates(["anchor", "content", "check", "n", "at"]).reset_index(drop=True)
-        out = []
-        for k, flag in enumerate(repeated(list(shard["data"]), width)):
-            if shard["copies"][k] > 1:
-                flag = np.ones(len(flag), dtype=bool)
+        out, data = [], list(shard["data"])
+        again = [data[k] for k in np.flatnonzero(shard["copies"] > 1)]
+        for k, flag in zip(range(len(data)), repeated(data + again, width), strict=False):
             edge, at = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]])), shard["at"][k]
             out += [(shard["anchor"][k], shard["content"][k], shard["check"][k], shard["n"][k], at + a, at + b) for a, b in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)]
         return pd.DataFrame(out, columns=["anchor", "content", "check", "n", "first", "last"])
@@ -200,13 +202,13 @@ def sorted_shards(strips: DataFrame, width: int, inner: int, shard_bytes: int) -
     return reduce(DataFrame.unionByName, found)
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, shard_bytes: int = SHARD_BYTES, sort_all: bool = False) -> DataFrame:
     """(id, h, ranges): the maximal byte ranges (start, stop) of each text that repeated strings cover."""
     rows = keyed(docs)
     every = stored(anchored(rows, width, inner), "stretches")
     differ = (F.min("content") < F.max("content")) | (F.min("check") < F.max("check")) | (F.min("n") < F.max("n"))
     # Written first: the join below it has no aggregation in its stage, so adaptive execution can split a hot anchor's rows
-    often = stored(every.groupBy("anchor").agg(F.count("*").alias("c"), differ.alias("mixed")).filter("c > 1").select("anchor", "mixed"), "repeated-anchors")
+    often = stored(every.groupBy("anchor").agg(F.count("*").alias("c"), (differ | F.lit(sort_all)).alias("mixed")).filter("c > 1").select("anchor", "mixed"), "repeated-anchors")
     here = stored(every.join(often.hint("merge"), "anchor"), "anchored")
     plain = here.filter("not mixed").select("id", "h", "start", (F.col("start") + F.col("n") + width - 1).alias("stop"))
     mixed = here.filter("mixed")
@@ -244,9 +246,9 @@ def spans(ranges) -> list[list[int]]:
     return out
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, inner: int = INNER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, inner: int = INNER, shard_bytes: int = SHARD_BYTES, sort_all: bool = False) -> DataFrame:
     """doc_id, kept (the bytes that stay, as binary), n_bytes, n_removed, n_spans and kept_sha256 for every row of docs."""
-    rows = beside(keyed(docs), repeats(docs, width, inner, shard_bytes))
+    rows = beside(keyed(docs), repeats(docs, width, inner, shard_bytes, sort_all))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

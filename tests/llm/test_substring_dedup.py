@@ -110,6 +110,7 @@ def test_small_cases(spark):
     want = brute(docs, 40)
     assert rows(D.dedup(df, 40, 12)) == want
     assert rows(D.dedup(df, 40, 12, shard_bytes=100)) == want
+    assert rows(D.dedup(df, 40, 12, sort_all=True)) == rows(D.dedup(df, 40, 12, shard_bytes=100, sort_all=True)) == want
     assert D.dedup(df.limit(0), 40, 12).count() == 0
 
 
@@ -131,3 +132,13 @@ def test_query_matches_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = rows(D.query(spark, sf))
     assert got == brute(docs, 200) and sum(r[2] for r in got) > 0
+    assert rows(D.dedup(spark.read.parquet(f"{sf}/documents.parquet"), sort_all=True)) == got
+
+
+def test_the_sort_alone_tells_what_is_repeated(spark, monkeypatch):
+    """With no digest counted as a result (sort_all), a sort that finds nothing leaves all bytes."""
+    passage = "one passage that two documents share, longer than any window"
+    df = spark.createDataFrame([(i, passage) for i in (1, 2)], "doc_id long, text string")
+    assert {r.n_removed for r in D.dedup(df, 40, 12, sort_all=True).collect()} == {len(passage)}
+    monkeypatch.setattr(D, "repeated", lambda texts, width: [np.zeros(max(0, len(t) - width + 1), dtype=bool) for t in texts])
+    assert {r.n_removed for r in D.dedup(df, 40, 12, sort_all=True).collect()} == {0}
