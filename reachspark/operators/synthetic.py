@@ -21,13 +21,26 @@ MOST = 10_000
 MOST_MEAN = 100
 
 
+#: Values that an inversion tries at first; only numbers beyond them go on to the last one.
+FIRST = 8
+
+
 def poisson(mean: Column, *key: Column | str, seed: str, most: int = 200) -> Column:
-    """A Poisson number by inversion: the first k whose cumulative probability passes a uniform number. A mean over MOST_MEAN is an error."""
+    """A Poisson number by inversion: the first k whose cumulative probability passes a uniform number. A mean over MOST_MEAN is an error.
+
+    Mean and uniform number are worked out once, and a number that is found takes no further steps."""
     mean = F.when(mean > MOST_MEAN, F.raise_error(F.lit("this mean needs a sum of several numbers")).cast("double")).otherwise(mean)
-    u = uniform(*key, seed=seed)
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.when(u <= F.exp(-mean), 0).alias("k"))
-    step = lambda s, j: F.struct((s["p"] * mean / j).alias("p"), (s["c"] + s["p"] * mean / j).alias("c"), F.coalesce(s["k"], F.when(u <= s["c"] + s["p"] * mean / j, j)).alias("k"))
-    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["k"], F.lit(most))
+
+    def inverted(x: Column) -> Column:
+        mean, u, zero = x["mean"], x["u"], F.exp(-x["mean"])
+        start = F.struct(zero.alias("p"), zero.alias("c"), F.when(u <= zero, 0).alias("k"))
+        more = lambda s, j: F.struct((s["p"] * mean / j).alias("p"), (s["c"] + s["p"] * mean / j).alias("c"), F.when(u <= s["c"] + s["p"] * mean / j, j).alias("k"))
+        walk = lambda s, low, high: F.aggregate(F.sequence(F.lit(low), F.lit(high)), s, lambda s, j: F.when(s["k"].isNotNull(), s).otherwise(more(s, j)))
+        if most <= FIRST:
+            return F.coalesce(walk(start, 1, most)["k"], F.lit(most))
+        return once(walk(start, 1, FIRST), lambda s: F.when(s["k"].isNotNull(), s["k"]).otherwise(F.coalesce(walk(s, FIRST + 1, most)["k"], F.lit(most))))
+
+    return once(F.struct(mean.alias("mean"), uniform(*key, seed=seed).alias("u")), inverted)
 
 
 def poisson_sum(mean: Column, *key: Column | str, seed: str) -> Column:

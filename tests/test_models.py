@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import numpy as np
@@ -180,6 +181,22 @@ def test_points_and_designs(spark):
         points.points_for("none", lim)
 
 
+def test_poisson_numbers_end_where_they_are_found(spark):
+    """The uniform number is drawn once, not at every step; numbers within the first steps and far beyond them are those of a plain walk."""
+    df = spark.range(400).select(F.col("id").alias("vid"), (F.col("id") / 4.0 + 0.1).alias("mean"))
+    df = df.select("mean", privacy.uniform("vid", seed="s").alias("u"), *(synthetic.poisson(F.col("mean"), "vid", seed="s", most=m).alias(f"k{m}") for m in (3, 8, 9, 200)))
+    for r in df.collect():
+        p = c = math.exp(-r.mean)
+        k = 0
+        while r.u > c and k < 200:
+            k += 1
+            p *= r.mean / k
+            c += p
+        assert [r.k3, r.k8, r.k9, r.k200] == [min(k, m) for m in (3, 8, 9, 200)]
+    # each walk holds the number by name
+    assert str(synthetic.poisson(F.col("mean"), "vid", seed="s")).count("md5") == 1
+
+
 def test_synthetic(spark):
     people = spark.range(20000).withColumnRenamed("id", "vid")
     h = synthetic.homogeneous(people, 1.5, "s").groupBy("vid").count()
