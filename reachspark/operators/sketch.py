@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reachspark.functions.search import once
 from reachspark.operators import privacy
 
 SIZE, DECAY = 100_000, 12.0
@@ -27,7 +28,9 @@ def register(seed: str, size: int | Column = SIZE, decay: float | Column = DECAY
 
 
 def build(prefix: DataFrame, seed: str, keys: tuple[str, ...] = (), size: int | Column = SIZE, decay: float | Column = DECAY, own: tuple[str, ...] = ()) -> DataFrame:
-    return prefix.groupBy(*keys, register(seed, size, decay, own).alias("register")).agg(F.min("vid").alias("low"), F.max("vid").alias("high"), F.count("*").alias("freq"))
+    """The sketch of a prefix's impressions, or of its people where a row stands for f impressions of one."""
+    freq = F.sum("f") if "f" in prefix.columns else F.count("*")
+    return prefix.groupBy(*keys, register(seed, size, decay, own).alias("register")).agg(F.min("vid").alias("low"), F.max("vid").alias("high"), freq.alias("freq"))
 
 
 def merge(sketches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -45,9 +48,12 @@ def occupied(n: Column, size: int | Column, decay: float | Column) -> Column:
 
 def cardinality(found: Column, size: int | Column = SIZE, decay: float | Column = DECAY) -> Column:
     """The number of people at which so many registers are expected to be in use, by halving 40 times between 0 and 2^36."""
-    step = lambda s, i: F.struct(F.when(occupied((s["lo"] + s["hi"]) / 2, size, decay) < found, (s["lo"] + s["hi"]) / 2).otherwise(s["lo"]).alias("lo"), F.when(occupied((s["lo"] + s["hi"]) / 2, size, decay) < found, s["hi"]).otherwise((s["lo"] + s["hi"]) / 2).alias("hi"))
+    half = lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), ((s["lo"] + s["hi"]) / 2).alias("mid"))
+    low = lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), s["mid"].alias("mid"), (occupied(s["mid"], size, decay) < found).alias("low"))
+    kept = lambda s: F.struct(F.when(s["low"], s["mid"]).otherwise(s["lo"]).alias("lo"), F.when(s["low"], s["hi"]).otherwise(s["mid"]).alias("hi"))
+    step = lambda s, i: once(once(half(s), low), kept)  # noqa: E731 - the sum over slices is worked out once a step
     end = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0.0).alias("lo"), F.lit(float(1 << 36)).alias("hi")), step)
-    return F.when(found <= 0, 0.0).otherwise((end["lo"] + end["hi"]) / 2)
+    return F.when(found <= 0, 0.0).otherwise(once(end, lambda s: (s["lo"] + s["hi"]) / 2))
 
 
 def estimate(sketch: DataFrame, most: int, keys: tuple[str, ...] = ("dataset",), size: int | Column = SIZE, decay: float | Column = DECAY) -> DataFrame:

@@ -124,13 +124,18 @@ def fit_curves(points: DataFrame) -> DataFrame:
     return out.withColumn("cpi", F.when(F.col("spend") > 0, F.col("spend") / F.col("impressions"))).withColumn("error", error)
 
 
+def people_of(prefix: DataFrame) -> DataFrame:
+    """The people of each publisher of a prefix, once each: f impressions, and the greatest spend of them. A table of people stays as it is."""
+    if "f" in prefix.columns:
+        return prefix
+    return prefix.groupBy("dataset", "publisher", "pub_idx", "vid").agg(F.count("*").alias("f"), F.max("spend").alias("spend"))
+
+
 def exact(prefix: DataFrame, most: int) -> DataFrame:
     """What each publisher of each campaign shows: dataset, publisher, pub_idx, impressions, spend, reach, histogram."""
-    keys = ("dataset", "publisher", "pub_idx")
-    people = prefix.groupBy(*keys, "vid").agg(F.count("*").alias("f"), F.max("spend").alias("s"))
     level = F.least(F.col("f"), F.lit(most))
     counts = F.array(*(F.count_if(level == k).cast("double") for k in range(1, most + 1)))
-    return people.groupBy(*keys).agg(F.sum("f").alias("impressions"), F.max("s").alias("spend"), F.count("*").cast("double").alias("reach"), counts.alias("histogram"))
+    return people_of(prefix).groupBy("dataset", "publisher", "pub_idx").agg(F.sum("f").alias("impressions"), F.max("spend").alias("spend"), F.count("*").cast("double").alias("reach"), counts.alias("histogram"))
 
 
 def unions_of(points: DataFrame) -> DataFrame:
@@ -158,15 +163,19 @@ def has_noise(trials: DataFrame, epsilon: float | None) -> bool:
 def private(prefix: DataFrame, most: int, epsilon: float | None, seed: str, measure: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """exact() and exact_unions() as sketches with noise show them, and the ledger (dataset, epsilon, delta, mechanism).
 
-    measure: settings() of each campaign (dataset), or else all have this epsilon. A campaign's epsilon is parted among 2p + 1 requests. Registers in use without a publisher are those in use less those that only it
+    measure: settings() of each campaign (dataset), or else all have this epsilon. With a column `purchase` campaigns that differ in settings
+    alone share what they bought: the prefix's data sets are purchases then, counted once for all their campaigns. A campaign's epsilon is parted among 2p + 1 requests. Registers in use without a publisher are those in use less those that only it
     uses, so a union's reach needs no register twice."""
-    shown = exact(prefix, most)
+    shown = kept(exact(prefix, most), "shown")
+    prefix = people_of(prefix).withColumnRenamed("dataset", "purchase")
+    bought = shown.select("dataset", F.col("dataset").alias("purchase")).distinct() if measure is None or "purchase" not in measure.columns else measure.select("dataset", "purchase")
+    shown = shown.withColumnRenamed("dataset", "purchase").join(bought, "purchase").drop("purchase")
     sizes = shown.groupBy("dataset").agg(F.count("*").alias("p"))
     sizes = settings(sizes, epsilon) if measure is None else sizes.join(measure.select("dataset", "sketch_size", "decay_rate", "epsilon", "replica_id"), "dataset")
     parts = kept(sizes.withColumn("epsilon", F.col("epsilon") / (2 * F.col("p") + 1)), "parts")
     law, size, decay = ("sketch_size", "decay_rate"), F.col("sketch_size"), F.col("decay_rate")
     laws = parts.select("dataset", *law, "replica_id")
-    registers = kept(sketch.build(beside(prefix, laws, ["dataset"]), seed, ("dataset", "publisher", "pub_idx", *law), size, decay, ("replica_id",)), "registers")
+    registers = kept(sketch.build(beside(prefix, laws.join(bought, "dataset"), ["purchase"]), seed, ("dataset", "publisher", "pub_idx", *law), size, decay, ("replica_id",)), "registers")
 
     def noisy(seen: DataFrame, asked: Column) -> DataFrame:
         up, down = (F.floor(F.log(privacy.uniform("dataset", "asked", "k", seed=f"{seed}-{s}")) / -F.col("epsilon")) for s in ("up", "down"))
@@ -188,7 +197,7 @@ POINT = ["key", "trial", "dataset", "publisher", "pub_idx", "curve", "impression
 
 def of_campaigns(trials: DataFrame, epsilon: float | None) -> DataFrame:
     """settings() of the campaigns of trials; all trials of a campaign have the same."""
-    return settings(trials, epsilon).select("dataset", "sketch_size", "decay_rate", "epsilon", "replica_id").distinct()
+    return settings(trials, epsilon).select("dataset", *(c for c in ("purchase",) if c in trials.columns), "sketch_size", "decay_rate", "epsilon", "replica_id").distinct()
 
 
 def beside_true(points: DataFrame, truth: DataFrame | None) -> DataFrame:
@@ -287,25 +296,26 @@ def evaluated(log: DataFrame, trials: DataFrame, points: DataFrame, done: DataFr
     share) that have no result in `done` yet. points: dataset, point_id, publisher, pub_idx, spend.
 
     Trials with an epsilon, the argument or a column, are measured by sketches with noise; columns sketch_size, decay_rate and replica_id, if
-    there are any, choose the sketch (see settings), and each combination of them is a campaign of its own."""
+    there are any, choose the sketch (see settings), and each combination of them is a campaign of its own; what a data set and a share buy is
+    made out once for all of them, as a row for each person."""
     trials = kept(trials if done is None else trials.join(done.select("trial"), "trial", "left_anti"), "trials")
     names = [r.strategy for r in trials.select("strategy").distinct().collect()]  # names of strategies
     if unknown := sorted(set(names) - set(STRATEGIES)):
         raise ValueError(f"no strategy {unknown[0]}")
     own = [c for c in ("sketch_size", "decay_rate", "epsilon", "replica_id") if c in trials.columns] if has_noise(trials, epsilon) else []
     named = kept(settings(trials, epsilon), "settings") if own else trials
-    named = named.withColumn("campaign", F.concat_ws("/", "dataset", "share", *own))
+    named = named.withColumns({"campaign": F.concat_ws("/", "dataset", "share", *own), "purchase": F.concat_ws("/", "dataset", "share")})
     top = kept(log.groupBy("dataset", "publisher").agg(F.max("spend").alias("top")), "top")
-    spent = named.select("dataset", "campaign", "share").distinct().join(top, "dataset").select("dataset", "campaign", "publisher", (F.col("share") * F.col("top")).alias("spend_limit"))
-    lists = spent.groupBy("dataset", "publisher").agg(F.collect_list(F.struct("campaign", "spend_limit")).alias("c"))
+    spent = named.select("dataset", "purchase", "share").distinct().join(top, "dataset").select("dataset", "purchase", "publisher", (F.col("share") * F.col("top")).alias("spend_limit"))
+    lists = spent.groupBy("dataset", "publisher").agg(F.collect_list(F.struct("purchase", "spend_limit")).alias("c"))
     bought = F.filter("c", lambda x: F.col("spend") <= x["spend_limit"])
-    prefix = reach.beside(log, lists, ["dataset", "publisher"]).withColumn("campaign", F.explode(bought)).select(F.col("campaign.campaign").alias("dataset"), "publisher", "pub_idx", "seq", "vid", "spend")
-    prefix = kept(prefix, "campaigns")
+    prefix = reach.beside(log, lists, ["dataset", "publisher"]).withColumn("purchase", F.explode(bought)).select(F.col("purchase.purchase").alias("dataset"), "publisher", "pub_idx", "vid", "spend")
+    prefix = kept(people_of(prefix), "campaigns")
     at = named.select("trial", "dataset").join(points, "dataset").select("trial", "point_id", "pub_idx", "spend")
     truth = None
     if named.filter("curve = 'true'").head(1):  # at the points, and at what the campaigns spend
         campaigns = named.select("dataset", "campaign").distinct()
-        spends = prefix.groupBy("dataset", "publisher").agg(F.max("spend").alias("spend")).withColumnRenamed("dataset", "campaign").join(campaigns, "campaign")
+        spends = prefix.groupBy("dataset", "publisher").agg(F.max("spend").alias("spend")).withColumnRenamed("dataset", "purchase").join(named.select("dataset", "purchase").distinct(), "purchase")
         asked = points.select("dataset", "publisher", "spend").unionByName(spends.select("dataset", "publisher", "spend"))
         truth = kept(true_curves(log, asked, max(most, 1)).join(campaigns, "dataset").drop("dataset").withColumnRenamed("campaign", "dataset"), "truth")
     found, wrong, spent_by = [], [], [log.sparkSession.createDataFrame([], "trial string, epsilon double, delta double, mechanism string")]
@@ -317,6 +327,7 @@ def evaluated(log: DataFrame, trials: DataFrame, points: DataFrame, done: DataFr
             spent_by.append(ledger)
         found.append(predict(fits, unions, at, most))
         wrong.append(fits.filter("error is not null").groupBy("trial").agg(F.min("error").alias("error")))
-    truth = reach.reach_at_points(log, points, most).groupBy("dataset", "point_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "reach"))), lambda x: x["reach"].cast("double")).alias("x"))
+    tried = kept(trials.select("dataset").distinct(), "tried")
+    truth = reach.reach_at_points(beside(log, tried, ["dataset"]), points.join(tried, "dataset", "left_semi"), most).groupBy("dataset", "point_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "reach"))), lambda x: x["reach"].cast("double")).alias("x"))
     model = reduce(DataFrame.unionByName, found).join(named.select("trial", "dataset"), "trial")
     return truth.join(model, ["dataset", "point_id"]).select("trial", "point_id", "x", "y"), reduce(DataFrame.unionByName, wrong), reduce(DataFrame.unionByName, spent_by)

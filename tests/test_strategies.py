@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reachspark.functions import joins, search
-from reachspark.operators import curves, evaluate, overlap, points, privacy, reach, strategies, surfaces, synthetic
+from reachspark.operators import curves, evaluate, overlap, points, privacy, reach, sketch, strategies, surfaces, synthetic
 from reachspark.plans import queries
 from reachspark.sources import logs
 
@@ -119,6 +119,18 @@ def test_settings_of_trials(spark):
         strategies.evaluated(log, every.withColumn("epsilon", F.lit(None).cast("double")), spends(spark, log))[0].count()
 
 
+def test_settings_share_what_they_buy(spark, monkeypatch):
+    """What a share buys is written as a row for each person, however many settings measure it; a sum over slices is worked out once a step."""
+    log, sizes = campaign_log(spark, 300, 1), {}
+    keep = strategies.kept
+    monkeypatch.setattr(strategies, "kept", lambda df, name: (sizes.update({name: x.count()}) if (x := keep(df, name)) and name == "campaigns" else None, x)[1])
+    rows = [(f"{epsilon}-{k}", epsilon, k) for epsilon in (2.0, 1e5) for k in range(3)]
+    every = trials(spark, *((t, "d", "single_publisher", "goerg", "none", 1.0) for t, *_ in rows)).join(spark.createDataFrame(rows, "trial string, epsilon double, replica_id int"), "trial")
+    assert strategies.evaluated(log, every, spends(spark, log))[0].select("trial").distinct().count() == 6
+    assert sizes["campaigns"] == log.select("vid").distinct().count()
+    assert str(sketch.cardinality(F.col("n"))).lower().count("log1p") == 1
+
+
 def test_independent_variables(spark):
     rows = [("d", "t", "m3", "goerg", "none", [0.2, 0.4], 7, None), ("gone", "u", "m3", "true", "none", [], None, 3)]
     t = spark.createDataFrame(rows, "dataset string, trial string, strategy string, curve string, surface string, fractions array<double>, sketch_size int, replica_id int")
