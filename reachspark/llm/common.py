@@ -52,11 +52,11 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def apart(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns as they are, and all columns again under names that clash with nothing; together() gives them back.
+def apart(df: DataFrame, *names: str, columns: list[str] | None = None) -> DataFrame:
+    """The named columns as they are, and all columns (or those in `columns`) again under names that clash with nothing; together() gives them back.
 
     So an operator's own temporary columns may have any name that isn't one of `names`."""
-    return df.select(*(F.col(f"`{c}`").alias(c) for c in names), *(F.col(f"`{c}`").alias(f"in_{i}_{HELD}") for i, c in enumerate(df.columns)))
+    return df.select(*(F.col(f"`{c}`").alias(c) for c in names), *(F.col(f"`{c}`").alias(f"in_{i}_{HELD}") for i, c in enumerate(df.columns if columns is None else columns)))
 
 
 #: Marks held columns; an input column of such a name is held under another one.

@@ -2,8 +2,8 @@
 
 A document's character classes and its counts of common words are set against the mean distributions of all
 long enough documents of its language. A document goes if the Jensen-Shannon distance (base 2, square root, so 0 to 1)
-of its characters is far, or if those of its characters and its words both are. All of it is column arithmetic: one aggregation with one
-row for each language, and a join with that table.
+of its characters is far, or if those of its characters and its words both are. All of it is column arithmetic: texts are measured once and
+their measures written, then one aggregation with one row for each language, and a join with that table.
 
 Defined cases: a null or empty text has no words and fails the base rules. Documents whose language is null or seen in fewer than
 `min_reference` long enough documents are compared with the characters of all documents; without as many of these the base
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachspark.llm.common import SPACE, apart, read, stored, together, whole, words_of
+from reachspark.llm.common import HELD, SPACE, apart, read, stored, together, whole, words_of
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -82,13 +82,12 @@ def histograms(docs: DataFrame, min_chars: int, min_tokens: int) -> DataFrame:
     return df.withColumns({"q_char_shares": F.when(F.col("q_n_chars") >= max(min_chars, 1), chars), "q_word_shares": F.when(F.col("q_n") >= max(min_tokens, 1), words)})
 
 
-def references(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOKENS, min_reference: int = MIN_REFERENCE) -> tuple[DataFrame, DataFrame]:
-    """A row for each language: the mean shares over all its documents of sufficient length; and one row, or none, of the mean
+def references(measured: DataFrame, min_tokens: int = MIN_TOKENS, min_reference: int = MIN_REFERENCE) -> tuple[DataFrame, DataFrame]:
+    """From histograms() with lang, a row for each language: the mean shares over all its documents of sufficient length; and one row, or none, of the mean
     shares of characters over the documents of all languages, null too."""
-    h = histograms(docs.select("text", "lang"), min_chars, min_tokens)
     n_char, n_word = len(CLASSES) + 2, len(next(iter(COMMON_WORDS.values()))) + 1
     long_enough = F.col("q_char_shares").isNotNull() & (F.col("q_n") >= max(min_tokens, 1))
-    h = h.select(F.col("lang").alias("q_lang"), F.when(long_enough, F.concat("q_char_shares", F.coalesce("q_word_shares", F.array().cast("array<double>")))).alias("b"))
+    h = measured.select(F.col("lang").alias("q_lang"), F.when(long_enough, F.concat("q_char_shares", F.coalesce("q_word_shares", F.array().cast("array<double>")))).alias("b"))
     mean = [F.avg(F.get("b", F.lit(i))).alias(f"m{i}") for i in range(n_char + n_word)]
     r = h.groupBy("q_lang").agg(F.count("b").alias("q_seen"), *mean, *(F.sum(F.get("b", F.lit(i))).alias(f"s{i}") for i in range(n_char)))
     r = stored(r, "language-references")
@@ -123,17 +122,23 @@ def with_repeats(df: DataFrame) -> DataFrame:
     return df.drop("q_hashes", "q_sorted", "q_pairs", "q_likely", "q_windows", "q_at")
 
 
-def score(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOKENS, min_reference: int = MIN_REFERENCE, max_char_distance: float = MAX_CHAR_DISTANCE, joint_char_distance: float = JOINT_CHAR_DISTANCE, joint_word_distance: float = JOINT_WORD_DISTANCE) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance and kept."""
-    refs, all_ = references(docs, min_chars, min_tokens, min_reference)
-    refs = refs.hint("broadcast" if refs.count() <= BROADCAST_LANGUAGES else "merge")
-    df = histograms(apart(docs, *dict.fromkeys(("text", "lang"))), min_chars, min_tokens)
+#: What a text's measuring gives; nothing after it looks at texts.
+MEASURES = ["q_n", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "q_char_shares", "q_word_shares"]
+
+
+def score(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOKENS, min_reference: int = MIN_REFERENCE, max_char_distance: float = MAX_CHAR_DISTANCE, joint_char_distance: float = JOINT_CHAR_DISTANCE, joint_word_distance: float = JOINT_WORD_DISTANCE, columns: list[str] | None = None) -> DataFrame:
+    """docs, all columns or those named, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance and kept."""
+    columns = docs.columns if columns is None else columns
+    df = histograms(apart(docs, "text", "lang", columns=columns), min_chars, min_tokens)
     df = with_repeats(df.withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
+    df = df.withColumn("q_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"))
+    df = stored(df.select("lang", *(c for c in df.columns if c.endswith(f"_{HELD}")), *MEASURES), "measures")
+    refs, all_ = references(df, min_tokens, min_reference)
+    refs = refs.hint("broadcast" if refs.count() <= BROADCAST_LANGUAGES else "merge")
     df = df.join(refs, F.col("lang") == F.col("q_lang"), "left").join(F.broadcast(all_), how="left")  # one row
     df = df.withColumn("q_ref_chars", F.coalesce("q_ref_chars", "q_all_chars"))
     df = df.withColumns(
         {
-            "q_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
             "q_char_distance": js_distance(F.col("q_char_shares"), F.col("q_ref_chars")),
             "q_word_distance": js_distance(F.col("q_word_shares"), F.col("q_ref_words")),
         }
@@ -141,7 +146,7 @@ def score(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOK
     df = df.withColumn("q_failed", (F.col("q_n") < MIN_WORDS) | (100 * F.col("q_repeat_words") > MAX_REPEAT_PERCENT * F.col("q_n")))
     far = F.coalesce(F.col("q_char_distance") > max_char_distance, F.lit(False)) | F.coalesce((F.col("q_char_distance") > joint_char_distance) & (F.col("q_word_distance") > joint_word_distance), F.lit(False))
     return together(
-        df, docs.columns, n_words=F.col("q_n").cast("long"), word_chars=F.col("q_word_chars").cast("long"), n_symbols=F.col("q_symbols").cast("long"), n_dup_lines=F.col("q_dup_lines"), n_repeat_words=F.col("q_repeat_words"),
+        df, columns, n_words=F.col("q_n").cast("long"), word_chars=F.col("q_word_chars").cast("long"), n_symbols=F.col("q_symbols").cast("long"), n_dup_lines=F.col("q_dup_lines"), n_repeat_words=F.col("q_repeat_words"),
         base_failed=F.col("q_failed"), char_distance=F.col("q_char_distance"), word_distance=F.col("q_word_distance"), kept=~F.col("q_failed") & ~far,
     )
 
@@ -149,14 +154,14 @@ def score(docs: DataFrame, min_chars: int = MIN_CHARS, min_tokens: int = MIN_TOK
 def keep(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that pass, with the input's own columns."""
     columns = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(docs.columns)]
-    marked = score(docs.select("text", "lang", *columns), **parameters)
+    marked = score(docs.select("text", "lang", *columns), columns=[f"kept_{i}" for i in range(len(columns))], **parameters)
     # The row number keeps the verdict's columns from being copied into a filter below them, again and again
     marked = marked.withColumn("q_row", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("q_row") >= 0))
     return marked.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return score(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), columns=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def sql_list(words: list[str]) -> str:

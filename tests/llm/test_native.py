@@ -148,3 +148,12 @@ def test_stored_tables_are_cleared(spark):
     path = df.inputFiles()[0]
     common.clear(spark)
     assert not os.path.exists(path.removeprefix("file:").replace("///", "/"))
+
+
+def test_quality_measures_texts_once(spark, sf, monkeypatch):
+    """References are means of the written measures: no text is measured again for them, and the verdicts' table holds no text."""
+    seen, measure, store = [], quality_rules.histograms, quality_rules.stored
+    monkeypatch.setattr(quality_rules, "histograms", lambda *a: (seen.append("measured"), measure(*a))[1])
+    monkeypatch.setattr(quality_rules, "stored", lambda df, name: (seen.append((name, "in_0_held" in df.columns, "text" in df.columns)), store(df, name))[1])
+    assert quality_rules.query(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert seen == ["measured", ("measures", True, False), ("language-references", False, False)]
