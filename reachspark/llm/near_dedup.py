@@ -229,9 +229,10 @@ def prefixes(own: DataFrame, least: float) -> DataFrame:
 
 def across(nodes: DataFrame, texts: DataFrame, least: float, most: int = PART_ROWS) -> DataFrame:
     """Pairs (a, b) of nodes (node, class) of different classes that may be similar enough: they share a prefix, and
-    longer signatures agree in enough bits. Each pair comes once, from the first shingle that both prefixes have.
+    longer signatures agree in enough bits. Each pair comes once.
 
-    What lies before that shingle isn't common. If shares x and y of two bags aren't common, their similarity is at most
+    What lies before the first shingle that both prefixes have isn't common; a later one has more before it, so a pair that passes there passes at
+    the first too, and no row needs its whole prefix beside it. If shares x and y of two bags aren't common, their similarity is at most
     (1 - x)(1 - y) / (1 - xy): with x_i, y_i the shares of common shingle i, its term is at most 1 / (1/x_i + y/y_i), which is
     concave in (x_i, y_i), so the sum is at most that term of the sums."""
     own = stored(texts.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", word_hashes(F.col("text")).alias("w")).repartition("node"), "likely-words")
@@ -243,13 +244,12 @@ def across(nodes: DataFrame, texts: DataFrame, least: float, most: int = PART_RO
 
     signed_ = own.mapInPandas(sign, "node long, n_bits array<long>")
     rows = stored(nodes.select("node", "class").join(signed_, "node").join(prefixes(own, least), "node"), "prefixes")
-    rows = rows.select("node", "class", "n_bits", "prefix", F.explode(F.arrays_zip("prefix", "before")).alias("z")).select("node", "class", "n_bits", "prefix", F.col("z.prefix").alias("s"), F.col("z.before").alias("out"))
+    rows = rows.select("node", "class", "n_bits", F.explode(F.arrays_zip("prefix", "before")).alias("z")).select("node", "class", "n_bits", F.col("z.prefix").alias("s"), F.col("z.before").alias("out"))
     p, q = dealt(rows, "s", most)
-    side = lambda df, k: df.select("s", "part", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "class", "n_bits", "prefix", "out")))
+    side = lambda df, k: df.select("s", "part", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "class", "n_bits", "out")))
     x, y = F.col("p_out"), F.col("q_out")
     ok = (F.col("p_node") < F.col("q_node")) & (F.col("p_class") != F.col("q_class")) & ((1 - x) * (1 - y) >= (least - 1e-9) * (1 - x * y)) & (bits_that_differ(F.col("p_n_bits"), F.col("q_n_bits"), LONG_SLOTS) <= bits_apart(LONG_SLOTS, least))
-    first = F.get(F.array_intersect("p_prefix", "q_prefix"), F.lit(0)) == F.col("s")
-    return side(p, "p").join(side(q, "q"), ["s", "part"]).filter(ok & first).select(F.col("p_node").alias("a"), F.col("q_node").alias("b"))
+    return side(p, "p").join(side(q, "q"), ["s", "part"]).filter(ok).select(F.col("p_node").alias("a"), F.col("q_node").alias("b")).distinct()
 
 
 def dealt(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reachspark.llm import near_dedup as N
 
@@ -102,3 +103,14 @@ def test_odd_rows(spark):
 def test_query_matches_brute_force(spark, sf):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     assert {r.doc_id: r.class_id for r in N.query(spark, sf).collect()} == brute_classes(docs)
+
+
+def test_rows_of_shingles_are_small(spark, monkeypatch):
+    """No row that is dealt by shingle holds its whole prefix, and a pair with many common shingles comes once."""
+    seen, deal = [], N.dealt
+    monkeypatch.setattr(N, "dealt", lambda rows, key, most: (seen.append(rows.columns), deal(rows, key, most))[1])
+    base = some(3, 150)
+    texts = spark.createDataFrame([(n, " ".join(edited(base, n, n))) for n in range(4)], "node long, text string")
+    pairs = sorted((r.a, r.b) for r in N.across(texts.select("node", F.col("node").alias("class")), texts, 0.6).collect())
+    assert pairs == sorted(set(pairs)) and (0, 1) in pairs
+    assert seen == [["node", "class", "n_bits", "s", "out"]]
