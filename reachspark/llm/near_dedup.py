@@ -9,8 +9,10 @@ Bands of slots give candidates; they are verified with the exact similarity of w
 Groups may be of any size. Equal texts are one node. In a bucket of equal bands every node is compared with one of them, its
 leader, so a group of m texts gives m pairs a band. Where verified pairs leave a bucket in several classes, its nodes are
 compared across classes too, all pairs but those that can't be similar enough: whose signatures, one bit a slot, differ in
-too many bits (by six deviations), or that share none of the rarest shingles, of which similar bags share one.
-So no link between different classes is lost. Both steps deal the rows of a hot key into parts, so none is one task.
+too many bits (by six deviations), that share none of the rarest shingles, of which similar bags share one, or whose shingles,
+counted odd or even in cells, differ in more cells than similar bags have different shingles. Before that every node is compared with one node
+for each of its rarest shingles, so that fewer classes are left to compare. So no link between different classes is lost.
+Both comparisons of all pairs deal the rows of a hot key into parts, so none is one task.
 
 Defined cases: a text of one to four words is one shingle. Null and empty texts have none and are like nothing, not
 even each other: their class is their own doc_id. In classes() rows of one doc_id are one document, whatever their texts; a row without
@@ -38,6 +40,8 @@ BROADCAST_IDS = 1_000_000
 STRETCH, STRETCH_ROWS = 200_000, 1000
 #: Slots of the longer signatures that nodes compared across classes get.
 LONG_SLOTS = 1008
+#: Cells that the shingles of such nodes are counted in, odd or even.
+CELLS = 1008
 #: Rows of a key that a task compares with the key's other rows; keys with more are dealt into parts.
 PART_ROWS = 2000
 
@@ -96,12 +100,24 @@ def summaries(found: np.ndarray, rows: int, bands: int) -> tuple[np.ndarray, np.
 
 def bit_words(found: np.ndarray) -> np.ndarray:
     """One bit of each slot of signatures, 63 in a word."""
-    bits = mix(found) & np.uint64(1)
-    words = -(-found.shape[1] // 63)
-    bits = np.pad(bits, ((0, 0), (0, words * 63 - found.shape[1]))).reshape(len(found), words, 63)
+    return packed(mix(found) & np.uint64(1))
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits, 63 in a word."""
+    words = -(-bits.shape[1] // 63)
+    bits = np.pad(bits, ((0, 0), (0, words * 63 - bits.shape[1]))).reshape(len(bits), words, 63)
     return (bits << np.arange(63, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
+def sketches(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A row of words for each bag: the bits of its long signature, whether each cell holds an odd number of its distinct shingles, and
+    the number of its shingles with repeats and without."""
+    odd = np.array([np.bincount((mix(s) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1 for s, _ in bags], dtype=np.uint64)
+    sizes = np.array([(w.sum(), len(s)) for s, w in bags], dtype=np.int64)
+    return np.hstack([bit_words(signatures(bags, LONG_SLOTS)), packed(odd), sizes])
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard similarity of two bags, exactly: the sum over shared shingles of 1 / sum of greatest ratios."""
     if not len(a[0]) or not len(b[0]):
@@ -188,13 +204,37 @@ def components(links: DataFrame) -> DataFrame:
         e = stored(small.distinct(), "links")
 
 
+def tied(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (node, class) after further links (a, b)."""
+    if links.isEmpty():
+        return label
+    return stored(components(label.select(F.col("node").alias("a"), F.col("class").alias("b")).union(links)), "classes")
+
+
 def bits_apart(slots: int, least: float) -> int:
     """Bits in which the signatures of a pair of the threshold differ at most, but for six deviations."""
     return int(slots * (1 - least) / 2 + 6 * (slots * (1 - least) / 2 * (1 + least) / 2) ** 0.5)
 
 
-def bits_that_differ(p: Column, q: Column, slots: int) -> Column:
-    return sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(-(-slots // 63))), F.lit(0))
+def bits_that_differ(p: Column, q: Column, slots: int, first: int = 0) -> Column:
+    return sum((F.bit_count(p[first + i].bitwiseXOR(q[first + i])) for i in range(-(-slots // 63))), F.lit(0))
+
+
+def may_be_similar(p: tuple[Column, Column], q: tuple[Column, Column], least: float) -> Column:
+    """Whether two bags may be similar enough, by their sketches and the shares x and y of them that are known not to be common.
+
+    If shares x and y of two bags aren't common, their similarity is at most (1 - x)(1 - y) / (1 - xy): with x_i, y_i the shares of common
+    shingle i, its term is at most 1 / (1/x_i + y/y_i), which is concave in (x_i, y_i), so the sum is at most that term of the sums.
+    A shingle of both bags changes no cell between odd and even, one of a single bag changes one cell. So there are as many shingles of a single bag as
+    cells that differ, at least, and as many more in one bag as it has distinct shingles more; each is a share of one shingle at least."""
+    (a, x), (b, y) = p, q
+    first = -(-LONG_SLOTS // 63)
+    total = first + -(-CELLS // 63)
+    more = a[total + 1] - b[total + 1]
+    single = F.greatest(bits_that_differ(a, b, CELLS, first), F.abs(more))
+    enough = lambda x, y: (1 - x) * (1 - y) >= (least - 1e-9) * (1 - x * y)
+    exact = enough(F.greatest(x, (single + more) / 2 / a[total]), F.greatest(y, (single - more) / 2 / b[total]))
+    return enough(x, y) & (bits_that_differ(a, b, LONG_SLOTS) <= bits_apart(LONG_SLOTS, least)) & exact
 
 
 def prefixes(own: DataFrame, least: float) -> DataFrame:
@@ -227,28 +267,44 @@ def prefixes(own: DataFrame, least: float) -> DataFrame:
     return order.mapInPandas(cut, "node long, prefix array<long>, before array<double>")
 
 
-def across(nodes: DataFrame, texts: DataFrame, least: float, most: int = PART_ROWS) -> DataFrame:
-    """Pairs (a, b) of nodes (node, class) of different classes that may be similar enough: they share a prefix, and
-    longer signatures agree in enough bits. Each pair comes once.
-
-    What lies before the first shingle that both prefixes have isn't common; a later one has more before it, so a pair that passes there passes at
-    the first too, and no row needs its whole prefix beside it. If shares x and y of two bags aren't common, their similarity is at most
-    (1 - x)(1 - y) / (1 - xy): with x_i, y_i the shares of common shingle i, its term is at most 1 / (1/x_i + y/y_i), which is
-    concave in (x_i, y_i), so the sum is at most that term of the sums."""
+def sketched(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(node, n_bits, prefix, before) of nodes: their sketches and prefixes."""
     own = stored(texts.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", word_hashes(F.col("text")).alias("w")).repartition("node"), "likely-words")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part in parts(b):
-                yield pd.DataFrame({"node": part["node"], "n_bits": list(bit_words(signatures([bag(w) for w in part["w"]], LONG_SLOTS)))})
+                yield pd.DataFrame({"node": part["node"], "n_bits": list(sketches([bag(w) for w in part["w"]]))})
+
+    return stored(own.mapInPandas(sign, "node long, n_bits array<long>").join(prefixes(own, least), "node"), "prefixes")
+
+
+def by_shingle(nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, class, n_bits, s, out) of nodes (node, class): a row for each shingle s of a prefix, with the share of the bag before it."""
+    rows = nodes.select("node", "class").join(own, "node")
+    rows = rows.select("node", "class", "n_bits", F.explode(F.arrays_zip("prefix", "before")).alias("z"))
+    return rows.select("node", "class", "n_bits", F.col("z.prefix").alias("s"), F.col("z.before").alias("out"))
+
 
-    signed_ = own.mapInPandas(sign, "node long, n_bits array<long>")
-    rows = stored(nodes.select("node", "class").join(signed_, "node").join(prefixes(own, least), "node"), "prefixes")
-    rows = rows.select("node", "class", "n_bits", F.explode(F.arrays_zip("prefix", "before")).alias("z")).select("node", "class", "n_bits", F.col("z.prefix").alias("s"), F.col("z.before").alias("out"))
-    p, q = dealt(rows, "s", most)
+def to_first(nodes: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, class) of different classes that may be similar enough, where a is the node that has least before their
+    shingle: one pair at most for each node and shingle of its prefix."""
+    rows = by_shingle(nodes, own)
+    lead = rows.groupBy("s").agg(F.min(F.struct("out", "node", "class", "n_bits")).alias("l"))
+    ok = (F.col("class") != F.col("l.class")) & may_be_similar((F.col("n_bits"), F.col("out")), (F.col("l.n_bits"), F.col("l.out")), least)
+    return rows.join(lead, "s").filter(ok).select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def across(nodes: DataFrame, texts: DataFrame, least: float, most: int = PART_ROWS, own: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes (node, class) of different classes that may be similar enough: they share a prefix, and
+    their sketches, made here unless given, allow it. Each pair comes once.
+
+    What lies before the first shingle that both prefixes have isn't common; a later one has more before it, so a pair that passes there passes at
+    the first too, and no row needs its whole prefix beside it."""
+    p, q = dealt(by_shingle(nodes, sketched(nodes, texts, least) if own is None else own), "s", most)
     side = lambda df, k: df.select("s", "part", *(F.col(c).alias(f"{k}_{c}") for c in ("node", "class", "n_bits", "out")))
-    x, y = F.col("p_out"), F.col("q_out")
-    ok = (F.col("p_node") < F.col("q_node")) & (F.col("p_class") != F.col("q_class")) & ((1 - x) * (1 - y) >= (least - 1e-9) * (1 - x * y)) & (bits_that_differ(F.col("p_n_bits"), F.col("q_n_bits"), LONG_SLOTS) <= bits_apart(LONG_SLOTS, least))
+    similar = may_be_similar((F.col("p_n_bits"), F.col("p_out")), (F.col("q_n_bits"), F.col("q_out")), least)
+    ok = (F.col("p_node") < F.col("q_node")) & (F.col("p_class") != F.col("q_class")) & similar
     return side(p, "p").join(side(q, "q"), ["s", "part"]).filter(ok).select(F.col("p_node").alias("a"), F.col("q_node").alias("b")).distinct()
 
 
@@ -277,7 +333,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, rows: int = ROWS, bands:
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(small_list(stored(member.select("node").distinct(), "members")), "node", "left_semi")
     texts = stored(texts.filter("text is not null"), "texts")
     links = stored(verified(stars, texts, least), "verified")
-    label = components(links)
+    label = stored(components(links), "classes")
     # Buckets that verified links leave in several classes: their nodes are compared across classes
     member = member.join(label, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
     torn = member.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("h")).filter("l < h").select("key")
@@ -288,12 +344,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY, rows: int = ROWS, bands:
     near = (F.col("key") == F.col("q_key")) & (F.col("part") == F.col("q_part")) & (F.col("class") != F.col("q_class"))
     near = near & (bits_that_differ(F.col("n_bits"), F.col("q_bits"), rows * bands) <= allowed)
     likely = stored(member.join(other, near, "left_semi").select("node", "class").distinct(), "likely")
-    cross = across(likely, texts, least, most).join(stars, ["a", "b"], "left_anti")
-    cross = stored(cross, "across")
-    more = stored(verified(cross, texts, least), "verified")
-    if not more.isEmpty():
-        label = components(links.union(more))
-    label = stored(label, "classes")
+    own = sketched(likely, texts, least)
+    label = tied(label, stored(verified(stored(to_first(likely, own, least), "to-first"), texts, least), "verified"))
+    likely = stored(likely.select("node").join(label, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "likely")
+    cross = stored(across(likely, texts, least, most, own).join(stars, ["a", "b"], "left_anti"), "across")
+    label = tied(label, stored(verified(cross, texts, least), "verified"))
     node_class = nodes.join(label, "node", "left").select("n_key", F.coalesce("class", "node").alias("class"))
     found = sig.select("doc_id", "n_key").join(node_class, "n_key").groupBy("doc_id").agg(F.min("class").alias("class_id"))
     known = found.filter("doc_id is not null")

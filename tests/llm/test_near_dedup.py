@@ -114,3 +114,36 @@ def test_rows_of_shingles_are_small(spark, monkeypatch):
     pairs = sorted((r.a, r.b) for r in N.across(texts.select("node", F.col("node").alias("class")), texts, 0.6).collect())
     assert pairs == sorted(set(pairs)) and (0, 1) in pairs
     assert seen == [["node", "class", "n_bits", "s", "out"]]
+
+
+def test_unlike_copies_of_one_text_make_few_pairs(spark):
+    """Copies of one text with several edits each share rare shingles but most aren't similar: few pairs are made but similar ones, and fewer
+    once each copy was compared with the first of its shingles."""
+    base = some(4, 150)
+    texts = [" ".join(edited(base, 3, 1000 + n)) for n in range(80)] + [" ".join(edited(base, 1, 2000 + n)) for n in range(40)]
+    bags = {n: brute_bag(t) for n, t in enumerate(texts)}
+    similar = {(a, b) for a in bags for b in bags if a < b and brute_similarity(bags[a], bags[b]) >= 0.8}
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    nodes = df.select("node", F.col("node").alias("class"))
+    pairs = {(r.a, r.b) for r in N.across(nodes, df, 0.8).collect()}
+    assert similar <= pairs and len(pairs) <= 1.5 * len(similar)
+    first = N.verified(N.to_first(nodes, N.sketched(nodes, df, 0.8), 0.8), df, 0.8)
+    label = N.components(first)
+    left = N.across(nodes.select("node").join(label, "node", "left").select("node", F.coalesce("class", "node").alias("class")), df, 0.8)
+    assert left.count() < len(pairs) / 4
+
+
+def test_sketches_exclude_no_similar_pair(spark):
+    """The bound by sketches is never below the similarity, with repeats too."""
+    rng = random.Random(6)
+    bags = []
+    for n in range(60):
+        words = edited(some(7 + n % 3, 120), n % 12, n)
+        bags.append(N.bag(hashes(words + words[: rng.choice((0, 0, 40, 120))] * rng.randint(1, 3))))
+    rows = [(i, w.tolist()) for i, w in enumerate(N.sketches(bags))]
+    df = spark.createDataFrame(rows, "i int, w array<long>")
+    pairs = df.join(df.selectExpr("i as j", "w as v"), F.col("i") < F.col("j"))
+    for least in (0.3, 0.6, 0.8, 0.95):
+        kept = {(r.i, r.j) for r in pairs.filter(N.may_be_similar((F.col("w"), F.lit(0.0)), (F.col("v"), F.lit(0.0)), least)).select("i", "j").collect()}
+        like = {(i, j) for i in range(60) for j in range(i + 1, 60) if N.similarity(bags[i], bags[j]) >= least}
+        assert like <= kept < {(i, j) for i in range(60) for j in range(i + 1, 60)}
